@@ -22,12 +22,12 @@ from quantfeed.llm.embdedup import usable
 #: Coarse centroids and codebooks are fitted on about so many vectors, chosen by a hash of the id.
 TRAIN_ROWS = 20_000
 #: Share of the lists that a query visits, and the least number of them.
-PROBE_SHARE, PROBE_LEAST = 0.34, 16
+PROBE_SHARE, PROBE_LEAST = 0.65, 16
 CODES = 256
 #: Rows of a list that one task compares with a query block at once.
 BLOCK = 4096
 #: Candidates of a query that are ranked exactly, for each neighbour asked for.
-RERANK = 40
+RERANK = 20
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:

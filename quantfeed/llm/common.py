@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,14 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows go to the shared checkpoint folder and are read from there."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage: rows are written to the shared checkpoint folder and read from there.
+
+    A written table also gives later joins its true size; a checkpoint keeps the plan's estimate,
+    which multiplies with every join of a loop. The files stay until the folder is cleared.
+    """
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def utf8_size(text: Column) -> Column:
