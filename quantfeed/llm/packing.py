@@ -16,8 +16,10 @@ from quantfeed.llm.shards import numbered
 
 #: Ids kept per word and worker; then the cache starts anew.
 CACHE_WORDS = 300_000
-#: The tokenizer's own word pattern, for lower-case Latin text; other texts go to the tokenizer whole.
+#: The tokenizer's own word pattern, and the same for lower-case text of PLAIN characters alone.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+PLAIN_WORDS = r"[a-zß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
+PLAIN = r"\t\n\r\x20-\x7eÀ-ÿ"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -31,12 +33,15 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        import re
+
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pattern = regex.compile(WORDS)
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pattern, self.plain_pattern, self.odd = regex.compile(WORDS), re.compile(PLAIN_WORDS), re.compile(f"[^{PLAIN}]")
         self.other = regex.compile("[^\x00-ɏ]")
         self.clear()
 
@@ -48,9 +53,13 @@ class WordEncoder:
     def learn(self, words: list[str]) -> None:
         if len(self.at) + len(words) > CACHE_WORDS:
             self.clear()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for word, e in zip(words, encode(words, add_special_tokens=False), strict=True):
-            ids, k = e.ids, len(self.at)
+        merge = self.tokenizer.model.tokenize
+        for word in words:
+            if not (word.isascii() and word.isprintable()):
+                written = self.bytes.pre_tokenize_str(word)[0][0]
+            else:
+                written = word
+            ids, k = [t.id for t in merge(written)], len(self.at)
             if k == len(self.begin):
                 self.begin, self.size = np.append(self.begin, np.zeros(k, np.int64)), np.append(self.size, np.zeros(k, np.int64))
             while self.used + len(ids) > len(self.flat):
@@ -62,7 +71,7 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         if not text.isascii() and self.other.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self.pattern.findall(text.lower())
+        words = (self.pattern if self.odd.search(text) else self.plain_pattern).findall(text.lower())
         out = []
         for i in range(0, len(words), CACHE_WORDS // 4):
             part = words[i : i + CACHE_WORDS // 4]

@@ -121,7 +121,7 @@ def test_packing_keeps_every_token(spark):
 
 
 def test_packing_of_odd_texts(spark):
-    odd_texts = ["", None, "It's <|endoftext|> ok", "ΑΣ ΟΔΟΣ", "e\u0301 \u00e9", "İstanbul", "a\u00a0b\u2003c", "日本語 text", "x" * 5000, "1²3 _a_", "\x00\x1f a", "don't we'll I'M", "word " * 5000, "ß ſ ǅ"]
+    odd_texts = ["", None, "It's <|endoftext|> ok", "ΑΣ ΟΔΟΣ", "e\u0301 \u00e9", "İstanbul", "a\u00a0b\u2003c", "日本語 text", "x" * 5000, "1²3 _a_", "\x00\x1f a", "don't we'll I'M", "word " * 5000, "ß ſ ǅ", "_-a_b ×÷ Àé'S", "ÿÞ\t1\n2\x7f"]
     df = spark.createDataFrame(list(enumerate(odd_texts)), "doc_id long, text string")
     check_packing(packing.pack(df, default_tokenizer()).collect(), dict(enumerate(odd_texts)))
     assert packing.pack(df.limit(0), default_tokenizer()).collect() == []
