@@ -8,8 +8,9 @@ A document's set holds the hashes of its distinct word shingles. Its sketch is t
    so each class needs only the lists of its rarest ``m - t + 1`` values among the ``m`` it shares
    with anyone; a passage that many documents hold seldom gets into these.
 3. In each list, members are compared with one leader. Links give components, and only members of
-   different components are compared again: first with better leaders, in the end pair by pair. A
-   large group of near copies costs a few comparisons a member instead of all pairs.
+   different components are compared again: first with better leaders, in the end pair by pair where
+   exact prefixes of the full sets meet. A large group of near copies costs a few comparisons a
+   member instead of all pairs.
 4. The sketch of the union estimates each pair's similarity and drops what is far below; full sets
    confirm the rest exactly.
 """
@@ -28,7 +29,7 @@ from quantfeed.llm.common import durable, mix64, slices
 from quantfeed.llm.graph import components
 
 SLICE_CHARS = 1_000_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -155,7 +156,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if at.isEmpty():
             break
         if last:
-            pairs = _across(at, percent)
+            pairs = _across(at, sets, percent)
         else:
             pairs = _with_leaders(at, links, percent)
         found = durable(_confirmed(pairs, sketches, sets, percent, k))
@@ -187,14 +188,29 @@ def _with_leaders(at: DataFrame, links: DataFrame | None, percent: int) -> DataF
     return _ordered(at.join(leader, "v").filter((F.col("comp") != F.col("other_comp")) & _fits(percent)))
 
 
-def _across(at: DataFrame, percent: int) -> DataFrame:
-    """All pairs between different components of a list: members outside its largest component with all."""
-    sizes = at.groupBy("v", "comp").agg(F.count("*").alias("c"))
+def _across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may still reach the threshold, by exact prefixes of full sets.
+
+    With all sets in one order, rarest values first, a pair that must share ``o`` values has one in
+    common among the first n - o + 1 of either set. Copies with many edits of their own have these all
+    in rare values, so they don't meet in a large group's lists. Within a list, only members outside
+    its largest component are joined with the others.
+    """
+    members = durable(at.select("rep", "n", "comp").distinct())
+    posts = members.select("rep").join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", F.explode("shingles").alias("v"))
+    counts = posts.groupBy("v").agg(F.count("*").alias("df"))
+    ranked = posts.join(counts, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    longest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    keys = ranked.join(members, "rep").select("rep", "n", "comp", F.posexplode(F.slice("vs", F.lit(1), longest)).alias("pos", "e"))
+    keys = durable(keys.filter("e.df > 1").select("rep", "n", "comp", "pos", F.col("e.v").alias("v")))
+    sizes = keys.groupBy("v", "comp").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    strays = at.join(largest, "v").filter("comp <> main")
-    others = at.select("v", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"))
+    strays = keys.join(largest, "v").filter("comp <> main")
+    others = keys.select("v", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
     different = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("rep") < F.col("other")))
-    return _ordered(strays.join(others, "v").filter(different & _fits(percent)))
+    least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    near = (F.col("pos") <= F.col("n") - least) & (F.col("other_pos") <= F.col("m") - least)
+    return _ordered(strays.join(others, "v").filter(different & _fits(percent) & near))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
