@@ -83,8 +83,12 @@ def keyword_tags(title: Column, words: Sequence[str], most: int) -> Column:
 
 def scan(text: Column, rules: Sequence[tuple[str, str, str]] = PHRASE_RULES) -> Column:
     """array<struct<category, matched>> of all matches, rule by rule."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, c=c: F.struct(F.lit(c).alias("category"), m.alias("matched"))) for p, c, _ in rules]
-    return F.flatten(F.array(*found))
+
+    def matches(pattern: str, category: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(category).alias("category"), m.alias("matched")))
+
+    return F.flatten(F.array(*[matches(p, c) for p, c, _ in rules]))
 
 
 def rewrite(text: Column, rules: Sequence[tuple[str, str, str]] = PHRASE_RULES) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantfeed.functions.columns import divide, finite
+from quantfeed.functions.columns import divide
 from quantfeed.operators.rolling import Rolling, greater, less, log
 
 WINDOWS = (5, 10, 20, 30, 60)
@@ -106,7 +106,7 @@ def rolled(d: int, by: str = "code", order: str = "day") -> dict[str, Column]:
         "VSUMN": divide(vloss, vmove),
         "VSUMD": divide(vgain - vloss, vmove),
     }
-    return {f"{k}{d}": finite(x) for k, x in out.items()}
+    return {f"{k}{d}": x for k, x in out.items()}
 
 
 def factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, by: str = "code", order: str = "day") -> DataFrame:

@@ -57,9 +57,9 @@ def _r(expr: str, name: str) -> str:
     return f"round({expr}, 6) AS {name}"
 
 
-@query(f"WITH {BARS} SELECT code, day, {', '.join(_r(c, c) for c in ('open', 'close', 'high', 'low', 'volume', 'amount'))}, round(vwap, 3) AS vwap FROM bars")
+@query(f"WITH {BARS} SELECT code, day, {', '.join(_r(c, c) for c in ('open', 'close', 'high', 'low', 'volume', 'amount'))}, CAST(floor(vwap * 1000) AS BIGINT) AS vwap FROM bars")
 def daily_bars(spark, sf_dir):
-    return rounded(bars(spark, sf_dir)).withColumn("vwap", F.round("vwap", 3))
+    return rounded(bars(spark, sf_dir).withColumn("vwap", F.floor(F.col("vwap") * 1000)))
 
 
 def _gate(x: str, w: str, n: int, value: str) -> str:
@@ -333,8 +333,8 @@ def topic_boards(spark, sf_dir):
 
 
 #: Feed items made of events: five notations of the time, a date only for some, a title for most.
-_RAW = "CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y/%m/%d %H:%M') WHEN 2 THEN strftime(ts, '%Y%m%d') WHEN 3 THEN CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR) WHEN 4 THEN strftime(ts, '%Y年%m月%d日 %H:%M') ELSE '' END"
-_TS = "CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN to_timestamp(CAST(epoch(ts) AS BIGINT))::TIMESTAMPTZ AT TIME ZONE 'UTC' WHEN 4 THEN date_trunc('minute', ts) END"
+_RAW = "CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y/%m/%d %H:%M') WHEN 2 THEN strftime(ts, '%Y%m%d') WHEN 3 THEN CAST((epoch_us(ts) // 1000000) AS VARCHAR) WHEN 4 THEN strftime(ts, '%Y年%m月%d日 %H:%M') ELSE '' END"
+_TS = "CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN to_timestamp((epoch_us(ts) // 1000000))::TIMESTAMPTZ AT TIME ZONE 'UTC' WHEN 4 THEN date_trunc('minute', ts) END"
 _QUALITY = "CASE event_id % 6 WHEN 2 THEN 'date' WHEN 5 THEN 'missing' ELSE 'exact' END"
 
 
