@@ -18,6 +18,11 @@ def _inverse(name: str) -> Column:
     return F.when(x > 0, 1.0 / x)
 
 
+def tenth(x: Column) -> Column:
+    """Rounded to one decimal; what is a tie but for the last binary digit goes up."""
+    return F.round(x + 1e-9, 1)
+
+
 def scores() -> dict[str, Column]:
     """Each dimension's score, rounded to one decimal; null if none of its readings is there."""
     raw = {
@@ -28,7 +33,7 @@ def scores() -> dict[str, Column]:
         "price_volume": [*(scale(F.col(f"CORR{d}"), 0.0, 0.6) for d in (10, 20, 60)), scale(F.col("CORD20"), 0.0, 0.6)],
         "strength": [scale(F.col("SUMD20"), 0.0, 0.6), clip(F.col("SUMP20") * 100), scale(F.col("CNTD20"), 0.0, 0.4)],
     }
-    return {k: F.round(mean_of(*v), 1) for k, v in raw.items()}
+    return {k: tenth(mean_of(*v)) for k, v in raw.items()}
 
 
 def level(score: Column) -> Column:
@@ -54,7 +59,7 @@ def profile(panel: DataFrame, keys: tuple[str, ...] = ("code", "day")) -> DataFr
     """Keys, the six scores, composite (mean of those there), covered (how many), stance and shape."""
     x = panel.select(*keys, *[v.alias(k) for k, v in scores().items()], momentum_shape().alias("shape"))
     covered = sum((F.col(d).isNotNull().cast("int") for d in DIMENSIONS), F.lit(0))
-    return x.withColumn("composite", F.round(mean_of(*map(F.col, DIMENSIONS)), 1)).withColumn("covered", covered).withColumn("stance", level(F.col("composite")))
+    return x.withColumn("composite", tenth(mean_of(*map(F.col, DIMENSIONS)))).withColumn("covered", covered).withColumn("stance", level(F.col("composite")))
 
 
 def extremes(profiles: DataFrame) -> DataFrame:

@@ -264,8 +264,8 @@ _SCORES = {
     "price_volume": [*(_scale_sql(f"CORR{d}", 0, 0.6) for d in (10, 20, 60)), _scale_sql("CORD20", 0, 0.6)],
     "strength": [_scale_sql("SUMD20", 0, 0.6), _clip_sql("SUMP20 * 100"), _scale_sql("CNTD20", 0, 0.4)],
 }
-_PROFILE = f"""{_panel_sql(scoring.NEEDS)}, s AS (SELECT code, day, {', '.join(f'round({_mean_sql(v)}, 1) AS {k}' for k, v in _SCORES.items())} FROM latest),
-profile AS (SELECT *, round({_mean_sql(list(_SCORES))}, 1) AS composite FROM s)"""
+_PROFILE = f"""{_panel_sql(scoring.NEEDS)}, s AS (SELECT code, day, {', '.join(f'round({_mean_sql(v)} + 1e-9, 1) AS {k}' for k, v in _SCORES.items())} FROM latest),
+profile AS (SELECT *, round({_mean_sql(list(_SCORES))} + 1e-9, 1) AS composite FROM s)"""
 
 
 def profiles(spark, sf_dir) -> DataFrame:
