@@ -8,7 +8,8 @@ below settles the pair; all others are computed exactly.
 
 Pairs meet in buckets: bands of code bits, as wide as the largest label asks for and as many as lose
 one pair in MISS at the threshold. Buckets are cut into blocks of bounded size, and each pair of
-blocks is a task's work of its own, so a large group doesn't meet in one place.
+blocks is a task's work of its own, so a large group doesn't meet in one place. What leaves a pair of
+blocks is one row per linked member, with its number of links and a root; pairs are never written out.
 """
 
 from __future__ import annotations
@@ -53,20 +54,39 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b): pairs of ``vectors`` (id, label, v) of equal label with cosine >= threshold, a < b."""
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that the edges (i, j) connect it with."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Links of ``vectors`` (id, label, v, n): pairs of equal label with cosine >= threshold.
+
+    Rows (id, root, others), several per linked id: ``others`` add up to the copies ``n`` of all that
+    the id is linked with, and the edges (root, id) connect whatever links connect.
+    """
     first = vectors.select(F.size("v").alias("d")).first()
     if first is None:
-        return vectors.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return vectors.select("id", F.col("id").alias("root"), F.col("n").alias("others")).limit(0)
     rows = vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     width, count = bands_for(rows, threshold)
     dim = first["d"]
     turn = rotations(dim, max(width * count, dim))
-    weights = 1 << np.arange(width)
+    powers = 1 << np.arange(width)
 
     def keys_of(unit: np.ndarray) -> np.ndarray:
         signs = (unit @ turn)[:, : width * count] > 0
-        return signs.reshape(len(unit), count, width) @ weights
+        return signs.reshape(len(unit), count, width) @ powers
 
     def post(batches):
         for batch in batches:
@@ -75,15 +95,16 @@ def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
             x = _vectors(batch.column(2))
             keys = keys_of(x / np.abs(x).max(axis=1, keepdims=True))
             flat = pa.array(keys.astype(np.int32).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.FixedSizeListArray.from_arrays(flat, count).cast(pa.list_(pa.int32()))], ["id", "label", "v", "keys"])
+            keys = pa.FixedSizeListArray.from_arrays(flat, count).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["id", "label", "v", "n", "keys"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    posted = vectors.mapInArrow(post, f"id long, label {kind}, v array<float>, keys array<int>")
-    posted = posted.select("id", "label", "v", "keys", F.posexplode("keys").alias("band", "key"))
+    posted = vectors.select("id", "label", "v", "n").mapInArrow(post, f"id long, label {kind}, v array<float>, n long, keys array<int>")
+    posted = posted.select("id", "label", "v", F.col("n").alias("copies"), "keys", F.posexplode("keys").alias("band", "key"))
     bucket = ["label", "band", "key"]
     sizes = posted.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
     cut = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part")
-    blocks = posted.join(sizes, bucket).select(*bucket, cut, F.struct("id", "v", "keys").alias("m"))
+    blocks = posted.join(sizes, bucket).select(*bucket, cut, F.struct("id", "v", "keys", "copies").alias("m"))
     blocks = durable(blocks.groupBy(*bucket, "part").agg(F.collect_list("m").alias("ms")))
     left = blocks.select(*bucket, F.col("part").alias("p"), F.col("ms").alias("x"))
     right = blocks.select(*bucket, F.col("part").alias("q"), F.col("ms").alias("y"))
@@ -91,16 +112,17 @@ def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
 
     sine = math.sqrt(1 - threshold * threshold)
 
-    def read(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.asarray(block.field("id")), _vectors(block.field("v")), np.asarray(block.field("keys").flatten()).reshape(len(block), count)
+    def read(block) -> tuple[np.ndarray, ...]:
+        keys = np.asarray(block.field("keys").flatten()).reshape(len(block), count)
+        return np.asarray(block.field("id")), _vectors(block.field("v")), keys, np.asarray(block.field("copies"))
 
     def meet(batches):
         for batch in batches:
-            found_a, found_b = [], []
+            found: list[list[np.ndarray]] = [[], [], []]
             for r in range(batch.num_rows):
                 band, own = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ids, x, keys = read(batch.column(2)[r].values)
-                other, y, other_keys = (ids, x, keys) if own else read(batch.column(3)[r].values)
+                ids, x, keys, copies = read(batch.column(2)[r].values)
+                other, y, other_keys, other_copies = (ids, x, keys, copies) if own else read(batch.column(3)[r].values)
                 norm_x, norm_y = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
                 tx, ty = (x / norm_x[:, None]) @ turn[:, :dim], (y / norm_y[:, None]) @ turn[:, :dim]
                 code = np.where(tx > 0, 1.0, -1.0) / math.sqrt(dim)
@@ -114,13 +136,20 @@ def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
                 keep = (keys[i] == other_keys[j]).argmax(axis=1) == band
                 i, j = i[keep], j[keep]
                 cosine = (x[i] * y[j]).sum(axis=1) / (norm_x[i] * norm_y[j])
-                keep = cosine >= threshold
-                found_a.append(np.minimum(ids[i], other[j])[keep])
-                found_b.append(np.maximum(ids[i], other[j])[keep])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-    return meetings.mapInArrow(meet, "a long, b long")
+                i, j = i[cosine >= threshold], j[cosine >= threshold]
+                nodes, weights = (ids, copies) if own else (np.append(ids, other), np.append(copies, other_copies))
+                j = j if own else j + len(ids)
+                others = np.zeros(len(nodes), np.int64)
+                np.add.at(others, i, weights[j])
+                np.add.at(others, j, weights[i])
+                linked = others > 0
+                root = _roots(len(nodes), i, j)
+                for col, v in zip(found, (nodes[linked], nodes[root[linked]], others[linked]), strict=True):
+                    col.append(v)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["id", "root", "others"])
+
+    return meetings.mapInArrow(meet, "id long, root long, others long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -137,17 +166,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     rows = rows.withColumn("v", F.when(ok, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))))
     classes = durable(rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("rep is not null"))
     sizes = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
-    pairs = None
+    links = None
     for d in sizes:  # one, unless vectors of several sizes are mixed
-        found = near_pairs(classes.filter(F.size("v") == d).select(F.col("rep").alias("id"), "label", "v"), threshold)
-        pairs = found if pairs is None else pairs.union(found)
-    if pairs is None:
+        found = near_links(classes.filter(F.size("v") == d).select(F.col("rep").alias("id"), "label", "v", "n"), threshold)
+        links = found if links is None else links.union(found)
+    if links is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    links = durable(pairs)
-    weights = classes.select(F.col("rep").alias("b"), "n")
-    both = links.union(links.select("b", "a").toDF("a", "b")).join(weights, "b")
-    degree = both.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    comps = components(links).withColumnRenamed("node", "rep")
+    links = durable(links)
+    degree = links.groupBy(F.col("id").alias("rep")).agg(F.sum("others").alias("others"))
+    edges = links.filter("root <> id").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    comps = components(edges).withColumnRenamed("node", "rep")
     of_class = classes.join(degree, "rep", "left").join(comps, "rep", "left").select("label", "v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "rep").alias("comp"))
     out = rows.join(of_class, ["label", "v"], "left")
     component = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("comp"))
