@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantfeed.llm.common import durable
-from quantfeed.llm.shards import numbered
+from quantfeed.llm.shards import PART_ROWS, PARTS, numbered
 
 #: Ids kept per word and worker; then the cache starts anew.
 CACHE_WORDS = 300_000
@@ -166,7 +166,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -
             offset += size
         sequence += count
     places = docs.sparkSession.createDataFrame(ranges, "length long, lo long, hi long, shift long, offset long")
-    ranked = numbered(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "rank")
+    parts = max(PARTS, sum(histogram.values()) // PART_ROWS)
+    ranked = numbered(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "rank", parts)
     # A few places for each of at most `length` lengths, whatever the input.
     inside = (ranked["length"] == places["length"]) & (ranked["rank"] >= places["lo"]) & (ranked["rank"] < places["hi"])
     joined = ranked.join(F.broadcast(places), inside)

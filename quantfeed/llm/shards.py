@@ -13,8 +13,10 @@ from quantfeed.llm.common import durable, utf8_size
 #: Small groups travel in so many bundles; a group over 1 / LARGE of a shard's share goes alone.
 BUNDLES = 4096
 LARGE = 64
-#: Rows of a shard are numbered in so many parts, so that no task holds a whole shard.
+#: Rows of a shard are numbered in so many parts at least, so that no task holds a whole shard.
 PARTS = 64
+#: Rows that a part should hold at most if all rows were in one group.
+PART_ROWS = 1_000_000
 
 
 def schedule(sizes: Iterable[tuple[str, int]], shards: int) -> dict[str, int]:
@@ -49,8 +51,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     """
     text = F.coalesce("text", F.lit(""))
     rows = durable(docs.select("doc_id", (utf8_size(F.col("text")) + overhead).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g")))
-    groups = durable(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    groups = durable(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    whole = groups.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
+    total = whole["bytes"] or 0
     alone = F.col("bytes") * (shards * LARGE) >= total
     unit = F.when(alone, F.col("g")).otherwise(F.format_string("bundle%d", F.pmod(F.xxhash64("g"), F.lit(BUNDLES))))
     units = [(r["unit"], r["bytes"]) for r in groups.groupBy(unit.alias("unit")).agg(F.sum("bytes").alias("bytes")).collect()]
@@ -61,5 +64,6 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
     bundle = F.broadcast(of_unit)
     placed = rows.join(single, "g", "left").withColumn("unit", F.format_string("bundle%d", F.pmod(F.xxhash64("g"), F.lit(BUNDLES)))).join(bundle, "unit", "left")
     placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("alone", "shard").alias("shard"))
-    placed = numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot")
+    parts = max(PARTS, (whole["n"] or 0) // PART_ROWS)
+    placed = numbered(placed, ["shard"], ["doc_id", "text_crc32"], "slot", parts)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
