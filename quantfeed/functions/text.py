@@ -102,3 +102,26 @@ def document_title(content: Column, fallback: Column) -> Column:
     """The first level-1 or level-2 heading, else the fallback."""
     found = F.trim(F.regexp_extract(content, r"(?m)^\s*##?[ \t]+(\S.*)$", 1))
     return F.coalesce(F.nullif(found, F.lit("")), fallback)
+
+
+def open_bracket(title: Column) -> Column:
+    """A leading 【x】 as x｜."""
+    return F.regexp_replace(title, r"^【(.*?)】\s*", "$1｜")
+
+
+def without_alert_prefix(title: Column) -> Column:
+    return F.regexp_replace(title, r"^异动快报[:：]\s*", "")
+
+
+def without_emphasis(title: Column) -> Column:
+    return F.regexp_replace(title, r"</?em>", "")
+
+
+def reason_tags(reason: Column, most: int = 3) -> Column:
+    """The first reasons of a list joined by +."""
+    return F.slice(F.filter(F.split(reason, r"\+"), lambda r: r != ""), 1, most)
+
+
+def joined(separator: str, *parts: Column) -> Column:
+    """The parts that are there and not blank, joined."""
+    return F.concat_ws(separator, *[F.nullif(F.trim(p), F.lit("")) for p in parts])

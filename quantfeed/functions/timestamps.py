@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 #: Minutes that a stamp may lie ahead of the reference time.
 FUTURE_MINUTES = 10
-#: Shape of the text, pattern, quality.
-PATTERNS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s", "exact"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s", "exact"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", "yyyy-M-d H:m", "exact"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy/M/d H:m:s", "exact"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}$", "yyyy/M/d H:m", "exact"),
-    (r"^\d{4}年\d{1,2}月\d{1,2}日 \d{1,2}:\d{1,2}$", "yyyy年M月d日 H:m", "exact"),
-    (r"^\d{14}$", "yyyyMMddHHmmss", "exact"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d", "date"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", "date"),
-    (r"^\d{4}年\d{1,2}月\d{1,2}日$", "yyyy年M月d日", "date"),
-    (r"^\d{8}$", "yyyyMMdd", "date"),
+# Shapes of a text with a time of day, and of one with a date only.
+EXACT_SHAPES = (
+    r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}",
+    r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}",
+    r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?",
+    r"\d{4}年\d{1,2}月\d{1,2}日 \d{1,2}:\d{1,2}",
+    r"\d{14}",
 )
+DATE_SHAPES = (r"\d{4}-\d{1,2}-\d{1,2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{4}年\d{1,2}月\d{1,2}日", r"\d{8}")
+YEARLESS_SHAPE = r"^\d{1,2}[-/月]\d{1,2}日?[ T]+\d{1,2}:\d{2}(:\d{2})?$"
+TIME_SHAPE = r"^\d{1,2}:\d{2}(:\d{2})?$"
 #: Seconds of the units in "N units ago".
 UNIT_SECONDS = {"秒": 1, "分": 60, "分钟": 60, "小时": 3600, "天": 86400, "周": 604800}
 JUST_NOW = ("刚刚", "刚才", "just now")
@@ -42,19 +39,18 @@ def parse(raw: Column, ref: Column) -> Column:
     relative = F.when(raw.isin(*JUST_NOW), ref).when(unit != "", F.timestamp_micros(F.unix_micros(ref) - ago * 1_000_000))
     text = F.trim(F.regexp_replace(F.regexp_replace(raw, PREFIX, ""), r"(?U)\s+", " "))
     text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}):\d{1,3}$", "$1")
-    absolute, kind = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
-    for shape, pattern, quality in reversed(PATTERNS):
-        absolute = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))).otherwise(absolute)
-        kind = F.when(text.rlike(shape), F.lit(quality)).otherwise(kind)
+    # All shapes give their numbers in one way; the shape says what they mean.
+    spread = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$", "$1-$2-$3-$4-$5-$6")
+    numbers = F.split(F.regexp_replace(spread, "[^0-9]+", "-"), "-")
+    n = [F.coalesce(F.try_element_at(numbers, F.lit(i)).try_cast("int"), F.lit(0)) for i in range(1, 7)]
+    exact, dated = text.rlike(f"^({'|'.join(EXACT_SHAPES)})$"), text.rlike(f"^({'|'.join(DATE_SHAPES)})$")
+    absolute = F.when((exact | dated) & (n[5] < 60), F.try_make_timestamp(*n))
+    kind = F.when(dated, "date").otherwise("exact")
     latest = F.timestamp_micros(F.unix_micros(ref) + FUTURE_MINUTES * 60_000_000)
-    day_shape, time_shape = r"^(\d{1,2})[-/月](\d{1,2})日?[ T]+(\d{1,2}):(\d{2})(?::(\d{2}))?$", r"^(\d{1,2}):(\d{2})(?::(\d{2}))?$"
-    part = lambda shape, i: F.coalesce(F.nullif(F.regexp_extract(text, shape, i), F.lit("")), F.lit("0")).cast("int")
-    month, day, hour, minute, second = (part(day_shape, i) for i in range(1, 6))
-    dated = lambda year: F.try_make_timestamp(year, month, day, hour, minute, second)
-    this = dated(F.year(ref))
-    yearless = F.when(text.rlike(day_shape), F.when(this <= latest, this).otherwise(dated(F.year(ref) - 1)))
-    today = F.try_make_timestamp(F.year(ref), F.month(ref), F.day(ref), part(time_shape, 1), part(time_shape, 2), part(time_shape, 3))
-    timed = F.when(text.rlike(time_shape), F.when(today > latest, today - F.expr("INTERVAL 1 DAY")).otherwise(today))
+    this = F.try_make_timestamp(F.year(ref), *n[:5])
+    yearless = F.when(text.rlike(YEARLESS_SHAPE), F.when(this <= latest, this).otherwise(F.try_make_timestamp(F.year(ref) - 1, *n[:5])))
+    today = F.try_make_timestamp(F.year(ref), F.month(ref), F.day(ref), *n[:3])
+    timed = F.when(text.rlike(TIME_SHAPE), F.when(today > latest, today - F.expr("INTERVAL 1 DAY")).otherwise(today))
     ts = F.when(raw == "", None).when(epoch.isNotNull(), from_epoch).otherwise(F.coalesce(relative, absolute, yearless, timed))
     quality = F.when(ts.isNull(), "missing").when(epoch.isNotNull(), "exact").when(relative.isNotNull(), "derived").when(absolute.isNotNull(), kind).otherwise("exact")
     return F.struct(ts.alias("ts"), quality.alias("quality"), raw.alias("raw"))
@@ -100,3 +96,16 @@ def in_quiet_hours(ts: Column, start: str, end: str) -> Column:
         return F.lit(False)
     now = minute_of_day(ts)
     return (now >= a) & (now < b) if a < b else (now >= a) | (now < b)
+
+
+def midnight_as_date(ts: Column, quality: Column) -> Column:
+    """Quality of a stamp in a feed that writes dates as midnight: exact midnights count as dates."""
+    midnight = (F.hour(ts) == 0) & (F.minute(ts) == 0) & (F.second(ts) == 0)
+    return F.when((quality == "exact") & midnight, "date").otherwise(quality)
+
+
+def bar_freshness(day: Column, ref: Column) -> Column:
+    """How old the newest bar is: unknown, today, previous, or the number of days, with its date."""
+    days = F.datediff(ref, day)
+    label = F.when(days <= 0, "今日").when(days == 1, "上一交易日").otherwise(F.concat(days.cast("string"), F.lit(" 天前")))
+    return F.when(day.isNull(), "行情日期未知").otherwise(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("（"), label, F.lit("）")))

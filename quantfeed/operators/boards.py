@@ -59,3 +59,13 @@ def matched_boards(words: DataFrame, boards: DataFrame, n: int = 5) -> DataFrame
 def universe(members: DataFrame) -> DataFrame:
     """Distinct members over all boards with the first board's name for each."""
     return members.groupBy("code").agg(F.min_by("name", "ord").alias("name"))
+
+
+def all_boards(industries: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Members (board, code, name, ...) of both lists with kind.
+
+    A board in both lists has the concept's members, but counts as an industry.
+    """
+    both = industries.withColumn("_concept", F.lit(False)).unionByName(concepts.withColumn("_concept", F.lit(True)), allowMissingColumns=True)
+    lists = both.groupBy("board").agg(F.bool_or("_concept").alias("_wins"), F.when(F.bool_or(~F.col("_concept")), "industry").otherwise("concept").alias("kind"))
+    return both.join(lists, "board").filter(F.col("_concept") == F.col("_wins")).drop("_concept", "_wins")

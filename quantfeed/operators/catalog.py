@@ -121,18 +121,45 @@ def factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequen
     return prepared(bars, by, order).select(by, order, *[made[n].alias(n) for n in wanted])
 
 
+# Groups of factors by name, the factors that reports show first, what each family says.
+GROUPS = (
+    ("K线形态", r"^K(MID|LEN|UP|LOW|SFT)"),
+    ("趋势动量", r"^(ROC|MA|BETA|RSQR|RESI)\d"),
+    ("波动与位置", r"^(STD|MAX|MIN|QTLU|QTLD|RANK|RSV|IMAX|IMIN|IMXD)\d"),
+    ("涨跌强弱", r"^(CNTP|CNTN|CNTD|SUMP|SUMN|SUMD)\d"),
+    ("量能结构", r"^(VMA|VSTD|WVMA|VSUMP|VSUMN|VSUMD|VOLUME)\d"),
+    ("量价配合", r"^(CORR|CORD)\d"),
+    ("价格基准", r"^(OPEN|HIGH|LOW|CLOSE|VWAP)\d"),
+)
+OTHER_GROUP = "其他"
+CORE = tuple(
+    """KMID KLEN KUP KLOW KSFT ROC5 ROC10 ROC20 ROC60 MA5 MA10 MA20 MA60 STD5 STD20 STD60 BETA20 BETA60 RSQR20 RSQR60 RESI20
+    MAX20 MIN20 QTLU20 QTLD20 RANK20 RANK60 RSV20 IMAX20 IMIN20 IMXD20 CORR10 CORR20 CORR60 CORD20 CNTP20 CNTN20 CNTD20
+    SUMP20 SUMN20 SUMD20 SUMD60 VMA5 VMA20 VSTD20 WVMA20 VSUMP20 VSUMD20""".split()
+)
+
+
 def factor_group(name: Column) -> Column:
-    """Group of a factor by its name."""
-    groups = (
-        ("candle", r"^K(MID|LEN|UP|LOW|SFT)"),
-        ("price", r"^(OPEN|HIGH|LOW|VWAP)\d"),
-        ("momentum", r"^(ROC|SUMP|SUMN|SUMD|CNTP|CNTN|CNTD)\d"),
-        ("trend", r"^(MA|BETA|RSQR|RESI)\d"),
-        ("volatility", r"^(STD|MAX|MIN|QTLU|QTLD|RANK|RSV|IMAX|IMIN|IMXD)\d"),
-        ("price-volume", r"^(CORR|CORD)\d"),
-        ("volume", r"^(VMA|VSTD|WVMA|VSUMP|VSUMN|VSUMD)\d"),
-    )
-    out = F.lit("other")
-    for group, pattern in groups:
-        out = F.when(name.rlike(pattern), group).otherwise(out)
-    return out
+    """Group of a factor by its name, the first whose pattern fits."""
+    return F.coalesce(*[F.when(name.rlike(pattern), group) for group, pattern in GROUPS], F.lit(OTHER_GROUP))
+
+
+def core_factors(available: Sequence[str], core: Sequence[str] = CORE, fallback: int = 60) -> list[str]:
+    """The core factors among those available; the first ``fallback`` of all if there is none."""
+    return [c for c in core if c in set(available)] or list(available[:fallback])
+
+
+def described(name: Column, texts: dict[str, str]) -> Column:
+    """A factor's text from its family's in ``texts``, with the window in place of N; empty if unknown."""
+    window = F.regexp_extract(name, r"(\d+)$", 1)
+    family = F.when(name.rlike(r"^K.*2$"), F.regexp_replace(name, "2$", "")).otherwise(F.regexp_replace(name, r"\d+$", ""))
+    pairs = F.create_map(*[F.lit(x) for kv in texts.items() for x in kv])
+    text = F.coalesce(F.try_element_at(pairs, family), F.lit(""))
+    return F.when(window != "", F.replace(text, F.lit("N 日"), F.concat(window, F.lit(" 日")))).otherwise(text)
+
+
+def coverage(panel: DataFrame, names: Sequence[str], keys: Sequence[str] = ("code", "day")) -> DataFrame:
+    """Rows (factor, factor_group, attempted, computed, percent): over how many rows each factor has a value."""
+    tidy = panel.select(*keys, *[F.col(n).cast("double") for n in names]).unpivot(list(keys), list(names), "factor", "value")
+    out = tidy.groupBy("factor").agg(F.count("*").alias("attempted"), F.count("value").alias("computed"))
+    return out.select("factor", factor_group(F.col("factor")).alias("factor_group"), "attempted", "computed", (F.col("computed") * 100 / F.col("attempted")).alias("percent"))

@@ -73,3 +73,35 @@ def merged(docs: DataFrame, group: str, order: str = "doc_id", content: str = "t
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), section.alias("s"))))
     out = x.groupBy(group).agg(F.count("*").alias("sources"), F.sum("size").alias("total_chars"), parts.alias("p"))
     return out.select(group, "sources", "total_chars", F.array_join(F.transform("p", lambda e: e["s"]), "\n\n").alias("merged"))
+
+
+def merge_topic(titles: Column, given: Column) -> Column:
+    """The given topic, else one made of the first two titles."""
+    n = F.size(titles)
+    made = F.when(n == 1, F.concat(titles[0], F.lit("（合并版）"))).otherwise(F.concat(F.array_join(F.slice(titles, 1, 2), " + "), F.lit(" 等 "), n.cast("string"), F.lit(" 份报告合并分析")))
+    return F.coalesce(F.nullif(F.trim(given), F.lit("")), made)
+
+
+def report_lines(docs: DataFrame, section_titles: tuple[str, ...] = (), section_words: tuple[str, ...] = (), line_words: tuple[str, ...] = (), line_starts: tuple[str, ...] = (), order: str = "doc_id", content: str = "text") -> DataFrame:
+    """Lines (order, pos, line) of reports without fenced blocks, unwanted sections and unwanted lines.
+
+    A section reaches from a heading of level 1 or 2 to the next. It goes if its title is listed or
+    holds a listed word. Headings inside fences don't count. One pass over each report's lines.
+    """
+    x = docs.select(order, F.posexplode(F.split(F.coalesce(content, F.lit("")), r"\r\n|\n|\r")).alias("pos", "line"))
+    w = Window.partitionBy(order).orderBy("pos")
+    fence = F.col("line").rlike(r"^\s*(```|~~~)\s*([\w.+-]*)\s*$")
+    x = x.withColumn("_fence", fence).withColumn("_fences", F.sum(fence.cast("int")).over(w))
+    outside = ~F.col("_fence") & (F.col("_fences") % 2 == 0)
+    title = F.regexp_extract(F.trim("line"), r"^#{1,2}\s+(.+?)\s*#*\s*$", 1)
+    heads = outside & (title != "")
+    unwanted = title.isin(*section_titles) if section_titles else F.lit(False)
+    for word in section_words:
+        unwanted = unwanted | title.contains(word)
+    x = x.withColumn("_skip", F.coalesce(F.last(F.when(heads, unwanted), ignorenulls=True).over(w), F.lit(False)))
+    keep = outside & ~F.col("_skip")
+    for start in line_starts:
+        keep = keep & ~F.ltrim("line").startswith(start)
+    for word in line_words:
+        keep = keep & ~F.col("line").contains(word)
+    return x.filter(keep).select(order, "pos", "line")

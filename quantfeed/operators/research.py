@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantfeed.functions.columns import divide
+from quantfeed.operators.rolling import Rolling
+
 
 def winsorised(panel: DataFrame, factor: str, by: str = "day", k: float = 3.0) -> DataFrame:
     """Factor held within median +- k * 1.4826 * median absolute deviation of its day."""
@@ -62,3 +65,36 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, valu
     w = Window.partitionBy(key).orderBy("_at", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_known", F.last("_fact", ignorenulls=True).over(w)).filter("_side = 1")
     return out.select("_row.*", *[F.col(f"_known.{v}").alias(v) for v in values])
+
+
+def price_factors(bars: DataFrame, turnover: str = "turnover", n: int = 20, by: str = "code", order: str = "day") -> DataFrame:
+    """Bars with ret, ret_20, momentum_12m_1m, corr_20, amihud, turnover_std and downside_vol.
+
+    amihud is the mean of |return| per 100 million of amount; downside_vol is the root of the mean over
+    n rows of squared losses. Windows that aren't full give null.
+    """
+    r, c = Rolling(by, order), F.col("close")
+    x = bars.withColumn("ret", divide(c, r.ref(c, 1)) - 1)
+    x = x.withColumn("_impact", divide(F.abs("ret"), F.col("amount") / 1e8)).withColumn("_loss", F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")).when(F.col("ret").isNotNull(), 0.0))
+    made = {
+        "ret_20": divide(c, r.ref(c, n)) - 1,
+        "momentum_12m_1m": divide(r.ref(c, 21), r.ref(c, 252)) - 1,
+        "corr_20": r.corr(c, F.col("volume"), n),
+        "amihud": r.mean(F.col("_impact"), n),
+        "turnover_std": r.std(F.col(turnover), n),
+        "downside_vol": F.sqrt(r.mean(F.col("_loss"), n)),
+    }
+    return x.select("*", *[v.alias(k) for k, v in made.items()]).drop("_impact", "_loss")
+
+
+def idiosyncratic(returns: DataFrame, n: int = 20, by: str = "code", order: str = "day") -> DataFrame:
+    """Adds idio_vol: spread of what the day's mean return over all codes leaves of ``ret`` unexplained.
+
+    Days are few (a row each), so the market's returns join by broadcast or sort, as their size says.
+    """
+    market = returns.groupBy(order).agg(F.avg("ret").alias("_market"))
+    r = Rolling(by, order)
+    ret, m = F.col("ret"), F.col("_market")
+    rho = r.corr(ret, m, n)
+    left = r.var(ret, n) * (1 - rho * rho)
+    return returns.join(market, order).withColumn("idio_vol", F.sqrt(F.greatest(left, F.lit(0.0)))).withColumn("idio_vol", F.when(rho.isNotNull(), F.col("idio_vol"))).drop("_market")

@@ -80,3 +80,39 @@ def compared(profiles: DataFrame, benchmark: DataFrame, group: tuple[str, ...] =
     mine = profiles.groupBy(*group).agg(F.count("composite").alias("scored"), F.avg("composite").alias("mean"), (F.max("composite") - F.min("composite")).alias("spread"))
     theirs = benchmark.groupBy("day").agg(F.avg("composite").alias("benchmark"))
     return mine.join(theirs, "day", "left").withColumn("gap", F.col("mean") - F.col("benchmark")).withColumn("divergent", F.col("spread") >= spread)
+
+
+def _cut(x: Column, *steps: tuple[float, str], last: str) -> Column:
+    """The name of the first step that x reaches; null for null."""
+    out = F.when(x.isNull(), F.lit(None).cast("string"))
+    for least, name in steps:
+        out = out.when(x >= least, name)
+    return out.otherwise(last)
+
+
+def classes() -> dict[str, Column]:
+    """What the readings of each dimension say, as codes; null where a reading is missing."""
+    bias = F.filter(F.array(*[_inverse(f"MA{d}") - 1 for d in (5, 10, 20, 60)]), lambda b: b.isNotNull())
+    corr = mean_of(*[F.col(f"CORR{d}") for d in (10, 20, 60)])
+    rsqr, std, rsv, sump, ratio = F.col("RSQR20"), F.col("STD20"), F.col("RSV20"), F.col("SUMP20"), _inverse("VMA20")
+    position = F.when(F.size(bias) == 0, F.lit(None).cast("string")).when(F.forall(bias, lambda b: b > 0), "above").when(F.forall(bias, lambda b: b <= 0), "below").otherwise("between")
+    return {
+        "trend_position": position,
+        "trend_quality": F.when(rsqr <= 0.3, "noisy").otherwise(_cut(rsqr, (0.7, "clean"), last="middle")),
+        "volatility_level": F.when(std <= 0.02, "calm").otherwise(_cut(std, (0.05, "wild"), last="middle")),
+        "range_position": F.when(rsv <= 0.2, "lower").otherwise(_cut(rsv, (0.8, "upper"), last="middle")),
+        "volume_level": F.when(ratio <= 0.7, "shrinking").otherwise(_cut(ratio, (1.5, "surging"), (1.1, "rising"), last="flat")),
+        "volume_sum": F.when(F.col("VSUMD20") > 0, "rising").when(F.col("VSUMD20").isNotNull(), "falling"),
+        "price_volume_class": F.when(corr <= -0.4, "opposed").when(corr <= -0.15, "weakly_opposed").otherwise(_cut(corr, (0.4, "aligned"), (0.15, "weakly_aligned"), last="unrelated")),
+        "strength_class": F.when(sump <= 0.4, "weak").otherwise(_cut(sump, (0.6, "strong"), last="balanced")),
+    }
+
+
+#: Readings in the order of the dimensions; ratios to a past price or volume count only if positive.
+READINGS = tuple("ROC5 ROC10 ROC20 ROC60 MA5 MA10 MA20 MA60 BETA20 RSQR20 STD20 RANK20 RSV20 VMA5 VMA20 VSUMD20 CORR10 CORR20 CORR60 CORD20 SUMD20 SUMP20 CNTD20".split())
+
+
+def evidence(most: int = 8) -> Column:
+    """The first readings that are there, as NAME=value."""
+    shown = [F.when(F.col(n) > 0 if n.startswith(("ROC", "MA", "VMA")) else F.col(n).isNotNull(), F.format_string(f"{n}=%.4f", F.col(n))) for n in READINGS]
+    return F.slice(F.array_compact(F.array(*shown)), 1, most)

@@ -12,7 +12,7 @@ from quantfeed.functions import text as tx
 from quantfeed.functions import timestamps as ts
 from quantfeed.functions.columns import number
 from quantfeed.operators import boards as bd
-from quantfeed.operators import catalog, feeds, reports, research, scoring
+from quantfeed.operators import catalog, feeds, reports, research, scoring, snapshots, themes
 from quantfeed.operators import rolling as rl
 from quantfeed.sources import bars as br
 from quantfeed.sources import payloads
@@ -159,7 +159,7 @@ def factor_ema(spark, sf_dir):
 
 @query(
     f"""WITH {BARS} SELECT code, day, {_r('CASE WHEN open >= close THEN open ELSE close END', 'top')}, {_r('CASE WHEN open <= close THEN open ELSE close END', 'bottom')},
-{_r('CASE WHEN close - 20000 > 0 THEN ln(close - 20000) END', 'log_over')}, {_r('sign(close - open)', 'side')}, {_r('CASE WHEN close > open THEN high ELSE low END', 'picked')},
+{_r('CASE WHEN close - 20000 > 0 THEN ln(close - 20000) END', 'log_over')}, {_r('CAST(sign(close - open) AS DOUBLE)', 'side')}, {_r('CASE WHEN close > open THEN high ELSE low END', 'picked')},
 {_r('CASE WHEN close > open THEN 1.0 ELSE 0.0 END', 'rose')}, {_r('CASE WHEN high = low THEN NULL ELSE (close - low) / (high - low) END', 'place')} FROM bars"""
 )
 def factor_elementwise(spark, sf_dir):
@@ -525,3 +525,181 @@ def event_slots(spark, sf_dir):
     t = F.col("ts").cast("timestamp")
     raw = F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"), number(raw).alias("k"), F.unix_micros(feeds.slot(t, 30)).alias("slot"), ts.in_trading_hours(t).alias("trading"), ts.in_quiet_hours(t, "23:00", "07:00").alias("quiet"))
+
+
+_RETURNS = f"""{BARS}, x AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY code ORDER BY day)),
+y AS (SELECT *, abs(ret) / nullif(amount / 1e8, 0) AS impact, CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END AS loss, avg(ret) OVER (PARTITION BY day) AS market FROM x)"""
+
+
+@query(
+    f"""WITH {_RETURNS} SELECT code, day, round(ret, 6) AS ret, round(close / lag(close, 20) OVER w - 1, 6) AS ret_20, round(lag(close, 21) OVER w / lag(close, 252) OVER w - 1, 6) AS momentum_12m_1m,
+  round({_gate('close', 'w20', 20, f"CASE WHEN {_varies('close', 'w20')} AND {_varies('volume', 'w20')} THEN corr(close, volume) OVER w20 END")}, 6) AS corr_20,
+  round({_gate('impact', 'w20', 20, 'avg(impact) OVER w20')}, 6) AS amihud, round({_gate('volume', 'w20', 20, 'stddev_samp(volume) OVER w20')}, 6) AS turnover_std,
+  round({_gate('loss', 'w20', 20, 'sqrt(avg(loss) OVER w20)')}, 6) AS downside_vol FROM y {_frames(20)}"""
+)
+def research_price_factors(spark, sf_dir):
+    x = research.price_factors(bars(spark, sf_dir), turnover="volume")
+    return rounded(x.select("code", "day", "ret", "ret_20", "momentum_12m_1m", "corr_20", "amihud", "turnover_std", "downside_vol"))
+
+
+@query(
+    f"""WITH {_RETURNS} SELECT code, day, round({_gate('ret', 'w20', 20, f"CASE WHEN {_varies('ret', 'w20')} AND {_varies('market', 'w20')} THEN sqrt(greatest(var_samp(ret) OVER w20 * (1 - corr(ret, market) OVER w20 ** 2), 0)) END")}, 6) AS idio_vol FROM y {_frames(20)}"""
+)
+def research_idiosyncratic(spark, sf_dir):
+    r = bars(spark, sf_dir).select("code", "day", (F.col("close") / rl.Rolling().ref(_c(), 1) - 1).alias("ret"))
+    return rounded(research.idiosyncratic(r).select("code", "day", "idio_vol"))
+
+
+_CUTS = {
+    "trend_quality": "CASE WHEN RSQR20 <= 0.3 THEN 'noisy' WHEN RSQR20 >= 0.7 THEN 'clean' WHEN RSQR20 IS NOT NULL THEN 'middle' END",
+    "volatility_level": "CASE WHEN STD20 <= 0.02 THEN 'calm' WHEN STD20 >= 0.05 THEN 'wild' WHEN STD20 IS NOT NULL THEN 'middle' END",
+    "range_position": "CASE WHEN RSV20 <= 0.2 THEN 'lower' WHEN RSV20 >= 0.8 THEN 'upper' WHEN RSV20 IS NOT NULL THEN 'middle' END",
+    "volume_level": "CASE WHEN VMA20 > 0 THEN CASE WHEN 1 / VMA20 <= 0.7 THEN 'shrinking' WHEN 1 / VMA20 >= 1.5 THEN 'surging' WHEN 1 / VMA20 >= 1.1 THEN 'rising' ELSE 'flat' END END",
+    "volume_sum": "CASE WHEN VSUMD20 > 0 THEN 'rising' WHEN VSUMD20 IS NOT NULL THEN 'falling' END",
+    "strength_class": "CASE WHEN SUMP20 <= 0.4 THEN 'weak' WHEN SUMP20 >= 0.6 THEN 'strong' WHEN SUMP20 IS NOT NULL THEN 'balanced' END",
+    "trend_position": "CASE WHEN len(bias) = 0 THEN NULL WHEN len(list_filter(bias, lambda b: b > 0)) = len(bias) THEN 'above' WHEN len(list_filter(bias, lambda b: b <= 0)) = len(bias) THEN 'below' ELSE 'between' END",
+    "price_volume_class": "CASE WHEN c <= -0.4 THEN 'opposed' WHEN c <= -0.15 THEN 'weakly_opposed' WHEN c >= 0.4 THEN 'aligned' WHEN c >= 0.15 THEN 'weakly_aligned' WHEN c IS NOT NULL THEN 'unrelated' END",
+}
+_SHOWN = ", ".join(f"CASE WHEN {n} {'> 0' if n.startswith(('ROC', 'MA', 'VMA')) else 'IS NOT NULL'} THEN '{n}=' || printf('%.4f', {n}) END" for n in scoring.READINGS)
+
+
+@query(
+    f"""WITH {_panel_sql(scoring.NEEDS)}, z AS (SELECT *, list_filter([{', '.join(f'CASE WHEN MA{d} > 0 THEN 1 / MA{d} - 1 END' for d in (5, 10, 20, 60))}], lambda b: b IS NOT NULL) AS bias,
+  {_mean_sql(['CORR10', 'CORR20', 'CORR60'])} AS c FROM latest)
+SELECT code, day, {', '.join(f'{v} AS {k}' for k, v in _CUTS.items())}, array_to_string(list_filter([{_SHOWN}], lambda s: s IS NOT NULL)[1:8], '|') AS evidence FROM z"""
+)
+def dimension_classes(spark, sf_dir):
+    x = latest_panel(spark, sf_dir, scoring.NEEDS)
+    return x.select("code", "day", *[v.alias(k) for k, v in scoring.classes().items()], F.array_join(scoring.evidence(), "|").alias("evidence"))
+
+
+_CORE_COLUMNS = ("KMID", "KUP", "VWAP0", "ROC60", "MA20", "STD60", "RSQR20", "MAX20", "QTLU20", "CORR20", "CNTP20", "SUMD20", "VMA20", "WVMA20", "VSUMD20")
+_GROUP_SQL = "CASE " + " ".join(f"WHEN regexp_matches(factor, '{p}') THEN '{g}'" for g, p in catalog.GROUPS) + f" ELSE '{catalog.OTHER_GROUP}' END"
+
+
+@query(
+    f"""WITH {_panel_sql(_CORE_COLUMNS)}, t AS (SELECT * FROM (SELECT {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in _CORE_COLUMNS)} FROM latest) UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join(_CORE_COLUMNS)})))
+SELECT factor, {_GROUP_SQL} AS factor_group, count(*) AS attempted, count(value) AS computed, round(count(value) * 100 / count(*), 6) AS percent FROM t GROUP BY factor"""
+)
+def factor_coverage(spark, sf_dir):
+    return rounded(catalog.coverage(latest_panel(spark, sf_dir, _CORE_COLUMNS), _CORE_COLUMNS))
+
+
+@query(f"WITH {BARS}, l AS (SELECT code, max(day) AS day FROM bars GROUP BY code), r AS (SELECT max(day) AS ref FROM l) SELECT code, strftime(day, '%Y-%m-%d') || '（' || CASE ref - day WHEN 0 THEN '今日' WHEN 1 THEN '上一交易日' ELSE (ref - day) || ' 天前' END || '）' AS label FROM l, r")
+def bar_freshness(spark, sf_dir):
+    newest = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.max("l_shipdate").cast("date").alias("day"))
+    ref = newest.agg(F.max("day").alias("ref"))
+    return newest.join(F.broadcast(ref)).select("code", ts.bar_freshness(F.col("day"), F.col("ref")).alias("label"))
+
+
+_BONDS = """b AS (SELECT CAST(o_orderdate AS DATE) AS snapshot, o_orderkey AS bond_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS quoted_at, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderdate AS DATE) END AS redeem_day,
+  CASE WHEN o_orderkey % 7 <> 0 THEN (o_custkey % 2001 - 1000) / 100.0::DOUBLE END AS change, o_totalprice AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + o_custkey END AS dblow, CASE WHEN o_orderkey % 3 = 0 THEN '00' ELSE '01' END AS status FROM orders)"""
+
+
+def bonds(spark, sf_dir) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    return o.select(
+        day.alias("snapshot"), k.alias("bond_id"), F.when(k % 11 != 0, F.col("o_orderdate")).alias("quoted_at"), F.when(k % 13 == 0, day).alias("redeem_day"),
+        F.when(k % 7 != 0, (F.col("o_custkey") % 2001 - 1000) / 100.0).alias("change"), F.col("o_totalprice").alias("price"), F.when(k % 5 != 0, F.col("o_totalprice") + F.col("o_custkey")).alias("dblow"),
+        F.when(k % 3 == 0, "00").otherwise("01").alias("status"),
+    )
+
+
+@query(
+    f"""WITH {_BONDS}, r AS (SELECT *, coalesce(redeem_day = snapshot, false) AND quoted_at IS NOT NULL AS redeem FROM b),
+m AS (SELECT *, CASE WHEN NOT redeem AND abs(change) >= 5 THEN row_number() OVER (PARTITION BY snapshot, NOT redeem AND coalesce(abs(change) >= 5, false) ORDER BY abs(change) DESC, bond_id) END AS mp FROM r),
+v AS (SELECT *, coalesce(mp <= 6, false) AND quoted_at IS NOT NULL AS mover FROM m),
+u AS (SELECT *, NOT redeem AND NOT mover AND dblow IS NOT NULL AND price > 0 AND status = '00' AS valued FROM v),
+l AS (SELECT *, CASE WHEN valued THEN row_number() OVER (PARTITION BY snapshot, valued ORDER BY dblow, bond_id) END AS lp FROM u)
+SELECT snapshot, bond_id, CASE WHEN redeem THEN 'redeem' WHEN mover THEN 'mover' ELSE 'low' END AS kind, CAST(CASE WHEN redeem THEN 0 WHEN mover THEN mp ELSE lp END AS INT) AS place,
+  'B(' || bond_id || ')' || CASE WHEN mover THEN printf(' %+.2f%%', change) ELSE '' END || ' · ' || CASE WHEN redeem THEN 'redeem' WHEN mover THEN 'mover' ELSE 'low' END AS title
+FROM l WHERE redeem OR mover OR (lp <= 5 AND quoted_at IS NOT NULL)"""
+)
+def bond_alerts(spark, sf_dir):
+    x = snapshots.bond_alerts(bonds(spark, sf_dir), "snapshot", F.col("snapshot"))
+    return x.select("snapshot", "bond_id", "kind", F.coalesce("place", F.lit(0)).alias("place"), snapshots.bond_line(F.lit("B"), F.col("bond_id"), F.col("change"), F.col("kind")).alias("title"))
+
+
+_HOT = """h AS (SELECT epoch_us(ts) // 3600000000 AS slot, event_id AS position, event_type AS name, user_id AS code, CASE WHEN event_id % 9 <> 0 THEN (event_id % 4001 - 2000) / 100.0::DOUBLE END AS change,
+  ['t' || user_id % 4, event_type] AS tags, event_id * 25000.0::DOUBLE AS inflow FROM events)"""
+
+
+def hot_rows(spark, sf_dir) -> DataFrame:
+    i, u = F.col("event_id"), F.col("user_id")
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    tags = F.array(F.concat(F.lit("t"), (u % 4).cast("string")), "event_type")
+    return table(spark, sf_dir, "events").select(slot.alias("slot"), i.alias("position"), F.col("event_type").alias("name"), u.alias("code"), F.when(i % 9 != 0, (i % 4001 - 2000) / 100.0).alias("change"), tags.alias("tags"))
+
+
+@query(
+    f"""WITH {_HOT}, p AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY position) AS n FROM h), t AS (SELECT * FROM p WHERE n <= 8),
+g AS (SELECT slot, tag, min(n * 10 + k) AS pos FROM (SELECT slot, n, unnest(tags) AS tag, generate_subscripts(tags, 1) AS k FROM t) GROUP BY ALL),
+q AS (SELECT slot, tag, pos, row_number() OVER (PARTITION BY slot ORDER BY pos) AS r FROM g), s AS (SELECT slot, string_agg(tag, '|' ORDER BY pos) AS tags FROM q WHERE r <= 5 GROUP BY slot)
+SELECT t.slot, arg_min(name, n) AS leader, string_agg(name || '(' || code || ')' || CASE WHEN change IS NULL THEN '' ELSE printf(' %+.2f%%', change) END, chr(10) ORDER BY n) AS lines, any_value(s.tags) AS tags FROM t JOIN s ON s.slot = t.slot GROUP BY t.slot"""
+)
+def hot_lists(spark, sf_dir):
+    return snapshots.hot_list(hot_rows(spark, sf_dir), "slot")
+
+
+@query(
+    f"""WITH {_LATEST}, b AS (SELECT kind AS slot, board, round(avg(change), 1) AS change, round(sum(amount) / 1e7) * 1e7 AS inflow, arg_max(name, (coalesce(nullif(m.change, 0), -999), -code)) AS leader FROM m GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY change DESC NULLS LAST, board) AS n FROM b)
+SELECT slot, string_agg(board || printf(' %+.2f%%', change) || printf('（主力%+.2f亿', inflow / 1e8) || '，领涨' || leader || '）', chr(10) ORDER BY n) AS lines FROM p WHERE n <= 6 GROUP BY slot"""
+)
+def board_heat(spark, sf_dir):
+    m = members(spark, sf_dir)
+    kinds = m.groupBy("board").agg(F.max("kind").alias("slot"), (F.round(F.sum("amount") / 1e7) * 1e7).alias("inflow"))
+    rows = bd.board_summary(m).withColumn("change", F.round("change", 1)).join(kinds, "board")
+    return snapshots.board_heat(rows, "slot")
+
+
+@query(
+    """WITH s AS (SELECT user_id AS series, event_id AS minute, CASE event_id % 4 WHEN 0 THEN '-' WHEN 1 THEN '' WHEN 2 THEN '0' ELSE CAST(user_id * 100 AS VARCHAR) END AS value FROM events),
+l AS (SELECT series, max(minute) AS minute, arg_max(value, minute) AS value FROM s WHERE value NOT IN ('-', '') GROUP BY series) SELECT series, minute, CAST(value AS DOUBLE) AS net FROM l WHERE CAST(value AS DOUBLE) <> 0"""
+)
+def last_minutes(spark, sf_dir):
+    i = F.col("event_id")
+    value = F.when(i % 4 == 0, "-").when(i % 4 == 1, "").when(i % 4 == 2, "0").otherwise((F.col("user_id") * 100).cast("string"))
+    return snapshots.last_minute(table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), i.alias("minute"), value.alias("value")), "series")
+
+
+_STOPS = ", ".join(f"'{w}'" for w in themes.STOP_WORDS)
+_TOPIC = "CASE c_custkey % 3 WHEN 0 THEN '新能源汽车零部件，分析 ' WHEN 1 THEN '创业板市场走势、' ELSE '减持新规 300 ' END || c_mktsegment || ' ' || c_name"
+
+
+@query(
+    f"""WITH t AS (SELECT c_custkey AS topic_id, {_TOPIC} AS topic FROM customer),
+c AS (SELECT topic_id, unnest(string_split_regex(topic, '[，。、,.\\s]+')) AS chunk, generate_subscripts(string_split_regex(topic, '[，。、,.\\s]+'), 1) AS i FROM t),
+k AS (SELECT * FROM c WHERE chunk <> '' AND chunk NOT IN ({_STOPS})),
+p AS (SELECT topic_id, i * 10000 AS pos, chunk AS word FROM k
+  UNION ALL SELECT topic_id, i * 10000 + (5 - n) * 1000 + s, substr(chunk, s, n) FROM (SELECT *, unnest(range(1, length(chunk) - n + 2)) AS s FROM k, (SELECT unnest([4, 3, 2]) AS n) WHERE length(chunk) > 4 AND regexp_matches(chunk, '[一-鿿]')) WHERE substr(chunk, s, n) NOT IN ({_STOPS})),
+w AS (SELECT topic_id, word, min(pos) AS pos FROM p GROUP BY ALL),
+j AS (SELECT topic_id, string_agg(word, '|' ORDER BY length(word) DESC, pos) AS words FROM w GROUP BY topic_id)
+SELECT topic_id, words, array_to_string(list_filter([{', '.join(f"'{x}'" for x in themes.POLICY_WORDS)}], lambda x: contains(topic, x)), '|') AS policy,
+  coalesce(nullif(array_to_string(list_sort(list_filter([{', '.join('CASE WHEN ' + ' OR '.join(f"contains(topic, '{x}')" for x in ws) + f" THEN '{n}' END" for n, ws in themes.INDEX_HINTS)}], lambda x: x IS NOT NULL)), '|'), ''), '{'|'.join(themes.DEFAULT_INDICES)}') AS indices
+FROM t JOIN j USING (topic_id)"""
+)
+def theme_words(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    head = F.when(k == 0, "新能源汽车零部件，分析 ").when(k == 1, "创业板市场走势、").otherwise("减持新规 300 ")
+    t = F.col("topic")
+    x = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("topic_id"), F.concat(head, "c_mktsegment", F.lit(" "), "c_name").alias("topic"))
+    return x.select("topic_id", F.array_join(themes.theme_words(t), "|").alias("words"), F.array_join(themes.policy_hits(t), "|").alias("policy"), F.array_join(themes.hinted_indices(t), "|").alias("indices"))
+
+
+@query(
+    f"""WITH s AS ({_SUPPLIERS}), i AS (SELECT board, code, name, false AS concept FROM s WHERE code % 2 = 0), c AS (SELECT CASE WHEN code % 3 = 0 THEN board ELSE kind END AS board, code, name, true AS concept FROM s WHERE code % 5 < 3),
+u AS (SELECT * FROM i UNION ALL SELECT * FROM c), n AS (SELECT board, bool_or(concept) AS wins, CASE WHEN bool_or(NOT concept) THEN 'industry' ELSE 'concept' END AS kind FROM u GROUP BY board)
+SELECT board, code, name, kind FROM u JOIN n USING (board) WHERE concept = wins"""
+)
+def board_union(spark, sf_dir):
+    s = suppliers(spark, sf_dir)
+    concepts = s.filter("code % 5 < 3").select(F.when(F.col("code") % 3 == 0, F.col("board")).otherwise(F.col("kind")).alias("board"), "code", "name")
+    return bd.all_boards(s.filter("code % 2 = 0").select("board", "code", "name"), concepts).select("board", "code", "name", "kind")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\n|\\r'), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(pos AS INT) AS pos, md5(line) AS line FROM l WHERE NOT contains(line, 'license') AND NOT starts_with(ltrim(line), '> ')")
+def kept_report_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    return reports.report_lines(docs, ("目录",), ("附录",), ("license",), ("> ",)).select("doc_id", "pos", F.md5("line").alias("line"))

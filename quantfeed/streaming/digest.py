@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quantfeed.functions.timestamps import is_fresh
+from quantfeed.functions.timestamps import in_quiet_hours, is_fresh
 
 
 def valid(items: DataFrame, window_minutes: int) -> DataFrame:
@@ -29,12 +29,28 @@ def sliding(items: DataFrame, window_minutes: int = 180, every: int = 30, late:
 def deliver(items: DataFrame, publish, ledger_path: str, checkpoint: str) -> StreamingQuery:
     """Each batch: publish what the ledger lacks, then append its keys; a failed delivery is tried again."""
 
+    kinds = "key string, batch_id long"
+    items.sparkSession.createDataFrame([], kinds).write.mode("append").parquet(ledger_path)
+
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        sent = spark.read.schema("key string, batch_id long").parquet(ledger_path) if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)) else spark.createDataFrame([], "key string, batch_id long")
+        sent = rows.sparkSession.read.schema(kinds).parquet(ledger_path)
         earlier = sent.filter(F.col("batch_id") != batch_id).select("key")
         new = rows.join(earlier, "key", "left_anti")
         publish(new, batch_id)
         new.select("key", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(ledger_path)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def heartbeat(batch: DataFrame, batch_id: int) -> DataFrame:
+    """One row of a round's figures (batch_id, items, newest), also for an empty round."""
+    return batch.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count("*").alias("items"), F.max("published_at").alias("newest"))
+
+
+def outside_quiet_hours(publish, start: str, end: str, now=F.current_timestamp):
+    """A publish function that does nothing inside the quiet hours; what fell into them isn't made up for."""
+
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        publish(batch.filter(~in_quiet_hours(now(), start, end)), batch_id)
+
+    return guarded

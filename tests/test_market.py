@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from quantfeed.functions import text as tx
 from quantfeed.functions import timestamps as ts
+from quantfeed.operators import catalog, reports, research, snapshots, themes
 from quantfeed.operators.rolling import Rolling, ema
-from quantfeed.sources import bars, payloads
+from quantfeed.sources import bars, payloads, tables
+from quantfeed.streaming import digest
 
 REF = dt.datetime(2026, 7, 27, 12, 0)
 TIMES = {
@@ -63,3 +65,74 @@ def test_klines_and_rss(spark):
     xml = "<rss><item><title><![CDATA[A & b]]></title><link>u</link><pubDate>d</pubDate></item><item><title>c</title></item></rss>"
     out = payloads.parse_rss(spark.createDataFrame([(xml,)], "xml string")).collect()
     assert [(o.ord, o.title, o.url, o.raw_time) for o in out] == [(0, "A & b", "u", "d"), (1, "c", "", "")]
+
+
+def test_theme_words(spark):
+    df = spark.createDataFrame([("新能源汽车 分析，AI",), ("",), (None,)], "t string")
+    out = df.select(themes.theme_words(F.col("t")).alias("w"), themes.hinted_indices(F.col("t")).alias("i")).collect()
+    assert out[0].w == ["新能源汽车", "新能源汽", "能源汽车", "新能源", "能源汽", "源汽车", "新能", "能源", "源汽", "汽车", "AI"]
+    assert [o.w for o in out[1:]] == [[], []] and out[1].i == ["0.399006", "1.000001"]
+
+
+def test_bond_alerts(spark):
+    today, at = dt.date(2026, 7, 27), dt.datetime(2026, 7, 27, 10)
+    rows = [(1, at, today, 9.0), (2, at, None, -8.0), (3, None, None, 7.0), (4, at, None, 6.0), (5, at, None, 1.0), (6, at, None, None), (7, None, None, None)]
+    df = spark.createDataFrame([(0, *r, 100.0, 100.0 + r[0], "00") for r in rows], "s int, bond_id int, quoted_at timestamp, redeem_day date, change double, price double, dblow double, status string")
+    out = snapshots.bond_alerts(df, "s", F.lit(today), movers=2, cheapest=3).orderBy("bond_id").collect()
+    assert [(r.bond_id, r.kind) for r in out] == [(1, "redeem"), (2, "mover"), (4, "low"), (5, "low")]
+    assert snapshots.bond_alerts(df.limit(0), "s", F.lit(today)).count() == 0
+
+
+def test_report_lines_and_texts(spark):
+    text = "# a\nx\n```\n# 目录\ncode\n```\ny\n## 目录\ngone\n### still gone\n# b\n> note\nlast"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    out = reports.report_lines(df, section_titles=("目录",), line_starts=("> ",)).orderBy("doc_id", "pos").collect()
+    assert [r.line for r in out if r.doc_id == 1] == ["# a", "x", "y", "# b", "last"]
+    df = spark.createDataFrame([("【a】 b", "异动快报：c", "x+y++z+w")], "a string, b string, c string")
+    r = df.select(tx.open_bracket(F.col("a")).alias("a"), tx.without_alert_prefix(F.col("b")).alias("b"), tx.reason_tags(F.col("c")).alias("c"), tx.joined(" · ", F.col("a"), F.lit(None), F.lit(" ")).alias("d")).first()
+    assert tuple(r) == ("a｜b", "c", ["x", "y", "z"], "【a】 b")
+
+
+def test_factor_metadata(spark):
+    df = spark.createDataFrame([("KUP2",), ("ROC20",), ("VSUMD5",), ("VWAP0",), ("X",)], "f string")
+    out = df.select(catalog.factor_group(F.col("f")).alias("g"), catalog.described(F.col("f"), {"KUP": "上影线", "ROC": "N 日前"}).alias("d")).collect()
+    assert [o.g for o in out] == ["K线形态", "趋势动量", "量能结构", "价格基准", "其他"]
+    assert [o.d for o in out] == ["上影线", "20 日前", "", "", ""]
+    assert catalog.core_factors(["A", "KMID"]) == ["KMID"] and catalog.core_factors(["A", "B"]) == ["A", "B"]
+
+
+def test_ledger_and_days(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.json").write_text('{"key":"a","first_seen":"2026-07-26T10:00:00"}\n{"key":"b","first_seen":"soon"}\n{broken\n{"key":"c","first_seen":"2026-07-01T10:00:00"}\n')
+    kept = tables.read_ledger(spark, str(tmp_path / "l"), F.lit(REF).cast("timestamp"))
+    assert [r.key for r in kept.collect()] == ["a"]
+    days = str(tmp_path / "days")
+    tables.write_days(spark.createDataFrame([(1, "x"), (2, "y")], "v int, day string"), days)
+    tables.write_days(spark.createDataFrame([(3, "y")], "v int, day string"), days)
+    assert sorted(r.v for r in spark.read.parquet(days).collect()) == [1, 3]
+
+
+def test_delivery_is_repeated_until_it_works(spark, tmp_path):
+    spark.createDataFrame([("k1",), ("k2",)], "key string").write.parquet(str(tmp_path / "in"))
+    said = []
+
+    def publish(batch, batch_id):
+        said.append(sorted(r.key for r in batch.collect()))
+        if len(said) == 1:
+            raise ValueError("no network")
+
+    items = lambda: spark.readStream.schema("key string").parquet(str(tmp_path / "in"))
+    run = lambda: digest.deliver(items(), publish, str(tmp_path / "ledger"), str(tmp_path / "check")).awaitTermination()
+    with pytest.raises(Exception, match="no network"):
+        run()
+    run()
+    assert said == [["k1", "k2"], ["k1", "k2"]]
+    assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == ["k1", "k2"]
+
+
+def test_price_factors(spark):
+    rows = [(1, i, 100.0 + (i % 5), 10.0 + i, 1e8) for i in range(30)]
+    out = research.price_factors(spark.createDataFrame(rows, "code int, day int, close double, volume double, amount double"), turnover="volume").orderBy("day").collect()
+    rets = [rows[i][2] / rows[i - 1][2] - 1 for i in range(10, 30)]
+    assert out[19].amihud is None and out[29].amihud == pytest.approx(sum(map(abs, rets)) / 20)
+    assert out[29].downside_vol == pytest.approx((sum(r * r for r in rets if r < 0) / 20) ** 0.5) and out[29].momentum_12m_1m is None
