@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,36 +26,49 @@ JUST_NOW = ("刚刚", "刚才", "just now")
 PREFIX = r"^(发布时间|时间|更新时间|发表于|于)[:：]?\s*"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used; keeps the generated code small."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _absolute(text: Column, numbers: Column, ref: Column) -> Column:
+    """struct<ts, quality> of a text that names a date, a day and time, or a time."""
+    n = [F.coalesce(F.try_element_at(numbers, F.lit(i)), F.lit(0)) for i in range(1, 7)]
+    exact, dated = text.rlike(f"^({'|'.join(EXACT_SHAPES)})$"), text.rlike(f"^({'|'.join(DATE_SHAPES)})$")
+    latest = F.timestamp_micros(F.unix_micros(ref) + FUTURE_MINUTES * 60_000_000)
+    whole = F.when(n[5] < 60, F.try_make_timestamp(*n))
+    yearless = _bound(F.try_make_timestamp(F.year(ref), *n[:5]), lambda this: F.when(this <= latest, this).otherwise(F.try_make_timestamp(F.year(ref) - 1, *n[:5])))
+    today = F.try_make_timestamp(F.year(ref), F.month(ref), F.day(ref), *n[:3])
+    timed = _bound(today, lambda at: F.when(at > latest, at - F.expr("INTERVAL 1 DAY")).otherwise(at))
+    ts = F.when(exact | dated, whole).when(text.rlike(YEARLESS_SHAPE), yearless).when(text.rlike(TIME_SHAPE), timed)
+    return F.struct(ts.alias("ts"), F.when(dated, "date").otherwise("exact").alias("quality"))
+
+
 def parse(raw: Column, ref: Column) -> Column:
     """struct<ts, quality, raw> of a text. ``ref`` is the time it was read; never the wall clock.
 
     quality is exact, date (no time of day), derived (relative to ref) or missing.
     """
     raw = F.coalesce(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), F.lit(""))
-    epoch = F.when(raw.rlike(r"^(\d{10}|\d{13})$"), raw.try_cast("double"))
-    from_epoch = F.timestamp_micros((F.when(epoch > 1e11, epoch / 1000).otherwise(epoch) * 1_000_000).cast("long"))
-    amount = F.regexp_extract(raw, r"(?U)^(\d+)\s*(秒|分钟|分|小时|天|周)前$", 1)
-    unit = F.regexp_extract(raw, r"(?U)^(\d+)\s*(秒|分钟|分|小时|天|周)前$", 2)
     seconds = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
-    ago = amount.try_cast("long") * F.try_element_at(seconds, unit)
-    relative = F.when(raw.isin(*JUST_NOW), ref).when(unit != "", F.timestamp_micros(F.unix_micros(ref) - ago * 1_000_000))
-    text = F.trim(F.regexp_replace(F.regexp_replace(raw, PREFIX, ""), r"(?U)\s+", " "))
-    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}):\d{1,3}$", "$1")
-    # All shapes give their numbers in one way; the shape says what they mean.
-    spread = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$", "$1-$2-$3-$4-$5-$6")
-    numbers = F.split(F.regexp_replace(spread, "[^0-9]+", "-"), "-")
-    n = [F.coalesce(F.try_element_at(numbers, F.lit(i)).try_cast("int"), F.lit(0)) for i in range(1, 7)]
-    exact, dated = text.rlike(f"^({'|'.join(EXACT_SHAPES)})$"), text.rlike(f"^({'|'.join(DATE_SHAPES)})$")
-    absolute = F.when((exact | dated) & (n[5] < 60), F.try_make_timestamp(*n))
-    kind = F.when(dated, "date").otherwise("exact")
-    latest = F.timestamp_micros(F.unix_micros(ref) + FUTURE_MINUTES * 60_000_000)
-    this = F.try_make_timestamp(F.year(ref), *n[:5])
-    yearless = F.when(text.rlike(YEARLESS_SHAPE), F.when(this <= latest, this).otherwise(F.try_make_timestamp(F.year(ref) - 1, *n[:5])))
-    today = F.try_make_timestamp(F.year(ref), F.month(ref), F.day(ref), *n[:3])
-    timed = F.when(text.rlike(TIME_SHAPE), F.when(today > latest, today - F.expr("INTERVAL 1 DAY")).otherwise(today))
-    ts = F.when(raw == "", None).when(epoch.isNotNull(), from_epoch).otherwise(F.coalesce(relative, absolute, yearless, timed))
-    quality = F.when(ts.isNull(), "missing").when(epoch.isNotNull(), "exact").when(relative.isNotNull(), "derived").when(absolute.isNotNull(), kind).otherwise("exact")
-    return F.struct(ts.alias("ts"), quality.alias("quality"), raw.alias("raw"))
+
+    def graded(raw: Column) -> Column:
+        epoch = F.when(raw.rlike(r"^(\d{10}|\d{13})$"), raw.try_cast("double"))
+        from_epoch = F.timestamp_micros((F.when(epoch > 1e11, epoch / 1000).otherwise(epoch) * 1_000_000).cast("long"))
+        ago = r"(?U)^(\d+)\s*(秒|分钟|分|小时|天|周)前$"
+        passed = F.regexp_extract(raw, ago, 1).try_cast("long") * F.try_element_at(seconds, F.regexp_extract(raw, ago, 2))
+        relative = F.when(raw.isin(*JUST_NOW), ref).when(raw.rlike(ago), F.timestamp_micros(F.unix_micros(ref) - passed * 1_000_000))
+        text = F.trim(F.regexp_replace(F.regexp_replace(raw, PREFIX, ""), r"(?U)\s+", " "))
+        text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}):\d{1,3}$", "$1")
+        # All shapes give their numbers in one way; the shape says what they mean.
+        spread = lambda t: F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?:(\d{2})(\d{2})(\d{2}))?$", "$1-$2-$3-$4-$5-$6")
+        numbers = lambda t: F.transform(F.split(F.regexp_replace(spread(t), "[^0-9]+", "-"), "-"), lambda x: x.try_cast("int"))
+        absolute = _bound(text, lambda t: _bound(numbers(t), lambda n: _absolute(t, n, ref)))
+        stamp = lambda ts, quality: F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.lit(quality).alias("quality")))
+        return F.coalesce(_bound(from_epoch, lambda x: stamp(x, "exact")), _bound(relative, lambda x: stamp(x, "derived")), absolute)
+
+    found = _bound(raw, lambda r: F.struct(graded(r).alias("p"), r.alias("raw")))
+    return _bound(found, lambda f: F.struct(f["p"]["ts"].alias("ts"), F.when(f["p"]["ts"].isNull(), "missing").otherwise(f["p"]["quality"]).alias("quality"), f["raw"].alias("raw")))
 
 
 def is_future(ts: Column, ref: Column) -> Column:
