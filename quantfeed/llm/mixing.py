@@ -22,8 +22,9 @@ LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
 WEB_SOURCE = r"^src\d$"
 #: Words between ASCII spaces count as tokens.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Leading hex digits of the order key that form a bucket; only one bucket a leaf is ever sorted.
-BUCKET_DIGITS = 3
+#: Hex digits of the order key that form a bucket, at each of LEVELS levels: 256 buckets a leaf, then
+#: 256 in the one where the prefix ends. Only one bucket of the last level is ever sorted.
+BUCKET_DIGITS, LEVELS = 2, 2
 #: Leaf tables up to this many rows are broadcast (about 100 bytes a row); larger ones are joined by shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -106,21 +107,25 @@ def mix(
     of_leaf = (lambda x: F.broadcast(x)) if small else (lambda x: x)
 
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = rows.join(of_leaf(plan), list(_LEAF)).withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    # The prefix's end lies in one bucket a leaf: those before go in whole, only that one is sorted.
-    sums = keyed.groupBy(*_LEAF, "rest", "bucket").agg(F.sum("tokens").alias("t"))
-    running = F.sum("t").over(Window.partitionBy(*_LEAF).orderBy("bucket"))
-    edge = sums.withColumn("end", running).filter("end - t < rest and end >= rest").select(*_LEAF, F.col("bucket").alias("edge"), (F.col("rest") - F.col("end") + F.col("t")).alias("left"))
-    keyed = keyed.join(of_leaf(durable(edge)), list(_LEAF), "left")
+    keyed = rows.join(of_leaf(plan), list(_LEAF)).withColumn("key", key)
 
     out = ("doc_id", *_LEAF, "tokens", "epoch", "take_tokens")
-    whole = keyed.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1))).withColumn("take_tokens", F.col("tokens"))
-    prefix = keyed.filter("bucket < edge").withColumn("epoch", F.col("full")).withColumn("take_tokens", F.col("tokens"))
-    cut = keyed.filter("bucket = edge")
+    taken = keyed.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1))).withColumn("take_tokens", F.col("tokens")).select(*out)
+    # The prefix's end lies in one bucket a leaf: those before go in whole, only that one is looked into.
+    cut = keyed.filter("rest > 0")
+    for level in range(LEVELS):
+        cut = cut.withColumn("bucket", F.substring("key", 1 + level * BUCKET_DIGITS, BUCKET_DIGITS))
+        sums = cut.groupBy(*_LEAF, "rest", "bucket").agg(F.sum("tokens").alias("t"))
+        running = F.sum("t").over(Window.partitionBy(*_LEAF).orderBy("bucket"))
+        edge = sums.withColumn("end", running).filter("end - t < rest and end >= rest").select(*_LEAF, F.col("bucket").alias("edge"), (F.col("rest") - F.col("end") + F.col("t")).alias("left"))
+        cut = cut.join(of_leaf(durable(edge)), list(_LEAF))
+        before = cut.filter("bucket < edge").withColumn("epoch", F.col("full")).withColumn("take_tokens", F.col("tokens"))
+        taken = taken.unionByName(before.select(*out))
+        cut = cut.filter("bucket = edge").withColumn("rest", F.col("left")).drop("bucket", "edge", "left")
     order = Window.partitionBy(*_LEAF).orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("start", F.sum("tokens").over(order) - F.col("tokens")).filter("start < left")
-    cut = cut.withColumn("epoch", F.col("full")).withColumn("take_tokens", F.least("tokens", F.col("left") - F.col("start")))
-    return whole.select(*out).unionByName(prefix.select(*out)).unionByName(cut.select(*out))
+    cut = cut.withColumn("start", F.sum("tokens").over(order) - F.col("tokens")).filter("start < rest")
+    cut = cut.withColumn("epoch", F.col("full")).withColumn("take_tokens", F.least("tokens", F.col("rest") - F.col("start")))
+    return taken.unionByName(cut.select(*out))
 
 
 def mixed_documents(docs: DataFrame, percent: int = 90, seed: int = 7) -> DataFrame:
