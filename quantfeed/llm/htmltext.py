@@ -23,6 +23,8 @@ from quantfeed.llm.common import slices
 SLICE_CHARS = 2_000_000
 #: At most so many pages of the table, chosen by a hash of the id, join the built-in labelled pages.
 TRAIN_PAGES = 200
+#: Longest page in that sample, in characters; it bounds what the driver receives. Extraction takes pages of any length.
+TRAIN_CHARS = 500_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,8 +338,15 @@ def labelled_by_markup(tree: Tree) -> list[bool] | None:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = TRAIN_PAGES) -> Model:
-    """Train on the labelled layouts and on up to ``most`` pages that their own markup labels."""
-    rows = pages.filter(F.col(html_col).contains("<article")).select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html")).orderBy("h").limit(most).collect()
+    """Train on the labelled layouts and on up to ``most`` pages that their own markup labels.
+
+    The ids' smallest hashes choose the pages; only then are texts fetched, so tasks don't send theirs.
+    """
+    html = F.col(html_col)
+    marked = pages.filter(html.contains("<article") & (F.length(html) <= TRAIN_CHARS)).select(F.xxhash64(id_col).alias("h"), html.alias("html"))
+    last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    rows = [] if last is None else marked.filter(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html")).collect()
+    rows.sort(key=lambda r: r["h"])
     trees = [parse(r["html"]) for r in rows]
     marked = [(t, y) for t in trees if (y := labelled_by_markup(t)) is not None]
     return train([*labelled_layouts(), *marked])
