@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quantfeed.functions.text import PHRASE_RULES, SEVERITY_RULES, classify, document_title, rewrite, scan
 from quantfeed.functions.timestamps import is_future
@@ -51,14 +56,19 @@ def reviewed(texts: DataFrame, text: str = "text", rules=PHRASE_RULES) -> DataFr
     return texts.withColumn("hits", F.when(hit, scan(F.col(text), rules)).otherwise(none)).withColumn("rewritten", F.when(hit, rewrite(F.col(text), rules)).otherwise(F.col(text)))
 
 
+def _sha(content: str) -> Column:
+    return F.sha2(F.coalesce(content, F.lit("")), 256)
+
+
 def distinct_documents(docs: DataFrame, order: str = "doc_id", content: str = "text") -> DataFrame:
     """(order, sha, size, duplicate_of): the first document of each content has no duplicate_of.
 
-    Only hashes are shuffled. First ids come from an aggregation, so many copies don't meet in a task.
+    Only hashes are shuffled. Whole hashes decide, sha shows 12 digits. First ids come from an
+    aggregation, so many copies don't meet in a task.
     """
-    x = docs.select(order, F.substring(F.sha2(F.coalesce(content, F.lit("")), 256), 1, 12).alias("sha"), F.coalesce(F.length(content), F.lit(0)).alias("size"))
-    first = x.groupBy("sha").agg(F.min(order).alias("_first"))
-    return x.join(first, "sha").select(order, "sha", "size", F.when(F.col(order) != F.col("_first"), F.col("_first")).alias("duplicate_of"))
+    x = docs.select(order, _sha(content).alias("_sha"), F.coalesce(F.length(content), F.lit(0)).alias("size"))
+    first = x.groupBy("_sha").agg(F.min(order).alias("_first"))
+    return x.join(first, "_sha").select(order, F.substring("_sha", 1, 12).alias("sha"), "size", F.when(F.col(order) != F.col("_first"), F.col("_first")).alias("duplicate_of"))
 
 
 def without_first_heading(content: Column) -> Column:
@@ -66,13 +76,46 @@ def without_first_heading(content: Column) -> Column:
 
 
 def merged(docs: DataFrame, group: str, order: str = "doc_id", content: str = "text") -> DataFrame:
-    """One text per group: a section for each distinct document, in order, with totals."""
-    kept = distinct_documents(docs, order, content).filter("duplicate_of is null").select(order, "size")
-    x = docs.join(kept, order)
+    """The merged report of each group as rows (group, order, size, section), one per distinct document.
+
+    A group's text is its sections by ``order``, parted by blank lines; it is never put into one row.
+    """
+    x = docs.withColumn("_sha", _sha(content))
+    first = x.groupBy("_sha").agg(F.min(order).alias(order))
     section = F.concat(F.lit("## "), document_title(F.col(content), F.col(order).cast("string")), F.lit("\n\n"), without_first_heading(F.coalesce(content, F.lit(""))))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), section.alias("s"))))
-    out = x.groupBy(group).agg(F.count("*").alias("sources"), F.sum("size").alias("total_chars"), parts.alias("p"))
-    return out.select(group, "sources", "total_chars", F.array_join(F.transform("p", lambda e: e["s"]), "\n\n").alias("merged"))
+    kept = x.join(first, ["_sha", order], "left_semi")
+    return kept.select(group, order, F.coalesce(F.length(content), F.lit(0)).alias("size"), section.alias("section"))
+
+
+def merged_totals(sections: DataFrame, group: str, order: str = "doc_id") -> DataFrame:
+    """(group, sources, total_chars, digest) of merged reports; digest is the MD5 of a group's text.
+
+    MD5 reads a text from its start to its end, so a group's sections run through one task. They
+    are sorted on disk and hashed as they come; the task holds a batch of them at a time.
+    """
+
+    def run(batches):
+        at, md5, n, chars = None, None, 0, 0
+        for batch in batches:
+            for g, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if md5 is None or g != at:
+                    if md5 is not None:
+                        yield row(at, n, chars, md5)
+                    at, md5, n, chars = g, hashlib.md5(), 0, 0
+                if n:
+                    md5.update(b"\n\n")
+                md5.update(text.encode("utf-8", "surrogatepass"))
+                n, chars = n + 1, chars + size
+        if md5 is not None:
+            yield row(at, n, chars, md5)
+
+    def row(g, n, chars, md5):
+        return pa.RecordBatch.from_arrays([pa.array([g], kind), pa.array([n], pa.int64()), pa.array([chars], pa.int64()), pa.array([md5.hexdigest()])], [group, "sources", "total_chars", "digest"])
+
+    kind = to_arrow_type(sections.schema[group].dataType)
+    out = T.StructType([sections.schema[group]]).add("sources", "long").add("total_chars", "long").add("digest", "string")
+    x = sections.repartition(group).sortWithinPartitions(group, order, "section").select(group, "size", "section")
+    return x.mapInArrow(run, out)
 
 
 def merge_topic(titles: Column, given: Column) -> Column:

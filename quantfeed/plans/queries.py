@@ -448,9 +448,7 @@ SELECT source, count(*) AS sources, CAST(sum(length(text)) AS BIGINT) AS total_c
 FROM f WHERE first = doc_id GROUP BY source"""
 )
 def merged_reports(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    out = reports.merged(docs, "source")
-    return out.select("source", "sources", "total_chars", F.md5("merged").alias("digest"))
+    return reports.merged_totals(reports.merged(table(spark, sf_dir, "documents"), "source"), "source")
 
 
 @query("WITH l AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) - 1 AS ord, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS li FROM pages) SELECT page_id, CAST(ord AS INT) AS ord, 'http://x' || regexp_extract(li, 'href=\"([^\"]+)\"', 1) AS url, trim(regexp_extract(li, '<a[^>]*>(.*?)</a>', 1)) AS title FROM l WHERE regexp_extract(li, 'href=\"([^\"]+)\"', 1) <> ''")
