@@ -10,6 +10,8 @@ from quantfeed.functions.timestamps import is_fresh, is_future
 
 #: Hours that a sent key is remembered, and the most keys kept.
 LEDGER_HOURS, LEDGER_KEYS = 72, 20_000
+#: Items are put in order by slots of so many seconds.
+SLOT_SECONDS = 600
 
 
 def drop_reason(ref: Column, window_minutes: int, seen: Column, date_allowed: Column) -> Column:
@@ -58,8 +60,17 @@ def counters(judged_items: DataFrame) -> DataFrame:
 
 
 def newest_first(kept: DataFrame) -> DataFrame:
-    """Adds each item's place in its source, newest first, then collection order."""
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("published_at"), "ord")))
+    """Adds each item's place in its source, newest first, then collection order; items without a time come last.
+
+    Counts per slot of SLOT_SECONDS give each slot its first place, so only a slot's items are sorted.
+    """
+    at = F.coalesce(F.floor(F.unix_micros("published_at") / (SLOT_SECONDS * 1_000_000)), F.lit(-(2**62)))
+    x = kept.withColumn("_slot", at)
+    counts = x.groupBy("source", "_slot").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy(F.desc("_slot"))) - F.col("_n")).drop("_n")
+    inside = Window.partitionBy("source", "_slot").orderBy(F.desc("published_at"), "ord")
+    x = x.withColumn("_inside", F.row_number().over(inside)).join(before, ["source", "_slot"])
+    return x.withColumn("place", F.col("_before") + F.col("_inside")).drop("_slot", "_inside", "_before")
 
 
 def capped(placed: DataFrame, sources: DataFrame, cap: int) -> DataFrame:

@@ -406,6 +406,35 @@ def ledger_update(spark, sf_dir):
     return feeds.updated_ledger(old, sent, reference(spark, sf_dir)).select("key", F.unix_micros("first_seen").alias("first_seen"))
 
 
+#: The same without limits, as the reference's settings have it: every event counts.
+_JUDGED_ALL = f"""{_JUDGED[: _JUDGED.index("nth AS")]}lim AS (SELECT *, reason IS NULL AS kept FROM judged)"""
+
+
+def judged_all(spark, sf_dir) -> DataFrame:
+    x = items(spark, sf_dir)
+    return feeds.judged(x, x.filter("ord % 97 = 0").select("key"), reference(spark, sf_dir), 14_400, date_sources=("view",))
+
+
+@query(f"WITH {_JUDGED_ALL} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE kept) AS kept, {', '.join(f'count(*) FILTER (WHERE reason = {chr(39)}{r}{chr(39)}) AS dropped_{r}' for r in ('no_time', 'future', 'stale', 'seen'))} FROM lim GROUP BY source")
+def feed_counters_all(spark, sf_dir):
+    return feeds.counters(judged_all(spark, sf_dir))
+
+
+@query(f"WITH {_JUDGED_ALL} SELECT source, ord, key, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, ord) AS place FROM lim WHERE kept")
+def feed_digest_all(spark, sf_dir):
+    return feeds.newest_first(judged_all(spark, sf_dir).filter("kept")).select("source", "ord", "key", "place")
+
+
+@query(
+    f"""WITH {_JUDGED_ALL}, old AS (SELECT key, min(published_at) AS first_seen FROM keyed WHERE published_at IS NOT NULL AND ord % 3 = 0 GROUP BY key),
+u AS (SELECT key, first_seen FROM old UNION ALL SELECT key, ref FROM lim, r WHERE kept), g AS (SELECT key, min(first_seen) AS first_seen FROM u GROUP BY key)
+SELECT key, epoch_us(first_seen) AS first_seen FROM g, r WHERE first_seen >= ref - INTERVAL 72 HOUR ORDER BY first_seen DESC, key LIMIT 20000"""
+)
+def ledger_update_all(spark, sf_dir):
+    old = items(spark, sf_dir).filter("published_at is not null and ord % 3 = 0").groupBy("key").agg(F.min("published_at").alias("first_seen"))
+    return feeds.updated_ledger(old, judged_all(spark, sf_dir).filter("kept"), reference(spark, sf_dir)).select("key", F.unix_micros("first_seen").alias("first_seen"))
+
+
 #: Rules with words that occur in the given texts; the defaults are for Chinese titles.
 WORD_RULES = (("worthless", 90, "scam"), ("the", 40, "plain"), ("und", 60, "german"), ("que", 60, "romance"), ("thion", 70, "odd"), ("@", 85, "contact"))
 PHRASES = ((r"\b(the|and) (of|in)\b", "pair", "<pair>"), (r"[0-9]{4,}", "digits", "<n>"), (r"ch+(eit|keit)", "suffix", "<s>"))

@@ -2,8 +2,7 @@
 
 import hashlib
 
-import pytest
-
+from __spark_entry__ import queries
 from quantfeed.operators import reports
 
 #: The SHA-256 of these two begins with the same 48 bits.
@@ -24,3 +23,19 @@ def test_merged_reports_stay_rows_and_hashes_are_whole(spark):
     assert out["a"] == (4, 34, hashlib.md5("\n\n".join(a).encode()).hexdigest())
     assert out["b"] == (1, 11, hashlib.md5(b"## Head\n\nbody").hexdigest())
     assert reports.merged_totals(reports.merged(docs.limit(0), "source"), "source").collect() == []
+
+
+def test_feeds_without_limits_see_every_event(spark):
+    d = "/root/testdata/sf0.01"
+    found = queries()
+    events = spark.read.parquet(f"{d}/events.parquet").count()
+    counters = found["feed_counters_all"](spark, d).collect()
+    assert sum(r.fetched for r in counters) == events
+    digest = found["feed_digest_all"](spark, d).collect()
+    places = {}
+    for r in digest:
+        places.setdefault(r.source, []).append(r.place)
+    assert {s: len(p) for s, p in places.items()} == {r.source: r.kept for r in counters if r.kept}
+    assert all(sorted(p) == list(range(1, len(p) + 1)) and len(p) > 40 for p in places.values())
+    whole, limited = ({r.key for r in found[q](spark, d).collect()} for q in ("ledger_update_all", "ledger_update"))
+    assert limited < whole
