@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantfeed.llm.common import durable
+
 #: Explicit rules (host, path, verdict); the longest that fits wins over what was mined.
 RULES = (
     ("org", "/", "allow"),
@@ -16,8 +22,9 @@ RULES = (
 )
 #: Stands for the label in mined item sets; no URL token holds a blank.
 BAD = "is bad"
-#: The rules fed to the filter are at most so many: the best by confidence, support, then name.
-MOST_RULES = 10_000
+#: So many rules are broadcast to the URLs as an index (a few hundred bytes each); more are joined by shuffle.
+BROADCAST_RULES = 10_000
+_RULES = "rule_id long, tokens array<string>, confidence double, support double"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,23 +63,58 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
 
     ``labelled``: rows (tokens, bad). A rule is kept if its support and confidence reach the limits, its
     confidence beats the share of bad URLs ``lift`` times, and no shorter rule within it is as
-    confident. No labelled rows, or none bad: no rules.
+    confident; their number isn't limited. Tokens that always occur together are mined as one, since a
+    rule needs only one of them, and each of them gives a rule. No labelled rows, or none bad: no rules.
     """
     spark = labelled.sparkSession
-    rows = labelled.filter("bad is not null").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), F.col("bad").cast("int").alias("bad"))
-    share = rows.agg(F.avg("bad")).first()[0]
+    rows = durable(labelled.filter("bad is not null").select(F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "bad"))
+    n, share = rows.agg(F.count("*"), F.avg(F.col("bad").cast("int"))).first()
     if not share:
-        return spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select("items"))
-    good = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).filter(F.col("confidence") >= lift * share)
-    best = good.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support").orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(MOST_RULES).collect()
-    kept: dict[frozenset, tuple] = {}
-    for r in sorted(best, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        own = frozenset(r["tokens"])
-        if not any(t < own and x[1] >= r["confidence"] for t, x in kept.items()):
-            kept[own] = (list(r["tokens"]), r["confidence"], r["support"])
-    listed = [(i, *x) for i, x in enumerate(kept.values())]
-    return spark.createDataFrame(listed, "rule_id long, tokens array<string>, confidence double, support double")
+        return spark.createDataFrame([], _RULES)
+    # Equal counts and equal 128 bits of the rows' hashes: the same rows.
+    seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("h2"))
+    frequent = seen.filter(F.col("n") >= math.ceil(min_support * n))
+    reps = frequent.groupBy("n", "h1", "h2").agg(F.min("token").alias("rep"), F.sort_array(F.collect_list("token")).alias("members"))
+    reps = durable(reps.select("rep", "members"))
+    held = rows.select("row", F.explode("tokens").alias("rep")).join(reps.select("rep"), "rep").groupBy("row").agg(F.collect_list("rep").alias("reps"))
+    items = F.coalesce("reps", F.array().cast("array<string>"))
+    items = rows.join(held, "row", "left").select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items"))
+    sets = durable(FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets)
+    bad = sets.filter(F.array_contains("items", BAD)).select(F.sort_array(F.array_remove("items", BAD)).alias("needs"), F.col("freq").alias("both"))
+    free = sets.filter(~F.array_contains("items", BAD)).select(F.sort_array("items").alias("needs"), "freq")
+    rated = durable(bad.join(free, "needs").select("needs", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / n).alias("support")))
+    limits = (F.col("confidence") >= min_confidence) & (F.col("confidence") >= lift * share)
+    kept = _irredundant(rated).filter(limits)
+
+    parts = kept.withColumn("rule", F.monotonically_increasing_id()).select("rule", "confidence", "support", F.explode("needs").alias("rep"))
+    parts = parts.join(reps, "rep").groupBy("rule").agg(F.first("confidence").alias("confidence"), F.first("support").alias("support"), F.collect_list("members").alias("members"))
+    each = parts.select("confidence", "support", "members").mapInArrow(_choices, "tokens array<string>, confidence double, support double")
+    return durable(each.select(F.monotonically_increasing_id().alias("rule_id"), "tokens", "confidence", "support"))
+
+
+def _irredundant(rated: DataFrame) -> DataFrame:
+    """The sets (needs, confidence, ...) that are more confident than any smaller set within them.
+
+    Every part of a frequent set is there, so the most confident part comes up by one size at a time.
+    """
+    longest = rated.agg(F.max(F.size("needs"))).first()[0] or 0
+    out = below = rated.filter(F.size("needs") == 1).withColumn("inner", F.lit(-1.0))
+    for size in range(2, longest + 1):
+        x = rated.filter(F.size("needs") == size)
+        part = x.select(F.col("needs").alias("whole"), F.explode(F.transform("needs", lambda t: F.array_remove("needs", t))).alias("needs"))
+        best = part.join(below.select("needs", F.greatest("confidence", "inner").alias("c")), "needs").groupBy("whole").agg(F.max("c").alias("inner"))
+        below = durable(x.join(best.withColumnRenamed("whole", "needs"), "needs"))
+        out = out.unionByName(below)
+    return out.filter(F.col("confidence") > F.col("inner")).drop("inner")
+
+
+def _choices(batches):
+    """One rule for each way to take a token from every class."""
+    for batch in batches:
+        rules = ((sorted(tokens), r["confidence"], r["support"]) for r in batch.to_pylist() for tokens in itertools.product(*r["members"]))
+        while part := list(itertools.islice(rules, 10_000)):
+            cols = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.string()), pa.float64(), pa.float64()), strict=True)], ["tokens", "confidence", "support"])
 
 
 def judge(urls: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -80,20 +122,28 @@ def judge(urls: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col: s
 
     An explicit rule decides first. Otherwise the URL is blocked if all tokens of a mined rule are among
     its own; mined_rule is the most confident such rule's tokens. Candidate rules come from an inverted
-    index that lists each rule under one token, its rarest. Null and odd URLs have empty host and path
+    index that lists each rule under one token, its rarest; over BROADCAST_RULES rules it is joined by
+    shuffle. Null and odd URLs have empty host and path
     and are allowed; repeated rows and null ids are judged alike; an empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col))
     x = urls.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     used = mined.select(F.explode("tokens").alias("token"), "rule_id").groupBy("token").agg(F.count("*").alias("uses"))
     entry = mined.withColumn("token", F.explode("tokens")).join(used, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("uses", "token")).alias("token"), F.first("tokens").alias("needs"), F.first("confidence").alias("confidence"))
-    index = entry.groupBy("token").agg(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "needs")).alias("rules"))
-    # At most MOST_RULES rules of a few tokens each.
-    whole = F.broadcast(index.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")))
-    x = x.join(whole, F.lit(True), "left")
-    candidates = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(F.col("index"), t)), lambda r: r.isNotNull()))
-    fitting = F.filter(candidates, lambda r: F.size(F.array_except(r["needs"], F.col("tokens"))) == 0)
-    best = F.array_min(fitting)
+    ranked = F.struct((-F.col("confidence")).alias("c"), "needs")
+    if mined.count() <= BROADCAST_RULES:
+        index = entry.groupBy("token").agg(F.collect_list(ranked).alias("rules"))
+        whole = F.broadcast(index.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")))
+        x = x.join(whole, F.lit(True), "left")
+        candidates = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(F.col("index"), t)), lambda r: r.isNotNull()))
+        fitting = F.filter(candidates, lambda r: F.size(F.array_except(r["needs"], F.col("tokens"))) == 0)
+        best = F.array_min(fitting)
+    else:
+        kinds = x.select("tokens").distinct()
+        pairs = kinds.withColumn("token", F.explode("tokens")).join(entry.select("token", "needs", "confidence"), "token")
+        fitting = pairs.filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy("tokens").agg(F.min(ranked).alias("best"))
+        x = x.join(fitting, "tokens", "left")
+        best = F.col("best")
     name, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
     x = x.select(id_col, "host", "path", name.alias("rule"), verdict.alias("ruled"), F.array_join(best["needs"], " ").alias("mined_rule"))
     return x.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule")

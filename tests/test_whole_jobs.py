@@ -2,7 +2,10 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from __spark_entry__ import queries
+from quantfeed.llm import urlrules
 from quantfeed.operators import reports
 
 #: The SHA-256 of these two begins with the same 48 bits.
@@ -39,3 +42,21 @@ def test_feeds_without_limits_see_every_event(spark):
     assert all(sorted(p) == list(range(1, len(p) + 1)) and len(p) > 40 for p in places.values())
     whole, limited = ({r.key for r in found[q](spark, d).collect()} for q in ("ledger_update_all", "ledger_update"))
     assert limited < whole
+
+
+def test_url_rules_are_not_crowded_out(spark, monkeypatch):
+    labels = "abcdefghijklmno"
+    hosts = [".".join(f"{x}{k}" for x in labels[:5]) + ".com" for k in range(12)]
+    urls = [(f"http://{h}/p{'qrst'[i % 4]}", True) for h in hosts for i in range(10)] + [(f"http://ok{i}.net/x", False) for i in range(130)]
+    urls += [("http://late.org/y", i > 1) for i in range(10)]
+    host, path = urlrules.host_and_path(F.col("u"))
+    labelled = spark.createDataFrame(urls, "u string, bad boolean").select(urlrules.url_tokens(host, path).alias("tokens"), "bad")
+    mined = urlrules.mine(labelled)
+    rules = {tuple(r.tokens): r.confidence for r in mined.collect()}
+    assert rules[("host:late.org",)] == 0.8 and rules[("word:a0",)] == 1.0
+    assert all(len(t) == 1 for t in rules)
+    pages = spark.createDataFrame([(1, "http://late.org/z"), (2, "http://ok1.net/x"), (None, "http://x.b3.net/x"), (None, "http://x.b3.net/x")], "page_id long, url string")
+    want = sorted(urlrules.judge(pages, mined, rules=()).collect(), key=str)
+    assert [(r.page_id, r.verdict) for r in want] == [(1, "block"), (2, "allow"), (None, "block"), (None, "block")]
+    monkeypatch.setattr(urlrules, "BROADCAST_RULES", 0)
+    assert sorted(urlrules.judge(pages, mined, rules=()).collect(), key=str) == want
