@@ -13,27 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantfeed.llm import langid, minhash, mixing, packing
+from quantfeed.llm.common import with_row_key
 from quantfeed.llm.queries import default_tokenizer
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; null texts and texts without letters go."""
+    """Documents in a known language; null texts and texts without letters go. Ids decide nothing."""
     return langid.accepted_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    kept = minhash.near_duplicates(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near copies, the one with the smallest id.
+
+    Rows are compared under keys of their own, in the order of ids, so a null or repeated id takes nothing away: null ids
+    come after the others, and of equal ids the smallest hash of the text is kept. Texts without words
+    are in no group and stay.
+    """
+    keyed = with_row_key(docs.orderBy(F.asc_nulls_last("doc_id"), F.sha2("text", 256)), "_row")
+    kept = minhash.near_duplicates(keyed, id_col="_row", percent=80).filter("kept").select("_row")
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that a mix of nine tenths of the tokens takes."""
+    """The documents that a mix of nine tenths of the tokens takes, rows with null or repeated ids each for itself."""
     return mixing.mixed_documents(docs, percent=90)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; rows with null or repeated ids are packed like others."""
     return packing.pack(docs, default_tokenizer())
 
 

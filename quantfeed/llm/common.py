@@ -32,6 +32,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, key: str) -> DataFrame:
+    """Adds a long that no two rows share, equal rows included; written down, so that it stays the same."""
+    return durable(df.withColumn(key, F.monotonically_increasing_id()))
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

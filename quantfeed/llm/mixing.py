@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable
+from quantfeed.llm.common import durable, with_row_key
 
 #: Default tree: web crawls are the sources src0 to src9, curated ones the rest.
 DOMAIN_WEIGHTS = {"web": 3.0, "curated": 2.0}
@@ -83,6 +83,7 @@ def mix(
     domain_weights: Mapping[str, float] = DOMAIN_WEIGHTS,
     language_weights: Mapping[str, float] = LANGUAGE_WEIGHTS,
     source_weights: Mapping[str, float] | None = None,
+    carried: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows (doc_id, domain, lang, source, tokens, epoch, take_tokens): what each document gives to the mix.
 
@@ -90,13 +91,14 @@ def mix(
     of a leaf's prefix may give only its first take_tokens. Unknown names weigh 1. Null lang or source
     forms a leaf named ``(none)``; documents without tokens are never chosen; a null doc_id takes part
     like the empty id. Repeated rows count as documents of their own. An empty table gives no rows.
+    Columns named in ``carried`` come along and order rows of equal id and tokens.
     """
     if domain is None:
         domain = F.when(F.col("source").rlike(WEB_SOURCE), "web").otherwise("curated")
     source = F.coalesce("source", F.lit("(none)"))
     lang = F.coalesce("lang", F.lit("(none)"))
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", domain.alias("domain"), lang.alias("lang"), source.alias("source"), tokens.alias("tokens"))
+    rows = docs.select(*carried, "doc_id", domain.alias("domain"), lang.alias("lang"), source.alias("source"), tokens.alias("tokens"))
     rows = durable(rows.filter("tokens > 0"))
 
     leaves = rows.groupBy(*_LEAF).agg(F.sum("tokens").alias("leaf_tokens"))
@@ -109,7 +111,7 @@ def mix(
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = rows.join(of_leaf(plan), list(_LEAF)).withColumn("key", key)
 
-    out = ("doc_id", *_LEAF, "tokens", "epoch", "take_tokens")
+    out = (*carried, "doc_id", *_LEAF, "tokens", "epoch", "take_tokens")
     taken = keyed.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1))).withColumn("take_tokens", F.col("tokens")).select(*out)
     # The prefix's end lies in one bucket a leaf: those before go in whole, only that one is looked into.
     cut = keyed.filter("rest > 0")
@@ -122,16 +124,20 @@ def mix(
         before = cut.filter("bucket < edge").withColumn("epoch", F.col("full")).withColumn("take_tokens", F.col("tokens"))
         taken = taken.unionByName(before.select(*out))
         cut = cut.filter("bucket = edge").withColumn("rest", F.col("left")).drop("bucket", "edge", "left")
-    order = Window.partitionBy(*_LEAF).orderBy("key", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*_LEAF).orderBy("key", "tokens", *carried).rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumn("start", F.sum("tokens").over(order) - F.col("tokens")).filter("start < rest")
     cut = cut.withColumn("epoch", F.col("full")).withColumn("take_tokens", F.least("tokens", F.col("rest") - F.col("start")))
     return taken.unionByName(cut.select(*out))
 
 
 def mixed_documents(docs: DataFrame, percent: int = 90, seed: int = 7) -> DataFrame:
-    """The documents that one epoch's mix takes whole, with all their columns."""
-    taken = mix(docs, percent=percent, max_epochs=1, seed=seed).filter("take_tokens = tokens").select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi")
+    """The documents that one epoch's mix takes whole, with all their columns.
+
+    Each row is taken or left for itself: rows with a null or repeated id are documents of their own.
+    """
+    keyed = with_row_key(docs, "_row")
+    taken = mix(keyed, percent=percent, max_epochs=1, seed=seed, carried=("_row",)).filter("take_tokens = tokens").select("_row")
+    return keyed.join(taken, "_row", "left_semi").select(*docs.columns)
 
 
 #: The same mix in SQL, for the default parameters.
