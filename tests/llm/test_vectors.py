@@ -13,8 +13,9 @@ def load(spark, d):
     return np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64), np.array([r.label for r in rows])
 
 
-def test_recall_and_scores_of_nearest(spark):
-    d = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_and_scores_of_nearest(spark, scale):
+    d = f"/root/testdata/{scale}"
     ids, x, _ = load(spark, d)
     found = {}
     for r in op1_nearest(spark, d).collect():
@@ -40,6 +41,29 @@ def test_nearest_of_few_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_nearest_among_vectors_of_several_sizes_and_ties(spark):
+    """Each size is searched by itself; repeated rows count once, clashing columns are ignored."""
+    v = [(0, [1.0, 0.0]), (1, [1.0, 1.0, 1.0]), (2, [2.0, 1.0, 1.0]), (3, [0.0, 1.0, 1.0]), (4, [3.0, 0.0]), (4, [3.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, x, 0, "a", "q", 7, 0.5) for i, x in v], "vec_id long, embedding array<float>, label int, n_links string, query_id string, list int, score double")
+    out = [tuple(r) for r in ann.nearest(df, F.col("vec_id") < 2).orderBy("query_id", "rank").collect()]
+    assert out == [(0, 1, 4, 2.0), (1, 1, 2, 1.0), (1, 2, 3, 1.0)]
+
+
+def test_task_output_is_bounded(spark, monkeypatch):
+    """Held candidates are cut to the best of each query, however often."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0, "a") for i, v in enumerate(x)], SCHEMA)
+    monkeypatch.setattr(ann, "HELD", 500)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    out = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, F.col("vec_id") % 3 == 0, k=3).collect()}
+    assert len(out) == 600
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    hits = sum(len({out[q, r] for r in (1, 2, 3)} & set(np.argsort(d[q])[:3])) for q in range(0, 600, 3))
+    assert hits / 600 > 0.9
+
+
 def brute_links(ids, x, labels, threshold=0.98):
     n = np.sqrt((x * x).sum(axis=1))
     same = (x @ x.T) / n[:, None] / n[None, :] >= threshold
