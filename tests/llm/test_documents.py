@@ -127,6 +127,41 @@ def test_packing_of_odd_texts(spark):
     assert packing.pack(df.limit(0), default_tokenizer()).collect() == []
 
 
+def test_words_are_cut_like_the_tokenizer_does(spark):
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = default_tokenizer()
+    encoder, t = packing.WordEncoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    assert encoder.by_words
+    rng = random.Random(2)
+    parts = ["'", "'s", "'S", "'re", "'r", "'ll", "'l", "''", "d", "ve", "Ab", "é", "ÀÈ", "ß", "×", "÷", "9", "42", "-", "...", " ", "  ", "\n", "\t", "\r", "_", "<|endoftext|>", "ÿ", "İ", "…", "\xa0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)] + ["'", "'s", "x'", "'l", "'re"]
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [e.tolist() for e in encoder.encode_many(texts)] == want
+
+
+def test_word_cache_starts_anew(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    encoder = packing.WordEncoder(open(default_tokenizer(), encoding="utf-8").read())
+    texts = [" ".join(f"{a}{b}" for b in ("na", "ne", "no")) for a in "abcdefghijklmnop"]
+    want = [encoder.encode(x).tolist() for x in texts]
+    for _ in range(2):
+        assert [e.tolist() for x in texts for e in encoder.encode_many([x])] == want
+        assert [e.tolist() for e in encoder.encode_many(texts)] == want
+
+
+def test_other_tokenizers_are_asked_themselves(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.WordEncoder(open(path, encoding="utf-8").read())
+    assert not encoder.by_words
+    assert encoder.encode_many(["Some text."])[0].tolist() == encoder.encode("Some text.").tolist()
+
+
 def test_histogram_packing_places_every_length():
     import random
 
