@@ -27,8 +27,15 @@ TRAIN_PAGES = 200
 TRAIN_CHARS = 500_000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Formulas are part of the sentence that they stand in.
+INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mmultiscripts mtable mtr mtd mspace mstyle mpadded mphantom semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe svg math textarea select button option object canvas audio video head title".split())
+#: Their content is no markup: it lasts to their own end tag.
+RAW = frozenset("script style textarea title iframe".split())
+#: Form controls, drawings, media and unused parts: what is inside isn't shown as text.
+HIDDEN = frozenset("template svg select button option datalist canvas audio video".split())
+#: Opening one of these ends a drawing or an option that was left open.
+BREAKOUT = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table blockquote pre article section main body nav aside header footer figure form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Opening the tag closes an open element of one of these names first.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -54,7 +61,10 @@ class Tree:
 
 
 def parse(page: str | None) -> Tree:
-    """The page's tree. Unclosed, crossed and truncated tags are taken as far as they go."""
+    """The page's tree. Unclosed, crossed and truncated tags are taken as far as they go.
+
+    A hidden element that isn't closed ends with the element that it stands in, so it takes no text of others.
+    """
     tree = Tree([-1], ["html"], [()], [None], [0])
     stack, runs, links, in_link, pos = [0], [], 0, 0, 0
     page = page or ""
@@ -78,10 +88,11 @@ def parse(page: str | None) -> Tree:
         flush()
         del stack[depth:]
 
+    hidden: list[str] = []  # open elements from a hidden one on
     while True:
         m = _TAG.search(page, pos)
         said = page[pos : m.start() if m else len(page)]
-        if said:
+        if said and not hidden:
             runs.append(said)
             if in_link:
                 links += len(said)
@@ -91,6 +102,26 @@ def parse(page: str | None) -> Tree:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        closed = m[0].endswith("/>")
+        if tag in RAW and not m[1]:
+            if not closed:
+                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
+                pos = end.end() if end else len(page)
+            continue
+        if hidden:
+            if m[1]:
+                if tag in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                    continue
+                if tag in INLINE or all(tree.tag[i] != tag for i in stack):
+                    continue
+                hidden.clear()  # its parent ends, and so does what was left open
+            elif tag in BREAKOUT and (hidden[-1] == "option" or hidden[0] == "svg" and "foreignobject" not in hidden):
+                hidden.clear()
+            else:
+                if not (closed or tag in VOID or tag in INLINE or tag == hidden[-1] == "option"):
+                    hidden.append(tag)
+                continue
         if tag == "a":
             in_link = 0 if m[1] else 1
         if tag == "br":
@@ -103,11 +134,11 @@ def parse(page: str | None) -> Tree:
                     pop_to(depth)
                     break
             continue
-        if tag in SKIPPED:
-            if tag == "head":
-                continue
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+        if tag in HIDDEN:
+            if not closed:
+                hidden.append(tag)
+            continue
+        if tag == "head":
             continue
         flush()
         if tag in VOID or tag == "html":
@@ -356,19 +387,22 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
     """Rows (id_col, url_col, text, n_chars), one per page: its content blocks in page order.
 
     Null and empty pages and pages without content give an empty text. Character references are
-    decoded, white space inside a block becomes one space, blocks are joined by two line feeds.
-    Repeated rows and null ids are treated like others; an empty table gives no rows.
+    decoded, white space inside a block becomes one space, blocks are joined by two line feeds. A page
+    of any length is read whole. Repeated rows and null ids are treated like others; other columns are
+    left out, whatever their names; an empty table gives no rows.
     """
-    held = pages.sparkSession.sparkContext.broadcast(model)
+    # Plain values, so that workers need no copy of this package.
+    held = pages.sparkSession.sparkContext.broadcast((model.vocabulary, model.weights, model.pairs))
     ids = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"))
 
     def run(batches):
+        at = Model(*held.value)
         for batch in batches:
             htmls, texts = batch.column(2).to_pylist(), []
             for i, j in slices([len(h or "") for h in htmls], SLICE_CHARS):
                 trees = [parse(h) for h in htmls[i:j]]
-                t = Trees(trees, held.value.vocabulary)
-                content = held.value.marginals(t)[0] >= 0.5
+                t = Trees(trees, at.vocabulary)
+                content = at.marginals(t)[0] >= 0.5
                 for tree, begin in zip(trees, t.first[:-1], strict=True):
                     texts.append("\n\n".join(s for k, s in enumerate(tree.text) if s is not None and content[begin + k]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])

@@ -26,6 +26,35 @@ def test_layouts(spark, model, name):
     assert out.n_chars == len(out.text)
 
 
+INSIDE = {
+    "First part. <svg class='icon' /> Second part.": ["First part. Second part."],
+    "First part. <svg><title>Icon</title><path d='x'/><text>no</text></svg> Second part.": ["First part. Second part."],
+    "First part.</p><svg class=icon><p>Second part is left.": ["First part.", "Second part is left."],
+    "First part. <datalist id=d><option value=a>A<option>B</datalist> Second part.": ["First part. Second part."],
+    "First part. <select><option>A<option>B</select> Second.": ["First part. Second."],
+    "First part. <button><div>Share</div></button> Second.": ["First part. Second."],
+    "First part. <button>Share</p><p>Second part is left.": ["First part.", "Second part is left."],
+    "The sum <math><mi>a</mi><mo>+</mo><mn>1</mn></math> is small.": ["The sum a+1 is small."],
+    "First part. <script src=x /> Second part.": ["First part. Second part."],
+    "First part. <script>if (a < b) '</p>'</script>Second part.": ["First part. Second part."],
+    "First part.</p><noscript><p>Seen by few readers, still there.</p></noscript><object><p>So is this sentence here.</p></object><p>End of it all.": ["First part.", "Seen by few readers, still there.", "So is this sentence here.", "End of it all."],
+    "First part. <option>A</p><p>Second part is left.": ["First part.", "Second part is left."],
+}
+
+
+@pytest.mark.parametrize("inner", INSIDE)
+def test_nothing_is_swallowed(model, inner):
+    tree = htmltext.parse(f"<body><nav>x</nav><article><h1>A Title</h1><p>{inner}</p><p>Last one, all is there.</p></article></body>")
+    assert [t for t in tree.text if t is not None] == ["x", "A Title", *INSIDE[inner], "Last one, all is there."]
+
+
+def test_very_long_page_is_read_whole(spark, model):
+    blocks = [f"Sentence number {i} is here. It goes on a little." for i in range(40_000)]
+    html = "<body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    out = htmltext.extract(spark.createDataFrame([(1, "u", html, "t", 2)], "page_id long, url string, html string, text string, n_chars int"), model).first()
+    assert out.text.split("\n\n") == blocks and out.n_chars == len(out.text)
+
+
 def test_marginals_equal_enumeration(model):
     import itertools
 
