@@ -48,9 +48,14 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     at = np.concatenate([[0], np.cumsum(keep)])[starts]
     codes = np.where(ink, codes, 0)[keep].astype(np.uint32)
     grams, rolled = [], np.zeros(len(codes), np.uint32)
+    last = np.append(at[1:], len(codes)) - 1
     for n in range(1, max(ORDERS) + 1):
+        more = codes[n - 1 :].copy()
+        for back in range(n - 1):  # a gram ends with its text, so that batches don't matter
+            over = last - back
+            more[over[over < len(more)]] = 0
         rolled = rolled * np.uint32(0x9E3779B1)
-        rolled[: len(codes) - n + 1] += codes[n - 1 :]
+        rolled[: len(more)] += more
         if n in ORDERS:
             h = rolled * np.uint32(0x85EBCA6B) + np.uint32(n * 0x27D4EB2F)
             grams.append(((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(16))
@@ -115,6 +120,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_language: int = PER_LAN
     return LanguageModel(languages, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), prior)
 
 
+def _sent(docs: DataFrame, model: LanguageModel):
+    """The model's arrays for the workers, which need no copy of this package to read them."""
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.log_prob, model.log_prior))
+
+
 def _scored(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
     texts = [t or "" for t in texts]
     names: list[str] = []
@@ -129,16 +139,17 @@ def _scored(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", extra: tuple[Column, ...] = ()) -> DataFrame:
     """Rows (id_col, extra..., lang_pred, score) of every document's whole text.
 
-    ``und`` and 0 for a null or empty text and one without letters. Null ids, repeated rows and other
-    columns pass through unchanged; an empty table gives no rows.
+    ``und`` and 0 for a null or empty text and one without letters. A text of any length is read whole;
+    long ones are scored alone. Null ids and repeated rows are predicted like others; other columns
+    than ``extra`` are left out, whatever their names; an empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = _sent(docs, model)
     picked = docs.select(F.col(id_col), *extra, F.col("text").alias("_text"))
     kept = picked.schema.fields[:-1]
 
     def run(batches):
         for batch in batches:
-            names, scores = _scored(held.value, batch.column(len(kept)).to_pylist())
+            names, scores = _scored(LanguageModel(*held.value), batch.column(len(kept)).to_pylist())
             cols = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[f.name for f in kept], "lang_pred", "score"])
 
@@ -161,14 +172,16 @@ def accepted_documents(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents in a language that the model knows, with all their columns.
 
     Rejected: null texts, texts without letters, and those whose best language has a posterior below
-    ``min_score``.
+    ``min_score``. Each row is judged for itself, so null and repeated ids and ties change nothing, and
+    columns of any name come along; without labelled rows no language is known and none is accepted;
+    an empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out())))
+    held = _sent(docs, fit(docs.filter(~held_out())))
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            names, scores = _scored(held.value, batch.column(at).to_pylist())
+            names, scores = _scored(LanguageModel(*held.value), batch.column(at).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

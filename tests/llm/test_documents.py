@@ -27,12 +27,63 @@ def test_languages_of_the_held_out_fold(spark):
 
 def test_scores_do_not_depend_on_the_batch(spark):
     model = langid.LanguageModel(["a", "b"], __import__("numpy").random.default_rng(0).standard_normal((langid.BUCKETS, 2)).astype("float32"), __import__("numpy").zeros(2))
-    texts = ["abc def", "", "é", "12 3", "ein langer Text ohne Ende"]
+    texts = ["abc def", "ghi", "", "é", "12 3", "ein langer Text ohne Ende", "x"]
     together = model.score(texts)
     apart = [model.score([t]) for t in texts]
     assert together[0] == [a[0][0] for a in apart]
     assert together[1] == pytest.approx([a[1][0] for a in apart], abs=1e-12)
-    assert [n for n in together[0]][1] == langid.UNKNOWN and together[0][3] == langid.UNKNOWN
+    assert [i for i, n in enumerate(together[0]) if n == langid.UNKNOWN] == [2, 4]
+
+
+def plain_naive_bayes(train, texts, smoothing=0.5):
+    """The same model by loops over characters: counts, smoothed log shares, sums for each text."""
+    import math
+    from collections import Counter
+
+    def buckets(text):
+        raw = [ord(c) for c in text.lower()] + [0, 0, 0]
+        ink = [chr(c).isalpha() for c in raw]
+        keep = [k for k in range(len(raw)) if ink[k] or k == 0 or ink[k - 1] or k >= len(raw) - 2]
+        codes = [raw[k] if ink[k] else 0 for k in keep]
+        out = []
+        for n in (1, 2, 3):
+            for i in range(len(codes)):
+                h = 0
+                for step in range(n):
+                    h = (h * 0x9E3779B1) % 2**32
+                    if i + step < len(codes):
+                        h = (h + codes[i + step]) % 2**32
+                h = (h * 0x85EBCA6B + n * 0x27D4EB2F) % 2**32
+                out.append((((h ^ (h >> 15)) * 0xC2B2AE35) % 2**32) >> 16)
+        return out
+
+    counts, docs = {}, Counter()
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(buckets(text))
+        docs[lang] += 1
+    out = []
+    for text in texts:
+        logs = {}
+        for lang, c in counts.items():
+            whole = sum(c.values()) + smoothing * langid.BUCKETS
+            logs[lang] = math.log(docs[lang] / len(train)) + sum(math.log((c[b] + smoothing) / whole) for b in buckets(text))
+        top = max(logs.values())
+        share = {k: math.exp(v - top) for k, v in logs.items()}
+        best = max(sorted(share), key=lambda k: share[k])
+        out.append((best, share[best] / sum(share.values())) if any(c.isalpha() for c in text) else ("und", 0.0))
+    return out
+
+
+def test_predictions_equal_plain_naive_bayes(spark):
+    train = [("the cat and the dog", "en"), ("a dog of the house", "en"), ("der Hund und die Katze", "de"), ("das Haus  ist groß!", "de"), ("le chien et la maison", "fr")]
+    texts = ["the house", "die Maus", "chien", "x", "", "12!", "é 3 ß", "Hund 1-2 dog", "the dog " * 40]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][: len(train)]
+    asked = [i for i in range(200) if not zlib.crc32(str(i).encode()) % 5][: len(texts)]
+    rows = [(i, t, k) for i, (t, k) in zip(ids, train, strict=True)] + [(i, t, None) for i, t in zip(asked, texts, strict=True)]
+    df = spark.createDataFrame([(*r, "s", 1, "x") for r in rows], "doc_id long, text string, lang string, source string, score int, held_out string")
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identified(df).collect()}
+    for i, (lang, score) in zip(asked, plain_naive_bayes(train, texts), strict=True):
+        assert out[i][0] == lang and out[i][1] == pytest.approx(score, abs=1e-4), i
 
 
 def test_languages_of_odd_rows(spark):
