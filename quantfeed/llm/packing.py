@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from quantfeed.llm.common import durable, mix64, slices
 from quantfeed.llm.shards import PART_ROWS, PARTS, numbered
 
-#: Words kept per worker; then the cache starts anew.
-CACHE_WORDS = 300_000
+#: Words kept per worker, some 60 bytes each; then the cache starts anew.
+CACHE_WORDS = 1_000_000
 #: Characters that are cut into words at once; a longer text comes alone.
 SLICE_CHARS = 1_000_000
 #: The normalizer and word pattern of the tokenizers that are encoded word by word.
