@@ -22,6 +22,10 @@ RULES = (
 )
 #: Stands for the label in mined item sets; no URL token holds a blank.
 BAD = "is bad"
+#: Rules that rest on fewer labelled URLs than this are chance, whatever their share.
+LEAST_URLS = 20
+#: Standard deviations below the seen confidence at which a rule must still beat the rest.
+DEVIATIONS = 2.0
 #: So many rules are broadcast to the URLs as an index (a few hundred bytes each); more are joined by shuffle.
 BROADCAST_RULES = 10_000
 _RULES = "rule_id long, tokens array<string>, confidence double, support double"
@@ -58,32 +62,40 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(suffixes, words, parts))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, lift: float = 1.5) -> DataFrame:
+def lower_bound(hits: Column, n: Column, z: float = DEVIATIONS) -> Column:
+    """Wilson's lower bound of a share that was seen as hits of n."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6, lift: float = 1.5, least: int = LEAST_URLS) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) whose tokens make a URL bad.
 
-    ``labelled``: rows (tokens, bad). A rule is kept if its support and confidence reach the limits, its
-    confidence beats the share of bad URLs ``lift`` times, and no shorter rule within it is as
-    confident; their number isn't limited. Tokens that always occur together are mined as one, since a
+    ``labelled``: rows (tokens, bad). A rule is kept if it rests on ``least`` bad URLs and a share of
+    ``min_support`` of all, its confidence reaches the limit, even its lower bound beats the share of bad
+    URLs ``lift`` times, and no shorter rule within it is as confident; their number isn't limited.
+    Rows with a null in either column don't count. Tokens that always occur together are mined as one, since a
     rule needs only one of them, and each of them gives a rule. No labelled rows, or none bad: no rules.
     """
     spark = labelled.sparkSession
-    rows = durable(labelled.filter("bad is not null").select(F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "bad"))
+    rows = durable(labelled.filter("bad is not null and tokens is not null").select(F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "bad"))
     n, share = rows.agg(F.count("*"), F.avg(F.col("bad").cast("int"))).first()
     if not share:
         return spark.createDataFrame([], _RULES)
     # Equal counts and equal 128 bits of the rows' hashes: the same rows.
     seen = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("h2"))
-    frequent = seen.filter(F.col("n") >= math.ceil(min_support * n))
+    least = max(least, math.ceil(min_support * n))
+    frequent = seen.filter(F.col("n") >= least)
     reps = frequent.groupBy("n", "h1", "h2").agg(F.min("token").alias("rep"), F.sort_array(F.collect_list("token")).alias("members"))
     reps = durable(reps.select("rep", "members"))
     held = rows.select("row", F.explode("tokens").alias("rep")).join(reps.select("rep"), "rep").groupBy("row").agg(F.collect_list("rep").alias("reps"))
     items = F.coalesce("reps", F.array().cast("array<string>"))
     items = rows.join(held, "row", "left").select(F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items).alias("items"))
-    sets = durable(FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets)
+    sets = durable(FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(items).freqItemsets)
     bad = sets.filter(F.array_contains("items", BAD)).select(F.sort_array(F.array_remove("items", BAD)).alias("needs"), F.col("freq").alias("both"))
     free = sets.filter(~F.array_contains("items", BAD)).select(F.sort_array("items").alias("needs"), "freq")
-    rated = durable(bad.join(free, "needs").select("needs", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / n).alias("support")))
-    limits = (F.col("confidence") >= min_confidence) & (F.col("confidence") >= lift * share)
+    rated = durable(bad.join(free, "needs").select("needs", "freq", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / n).alias("support")))
+    limits = (F.col("confidence") >= min_confidence) & (lower_bound(F.col("confidence") * F.col("freq"), F.col("freq")) >= lift * share)
     kept = _irredundant(rated).filter(limits)
 
     parts = kept.withColumn("rule", F.monotonically_increasing_id()).select("rule", "confidence", "support", F.explode("needs").alias("rep"))
@@ -121,37 +133,40 @@ def judge(urls: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col: s
     """Rows (id_col, host, path, rule, verdict, mined_rule), one per row of ``urls``.
 
     An explicit rule decides first. Otherwise the URL is blocked if all tokens of a mined rule are among
-    its own; mined_rule is the most confident such rule's tokens. Candidate rules come from an inverted
-    index that lists each rule under one token, its rarest; over BROADCAST_RULES rules it is joined by
-    shuffle. Null and odd URLs have empty host and path
-    and are allowed; repeated rows and null ids are judged alike; an empty table gives no rows.
+    its own; mined_rule is the most confident such rule's tokens, of equal ones the first in order.
+    Candidate rules come from an inverted index that lists each rule under one token, its rarest: the
+    tokens of distinct token sets are joined with it. Null and odd URLs have empty host and path and are
+    allowed; a URL of any length is judged whole; repeated rows and null ids are judged alike; other
+    columns are left out, whatever their names; an empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col))
     x = urls.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    used = mined.select(F.explode("tokens").alias("token"), "rule_id").groupBy("token").agg(F.count("*").alias("uses"))
-    entry = mined.withColumn("token", F.explode("tokens")).join(used, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("uses", "token")).alias("token"), F.first("tokens").alias("needs"), F.first("confidence").alias("confidence"))
-    ranked = F.struct((-F.col("confidence")).alias("c"), "needs")
-    if mined.count() <= BROADCAST_RULES:
-        index = entry.groupBy("token").agg(F.collect_list(ranked).alias("rules"))
-        whole = F.broadcast(index.agg(F.map_from_entries(F.collect_list(F.struct("token", "rules"))).alias("index")))
-        x = x.join(whole, F.lit(True), "left")
-        candidates = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(F.col("index"), t)), lambda r: r.isNotNull()))
-        fitting = F.filter(candidates, lambda r: F.size(F.array_except(r["needs"], F.col("tokens"))) == 0)
-        best = F.array_min(fitting)
-    else:
+    number = mined.count()
+    if number:
+        used = mined.select(F.explode("tokens").alias("token"), "rule_id").groupBy("token").agg(F.count("*").alias("uses"))
+        index = mined.withColumn("token", F.explode("tokens")).join(used, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("uses", "token")).alias("token"), F.first("tokens").alias("needs"), F.first("confidence").alias("confidence"))
+        if number <= BROADCAST_RULES:
+            index = F.broadcast(index)
         kinds = x.select("tokens").distinct()
-        pairs = kinds.withColumn("token", F.explode("tokens")).join(entry.select("token", "needs", "confidence"), "token")
+        pairs = kinds.withColumn("token", F.explode("tokens")).join(index.drop("rule_id"), "token")
+        ranked = F.struct((-F.col("confidence")).alias("c"), "needs")
         fitting = pairs.filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy("tokens").agg(F.min(ranked).alias("best"))
-        x = x.join(fitting, "tokens", "left")
-        best = F.col("best")
+        x = x.join(fitting, "tokens", "left").withColumn("needs", F.col("best.needs"))
+    else:
+        x = x.withColumn("needs", F.lit(None).cast("array<string>"))
     name, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
-    x = x.select(id_col, "host", "path", name.alias("rule"), verdict.alias("ruled"), F.array_join(best["needs"], " ").alias("mined_rule"))
+    x = x.select(id_col, "host", "path", name.alias("rule"), verdict.alias("ruled"), F.array_join("needs", " ").alias("mined_rule"))
     return x.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined_rule")
 
 
 def judged_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Verdicts on all pages, by rules mined from those that labels call toxic or of low quality."""
+    """Verdicts on all pages, by rules mined from those that labels call toxic or of low quality.
+
+    A label belongs to the page of its number. Pages and labels may hold columns of any name besides
+    page_id, url, doc_id, quality and toxic; several labels of one page: one bad one is enough.
+    """
     host, path = host_and_path(F.col("url"))
+    urls = pages.select("page_id", "url")
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad"))
-    labelled = pages.join(bad, "page_id").select(url_tokens(host, path).alias("tokens"), "bad")
-    return judge(pages, mine(labelled))
+    labelled = urls.join(bad, "page_id").select(url_tokens(host, path).alias("tokens"), "bad")
+    return judge(urls, mine(labelled))

@@ -116,6 +116,63 @@ def test_mined_rules_block(spark):
     assert sorted((r.page_id, r.verdict) for r in urlrules.judge(df, mined).collect()) == [(1, "block"), (2, "allow"), (2, "allow")]
 
 
+def plain_rules(rows, least, min_confidence, share_of, lift, z=2.0):
+    """Every set of tokens that some bad row holds, counted and pruned by plain subset checks."""
+    import itertools
+    import math
+
+    n, share = len(rows), sum(b for _, b in rows) / len(rows)
+    sets = {frozenset(c) for t, b in rows if b for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(set(t)), k)}
+    rated = {}
+    for s in sets:
+        freq = [b for t, b in rows if s <= set(t)]
+        if sum(freq) >= max(least, math.ceil(share_of * n)):
+            rated[s] = (sum(freq) / len(freq), sum(freq) / n, len(freq))
+    out = {}
+    for s, (c, support, freq) in rated.items():
+        if any(rated[q][0] >= c for q in rated if q < s):
+            continue
+        low = (c + z * z / (2 * freq) - z * math.sqrt(c * (1 - c) / freq + z * z / (4 * freq * freq))) / (1 + z * z / freq)
+        if c >= min_confidence and low >= lift * share:
+            out[tuple(sorted(s))] = (c, support)
+    return out
+
+
+def test_mining_and_index_equal_plain_subset_checks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.4]
+        if "a" in tokens:
+            tokens.append("twin")  # always with a: the two are mined as one
+        bad = rng.random() < (0.9 if {"a", "b"} <= set(tokens) else 0.7 if "c" in tokens and "d" in tokens else 0.1)
+        rows.append((tokens, bad))
+    mined = urlrules.mine(spark.createDataFrame([(*r, 1) for r in rows] + [(None, True, 1), (["a"], None, 1)], "tokens array<string>, bad boolean, n int"), least=12, min_support=0.01)
+    got = {tuple(r.tokens): (r.confidence, r.support) for r in mined.collect()}
+    # a set with both twins says no more than one with either
+    want = {k: v for k, v in plain_rules(rows, 12, 0.6, 0.01, 1.5).items() if not {"a", "twin"} <= set(k)}
+    assert got.keys() == want.keys() and len(got) > 2
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+    urls = [(i, "http://" + "-".join(t or ["z"]) + "/p", "x", True, 1) for i, (t, _) in enumerate(rows)]
+    rules = spark.createDataFrame([(i, [f"word:{t}" for t in k], c, s) for i, (k, (c, s)) in enumerate(got.items())], "rule_id long, tokens array<string>, confidence double, support double")
+    for most in (0, 10_000):
+        monkeypatch.setattr(urlrules, "BROADCAST_RULES", most)
+        out = {r.page_id: (r.verdict, r.mined_rule) for r in urlrules.judge(spark.createDataFrame(urls, "page_id long, url string, tokens string, bad boolean, best int"), rules).collect()}
+        for i, (t, _) in enumerate(rows):
+            fits = sorted((-got[k][0], [f"word:{x}" for x in k]) for k in got if set(k) <= set(t))
+            assert out[i] == (("block", " ".join(fits[0][1])) if fits else ("allow", None)), t
+
+
+def test_pages_with_clashing_columns_and_no_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", True, "t"), (None, None, None, None)], "page_id long, url string, bad boolean, doc_id string")
+    labels = spark.createDataFrame([(1, None, None, "u"), (1, 0, None, "u")], "doc_id long, quality int, toxic int, url string")
+    assert sorted((r.host, r.verdict) for r in urlrules.judged_pages(pages, labels).collect()) == [("", "allow"), ("a.net", "allow")]
+    assert urlrules.judged_pages(pages.limit(0), labels.limit(0)).collect() == []
+
+
 def test_verdicts_cover_the_table(spark, sf):
     assert op4_url_verdicts(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
 
