@@ -30,6 +30,8 @@ from quantfeed.llm.graph import components
 
 SLICE_CHARS = 1_000_000
 STAR_ROUNDS = 2
+#: Members of a list that meet its strays in one task.
+PART = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,11 +86,12 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def _each_set(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _each_set(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[pa.Array], list[np.ndarray]]]:
+    """The other columns and the sets of rows whose last column is a text."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        others, texts = batch.columns[:-1], batch.columns[-1].to_pylist()
         for i, j in slices([len(t or "") for t in texts], SLICE_CHARS):
-            yield ids.slice(i, j - i), shingle_sets(texts[i:j], width)
+            yield [c.slice(i, j - i) for c in others], shingle_sets(texts[i:j], width)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -102,8 +105,8 @@ def _sketch(width: int, k: int):
         for ids, sets in _each_set(batches, width):
             h1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
             h2 = [int(np.bitwise_xor.reduce(mix64(s ^ _STEP)).view(np.int64)) if len(s) else 0 for s in sets]
-            cols = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists([s[:k] for s in sets])]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "h1", "h2", "sketch"])
+            cols = [*ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists([s[:k] for s in sets])]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "n", "h1", "h2", "sketch"])
 
     return run
 
@@ -111,7 +114,7 @@ def _sketch(width: int, k: int):
 def _full(width: int):
     def run(batches):
         for ids, sets in _each_set(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([*ids, _lists(sets)], ["id", "shingles"])
 
     return run
 
@@ -127,13 +130,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. component_id
     is the smallest id reachable by links, kept tells whether it is the row's own. Null text, empty
-    text and text without words: n_shingles 0, linked with nothing. Repeated rows share a class, and
-    each is kept if its id is the smallest. Null ids: kept is false, and component_id is the smallest
-    id of the group or null. Other columns are ignored; an empty table gives no rows.
+    text and text without words: n_shingles 0, linked with nothing. Texts of any length count whole.
+    Rows are compared by their texts: repeated rows share a class, and each is kept if its id is the
+    smallest; two texts under one id are compared each for itself. Null ids link like others but come
+    after all ids: kept is false, and component_id is the smallest id of the group or null. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = durable(texts.mapInArrow(_sketch(width, k), "id long, n long, h1 long, h2 long, sketch array<long>"))
-    classes = durable(base.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")).filter("rep is not null"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    base = durable(texts.mapInArrow(_sketch(width, k), "id long, t long, n long, h1 long, h2 long, sketch array<long>"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first")
+    classes = durable(base.filter("n > 0").groupBy("n", "h1", "h2").agg(first, F.first("sketch").alias("sketch")))
+    # A class goes by its smallest id; by a number in the order of ids if two classes share one or one has none.
+    clash = classes.groupBy("first.id").agg(F.count("*").alias("c")).filter("c > 1 or id is null")
+    numbered = not clash.isEmpty()
+    if numbered:
+        classes = durable(classes.orderBy("first", "h1", "h2").withColumn("rep", F.monotonically_increasing_id()))
+    else:
+        classes = classes.withColumn("rep", F.col("first.id"))
 
     postings = classes.select("rep", "n", F.explode(F.slice("sketch", 1, posted)).alias("v"))
     shared = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -142,10 +155,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ranked.withColumn("t", t).filter(F.size("vs") >= F.col("t")).select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("t") + 1)).alias("e"))
     lists = durable(keys.select("rep", "n", F.col("e.v").alias("v")))
 
-    members = lists.select(F.col("rep").alias("id")).distinct()
-    sets = durable(texts.join(members, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_full(width), "id long, shingles array<long>"))
-    sketches = classes.join(members.withColumnRenamed("id", "rep"), "rep", "left_semi").select("rep", "sketch")
-    sketches = durable(sketches)
+    members = durable(classes.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "first", "sketch"))
+    # One row of each class, known by id and text, brings its text.
+    wanted = members.select("rep", F.col("first.t").alias("t"), F.col("first.id").alias("of"))
+    fetched = texts.join(wanted, "t").filter(F.col("id").eqNullSafe(F.col("of"))).dropDuplicates(["t", "rep"])
+    sets = durable(fetched.select("rep", "text").mapInArrow(_full(width), "id long, shingles array<long>"))
+    sketches = members.select("rep", "sketch")
 
     links = None
     comps = None
@@ -167,6 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = classes.select("n", "h1", "h2", F.col("rep").alias("component_id"))
     else:
         grouped = classes.join(comps, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
+    if numbered:
+        named = classes.select(F.col("rep").alias("component_id"), F.col("first.id").alias("smallest"))
+        grouped = grouped.join(named, "component_id").select("n", "h1", "h2", F.col("smallest").alias("component_id"))
     out = base.drop("sketch").join(grouped, ["n", "h1", "h2"], "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
@@ -194,7 +212,8 @@ def _across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     With all sets in one order, rarest values first, a pair that must share ``o`` values has one in
     common among the first n - o + 1 of either set. Copies with many edits of their own have these all
     in rare values, so they don't meet in a large group's lists. Within a list, only members outside
-    its largest component are joined with the others.
+    its largest component are joined with the others, and a long list is cut into parts that meet them
+    in tasks of their own.
     """
     members = durable(at.select("rep", "n", "comp").distinct())
     posts = members.select("rep").join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", F.explode("shingles").alias("v"))
@@ -204,13 +223,15 @@ def _across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     keys = ranked.join(members, "rep").select("rep", "n", "comp", F.posexplode(F.slice("vs", F.lit(1), longest)).alias("pos", "e"))
     keys = durable(keys.filter("e.df > 1").select("rep", "n", "comp", "pos", F.col("e.v").alias("v")))
     sizes = keys.groupBy("v", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    strays = keys.join(largest, "v").filter("comp <> main")
-    others = keys.select("v", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
+    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / PART).cast("int").alias("parts"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    keys = keys.join(largest, "v")
+    strays = keys.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")
+    others = keys.select("v", own, F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
     different = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("rep") < F.col("other")))
     least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     near = (F.col("pos") <= F.col("n") - least) & (F.col("other_pos") <= F.col("m") - least)
-    return _ordered(strays.join(others, "v").filter(different & _fits(percent) & near))
+    return _ordered(strays.join(others, ["v", "part"]).filter(different & _fits(percent) & near))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -76,6 +76,29 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_texts_under_one_id_and_without_id(spark):
+    """Every text is compared by its own set; links through rows without an id carry on."""
+    words = [f"w{i}" for i in range(100)]
+    b, c, d = words.copy(), words.copy(), words.copy()
+    b[3], c[3], c[40], d[99] = "x", "x", "y", "z"
+    other = [f"o{i}" for i in range(100)]
+    rows = [(1, " ".join(other)), (1, " ".join(words)), (3, " ".join(d)), (4, " ".join(other) + " more"), (None, " ".join(b)), (7, " ".join(c)), (None, "alone here"), (9, "Alone HERE")]
+    out = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by = {}
+    for r in out:
+        by.setdefault(r[0], []).append(r[2:])
+    assert by == {1: [(1, True), (1, True)], 3: [(1, False)], 4: [(1, False)], None: [(1, False), (9, False)], 7: [(1, False)], 9: [(9, True)]}
+
+
+def test_long_lists_in_parts(spark, monkeypatch):
+    """Pairs are the same however small the parts of a list are."""
+    monkeypatch.setattr(minhash, "PART", 2)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
+    shared = [f"s{j}" for j in range(60)]
+    rows = [(i * 10 + k, " ".join(shared + [f"u{i}-{j}" for j in range(300)] + [f"k{k}"])) for i in range(8) for k in range(3)]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(99, 97), (97, 98), (60, 60), (99, 97)], "a long, b long")
     found = {r["node"]: r["comp"] for r in graph.components(edges).collect()}
