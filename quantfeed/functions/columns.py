@@ -31,8 +31,10 @@ def scale(v: Column, center: float, span: float, invert: bool = False) -> Column
 
 def mean_of(*parts: Column) -> Column:
     """Mean of the parts that aren't null; null if none is."""
-    given = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.size(given))
+    begin = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    add = lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + x.isNotNull().cast("int")).alias("n"))
+    # One pass names each part once, so that means of means stay small expressions.
+    return F.aggregate(F.array(*parts), begin, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
 
 def number(text: Column) -> Column:

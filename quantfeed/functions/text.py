@@ -98,6 +98,29 @@ def rewrite(text: Column, rules: Sequence[tuple[str, str, str]] = PHRASE_RULES)
     return text
 
 
+#: Words of market signals, of each tag with its words, of hot announcements, of statistics.
+SIGNAL_WORDS = ("拉升", "涨停", "跳水", "异动", "走强", "领涨", "大涨", "翻红", "封板", "涨超", "跌超", "创新高", "新高", "冲高")
+FLASH_TAGS = (("题材", ("概念", "板块")), ("涨停", ("涨停", "封板")), ("回撤", ("跳水", "跌停", "跌超")), ("资金", ("北向", "外资")))
+HOT_WORDS = ("业绩预增", "业绩预告", "业绩快报", "回购", "增持", "减持", "中标", "重大合同", "重组", "收购", "停牌", "复牌", "问询函", "关注函", "立案", "分红", "解禁", "定增", "可转债")
+INDICATOR_WORDS = ("采购经理指数", "PMI", "居民消费价格", "CPI", "工业生产者出厂价格", "PPI", "国内生产总值", "GDP", "工业增加值", "固定资产投资", "社会消费品零售", "房地产", "工业企业利润", "就业", "能源生产")
+
+
+def is_signal(title: Column, words: Sequence[str] = SIGNAL_WORDS) -> Column:
+    return F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(title, w)), F.lit(False))
+
+
+def grouped_tags(title: Column, tags: Sequence[tuple[str, tuple[str, ...]]] = FLASH_TAGS, most: int = 3) -> Column:
+    """The first ``most`` tags of which the title holds a word."""
+    named = [F.when(is_signal(title, words), F.lit(tag)) for tag, words in tags]
+    return F.slice(F.array_compact(F.array(*named)), 1, most)
+
+
+def named_title(title: Column, stock: Column) -> Column:
+    """The title, after the stock's name if it doesn't hold it."""
+    name = F.coalesce(stock, F.lit(""))
+    return F.when((name != "") & F.contains(title, name), title).otherwise(F.trim(F.concat_ws(" ", name, title)))
+
+
 def document_title(content: Column, fallback: Column) -> Column:
     """The first level-1 or level-2 heading, else the fallback."""
     found = F.trim(F.regexp_extract(content, r"(?m)^\s*##?[ \t]+(\S.*)$", 1))

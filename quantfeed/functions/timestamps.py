@@ -81,7 +81,34 @@ def is_fresh(ts: Column, ref: Column, window_minutes: int) -> Column:
 
 
 def age_minutes(ts: Column, ref: Column) -> Column:
-    return F.timestamp_diff("MINUTE", ts, ref)
+    """Whole and broken minutes from ts to ref; negative ahead of it."""
+    return (F.unix_micros(ref) - F.unix_micros(ts)) / 60_000_000
+
+
+def readable_age(ts: Column, ref: Column) -> Column:
+    """How long ago a stamp is, in words; a stamp more than a minute ahead is shown by its clock or date."""
+    minutes = (F.unix_micros(ref) - F.unix_micros(ts)) / 60_000_000
+    days = F.datediff(ref, ts)
+    return (
+        F.when((minutes >= -1) & (minutes < 1), "刚刚")
+        .when((minutes >= 0) & (minutes < 60), F.concat(F.floor(minutes).cast("string"), F.lit("分钟前")))
+        .when(days == 0, F.concat(F.lit("今天 "), F.date_format(ts, "HH:mm")))
+        .when(days == 1, F.concat(F.lit("昨天 "), F.date_format(ts, "HH:mm")))
+        .otherwise(F.date_format(ts, "MM-dd HH:mm"))
+    )
+
+
+def publish_date(raw: Column, ref: Column) -> Column:
+    """struct<ts, quality, raw> of a feed that writes dates as ``2026-07-27 00:00:00.000``."""
+    p = parse(F.substring_index(raw, ".", 1), ref)
+    return F.struct(p["ts"].alias("ts"), midnight_as_date(p["ts"], p["quality"]).alias("quality"), p["raw"].alias("raw"))
+
+
+def newest_note(newest: Column, ref: Column) -> Column:
+    """When the newest event came out and how long ago, in hours within a day, else in days; null for none."""
+    hours = (F.unix_micros(ref) - F.unix_micros(newest)) / 3_600_000_000
+    ago = F.when(hours < 24, F.concat(hours.cast("int").cast("string"), F.lit(" 小时前"))).otherwise(F.concat((hours / 24).cast("int").cast("string"), F.lit(" 天前")))
+    return F.concat(F.date_format(newest, "yyyy-MM-dd HH:mm"), F.lit("（"), ago, F.lit("）"))
 
 
 def align_to_hour(ts: Column, hour: int) -> Column:

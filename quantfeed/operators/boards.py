@@ -17,6 +17,31 @@ def exchange_symbol(code: Column) -> Column:
     return F.when(six & code.rlike("^[69]"), F.concat(code, F.lit(".SS"))).when(six & code.rlike("^[023]"), F.concat(code, F.lit(".SZ"))).when(six & code.rlike("^[48]"), F.concat(code, F.lit(".BJ")))
 
 
+def market_id(code: Column) -> Column:
+    """The code after its market's number: 1 for Shanghai, else 0."""
+    return F.concat(F.when(F.trim(code).rlike("^[69]"), "1.").otherwise("0."), F.trim(code))
+
+
+def symbol_of_id(ident: Column) -> Column:
+    """Symbol of a market id, a symbol or a plain code. The market's number tells an index from a share of its code."""
+    s = F.trim(ident)
+    left, right = F.regexp_extract(s, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(s, r"^(.*)\.([^.]*)$", 2)
+    suffix = F.when(left == "1", ".SS").when(left == "0", ".SZ").when(left == "2", ".BJ")
+    return F.when(~s.contains("."), exchange_symbol(s)).when(F.upper(right).isin("SS", "SZ", "BJ"), s).otherwise(F.coalesce(F.concat(right, suffix), exchange_symbol(right)))
+
+
+def plain_code(ident: Column) -> Column:
+    """The digits of a market id, a symbol or a plain code."""
+    s = F.trim(F.coalesce(ident, F.lit("")))
+    left, right = F.regexp_extract(s, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(s, r"^(.*)\.([^.]*)$", 2)
+    return F.when(~s.contains("."), s).when(F.upper(right).isin("SS", "SZ", "BJ"), left).otherwise(right)
+
+
+def estimated_amount(price: Column, volume: Column) -> Column:
+    """Price times volume, 0 where either is missing."""
+    return F.coalesce(price * volume, F.lit(0.0))
+
+
 def top_members(members: DataFrame, n: int) -> DataFrame:
     """The n members of each board with the largest amount, risky names left out beforehand."""
     w = Window.partitionBy("board").orderBy(F.desc("amount"), "code")
@@ -44,12 +69,24 @@ def match_score(word: Column, name: Column) -> Column:
     )
 
 
+def _parts(text: Column) -> Column:
+    """All distinct parts of a name; their number grows with the square of its length."""
+    starts = lambda n: F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: F.transform(starts(n), lambda i: F.substr(text, i, n)))))
+
+
 def matched_boards(words: DataFrame, boards: DataFrame, n: int = 5) -> DataFrame:
     """The n boards that match each topic best; the longest word counts where scores tie.
 
-    ``boards`` is a dictionary of at most some thousand names; it is broadcast for the contains test.
+    One of a word and a board that fit holds the other, so the parts of either are joined with the other
+    as a whole; nothing is broadcast or compared pair by pair.
     """
-    pairs = words.join(F.broadcast(boards), F.contains("board", "word") | F.contains("word", "board"))
+    named = boards.filter(F.length("board") > 0)
+    looked = words.select("word").distinct().filter(F.length("word") > 0)
+    inside = named.select("board", F.explode(_parts(F.col("board"))).alias("word")).join(looked, "word")
+    around = looked.select("word", F.explode(_parts(F.col("word"))).alias("board")).join(named.select("board"), "board")
+    fitting = inside.select("word", "board").union(around.select("word", "board")).distinct()
+    pairs = words.join(fitting, "word").join(boards, "board")
     scored = pairs.withColumn("score", match_score(F.col("word"), F.col("board"))).filter("score is not null")
     best = scored.groupBy("topic", "board", "change").agg(F.max("score").alias("score"), F.max_by("word", F.struct(F.col("score"), F.length("word"), F.col("word"))).alias("matched_by"))
     w = Window.partitionBy("topic").orderBy(F.desc("score"), F.desc(F.abs("change")), "board")

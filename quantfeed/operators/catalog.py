@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import divide
-from quantfeed.operators.rolling import Rolling, greater, less, log
+from quantfeed.operators.rolling import Latest, Rolling, greater, less, log
 
 WINDOWS = (5, 10, 20, 30, 60)
 EPS = 1e-12
@@ -17,6 +17,8 @@ CANDLE = tuple("KMID KLEN KMID2 KUP KUP2 KLOW KLOW2 KSFT KSFT2".split())
 PRICE = tuple("OPEN0 HIGH0 LOW0 VWAP0".split())
 #: Rows that a factor may look back: the longest window and the row before it.
 LOOKBACK = max(WINDOWS) + 2
+#: Fixed value: with fewer bars there are no factors and no scores.
+MIN_BARS = 70
 
 
 def prepared(bars: DataFrame, by: str = "code", order: str = "day") -> DataFrame:
@@ -65,46 +67,43 @@ def candle() -> dict[str, Column]:
     return out | {f"{x.upper()}0": divide(F.col(x), c) for x in ("open", "high", "low", "vwap")}
 
 
-def rolled(d: int, by: str = "code", order: str = "day") -> dict[str, Column]:
-    """The 29 families for one window, over prepared columns."""
-    r = Rolling(by, order)
+def rolled(d: int, r: Rolling | Latest) -> dict[str, Callable[[], Column]]:
+    """The 29 families for one window over prepared columns, sliding or of the newest rows alone; each is built when called."""
     c, h, low, v, i = (F.col(x) for x in ("close", "high", "low", "volume", "_i"))
-    up, down = r.mean(F.col("_up"), d), r.mean(F.col("_down"), d)
-    move, vmove = r.sum(F.col("_move"), d) + EPS, r.sum(F.col("_vmove"), d) + EPS
-    gain, loss = r.sum(F.col("_gain"), d), r.sum(F.col("_loss"), d)
-    vgain, vloss = r.sum(F.col("_vgain"), d), r.sum(F.col("_vloss"), d)
-    top, bottom = r.max(h, d), r.min(low, d)
-    at_top, at_bottom = r.idx_max(h, d), r.idx_min(low, d)
+    now = lambda x: r.now(x)
+    mean, total, std = (lambda x: r.mean(F.col(x), d)), (lambda x: r.sum(F.col(x), d)), (lambda x: r.std(F.col(x), d))
+    move, vmove = (lambda: total("_move") + EPS), (lambda: total("_vmove") + EPS)
+    volume = lambda: now(v) + EPS
     out = {
-        "ROC": divide(r.ref(c, d), c),
-        "MA": divide(r.mean(c, d), c),
-        "STD": divide(r.std(c, d), c),
-        "BETA": divide(r.slope(c, d, i), c),
-        "RSQR": r.rsquare(c, d, i),
-        "RESI": divide(r.resi(c, d, i), c),
-        "MAX": divide(top, c),
-        "MIN": divide(bottom, c),
-        "QTLU": divide(r.quantile(c, d, 0.8), c),
-        "QTLD": divide(r.quantile(c, d, 0.2), c),
-        "RANK": r.rank(c, d),
-        "RSV": divide(c - bottom, top - bottom + EPS),
-        "IMAX": at_top / d,
-        "IMIN": at_bottom / d,
-        "IMXD": (at_top - at_bottom) / d,
-        "CORR": r.corr(c, F.col("_lv"), d),
-        "CORD": r.corr(F.col("_ret"), F.col("_lr"), d),
-        "CNTP": up,
-        "CNTN": down,
-        "CNTD": up - down,
-        "SUMP": divide(gain, move),
-        "SUMN": divide(loss, move),
-        "SUMD": divide(gain - loss, move),
-        "VMA": divide(r.mean(v, d), v + EPS),
-        "VSTD": divide(r.std(v, d), v + EPS),
-        "WVMA": divide(r.std(F.col("_wv"), d), r.mean(F.col("_wv"), d) + EPS),
-        "VSUMP": divide(vgain, vmove),
-        "VSUMN": divide(vloss, vmove),
-        "VSUMD": divide(vgain - vloss, vmove),
+        "ROC": lambda: divide(r.ref(c, d), now(c)),
+        "MA": lambda: divide(r.mean(c, d), now(c)),
+        "STD": lambda: divide(r.std(c, d), now(c)),
+        "BETA": lambda: divide(r.slope(c, d, i), now(c)),
+        "RSQR": lambda: r.rsquare(c, d, i),
+        "RESI": lambda: divide(r.resi(c, d, i), now(c)),
+        "MAX": lambda: divide(r.max(h, d), now(c)),
+        "MIN": lambda: divide(r.min(low, d), now(c)),
+        "QTLU": lambda: divide(r.quantile(c, d, 0.8), now(c)),
+        "QTLD": lambda: divide(r.quantile(c, d, 0.2), now(c)),
+        "RANK": lambda: r.rank(c, d),
+        "RSV": lambda: divide(now(c) - r.min(low, d), r.max(h, d) - r.min(low, d) + EPS),
+        "IMAX": lambda: r.idx_max(h, d) / d,
+        "IMIN": lambda: r.idx_min(low, d) / d,
+        "IMXD": lambda: (r.idx_max(h, d) - r.idx_min(low, d)) / d,
+        "CORR": lambda: r.corr(c, F.col("_lv"), d),
+        "CORD": lambda: r.corr(F.col("_ret"), F.col("_lr"), d),
+        "CNTP": lambda: mean("_up"),
+        "CNTN": lambda: mean("_down"),
+        "CNTD": lambda: mean("_up") - mean("_down"),
+        "SUMP": lambda: divide(total("_gain"), move()),
+        "SUMN": lambda: divide(total("_loss"), move()),
+        "SUMD": lambda: divide(total("_gain") - total("_loss"), move()),
+        "VMA": lambda: divide(mean("volume"), volume()),
+        "VSTD": lambda: divide(std("volume"), volume()),
+        "WVMA": lambda: divide(std("_wv"), mean("_wv") + EPS),
+        "VSUMP": lambda: divide(total("_vgain"), vmove()),
+        "VSUMN": lambda: divide(total("_vloss"), vmove()),
+        "VSUMD": lambda: divide(total("_vgain") - total("_vloss"), vmove()),
     }
     return {f"{k}{d}": x for k, x in out.items()}
 
@@ -114,34 +113,54 @@ def factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequen
 
     One shuffle by code serves every window: a pass for the row before, then one for the frames.
     """
-    made = candle()
+    candles, made = candle(), {}
     for d in windows:
-        made |= rolled(d, by, order)
-    wanted = list(made) if names is None else list(names)
-    return prepared(bars, by, order).select(by, order, *[made[n].alias(n) for n in wanted])
+        made |= rolled(d, Rolling(by, order))
+    wanted = [*candles, *made] if names is None else list(names)
+    return prepared(bars, by, order).select(by, order, *[(candles[n] if n in candles else made[n]()).alias(n) for n in wanted])
+
+
+def latest_factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, least: int = MIN_BARS, by: str = "code", order: str = "day") -> DataFrame:
+    """The factors of each code's newest day, by one aggregation over the rows that they look back to.
+
+    Codes with fewer than ``least`` bars have no factors and give no row.
+    """
+    candles, made = candle(), {}
+    for d in windows:
+        made |= rolled(d, Latest())
+    wanted = [*candles, *made] if names is None else list(names)
+    kept = max(LOOKBACK, least)
+    recent = bars.withColumn("_age", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).filter(F.col("_age") <= kept)
+    whole = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = prepared(recent.withColumn("_newest", F.last("close").over(whole)), by, order)
+    at = Latest()
+    shown = [at.now(F.col(c)).alias(c) for c in ("open", "close", "high", "low", "vwap")]
+    out = x.groupBy(by).agg(F.max(order).alias(order), F.count("*").alias("_rows"), *shown, *[made[n]().alias(f"_f_{n}") for n in wanted if n not in candles])
+    return out.filter(F.col("_rows") >= least).select(by, order, *[(candles[n] if n in candles else F.col(f"_f_{n}")).alias(n) for n in wanted])
 
 
 # Groups of factors by name, the factors that reports show first, what each family says.
 GROUPS = (
-    ("K线形态", r"^K(MID|LEN|UP|LOW|SFT)"),
-    ("趋势动量", r"^(ROC|MA|BETA|RSQR|RESI)\d"),
-    ("波动与位置", r"^(STD|MAX|MIN|QTLU|QTLD|RANK|RSV|IMAX|IMIN|IMXD)\d"),
-    ("涨跌强弱", r"^(CNTP|CNTN|CNTD|SUMP|SUMN|SUMD)\d"),
-    ("量能结构", r"^(VMA|VSTD|WVMA|VSUMP|VSUMN|VSUMD|VOLUME)\d"),
-    ("量价配合", r"^(CORR|CORD)\d"),
-    ("价格基准", r"^(OPEN|HIGH|LOW|CLOSE|VWAP)\d"),
+    (r"^K(MID|LEN|UP|LOW|SFT)", "K线形态"),
+    (r"^(ROC|MA|BETA|RSQR|RESI)\d", "趋势动量"),
+    (r"^(STD|MAX|MIN|QTLU|QTLD|RANK|RSV|IMAX|IMIN|IMXD)\d", "波动与位置"),
+    (r"^(CNTP|CNTN|CNTD|SUMP|SUMN|SUMD)\d", "涨跌强弱"),
+    (r"^(VMA|VSTD|WVMA|VSUMP|VSUMN|VSUMD|VOLUME)\d", "量能结构"),
+    (r"^(CORR|CORD)\d", "量价配合"),
+    (r"^(OPEN|HIGH|LOW|CLOSE|VWAP)\d", "价格基准"),
 )
 OTHER_GROUP = "其他"
-CORE = tuple(
-    """KMID KLEN KUP KLOW KSFT ROC5 ROC10 ROC20 ROC60 MA5 MA10 MA20 MA60 STD5 STD20 STD60 BETA20 BETA60 RSQR20 RSQR60 RESI20
-    MAX20 MIN20 QTLU20 QTLD20 RANK20 RANK60 RSV20 IMAX20 IMIN20 IMXD20 CORR10 CORR20 CORR60 CORD20 CNTP20 CNTN20 CNTD20
-    SUMP20 SUMN20 SUMD20 SUMD60 VMA5 VMA20 VSTD20 WVMA20 VSUMP20 VSUMD20""".split()
-)
+CORE = (
+    "KMID", "KLEN", "KUP", "KLOW", "KSFT", "ROC5", "ROC10", "ROC20", "ROC60", "MA5", "MA10", "MA20", "MA60", "STD5", "STD20", "STD60", "BETA20",
+    "BETA60", "RSQR20", "RSQR60", "RESI20", "MAX20", "MIN20", "QTLU20", "QTLD20", "RANK20", "RANK60", "RSV20", "IMAX20", "IMIN20", "IMXD20", "CORR10",
+    "CORR20", "CORR60", "CORD20", "CNTP20", "CNTN20", "CNTD20", "SUMP20", "SUMN20", "SUMD20", "SUMD60", "VMA5", "VMA20", "VSTD20", "WVMA20",
+    "VSUMP20", "VSUMD20",
+)
 
 
 def factor_group(name: Column) -> Column:
     """Group of a factor by its name, the first whose pattern fits."""
-    return F.coalesce(*[F.when(name.rlike(pattern), group) for group, pattern in GROUPS], F.lit(OTHER_GROUP))
+    return F.coalesce(*[F.when(name.rlike(pattern), group) for pattern, group in GROUPS], F.lit(OTHER_GROUP))
 
 
 def core_factors(available: Sequence[str], core: Sequence[str] = CORE, fallback: int = 60) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.functions.text import normalised_title
+from quantfeed.functions.text import normalised_title, without_alert_prefix
 from quantfeed.functions.timestamps import is_fresh, is_future
 
 #: Hours that a sent key is remembered, and the most keys kept.
@@ -31,14 +31,27 @@ def drop_reason(ref: Column, window_minutes: int, seen: Column, date_allowed: Co
     )
 
 
-def judged(items: DataFrame, ledger: DataFrame, ref: Column, window_minutes: int, limit: int = 0, date_sources: tuple[str, ...] = ()) -> DataFrame:
+def active(items: DataFrame, sources: DataFrame, chosen: tuple[str, ...] = ()) -> DataFrame:
+    """Items of sources that aren't disabled, and that are chosen if any are; adds the source's date_only.
+
+    ``sources``: a row (source, disabled, date_only) for each; items of others aren't taken.
+    """
+    on = sources.filter(~F.coalesce("disabled", F.lit(False)))
+    if chosen:
+        on = on.filter(F.col("source").isin(*chosen))
+    return items.join(on.select("source", F.coalesce("date_only", F.lit(False)).alias("date_only")), "source")
+
+
+def judged(items: DataFrame, ledger: DataFrame, ref: Column, window_minutes: int, limit: int = 0, date_allowed: Column | None = None) -> DataFrame:
     """Items (source, ord, key, ...) with reason and kept, in collection order up to each source's limit.
 
-    Rows after a source's ``limit``-th valid one aren't looked at, so they count nowhere. The running
-    count of valid rows is taken per block of the order, so a source's rows may be spread out.
+    Rows after a source's ``limit``-th valid one aren't looked at: they are neither kept nor dropped for
+    a reason, only fetched (reason ``unread``). The running count of valid rows is taken per block of
+    the order, so a source's rows may be spread out.
     """
     sent = ledger.select("key").distinct().withColumn("_seen", F.lit(True))
-    x = items.join(sent, "key", "left").withColumn("reason", drop_reason(ref, window_minutes, F.coalesce("_seen", F.lit(False)), F.col("source").isin(*date_sources) if date_sources else F.lit(False))).drop("_seen")
+    allowed = F.lit(False) if date_allowed is None else date_allowed
+    x = items.join(sent, "key", "left").withColumn("reason", drop_reason(ref, window_minutes, F.coalesce("_seen", F.lit(False)), allowed)).drop("_seen")
     x = x.withColumn("kept", F.col("reason").isNull())
     if not limit:
         return x
@@ -49,12 +62,13 @@ def judged(items: DataFrame, ledger: DataFrame, ref: Column, window_minutes: int
     inside = Window.partitionBy("source", "_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     x = x.join(counts.withColumn("_before", before).drop("_c"), ["source", "_block"])
     nth = F.col("_before") + F.count_if("kept").over(inside)
-    x = x.withColumn("_nth", nth).filter((F.col("_nth") < limit) | ((F.col("_nth") == limit) & F.col("kept")))
-    return x.drop("_block", "_before", "_nth")
+    x = x.withColumn("_nth", nth).withColumn("_read", (F.col("_nth") < limit) | ((F.col("_nth") == limit) & F.col("kept")))
+    x = x.withColumns({"reason": F.when(F.col("_read"), F.col("reason")).otherwise("unread"), "kept": F.col("kept") & F.col("_read")})
+    return x.drop("_block", "_before", "_nth", "_read")
 
 
 def counters(judged_items: DataFrame) -> DataFrame:
-    """Per source: fetched, kept and each counted reason."""
+    """Per source: fetched (all that came in), kept and each counted reason."""
     named = {"dropped_no_time": "no_time", "dropped_future": "future", "dropped_stale": "stale", "dropped_seen": "seen"}
     return judged_items.groupBy("source").agg(F.count("*").alias("fetched"), F.count_if("kept").alias("kept"), *[F.count_if(F.col("reason") == r).alias(k) for k, r in named.items()])
 
@@ -80,15 +94,42 @@ def capped(placed: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
     """
     if not cap:
         return placed
+    placed = placed.filter(F.col("place") <= cap)
     counts = placed.groupBy("source").agg(F.count("*").alias("_n")).join(sources.select("source", "rank"), "source")
     first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("rank", "source")) - F.col("_n"))
     return placed.join(first.select("source", "_first"), "source").filter(F.col("_first") + F.col("place") <= cap).drop("_first")
 
 
+def signals_first(items: DataFrame) -> DataFrame:
+    """Adds each item's place in its source: signals first, then newest, then collection order.
+
+    Reads signal (boolean). Signals and others are placed apart, so a source's items meet in slots only.
+    """
+    x = newest_first(items.withColumn("_source", F.col("source")).withColumn("source", F.concat_ws("\x00", "source", F.when(F.col("signal"), "0").otherwise("1"))))
+    x = x.withColumn("source", F.col("_source")).drop("_source")
+    ahead = items.groupBy("source").agg(F.count_if("signal").alias("_ahead"))
+    return x.join(ahead, "source").withColumn("place", F.col("place") + F.when(F.col("signal"), 0).otherwise(F.col("_ahead"))).drop("_ahead")
+
+
+def digest_head(kept: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row (total, source, ord, title, published_at): how many items, and the newest of them.
+
+    Of equal stamps the source with the lower rank comes first, then the item collected first.
+    """
+    x = kept.join(sources.select("source", "rank"), "source")
+    order = F.struct("published_at", (-F.col("rank")).alias("r"), (-F.col("ord")).alias("o"))
+    top = x.agg(F.count("*").alias("total"), F.max_by(F.struct("source", "ord", "title", "published_at"), order).alias("_top"))
+    return top.select("total", "_top.*")
+
+
 def distinct_titles(items: DataFrame) -> DataFrame:
-    """One item of each normalised title and source, the first in collection order."""
-    w = Window.partitionBy("source", normalised_title(F.col("title"))).orderBy("ord")
-    return items.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One item of each title and source, the first in collection order; a repeated-alert prefix doesn't count.
+
+    First places come from an aggregation, so a title that comes a million times meets in no task.
+    """
+    x = items.withColumn("title", without_alert_prefix(F.trim(F.coalesce("title", F.lit(""))))).filter("title <> ''")
+    first = x.groupBy("source", "title").agg(F.min("ord").alias("ord"))
+    return x.join(first, ["source", "title", "ord"], "left_semi")
 
 
 def updated_ledger(ledger: DataFrame, sent: DataFrame, ref: Column, hours: int = LEDGER_HOURS, most: int = LEDGER_KEYS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import divide
@@ -24,11 +24,14 @@ def z_scored(panel: DataFrame, factor: str, by: str = "day") -> DataFrame:
 
 
 def neutralised(panel: DataFrame, factor: str, size: str, industry: str, by: str = "day") -> DataFrame:
-    """Residual of the factor on size and industry: both are centred within the industry, then one slope a day."""
+    """Residual of the factor on size and industry: both are centred within the industry, then one slope a day.
+
+    On a day whose sizes don't differ within any industry (but for rounding) the slope is 0.
+    """
     rows = panel.filter(F.col(factor).isNotNull() & F.col(size).isNotNull())
     means = rows.groupBy(by, industry).agg(F.avg(factor).alias("_f"), F.avg(size).alias("_z"))
     x = rows.join(means, [by, industry]).withColumns({"_y": F.col(factor) - F.col("_f"), "_x": F.col(size) - F.col("_z")})
-    slope = x.groupBy(by).agg(F.coalesce(F.try_divide(F.sum(F.col("_x") * F.col("_y")), F.sum(F.col("_x") * F.col("_x"))), F.lit(0.0)).alias("_b"))
+    slope = x.groupBy(by).agg(F.when(F.sum(F.col("_x") * F.col("_x")) > 1e-9, F.sum(F.col("_x") * F.col("_y")) / F.sum(F.col("_x") * F.col("_x"))).otherwise(0.0).alias("_b"))
     return x.join(slope, by).withColumn("residual", F.col("_y") - F.col("_b") * F.col("_x")).drop("_f", "_z", "_y", "_x", "_b")
 
 
@@ -53,6 +56,42 @@ def quantile_returns(panel: DataFrame, factor: str, forward: str, groups: int =
     return rows.withColumn("bucket", g).groupBy("bucket").agg(F.count("*").alias("n"), F.avg(forward).alias("mean_return"))
 
 
+def quantile_spread(groups: DataFrame) -> DataFrame:
+    """One row (top, bottom, spread, rising, monotone) of what quantile_returns gives.
+
+    rising: how many of the steps from a group to the next higher one raise the mean; monotone: all of them.
+    """
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct("bucket", "mean_return"))).alias("g")).select(F.col("g.mean_return").alias("m"))
+    steps = F.transform(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), lambda x, i: x > F.element_at("m", i + 1))
+    rising = F.size(F.filter(steps, lambda s: s))
+    x = listed.filter(F.size("m") > 0)
+    return x.select(F.element_at("m", -1).alias("top"), F.element_at("m", 1).alias("bottom"), (F.element_at("m", -1) - F.element_at("m", 1)).alias("spread"), rising.alias("rising"), (rising == F.size("m") - 1).alias("monotone"))
+
+
+def tradable(bars: DataFrame, limit: float = 10.0, by: str = "code", order: str = "day") -> DataFrame:
+    """Rows whose close is neither at the day's upper nor lower limit: ``limit`` percent from the close before, to the cent.
+
+    A code's first row has no limit and stays.
+    """
+    before = F.lag("close").over(Window.partitionBy(by).orderBy(order))
+    step = limit / 100
+    at_limit = (F.col("close") >= F.round(before * (1 + step), 2)) | (F.col("close") <= F.round(before * (1 - step), 2))
+    return bars.withColumn("_at_limit", F.coalesce(at_limit, F.lit(False))).filter(~F.col("_at_limit")).drop("_at_limit")
+
+
+def value_ratios(price: str = "price", earnings: str = "earnings", book: str = "book") -> dict[str, Column]:
+    """Earnings yield and book to price; null for a missing or zero price."""
+    return {"pe_inverse": divide(F.col(earnings), F.col(price)), "pb_inverse": divide(F.col(book), F.col(price))}
+
+
+def revision(estimates: DataFrame, value: str, key: str = "code", at: str = "day", days: int = 30, order: tuple[str, ...] = ()) -> DataFrame:
+    """Adds revision: the estimate against the one known ``days`` before, as a share of that."""
+    past = estimates.select(F.col(key), F.col(at).alias("_known"), F.col(value).alias("_past"), *[F.col(o).alias(f"_past_{o}") for o in order])
+    asking = estimates.withColumn("_at_past", F.col(at) - F.expr(f"INTERVAL {days} DAY"))
+    x = as_of(asking, past, key, "_at_past", "_known", ("_past",), tuple(f"_past_{o}" for o in order))
+    return x.withColumn("revision", divide(F.col(value) - F.col("_past"), F.col("_past"))).drop("_at_past", "_past")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, values: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
     """Adds the newest values of ``right`` that were known at each row of ``left``.
 

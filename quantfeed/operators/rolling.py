@@ -22,6 +22,10 @@ class Rolling:
             raise ValueError("a window has at least one row")
         return self.rows.rowsBetween(1 - n, 0)
 
+    def now(self, x: Column) -> Column:
+        """The value in the row that a factor is for."""
+        return x
+
     def full(self, n: int, *xs: Column) -> Column:
         given = F.lit(True)
         for x in xs:
@@ -119,6 +123,84 @@ class Rolling:
         return self._gated(total / (n * (n + 1) / 2), n, x)
 
 
+class Latest:
+    """The operators of Rolling for each series' newest row alone, as aggregates over a group of rows.
+
+    On the newest row a window is what is at most n rows old, so every factor is a conditional aggregate
+    and no frame slides. Rows carry their age (1 for the newest) and, for rank, the newest value.
+    """
+
+    def __init__(self, age: str = "_age", newest: str = "_newest"):
+        self.age, self.newest = F.col(age), F.col(newest)
+
+    def within(self, x: Column, n: int) -> Column:
+        if n < 1:
+            raise ValueError("a window has at least one row")
+        return F.when(self.age <= n, x)
+
+    def now(self, x: Column) -> Column:
+        return self.ref(x, 0)
+
+    def ref(self, x: Column, n: int) -> Column:
+        if n < 0:
+            raise ValueError("looking ahead is not allowed")
+        return F.max(F.when(self.age == n + 1, x))
+
+    def _gated(self, value: Column, n: int, *xs: Column) -> Column:
+        given = F.lit(True)
+        for x in xs:
+            given = given & (F.count(self.within(x, n)) == n)
+        return F.when(given, finite(value))
+
+    def mean(self, x: Column, n: int) -> Column:
+        return self._gated(F.avg(self.within(x, n)), n, x)
+
+    def sum(self, x: Column, n: int) -> Column:
+        return self._gated(F.sum(self.within(x, n)), n, x)
+
+    def std(self, x: Column, n: int) -> Column:
+        return self._gated(F.stddev_samp(self.within(x, n)), n, x)
+
+    def max(self, x: Column, n: int) -> Column:
+        return self._gated(F.max(self.within(x, n)), n, x)
+
+    def min(self, x: Column, n: int) -> Column:
+        return self._gated(F.min(self.within(x, n)), n, x)
+
+    def quantile(self, x: Column, n: int, q: float) -> Column:
+        return self._gated(F.percentile(self.within(x, n), F.lit(q)), n, x)
+
+    def rank(self, x: Column, n: int) -> Column:
+        return self._gated(F.count(self.within(F.when(x <= self.newest, 1), n)) / F.lit(float(n)), n, x)
+
+    def idx_max(self, x: Column, n: int) -> Column:
+        oldest = F.max_by(self.age, self.within(F.struct(x, self.age), n))
+        return self._gated((n + 1 - oldest).cast("double"), n, x)
+
+    def idx_min(self, x: Column, n: int) -> Column:
+        oldest = F.min_by(self.age, self.within(F.struct(x, -self.age), n))
+        return self._gated((n + 1 - oldest).cast("double"), n, x)
+
+    def _varies(self, x: Column, n: int) -> Column:
+        return F.max(self.within(x, n)) > F.min(self.within(x, n))
+
+    def corr(self, x: Column, y: Column, n: int) -> Column:
+        a, b = self.within(x, n), self.within(y, n)
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        return F.when(self._varies(x, n) & self._varies(y, n), self._gated(r, n, x, y))
+
+    def slope(self, x: Column, n: int, i: Column) -> Column:
+        if n == 1:
+            return F.when(self.now(x).isNotNull(), F.lit(0.0))
+        return self._gated(F.regr_slope(self.within(x, n), self.within(i, n)), n, x)
+
+    def rsquare(self, x: Column, n: int, i: Column) -> Column:
+        return F.when(self._varies(x, n), self._gated(F.regr_r2(self.within(x, n), self.within(i, n)), n, x))
+
+    def resi(self, x: Column, n: int, i: Column) -> Column:
+        return self.now(x) - (self.mean(x, n) + self.slope(x, n, i) * ((n - 1) / 2))
+
+
 def with_row_number(df: DataFrame, name: str = "i", by: str = "code", order: str = "day") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order)).cast("double"))
 
@@ -136,6 +218,17 @@ def log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def power(a: Column, b: Column) -> Column:
+    """a to the power of b; null where that is no finite number."""
+    return finite(F.pow(a, b))
+
+
+def compare(a: Column, op: str, b: Column) -> Column:
+    """1.0 or 0.0 for one of > < >= <= == !=; null where a side is missing."""
+    made = {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b, "==": a == b, "!=": a != b}
+    return truth(made[op])
+
+
 def when_true(c: Column, a: Column, b: Column) -> Column:
     """a where c isn't zero, b where it is, null where it is missing."""
     return F.when(c.isNull(), None).when(c != 0, a).otherwise(b)

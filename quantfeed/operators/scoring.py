@@ -75,6 +75,19 @@ def ranked(profiles: DataFrame, within: tuple[str, ...] = ("day",), by: str = "c
     return profiles.filter(F.col(by).isNotNull()).withColumn("place", F.row_number().over(w))
 
 
+def ranked_overall(profiles: DataFrame, by: str = "composite", tie: str = "code") -> DataFrame:
+    """Place by falling composite over all rows that have one.
+
+    A composite has one decimal, so at most 1,001 values: counts of values give each its first place, and
+    only rows of one value are put in order together.
+    """
+    x = profiles.filter(F.col(by).isNotNull())
+    counts = x.groupBy(by).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(F.desc(by))) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(by).orderBy(tie))
+    return x.withColumn("_inside", inside).join(before, by).withColumn("place", (F.col("_before") + F.col("_inside")).cast("int")).drop("_before", "_inside")
+
+
 def compared(profiles: DataFrame, benchmark: DataFrame, group: tuple[str, ...] = ("board", "day"), spread: float = 30.0) -> DataFrame:
     """Mean composite of each group, the benchmark's mean of the day, gap, spread and whether the group diverges."""
     mine = profiles.groupBy(*group).agg(F.count("composite").alias("scored"), F.avg("composite").alias("mean"), (F.max("composite") - F.min("composite")).alias("spread"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import number
+from quantfeed.functions.text import joined
 
 
 def bond_alerts(bonds: DataFrame, snapshot: str, today: Column, move: float = 5.0, movers: int = 6, cheapest: int = 5) -> DataFrame:
@@ -38,6 +39,38 @@ def bond_line(name: Column, code: Column, change: Column, kind: Column) -> Colum
     return F.concat(F.concat_ws(" ", F.concat(name, F.lit("("), code.cast("string"), F.lit(")")), moved), F.lit(" · "), kind)
 
 
+def limit_up_line(name: Column, code: Column, streak: Column, reason: Column) -> Column:
+    """Title of a stock at its limit: name and code, then the streak and the reason where known."""
+    return joined(" · ", F.concat(name, F.lit("("), code, F.lit(") 封板")), streak, reason)
+
+
+def limit_up_details(change: Column, turnover: Column, amount: Column, openings: Column) -> Column:
+    parts = [
+        F.when(change.isNotNull(), F.format_string("涨幅 %.2f%%", change)),
+        F.when(turnover.isNotNull(), F.format_string("换手 %.2f%%", turnover)),
+        F.when(amount != 0, F.format_string("封单 %.2f亿", amount / 1e8)),
+        F.when(openings != 0, F.format_string("开板 %d 次", openings)),
+    ]
+    return F.concat_ws("，", *parts)
+
+
+def research_line(org: Column, title: Column) -> Column:
+    """Title of a research report: after its house where known."""
+    return joined("·", org, title)
+
+
+def forecast_line(stock: Column, code: Column, org: Column, title: Column) -> Column:
+    """Title of a forecast: stock with its code, house and title."""
+    name = F.coalesce(F.trim(stock), F.lit(""))
+    head = F.when((name != "") & (F.coalesce(F.trim(code), F.lit("")) != ""), F.concat(name, F.lit("("), F.trim(code), F.lit(")"))).otherwise(name)
+    return F.trim(F.concat(head, F.lit(" "), F.coalesce(F.trim(org), F.lit("")), F.lit("·"), F.coalesce(F.trim(title), F.lit(""))))
+
+
+def forecast_details(rating: Column, earnings: Column, ratio: Column) -> Column:
+    said = lambda label, x: F.when(F.coalesce(F.trim(x), F.lit("")) != "", F.concat(F.lit(label), F.trim(x)))
+    return F.concat_ws("，", said("评级 ", rating), said("今年EPS预测 ", earnings), said("对应PE ", ratio))
+
+
 def _top(rows: DataFrame, snapshot: str, n: int, *order) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(snapshot).orderBy(*order))).filter(F.col("_place") <= n)
 

@@ -16,6 +16,7 @@ from quantfeed.operators import catalog, feeds, reports, research, scoring, snap
 from quantfeed.operators import rolling as rl
 from quantfeed.sources import bars as br
 from quantfeed.sources import payloads
+from quantfeed.streaming import digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,7 +71,7 @@ def _frames(*ns: int) -> str:
     return "WINDOW w AS (PARTITION BY code ORDER BY day), " + ", ".join(f"w{n} AS (PARTITION BY code ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in ns)
 
 
-_NS = (5, 20)
+_NS = catalog.WINDOWS
 
 
 def _op_sql(make: Callable[[int], dict[str, str]]) -> str:
@@ -171,8 +172,8 @@ def factor_elementwise(spark, sf_dir):
     return rounded(x)
 
 
-def _panel_sql(names: tuple[str, ...] | None) -> str:
-    """All factors as SQL over the newest rows of each code."""
+def _panel_sql(names: tuple[str, ...] | None, bars_sql: str = BARS) -> str:
+    """All factors as SQL over the newest rows of each code with enough of them."""
     e = "1e-12"
     span, top, bottom = f"(high - low + {e})", "greatest(open, close)", "least(open, close)"
     cols = {"KMID": "(close-open)/open", "KLEN": "(high-low)/open", "KMID2": f"(close-open)/{span}", "KUP": f"(high-{top})/open", "KUP2": f"(high-{top})/{span}", "KLOW": f"({bottom}-low)/open", "KLOW2": f"({bottom}-low)/{span}", "KSFT": "(2*close-high-low)/open", "KSFT2": f"(2*close-high-low)/{span}"}
@@ -217,8 +218,8 @@ def _panel_sql(names: tuple[str, ...] | None) -> str:
         }
     lists = ", ".join(f"list(close) OVER w{d} AS lc{d}, list(high) OVER w{d} AS lh{d}, list(low) OVER w{d} AS ll{d}" for d in catalog.WINDOWS)
     wanted = names or tuple(cols)
-    return f"""{BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS age FROM bars),
-p AS (SELECT *, CAST(row_number() OVER w AS DOUBLE) AS i, lag(close) OVER w AS c1, lag(volume) OVER w AS v1 FROM n WHERE age <= {catalog.LOOKBACK} WINDOW w AS (PARTITION BY code ORDER BY day)),
+    return f"""{bars_sql}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS age, count(*) OVER (PARTITION BY code) AS bars_held FROM bars),
+p AS (SELECT *, CAST(row_number() OVER w AS DOUBLE) AS i, lag(close) OVER w AS c1, lag(volume) OVER w AS v1 FROM n WHERE age <= {catalog.LOOKBACK} AND bars_held >= {catalog.MIN_BARS} WINDOW w AS (PARTITION BY code ORDER BY day)),
 q AS (SELECT *, ln(volume + 1) AS lv, close / c1 AS ret, ln(volume / v1 + 1) AS lr, CAST(close > c1 AS DOUBLE) AS up, CAST(close < c1 AS DOUBLE) AS down,
   CASE WHEN c1 IS NOT NULL THEN greatest(close - c1, 0) END AS gain, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - close, 0) END AS loss, abs(close - c1) AS move,
   CASE WHEN v1 IS NOT NULL THEN greatest(volume - v1, 0) END AS vgain, CASE WHEN v1 IS NOT NULL THEN greatest(v1 - volume, 0) END AS vloss, abs(volume - v1) AS vmove, abs(close / c1 - 1) * volume AS wv FROM p),
@@ -228,9 +229,8 @@ latest AS (SELECT * EXCLUDE (age) FROM f WHERE age = 1)"""
 
 
 def latest_panel(spark, sf_dir, names=None) -> DataFrame:
-    """Factors of each code's newest day; only the rows that they look back to are kept before the windows."""
-    recent = rl.last_rows(bars(spark, sf_dir), catalog.LOOKBACK)
-    return rl.last_rows(catalog.factors(recent, names), 1)
+    """Factors of each code's newest day."""
+    return catalog.latest_factors(bars(spark, sf_dir), names)
 
 
 @query(f"WITH {_panel_sql(None)} SELECT code, day, {', '.join(_r(k, k) for k in (*catalog.CANDLE, *catalog.PRICE, *(f'{k}{d}' for d in catalog.WINDOWS for k in catalog.FAMILIES)))} FROM latest")
@@ -274,8 +274,7 @@ def profiles(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_PROFILE} SELECT code, day, {', '.join(_SCORES)}, composite, row_number() OVER (ORDER BY composite DESC, code) AS place FROM profile WHERE composite IS NOT NULL")
 def composite_ranking(spark, sf_dir):
-    ranked = scoring.ranked(profiles(spark, sf_dir).withColumn("all", F.lit(1)), ("all",))
-    return ranked.select("code", "day", *scoring.DIMENSIONS, "composite", "place")
+    return scoring.ranked_overall(profiles(spark, sf_dir)).select("code", "day", *scoring.DIMENSIONS, "composite", "place")
 
 
 _SUPPLIERS = "SELECT s_suppkey AS code, s_name AS name, n_name AS board, r_name AS kind, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -345,15 +344,15 @@ def items(spark, sf_dir) -> DataFrame:
         F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(t, "yyyy/MM/dd HH:mm")).when(k == 2, F.date_format(t, "yyyyMMdd"))
         .when(k == 3, F.unix_timestamp(t).cast("string")).when(k == 4, F.date_format(t, "yyyy年MM月dd日 HH:mm")).otherwise("")
     )
-    x = table(spark, sf_dir, "events").withColumn("raw_time", raw).withColumn("p", ts.parse(F.col("raw_time"), reference(spark, sf_dir)))
+    x = table(spark, sf_dir, "events").withColumns({"raw_time": raw, "_ref": reference(spark, sf_dir)}).withColumn("p", ts.parse(F.col("raw_time"), F.col("_ref")))
     title = F.when(F.col("event_id") % 50 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" Item  "), F.col("user_id").cast("string")))
     return x.select(F.col("event_type").alias("source"), F.col("event_id").alias("ord"), title.alias("title"), F.lit(None).cast("string").alias("url"), F.col("p.ts").alias("published_at"), F.col("p.quality").alias("time_quality"), "raw_time").withColumn("key", tx.dedupe_key(F.col("url"), F.col("source"), F.col("title")))
 
 
 def reference(spark, sf_dir):
-    """The time at which the feeds count as read: a day after the middle of the events' span."""
-    lo, hi = table(spark, sf_dir, "events").agg(F.min("ts").cast("timestamp"), F.max("ts").cast("timestamp")).select(F.unix_micros(F.expr("`CAST(min(ts) AS TIMESTAMP)`")), F.unix_micros(F.expr("`CAST(max(ts) AS TIMESTAMP)`"))).first()
-    return F.timestamp_micros(F.lit((lo + hi) // 2))
+    """The time at which the feeds count as read, the middle of the events' span, as a scalar subquery."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").agg(F.timestamp_micros(F.floor((F.min(t) + F.max(t)) / 2)).alias("ref")).scalar()
 
 
 _ITEMS = f"""r AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS ref FROM events),
@@ -371,13 +370,13 @@ judged AS (SELECT k.*, CASE WHEN trim(title) = '' THEN 'blank' WHEN published_at
   WHEN time_quality = 'date' AND source <> 'view' THEN 'no_time' WHEN published_at < ref - INTERVAL 14400 MINUTE THEN 'stale' WHEN s.key IS NOT NULL THEN 'seen' END AS reason
   FROM keyed k LEFT JOIN seen s USING (key), r),
 nth AS (SELECT *, reason IS NULL AS kept, count(*) FILTER (WHERE reason IS NULL) OVER (PARTITION BY source ORDER BY ord) AS n FROM judged),
-lim AS (SELECT * FROM nth WHERE n < 40 OR (n = 40 AND kept))"""
+lim AS (SELECT * EXCLUDE (kept, reason), kept AND n <= 40 AS kept, CASE WHEN n < 40 OR (n = 40 AND kept) THEN reason END AS reason FROM nth)"""
 
 
 def judged(spark, sf_dir) -> DataFrame:
     x = items(spark, sf_dir)
     ledger = x.filter("ord % 97 = 0").select("key")
-    return feeds.judged(x, ledger, reference(spark, sf_dir), 14_400, limit=40, date_sources=("view",))
+    return feeds.judged(x, ledger, reference(spark, sf_dir), 14_400, limit=40, date_allowed=F.col("source") == "view")
 
 
 @query(f"WITH {_JUDGED} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE kept) AS kept, {', '.join(f'count(*) FILTER (WHERE reason = {chr(39)}{r}{chr(39)}) AS dropped_{r}' for r in ('no_time', 'future', 'stale', 'seen'))} FROM lim GROUP BY source")
@@ -412,7 +411,7 @@ _JUDGED_ALL = f"""{_JUDGED[: _JUDGED.index("nth AS")]}lim AS (SELECT *, reason I
 
 def judged_all(spark, sf_dir) -> DataFrame:
     x = items(spark, sf_dir)
-    return feeds.judged(x, x.filter("ord % 97 = 0").select("key"), reference(spark, sf_dir), 14_400, date_sources=("view",))
+    return feeds.judged(x, x.filter("ord % 97 = 0").select("key"), reference(spark, sf_dir), 14_400, date_allowed=F.col("source") == "view")
 
 
 @query(f"WITH {_JUDGED_ALL} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE kept) AS kept, {', '.join(f'count(*) FILTER (WHERE reason = {chr(39)}{r}{chr(39)}) AS dropped_{r}' for r in ('no_time', 'future', 'stale', 'seen'))} FROM lim GROUP BY source")
@@ -437,7 +436,8 @@ def ledger_update_all(spark, sf_dir):
 
 #: Rules with words that occur in the given texts; the defaults are for Chinese titles.
 WORD_RULES = (("worthless", 90, "scam"), ("the", 40, "plain"), ("und", 60, "german"), ("que", 60, "romance"), ("thion", 70, "odd"), ("@", 85, "contact"))
-PHRASES = ((r"\b(the|and) (of|in)\b", "pair", "<pair>"), (r"[0-9]{4,}", "digits", "<n>"), (r"ch+(eit|keit)", "suffix", "<s>"))
+#: The fourth finds what the first two wrote; the fifth finds less than it would in the original.
+PHRASES = ((r"\b(the|and) (of|in)\b", "pair", "<pair>"), (r"[0-9]{4,}", "digits", "<n>"), (r"ch+(eit|keit)", "suffix", "<s>"), (r"<(pair|n)>", "mark", "[mark]"), (r"\b(of|in) [a-z]+", "after", "[after]"))
 
 
 @query(
@@ -450,18 +450,21 @@ def event_risk(spark, sf_dir):
     return x.groupBy("source", F.col("e.category").alias("category")).agg(F.count("*").alias("events"), F.max("e.severity").alias("severity"), reports.risk_level(F.max("e.severity")).alias("risk"))
 
 
-@query(
-    """WITH h AS (SELECT conv_id, turn, 'pair' AS category, regexp_extract_all(text, '\\b(the|and) (of|in)\\b') AS m FROM conversations UNION ALL SELECT conv_id, turn, 'digits', regexp_extract_all(text, '[0-9]{4,}') FROM conversations UNION ALL SELECT conv_id, turn, 'suffix', regexp_extract_all(text, 'ch+(eit|keit)') FROM conversations)
-SELECT conv_id, turn, category, CAST(len(m) AS BIGINT) AS hits FROM h WHERE len(m) > 0"""
-)
+def _rewriting(table_name: str, keys: str) -> str:
+    """CTEs r0, r1, ...: the text after each rule, with the rule's matches in the text before."""
+    steps = [f"r0 AS (SELECT {keys}, text AS t FROM {table_name})"]
+    for i, (pattern, _, replacement) in enumerate(PHRASES):
+        steps.append(f"r{i + 1} AS (SELECT * REPLACE (regexp_replace(t, '{pattern}', '{replacement}', 'g') AS t), CAST(len(regexp_extract_all(t, '{pattern}')) AS BIGINT) AS m{i} FROM r{i})")
+    return "WITH " + ", ".join(steps)
+
+
+@query(f"{_rewriting('conversations', 'conv_id, turn')} " + " UNION ALL ".join(f"SELECT conv_id, turn, '{c}' AS category, m{i} AS hits FROM r{len(PHRASES)} WHERE m{i} > 0" for i, (_, c, _) in enumerate(PHRASES)))
 def phrase_hits(spark, sf_dir):
     x = reports.reviewed(table(spark, sf_dir, "conversations"), rules=PHRASES)
     return x.select("conv_id", "turn", F.explode("hits").alias("h")).groupBy("conv_id", "turn", F.col("h.category").alias("category")).agg(F.count("*").alias("hits"))
 
 
-@query(
-    """SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\\b(the|and) (of|in)\\b', '<pair>', 'g'), '[0-9]{4,}', '<n>', 'g'), 'ch+(eit|keit)', '<s>', 'g')) AS rewritten FROM documents"""
-)
+@query(f"{_rewriting('documents', 'doc_id')} SELECT doc_id, md5(t) AS rewritten FROM r{len(PHRASES)}")
 def phrase_rewrites(spark, sf_dir):
     return reports.reviewed(table(spark, sf_dir, "documents"), rules=PHRASES).select("doc_id", F.md5("rewritten").alias("rewritten"))
 
@@ -480,7 +483,7 @@ def merged_reports(spark, sf_dir):
     return reports.merged_totals(reports.merged(table(spark, sf_dir, "documents"), "source"), "source")
 
 
-@query("WITH l AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) - 1 AS ord, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS li FROM pages) SELECT page_id, CAST(ord AS INT) AS ord, 'http://x' || regexp_extract(li, 'href=\"([^\"]+)\"', 1) AS url, trim(regexp_extract(li, '<a[^>]*>(.*?)</a>', 1)) AS title FROM l WHERE regexp_extract(li, 'href=\"([^\"]+)\"', 1) <> ''")
+@query("WITH l AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) - 1 AS ord, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS li FROM pages) SELECT page_id, CAST(ord AS INT) AS ord, 'http://x/' || ltrim(regexp_extract(li, 'href=\"([^\"]+)\"', 1), '/') AS url, trim(regexp_extract(li, '<a[^>]*>(.*?)</a>', 1)) AS title FROM l WHERE regexp_extract(li, 'href=\"([^\"]+)\"', 1) <> ''")
 def page_links(spark, sf_dir):
     return payloads.parse_links(table(spark, sf_dir, "pages").select("page_id", "html"), base="http://x").select("page_id", "ord", "url", "title")
 
@@ -508,13 +511,10 @@ def research_winsor_z(spark, sf_dir):
 
 @query(
     f"""WITH {_MONTH}, r AS (SELECT * FROM panel WHERE factor IS NOT NULL AND size IS NOT NULL), d AS (SELECT *, factor - avg(factor) OVER v AS y, size - avg(size) OVER v AS x FROM r WINDOW v AS (PARTITION BY day, industry)),
-b AS (SELECT day, coalesce(sum(x * y) / nullif(sum(x * x), 0), 0) AS b, sum(x * x) AS sx FROM d GROUP BY day) SELECT code, day, round(y - b * x, 4) AS residual FROM d JOIN b USING (day) WHERE sx > 1e-9"""
+b AS (SELECT day, CASE WHEN sum(x * x) > 1e-9 THEN sum(x * y) / sum(x * x) ELSE 0 END AS b FROM d GROUP BY day) SELECT code, day, round(y - b * x, 6) AS residual FROM d JOIN b USING (day)"""
 )
 def research_neutral(spark, sf_dir):
-    rows = research_panel(spark, sf_dir).filter("factor is not null and size is not null")
-    means = rows.groupBy("day", "industry").agg(F.avg("size").alias("m"))
-    varied = rows.join(means, ["day", "industry"]).groupBy("day").agg(F.sum((F.col("size") - F.col("m")) ** 2).alias("sx")).filter("sx > 1e-9").select("day")
-    return research.neutralised(rows.join(varied, "day", "left_semi"), "factor", "size", "industry").select("code", "day", F.round("residual", 4).alias("residual"))
+    return rounded(research.neutralised(research_panel(spark, sf_dir), "factor", "size", "industry").select("code", "day", "residual"))
 
 
 @query(
@@ -542,9 +542,8 @@ def research_as_of(spark, sf_dir):
 
 @query("WITH w AS (SELECT event_type AS source, epoch_us(ts) AS us FROM events), s AS (SELECT source, us - us % 1800000000 - 1800000000 * k AS start FROM w, (SELECT unnest(range(0, 6)) AS k)) SELECT source, start AS window_start, count(*) AS items FROM s GROUP BY ALL")
 def sliding_counts(spark, sf_dir):
-    x = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("t"))
-    x = x.groupBy(F.window("t", "180 minutes", "30 minutes").alias("w"), "source").agg(F.count("*").alias("items"))
-    return x.select("source", F.unix_micros("w.start").alias("window_start"), "items")
+    x = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("published_at"))
+    return digest.sliding(x).select("source", F.unix_micros("window_start").alias("window_start"), "items")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS raw, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, epoch_us(ts) // 1800000000 * 1800000000 AS slot, dayofweek(ts) BETWEEN 1 AND 5 AND hour(ts) * 60 + minute(ts) BETWEEN 570 AND 910 AS trading, hour(ts) >= 23 OR hour(ts) < 7 AS quiet FROM events")
@@ -600,23 +599,22 @@ def dimension_classes(spark, sf_dir):
     return x.select("code", "day", *[v.alias(k) for k, v in scoring.classes().items()], F.array_join(scoring.evidence(), "|").alias("evidence"))
 
 
-_CORE_COLUMNS = ("KMID", "KUP", "VWAP0", "ROC60", "MA20", "STD60", "RSQR20", "MAX20", "QTLU20", "CORR20", "CNTP20", "SUMD20", "VMA20", "WVMA20", "VSUMD20")
-_GROUP_SQL = "CASE " + " ".join(f"WHEN regexp_matches(factor, '{p}') THEN '{g}'" for g, p in catalog.GROUPS) + f" ELSE '{catalog.OTHER_GROUP}' END"
+_ALL_FACTORS = (*catalog.CANDLE, *catalog.PRICE, *(f"{k}{d}" for d in catalog.WINDOWS for k in catalog.FAMILIES))
+_GROUP_SQL = "CASE " + " ".join(f"WHEN regexp_matches(factor, '{p}') THEN '{g}'" for p, g in catalog.GROUPS) + f" ELSE '{catalog.OTHER_GROUP}' END"
 
 
 @query(
-    f"""WITH {_panel_sql(_CORE_COLUMNS)}, t AS (SELECT * FROM (SELECT {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in _CORE_COLUMNS)} FROM latest) UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join(_CORE_COLUMNS)})))
+    f"""WITH {_panel_sql(_ALL_FACTORS)}, t AS (SELECT * FROM (SELECT {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in _ALL_FACTORS)} FROM latest) UNPIVOT INCLUDE NULLS (value FOR factor IN ({', '.join(_ALL_FACTORS)})))
 SELECT factor, {_GROUP_SQL} AS factor_group, count(*) AS attempted, count(value) AS computed, round(count(value) * 100 / count(*), 6) AS percent FROM t GROUP BY factor"""
 )
 def factor_coverage(spark, sf_dir):
-    return rounded(catalog.coverage(latest_panel(spark, sf_dir, _CORE_COLUMNS), _CORE_COLUMNS))
+    return rounded(catalog.coverage(latest_panel(spark, sf_dir, _ALL_FACTORS), _ALL_FACTORS))
 
 
 @query(f"WITH {BARS}, l AS (SELECT code, max(day) AS day FROM bars GROUP BY code), r AS (SELECT max(day) AS ref FROM l) SELECT code, strftime(day, '%Y-%m-%d') || '（' || CASE ref - day WHEN 0 THEN '今日' WHEN 1 THEN '上一交易日' ELSE (ref - day) || ' 天前' END || '）' AS label FROM l, r")
 def bar_freshness(spark, sf_dir):
     newest = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.max("l_shipdate").cast("date").alias("day"))
-    ref = newest.agg(F.max("day").alias("ref"))
-    return newest.join(F.broadcast(ref)).select("code", ts.bar_freshness(F.col("day"), F.col("ref")).alias("label"))
+    return newest.select("code", ts.bar_freshness(F.col("day"), newest.agg(F.max("day")).scalar()).alias("label"))
 
 
 _BONDS = """b AS (SELECT CAST(o_orderdate AS DATE) AS snapshot, o_orderkey AS bond_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS quoted_at, CASE WHEN o_orderkey % 13 = 0 THEN CAST(o_orderdate AS DATE) END AS redeem_day,

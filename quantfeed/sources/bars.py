@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import number
@@ -28,23 +28,38 @@ def parse_kline(df: DataFrame, line: str = "line") -> DataFrame:
     return x.withColumn("vwap", vwap(F.col("amount"), F.col("volume"), F.col("close")))
 
 
+#: Charts' days are those of a clock eight hours ahead of UTC.
+CHART_ZONE_SECONDS = 8 * 3600
 CHART = "struct<timestamp:array<bigint>,open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>,adjclose:array<double>>"
 
 
 def explode_chart(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Bars from JSON with parallel arrays, prices adjusted by adjclose / close, volume in lots."""
+    """Bars from JSON with parallel arrays, prices adjusted by adjclose / close, volume in lots.
+
+    Rows without a close or time go; the session's time zone is UTC.
+    """
     j = F.from_json(payload, CHART)
     x = df.withColumn("_j", j)
     x = x.select(*[c for c in df.columns if c != payload], F.inline(F.arrays_zip(*[F.col(f"_j.{c}").alias(c) for c in ("timestamp", "open", "high", "low", "close", "volume", "adjclose")])))
     x = x.filter("timestamp is not null and close is not null")
     ratio = F.coalesce(F.try_divide(F.nullif("adjclose", F.lit(0.0)), F.col("close")), F.lit(1.0))
     prices = {c: F.coalesce(c, F.col("close")) * ratio for c in ("open", "high", "low")}
-    return x.withColumns({**prices, "close": F.col("close") * ratio, "day": F.to_date(F.timestamp_seconds("timestamp")), "volume": F.coalesce(F.col("volume") / 100, F.lit(0.0))}).drop("timestamp", "adjclose")
+    return x.withColumns({**prices, "close": F.col("close") * ratio, "day": F.to_date(F.timestamp_seconds(F.col("timestamp") + CHART_ZONE_SECONDS)), "volume": F.coalesce(F.col("volume") / 100, F.lit(0.0))}).drop("timestamp", "adjclose")
+
+
+def with_change(bars: DataFrame, by: str = "code", order: str = "day") -> DataFrame:
+    """Adds change, the day's in percent of the close before; 0 for the first row and after a close of 0."""
+    before = F.lag("close").over(Window.partitionBy(by).orderBy(order))
+    return bars.withColumn("change", F.coalesce((F.try_divide(F.col("close"), before) - 1) * 100, F.lit(0.0)))
 
 
 def from_trades(trades: DataFrame) -> DataFrame:
-    """Bars (code, day, open, close, high, low, volume, amount, vwap) from lineitem rows as trades."""
-    at = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    """Bars (code, day, open, close, high, low, volume, amount, vwap) from lineitem rows as trades.
+
+    Trades follow each other by order and line, as one number (lines below 65,536), so that the
+    aggregation stays in hash tables.
+    """
+    at = F.shiftleft("l_orderkey", 16) + F.col("l_linenumber")
     x = trades.select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_quantity", "l_extendedprice", at.alias("at"))
     bars = x.groupBy("code", "day").agg(
         F.min_by("l_extendedprice", "at").alias("open"),

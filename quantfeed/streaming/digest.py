@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantfeed.functions.timestamps import in_quiet_hours, is_fresh
 
+#: Batches of the ledger that lie longer behind are forgotten.
+LEDGER_HOURS = 72
+
 
 def valid(items: DataFrame, window_minutes: int) -> DataFrame:
     """Items that were fresh when they were read (``read_at``)."""
@@ -20,24 +26,29 @@ def once(items: DataFrame, hours: int = 72) -> DataFrame:
 
 
 def sliding(items: DataFrame, window_minutes: int = 180, every: int = 30, late: str = "72 hours") -> DataFrame:
-    """Counts per source over sliding windows."""
+    """Counts per source over sliding windows; batch or stream."""
     w = F.window("published_at", f"{window_minutes} minutes", f"{every} minutes")
-    counted = items.withWatermark("published_at", late).groupBy(w.alias("w"), "source").agg(F.count("*").alias("items"))
+    counted = (items.withWatermark("published_at", late) if items.isStreaming else items).groupBy(w.alias("w"), "source").agg(F.count("*").alias("items"))
     return counted.select(F.col("w.start").alias("window_start"), "source", "items")
 
 
-def deliver(items: DataFrame, publish, ledger_path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch: publish what the ledger lacks, then append its keys; a failed delivery is tried again."""
+def deliver(items: DataFrame, publish: Callable[[DataFrame, int], None], ledger_path: str, checkpoint: str, hours: int = LEDGER_HOURS) -> StreamingQuery:
+    """Each batch: publish what the ledger lacks, then append its keys; a failed delivery is tried again.
 
-    kinds = "key string, batch_id long"
-    items.sparkSession.createDataFrame([], kinds).write.mode("append").parquet(ledger_path)
+    The ledger is parted by the day on which a key was sent, and only the days of the last ``hours`` are
+    read, so a batch's work doesn't grow with the ledger's age. A batch that comes again after a
+    failure sees its own keys as new.
+    """
+    kinds = "key string, batch_id long, sent_at timestamp, day date"
+    items.sparkSession.createDataFrame([], kinds).write.mode("append").partitionBy("day").parquet(ledger_path)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        sent = rows.sparkSession.read.schema(kinds).parquet(ledger_path)
-        earlier = sent.filter(F.col("batch_id") != batch_id).select("key")
+        now = F.current_timestamp()
+        sent = rows.sparkSession.read.schema(kinds).parquet(ledger_path).filter(F.col("day") >= F.to_date(now) - F.lit(hours // 24 + 1))
+        earlier = sent.filter((F.col("batch_id") != batch_id) & (F.unix_micros("sent_at") >= F.unix_micros(now) - hours * 3_600_000_000)).select("key")
         new = rows.join(earlier, "key", "left_anti")
         publish(new, batch_id)
-        new.select("key", F.lit(batch_id).cast("long").alias("batch_id")).write.mode("append").parquet(ledger_path)
+        new.select("key", F.lit(batch_id).cast("long").alias("batch_id"), now.alias("sent_at"), F.to_date(now).alias("day")).write.mode("append").partitionBy("day").parquet(ledger_path)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,10 +58,25 @@ def heartbeat(batch: DataFrame, batch_id: int) -> DataFrame:
     return batch.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count("*").alias("items"), F.max("published_at").alias("newest"))
 
 
-def outside_quiet_hours(publish, start: str, end: str, now=F.current_timestamp):
+def outside_quiet_hours(publish: Callable[[DataFrame, int], None], start: str, end: str, now=F.current_timestamp) -> Callable[[DataFrame, int], None]:
     """A publish function that does nothing inside the quiet hours; what fell into them isn't made up for."""
 
     def guarded(batch: DataFrame, batch_id: int) -> None:
         publish(batch.filter(~in_quiet_hours(now(), start, end)), batch_id)
 
     return guarded
+
+
+def land_feeds(spark: SparkSession, feeds: dict[str, Callable[[], DataFrame]], path: str) -> DataFrame:
+    """Write each feed below ``path`` by itself; rows (source, ok, error) say how each one went.
+
+    A feed that can't be read or written gives a status row and no items; the others go on.
+    """
+    went = []
+    for name, feed in feeds.items():
+        try:
+            feed().write.mode("overwrite").parquet(f"{path}/source={name}")
+            went.append((name, True, None))
+        except PySparkException as e:
+            went.append((name, False, type(e).__name__))
+    return spark.createDataFrame(went, "source string, ok boolean, error string")
