@@ -36,19 +36,19 @@ def deliver(items: DataFrame, publish: Callable[[DataFrame, int], None], ledger_
     """Each batch: publish what the ledger lacks, then append its keys; a failed delivery is tried again.
 
     The ledger is parted by the day on which a key was sent, and only the days of the last ``hours`` are
-    read, so a batch's work doesn't grow with the ledger's age. A batch that comes again after a
-    failure sees its own keys as new.
+    read, so a batch's work doesn't grow with the ledger's age. A batch, known by checkpoint and number,
+    that comes again after a failure sees its own keys as new.
     """
-    kinds = "key string, batch_id long, sent_at timestamp, day date"
+    kinds = "key string, batch string, sent_at timestamp, day date"
     items.sparkSession.createDataFrame([], kinds).write.mode("append").partitionBy("day").parquet(ledger_path)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        now = F.current_timestamp()
+        now, name = F.current_timestamp(), f"{checkpoint}:{batch_id}"
         sent = rows.sparkSession.read.schema(kinds).parquet(ledger_path).filter(F.col("day") >= F.to_date(now) - F.lit(hours // 24 + 1))
-        earlier = sent.filter((F.col("batch_id") != batch_id) & (F.unix_micros("sent_at") >= F.unix_micros(now) - hours * 3_600_000_000)).select("key")
+        earlier = sent.filter((F.col("batch") != name) & (F.unix_micros("sent_at") >= F.unix_micros(now) - hours * 3_600_000_000)).select("key")
         new = rows.join(earlier, "key", "left_anti")
         publish(new, batch_id)
-        new.select("key", F.lit(batch_id).cast("long").alias("batch_id"), now.alias("sent_at"), F.to_date(now).alias("day")).write.mode("append").partitionBy("day").parquet(ledger_path)
+        new.select("key", F.lit(name).alias("batch"), now.alias("sent_at"), F.to_date(now).alias("day")).write.mode("append").partitionBy("day").parquet(ledger_path)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

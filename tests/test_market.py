@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quantfeed.functions import text as tx
 from quantfeed.functions import timestamps as ts
-from quantfeed.operators import catalog, reports, research, snapshots, themes
+from quantfeed.operators import catalog, feeds, reports, research, snapshots, themes
 from quantfeed.operators.rolling import Rolling, ema
 from quantfeed.sources import bars, payloads, tables
 from quantfeed.streaming import digest
@@ -136,3 +136,58 @@ def test_price_factors(spark):
     rets = [rows[i][2] / rows[i - 1][2] - 1 for i in range(10, 30)]
     assert out[19].amihud is None and out[29].amihud == pytest.approx(sum(map(abs, rets)) / 20)
     assert out[29].downside_vol == pytest.approx((sum(r * r for r in rets if r < 0) / 20) ** 0.5) and out[29].momentum_12m_1m is None
+
+
+def test_screening_states(spark):
+    ref = dt.datetime(2026, 7, 27, 12, 0)
+    rows = [
+        (1, "关于收到问询函的公告", dt.datetime(2026, 7, 27, 9, 0), "600001", "甲股", "A1"),
+        (2, "甲股立案调查", dt.datetime(2026, 7, 26, 9, 0), "600001", "甲股", "A1"),
+        (3, "分红公告", dt.datetime(2026, 7, 26, 9, 0), "600001", "甲股", "A2"),
+        (4, "警示函", dt.datetime(2026, 6, 1), "600002", "乙股", "A3"),
+        (5, "警示函", None, "600002", "乙股", "A4"),
+        (6, "警示函", dt.datetime(2026, 7, 28), "600002", "乙股", "A5"),
+        (7, "停牌", dt.datetime(2026, 7, 20), None, None, "A6"),
+        (8, "核查", dt.datetime(2026, 7, 20), None, None, None),
+        (9, " ", dt.datetime(2026, 7, 20), "600003", "丙股", "A7"),
+        (10, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "ord int, title string, published_at timestamp, code string, stock string, art_code string")
+    out = reports.screened(df, F.lit(ref).cast("timestamp"))
+    got = {r.ord: (r.state, r.title) for r in out.collect()}
+    assert got[1] == ("kept", "甲股 关于收到问询函的公告") and got[2][0] == "repeat" and got[7] == ("kept", "停牌") and got[8][0] == "kept"
+    assert [got[i][0] for i in (3, 4, 5, 6, 9, 10)] == ["other", "stale", "no_time", "no_time", "blank", "blank"]
+    counts = reports.screening_counters(out).first()
+    assert (counts.scanned, counts.dropped_no_time, counts.dropped_stale, counts.events) == (10, 2, 1, 3)
+    codes = spark.createDataFrame([("600001",)], "code string")
+    assert [r.ord for r in reports.screened(df, F.lit(ref).cast("timestamp"), words=("停",), codes=codes).filter("state = 'kept'").orderBy("ord").collect()] == [1, 7]
+    focus = reports.linked(out.filter("state = 'kept'"), codes, ("停牌", "核"))
+    assert {r.ord: r.focus for r in focus.collect()} == {1: True, 7: True, 8: False}
+    assert [r.ord for r in reports.background(focus, focus.filter("focus")).collect()] == [8]
+
+
+def test_review_counts_on_what_earlier_rules_left(spark):
+    rules = (("a+", "one", "b"), ("b", "two", "c"), ("ac", "three", "d"))
+    df = spark.createDataFrame([(1, "aa b ac"), (2, "zz"), (3, None)], "i int, text string")
+    out = {r.i: ([(h.category, h.matched) for h in r.hits], r.rewritten) for r in reports.reviewed(df, rules=rules).collect()}
+    assert out == {1: ([("one", "aa"), ("one", "a"), ("two", "b"), ("two", "b"), ("two", "b")], "c c cc"), 2: ([], "zz"), 3: ([], None)}
+
+
+def test_counters_count_all_that_was_fetched(spark):
+    ref = dt.datetime(2026, 7, 27, 12, 0)
+    rows = [("s", i, f"k{i}", f"t{i}", dt.datetime(2026, 7, 27, 11, 0) if i != 1 else None, "exact") for i in range(6)]
+    items = spark.createDataFrame(rows, "source string, ord int, key string, title string, published_at timestamp, time_quality string")
+    out = feeds.judged(items, items.limit(0), F.lit(ref).cast("timestamp"), 180, limit=3)
+    assert {r.ord: r.reason for r in out.collect()} == {0: None, 1: "no_time", 2: None, 3: None, 4: "unread", 5: "unread"}
+    assert [(r.fetched, r.kept, r.dropped_no_time) for r in feeds.counters(out).collect()] == [(6, 3, 1)]
+
+
+def test_newest_factors_equal_the_panels_last_day(spark):
+    rows = [(c, i, 10.0 + (i * 7 % 11), 10.0 + (i * 5 % 13), 25.0 + i % 5, 5.0 + i % 4, 100.0 + i * 3 % 17, 11.0) for c in (1, 2) for i in range(80 if c == 1 else 69)]
+    bars_ = spark.createDataFrame(rows, "code int, day int, open double, close double, high double, low double, volume double, vwap double")
+    names = [*catalog.CANDLE, *catalog.PRICE, *(f"{f}{d}" for d in (5, 60) for f in catalog.FAMILIES)]
+    whole = catalog.factors(bars_, names, windows=(5, 60)).filter("code = 1 and day = 79").first()
+    newest = catalog.latest_factors(bars_, names, windows=(5, 60)).collect()
+    assert len(newest) == 1  # the other code has fewer bars than factors need
+    for n in names:
+        assert newest[0][n] == pytest.approx(whole[n], rel=1e-9, abs=1e-12), n
