@@ -98,8 +98,8 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
             keys = pa.FixedSizeListArray.from_arrays(flat, count).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["id", "label", "v", "n", "keys"])
 
-    kind = vectors.schema["label"].dataType.simpleString()
-    posted = vectors.select("id", "label", "v", "n").mapInArrow(post, f"id long, label {kind}, v array<float>, n long, keys array<int>")
+    kind, numbers = (vectors.schema[c].dataType.simpleString() for c in ("label", "v"))
+    posted = vectors.select("id", "label", "v", "n").mapInArrow(post, f"id long, label {kind}, v {numbers}, n long, keys array<int>")
     posted = posted.select("id", "label", "v", F.col("n").alias("copies"), "keys", F.posexplode("keys").alias("band", "key"))
     bucket = ["label", "band", "key"]
     sizes = posted.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
@@ -158,12 +158,14 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Two rows are linked if their labels are equal and their cosine, in double precision, is at least
     the threshold. Null labels and vectors that are null, empty, zero or hold null or non-finite
     components: no links, component of their own. Equal vectors of one label are compared as one and
-    counted as many. Vectors of another size than the label's rows with the smallest id's size link
-    with their own size only. Null ids: n_links as others, kept false. An empty table gives no rows.
+    counted as many. Vectors of several sizes link with their own size only. Floats stay floats and all
+    other numbers become doubles. Null ids: n_links as others, kept false. Extra columns are left out,
+    whatever their names. An empty table gives no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    number = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{number}>").alias("v"))
     ok = usable("v") & F.col("label").isNotNull()
-    rows = rows.withColumn("v", F.when(ok, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))))
+    rows = rows.withColumn("v", F.when(ok, F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(number)).otherwise(x))))
     classes = durable(rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("rep is not null"))
     sizes = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
     links = None

@@ -91,7 +91,8 @@ def mix(
     of a leaf's prefix may give only its first take_tokens. Unknown names weigh 1. Null lang or source
     forms a leaf named ``(none)``; documents without tokens are never chosen; a null doc_id takes part
     like the empty id. Repeated rows count as documents of their own. An empty table gives no rows.
-    Columns named in ``carried`` come along and order rows of equal id and tokens.
+    Columns named in ``carried`` come along and order rows of equal id and tokens; others are left out,
+    whatever their names. A text of any length is counted whole.
     """
     if domain is None:
         domain = F.when(F.col("source").rlike(WEB_SOURCE), "web").otherwise("curated")
@@ -133,7 +134,9 @@ def mix(
 def mixed_documents(docs: DataFrame, percent: int = 90, seed: int = 7) -> DataFrame:
     """The documents that one epoch's mix takes whole, with all their columns.
 
-    Each row is taken or left for itself: rows with a null or repeated id are documents of their own.
+    Each row is taken or left for itself: rows with a null or repeated id are documents of their own, and
+    ties are broken by row. Null and empty texts have no tokens and aren't taken, nor is the one document
+    of each leaf that the budget would cut. An empty table gives no rows.
     """
     keyed = with_row_key(docs, "_row")
     taken = mix(keyed, percent=percent, max_epochs=1, seed=seed, carried=("_row",)).filter("take_tokens = tokens").select("_row")

@@ -227,6 +227,32 @@ def test_histogram_packing_places_every_length():
         assert out == h
 
 
+def test_clashing_columns_and_ties(spark):
+    """Columns named like the operators' own are left out, and equal sizes are dealt alike each time."""
+    rows = [(i, "same size %d" % (i % 10), "en", "src1", 1, 2, "x", 3, "y") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int, size int, g string, tokens int, start string")
+    out = [tuple(r) for r in shards.shard_documents(df, shards=3).orderBy("doc_id").collect()]
+    assert out == [tuple(r) for r in shards.shard_documents(df.repartition(5), shards=3).orderBy("doc_id").collect()]
+    per_text = {(r[0] % 10, r[4]) for r in out}
+    assert len(per_text) == 10 and {sum(s == k for _, s in per_text) for k in range(3)} == {3, 4}
+    assert packing.pack(df, default_tokenizer()).count() == 30
+    assert {r.doc_id for r in langid.identified(df).collect()} == set(range(30))
+    assert mixing.mix(df).columns == ["doc_id", "domain", "lang", "source", "tokens", "epoch", "take_tokens"]
+
+
+def test_shards_equal_plain_scheduling(spark):
+    """The heap's choice beside a plain search for the least-loaded shard."""
+    import random
+
+    rng = random.Random(3)
+    sizes = [(f"g{i:03}", rng.choice([5, 7, 7, 30, 31, 900])) for i in range(300)]
+    loads, want = [0] * 7, {}
+    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        want[unit] = min(range(7), key=lambda s: (loads[s], s))
+        loads[want[unit]] += size
+    assert shards.schedule(sizes, 7) == want
+
+
 def test_numbering(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     rows = shards.numbered(df, ["g"], ["id"], "n", parts=8).collect()

@@ -95,6 +95,17 @@ def test_large_group_over_many_blocks(spark):
     assert out == want
 
 
+def test_doubles_stay_doubles(spark):
+    """Two pairs on either side of the threshold by less than a float can tell."""
+    import math
+
+    turn = math.acos(0.98)
+    v = [[1.0, 0.0], [math.cos(turn - 1e-10), math.sin(turn - 1e-10)], [-1.0, 0.0], [math.cos(math.pi + turn + 1e-10), math.sin(math.pi + turn + 1e-10)]]
+    df = spark.createDataFrame([(i, x, 1, "a", 5) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int, n_links string, component_id int")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_duplicate_vectors(df).collect()}
+    assert out == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3)}
+
+
 def test_groups_of_odd_vectors(spark):
     v = [([1.0, 0.0], 1), ([1.0, 0.0], 1), ([2.0, -0.0], 1), ([1.0, 0.0], None), ([0.0, 0.0], 1), (None, 1), ([float("inf"), 1.0], 1), ([1.0, 0.0], 2), ([1.0], 1)]
     df = spark.createDataFrame([(i, x, k, "a") for i, (x, k) in enumerate(v)] + [(None, [1.0, 0.0], 1, "a")], SCHEMA)
