@@ -6,10 +6,14 @@ the code's own unit vector. For another vector q, <code, q> / factor is an unbia
 cosine. For a pair at the threshold its error has a known spread, so an estimate more than ``SIGMAS``
 below settles the pair; all others are computed exactly.
 
-Pairs meet in buckets: bands of code bits, as wide as the largest label asks for and as many as lose
-one pair in MISS at the threshold. Buckets are cut into blocks of bounded size, and each pair of
-blocks is a task's work of its own, so a large group doesn't meet in one place. What leaves a pair of
-blocks is one row per linked member, with its number of links and a root; pairs are never written out.
+Each vector's code and factor are worked out once and stored, with its turned coordinates rounded to
+one byte each as the q of others; the bound allows for the rounding. Pairs meet in buckets: bands of
+code bits, as wide as the largest label asks for and as many as lose one pair in MISS at the
+threshold. Only what is stored travels there, not the vectors. Buckets are cut into blocks of bounded
+size, and each pair of blocks is a row of its own, so a large group doesn't meet in one place. A pair
+counts in the first band that it shares, so its vectors are fetched for that band alone. What leaves
+a pair of blocks is one row per linked member, with its number of links and a root; pairs are never
+written out.
 """
 
 from __future__ import annotations
@@ -54,6 +58,12 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _rows_of(a: np.ndarray) -> pa.Array:
+    """A list column whose rows are the rows of ``a``."""
+    flat = pa.array(a.ravel())
+    return pa.FixedSizeListArray.from_arrays(flat, a.shape[1]).cast(pa.list_(flat.type))
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest one that the edges (i, j) connect it with."""
     root = np.arange(n)
@@ -83,73 +93,116 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
     dim = first["d"]
     turn = rotations(dim, max(width * count, dim))
     powers = 1 << np.arange(width)
+    kind, numbers = (vectors.schema[c].dataType.simpleString() for c in ("label", "v"))
 
-    def keys_of(unit: np.ndarray) -> np.ndarray:
-        signs = (unit @ turn)[:, : width * count] > 0
-        return signs.reshape(len(unit), count, width) @ powers
+    def keys_of(signs: np.ndarray) -> np.ndarray:
+        return signs[:, : width * count].reshape(len(signs), count, width) @ powers
 
-    def post(batches):
+    def encode(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _vectors(batch.column(2))
-            keys = keys_of(x / np.abs(x).max(axis=1, keepdims=True))
-            flat = pa.array(keys.astype(np.int32).ravel())
-            keys = pa.FixedSizeListArray.from_arrays(flat, count).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["id", "label", "v", "n", "keys"])
-
-    kind, numbers = (vectors.schema[c].dataType.simpleString() for c in ("label", "v"))
-    posted = vectors.select("id", "label", "v", "n").mapInArrow(post, f"id long, label {kind}, v {numbers}, n long, keys array<int>")
-    posted = posted.select("id", "label", "v", F.col("n").alias("copies"), "keys", F.posexplode("keys").alias("band", "key"))
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            turned = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ turn
+            head, signs = turned[:, :dim], turned > 0
+            step = np.abs(head).max(axis=1) / 127
+            levels = np.rint(head / step[:, None]).astype(np.int8)
+            factor = np.abs(head).sum(axis=1) / math.sqrt(dim)
+            stored = [_rows_of(np.packbits(signs, axis=1).view(np.int8)), pa.array(factor), _rows_of(levels), pa.array(step), _rows_of(keys_of(signs).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *stored], ["id", "label", "v", "copies", "code", "factor", "levels", "step", "keys"])
+
+    coded = "copies long, code array<tinyint>, factor double, levels array<tinyint>, step double"
+    codes = vectors.select("id", "label", "v", "n").mapInArrow(encode, f"id long, label {kind}, v {numbers}, {coded}, keys array<int>")
+    codes = durable(codes)
+    stored = ["id", "copies", "code", "factor", "levels", "step"]
     bucket = ["label", "band", "key"]
-    sizes = posted.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1")
-    cut = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part")
-    blocks = posted.join(sizes, bucket).select(*bucket, cut, F.struct("id", "v", "keys", "copies").alias("m"))
-    blocks = durable(blocks.groupBy(*bucket, "part").agg(F.collect_list("m").alias("ms")))
-    left = blocks.select(*bucket, F.col("part").alias("p"), F.col("ms").alias("x"))
-    right = blocks.select(*bucket, F.col("part").alias("q"), F.col("ms").alias("y"))
-    meetings = left.join(right, bucket).filter("p <= q").select("band", (F.col("p") == F.col("q")).alias("own"), "x", F.when(F.col("p") < F.col("q"), F.col("y")).alias("y"))
+    posted = codes.select("label", *stored, F.posexplode("keys").alias("band", "key"))
+    sizes = codes.select("label", F.posexplode("keys").alias("band", "key")).groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    blocks = posted.join(sizes, bucket).select(*bucket, "parts", part, F.struct(*stored).alias("m"))
+    blocks = durable(blocks.groupBy(*bucket, "parts", "part").agg(F.collect_list("m").alias("x")))
+    # A block meets itself where it lies; in buckets of several blocks it also goes to each one before it.
+    itself = blocks.select(*bucket, F.col("part").alias("p"), F.col("part").alias("q"), "x", F.when(F.lit(False), F.col("x")).alias("y"))
+    several = blocks.filter("parts > 1")
+    before = several.filter("part > 0").select(*bucket, F.col("part").alias("q"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("p"))
+    others = several.withColumnRenamed("part", "p").join(before, [*bucket, "p"])
+    meetings = itself.unionByName(others.select(*bucket, "p", "q", "x", "y"))
 
     sine = math.sqrt(1 - threshold * threshold)
 
-    def read(block) -> tuple[np.ndarray, ...]:
-        keys = np.asarray(block.field("keys").flatten()).reshape(len(block), count)
-        return np.asarray(block.field("id")), _vectors(block.field("v")), keys, np.asarray(block.field("copies"))
-
-    def meet(batches):
+    def read(block: pa.StructArray) -> tuple[np.ndarray, ...]:
+        code = np.asarray(block.field("code").flatten()).view(np.uint8).reshape(len(block), -1)
+        signs = np.unpackbits(code, axis=1)
+        turned = np.asarray(block.field("levels").flatten()).reshape(len(block), dim) * np.asarray(block.field("step"))[:, None]
+        return np.asarray(block.field("id")), signs, np.asarray(block.field("factor")), turned, np.asarray(block.field("step"))
+
+    def undecided(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], band: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that share this band first and whose bound reaches the threshold."""
+        (ids, signs, factor, _, _), (other, other_signs, _, turned, step) = x, y
+        estimate = ((signs[:, :dim] * 2.0 - 1) @ turned.T) / (math.sqrt(dim) * factor[:, None])
+        spread = sine * np.sqrt(np.maximum(1 - factor * factor, 0)) / factor / math.sqrt(max(dim - 1, 1))
+        rounding = math.sqrt(dim) / 2 * step[None, :] / factor[:, None]
+        i, j = np.nonzero(estimate >= threshold - SIGMAS * spread[:, None] - rounding - 1e-9)
+        if own:
+            i, j = i[ids[i] < other[j]], j[ids[i] < other[j]]
+        keys, other_keys = keys_of(signs), keys_of(other_signs)
+        keep = (keys[i] == other_keys[j]).argmax(axis=1) == band
+        return i[keep], j[keep]
+
+    def bounds(batches):
+        for batch in batches:
+            at, left, right = [], [], []
+            for r in range(batch.num_rows):
+                own = not batch.column(6)[r].is_valid
+                x = read(batch.column(5)[r].values)
+                y = x if own else read(batch.column(6)[r].values)
+                i, j = undecided(x, y, batch.column(1)[r].as_py(), own)
+                if len(i):
+                    at.append(r)
+                    left.append(np.unique(x[0][np.append(i, j) if own else i]))
+                    right.append(np.unique(y[0][j])[: 0 if own else None])
+            if at:
+                place = [c.take(pa.array(at)) for c in batch.columns[:5]]
+                lists = [pa.array(ids, pa.list_(pa.int64())) for ids in (left, right)]
+                yield pa.RecordBatch.from_arrays([*place, *lists], ["label", "band", "key", "p", "q", "left", "right"])
+
+    near = durable(meetings.mapInArrow(bounds, f"label {kind}, band int, key int, p int, q int, left array<long>, right array<long>"))
+    wanted = near.select(*bucket, F.col("p").alias("part"), F.explode("left").alias("id")).union(near.select(*bucket, "q", F.explode("right"))).distinct()
+    fetched = wanted.join(codes.select(*stored, "v"), "id").groupBy(*bucket, "part").agg(F.collect_list(F.struct(*stored, "v")).alias("ms"))
+    fetched = durable(fetched)
+    other_part = F.when(F.col("p") < F.col("q"), F.col("q")).alias("q")
+    open_meetings = near.select(*bucket, "p", other_part)
+    open_meetings = open_meetings.join(fetched.select(*bucket, F.col("part").alias("p"), F.col("ms").alias("x")), [*bucket, "p"])
+    open_meetings = open_meetings.join(fetched.select(*bucket, F.col("part").alias("q"), F.col("ms").alias("y")), [*bucket, "q"], "left").select("band", "x", "y")
+
+    def exact(batches):
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], []]
             for r in range(batch.num_rows):
-                band, own = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                ids, x, keys, copies = read(batch.column(2)[r].values)
-                other, y, other_keys, other_copies = (ids, x, keys, copies) if own else read(batch.column(3)[r].values)
-                norm_x, norm_y = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-                tx, ty = (x / norm_x[:, None]) @ turn[:, :dim], (y / norm_y[:, None]) @ turn[:, :dim]
-                code = np.where(tx > 0, 1.0, -1.0) / math.sqrt(dim)
-                factor = (code * tx).sum(axis=1)
-                estimate = (code @ ty.T) / factor[:, None]
-                spread = sine * np.sqrt(np.maximum(1 - factor * factor, 0)) / factor / math.sqrt(max(dim - 1, 1))
-                i, j = np.nonzero(estimate >= threshold - SIGMAS * spread[:, None] - 1e-9)
-                keep = ids[i] < other[j] if own else np.ones(len(i), bool)
-                i, j = i[keep], j[keep]
-                # A pair counts in the first band that it shares.
-                keep = (keys[i] == other_keys[j]).argmax(axis=1) == band
-                i, j = i[keep], j[keep]
-                cosine = (x[i] * y[j]).sum(axis=1) / (norm_x[i] * norm_y[j])
+                own = not batch.column(2)[r].is_valid
+                x_block = batch.column(1)[r].values
+                y_block = x_block if own else batch.column(2)[r].values
+                a = read(x_block)
+                b = a if own else read(y_block)
+                i, j = undecided(a, b, batch.column(0)[r].as_py(), own)
+                x, y = _vectors(x_block.field("v"))[i], _vectors(y_block.field("v"))[j]
+                cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 i, j = i[cosine >= threshold], j[cosine >= threshold]
-                nodes, weights = (ids, copies) if own else (np.append(ids, other), np.append(copies, other_copies))
-                j = j if own else j + len(ids)
-                others = np.zeros(len(nodes), np.int64)
-                np.add.at(others, i, weights[j])
-                np.add.at(others, j, weights[i])
-                linked = others > 0
+                nodes, weights = a[0], np.asarray(x_block.field("copies"))
+                if not own:
+                    nodes, weights, j = np.append(nodes, b[0]), np.append(weights, np.asarray(y_block.field("copies"))), j + len(nodes)
+                links = np.zeros(len(nodes), np.int64)
+                np.add.at(links, i, weights[j])
+                np.add.at(links, j, weights[i])
+                linked = links > 0
                 root = _roots(len(nodes), i, j)
-                for col, v in zip(found, (nodes[linked], nodes[root[linked]], others[linked]), strict=True):
+                for col, v in zip(found, (nodes[linked], nodes[root[linked]], links[linked]), strict=True):
                     col.append(v)
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["id", "root", "others"])
 
-    return meetings.mapInArrow(meet, "id long, root long, others long")
+    return open_meetings.mapInArrow(exact, "id long, root long, others long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
