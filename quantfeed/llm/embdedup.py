@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable
+from quantfeed.llm.common import durable, slices
 from quantfeed.llm.graph import components
 
 MISS = 1e-5
@@ -33,6 +33,8 @@ SIGMAS = 5.0
 BLOCK = 256
 #: Members that a bucket of unrelated vectors should have at most.
 BUCKET = 16
+#: Members of blocks that a task unpacks at once.
+MEMBERS = 65_536
 
 
 def rotations(dim: int, bits: int, seed: int = 11) -> np.ndarray:
@@ -131,21 +133,37 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
 
     sine = math.sqrt(1 - threshold * threshold)
 
-    def read(block: pa.StructArray) -> tuple[np.ndarray, ...]:
-        code = np.asarray(block.field("code").flatten()).view(np.uint8).reshape(len(block), -1)
-        signs = np.unpackbits(code, axis=1)
-        turned = np.asarray(block.field("levels").flatten()).reshape(len(block), dim) * np.asarray(block.field("step"))[:, None]
-        return np.asarray(block.field("id")), signs, np.asarray(block.field("factor")), turned, np.asarray(block.field("step"))
-
-    def undecided(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], band: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    def read(lists: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The members of all blocks one after another and where each block begins."""
+        members = lists.flatten()
+        code = np.asarray(members.field("code").flatten()).view(np.uint8).reshape(len(members), -(-turn.shape[1] // 8))
+        step = np.asarray(members.field("step"))
+        turned = np.asarray(members.field("levels").flatten()).reshape(len(members), dim) * step[:, None]
+        vectors = [np.asarray(members.field("v").flatten(), np.float64).reshape(len(members), dim)] if members.type.get_field_index("v") >= 0 else []
+        begins = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
+        return [np.asarray(members.field("id")), np.unpackbits(code, axis=1), np.asarray(members.field("factor")), turned, step, np.asarray(members.field("copies")), *vectors], begins
+
+    def pairs_of_blocks(lefts: pa.ListArray, rights: pa.ListArray):
+        """(row, whether a block meets itself, its members, the other's members), read some thousand members at a time."""
+        sizes = np.asarray(lefts.value_lengths().fill_null(0)) + np.asarray(rights.value_lengths().fill_null(0))
+        for lo, hi in slices(sizes, MEMBERS):
+            (xs, x_begins), (ys, y_begins) = read(lefts.slice(lo, hi - lo)), read(rights.slice(lo, hi - lo))
+            for r in range(hi - lo):
+                x = [a[x_begins[r] : x_begins[r + 1]] for a in xs]
+                own = y_begins[r] == y_begins[r + 1]
+                yield lo + r, own, x, x if own else [a[y_begins[r] : y_begins[r + 1]] for a in ys]
+
+    def undecided(x: list[np.ndarray], y: list[np.ndarray], band: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs that share this band first and whose bound reaches the threshold."""
-        (ids, signs, factor, _, _), (other, other_signs, _, turned, step) = x, y
+        (ids, signs, factor), (other, other_signs, _, turned, step) = x[:3], y[:5]
         estimate = ((signs[:, :dim] * 2.0 - 1) @ turned.T) / (math.sqrt(dim) * factor[:, None])
         spread = sine * np.sqrt(np.maximum(1 - factor * factor, 0)) / factor / math.sqrt(max(dim - 1, 1))
         rounding = math.sqrt(dim) / 2 * step[None, :] / factor[:, None]
         i, j = np.nonzero(estimate >= threshold - SIGMAS * spread[:, None] - rounding - 1e-9)
         if own:
             i, j = i[ids[i] < other[j]], j[ids[i] < other[j]]
+        if not len(i):
+            return i, j
         keys, other_keys = keys_of(signs), keys_of(other_signs)
         keep = (keys[i] == other_keys[j]).argmax(axis=1) == band
         return i[keep], j[keep]
@@ -153,11 +171,9 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
     def bounds(batches):
         for batch in batches:
             at, left, right = [], [], []
-            for r in range(batch.num_rows):
-                own = not batch.column(6)[r].is_valid
-                x = read(batch.column(5)[r].values)
-                y = x if own else read(batch.column(6)[r].values)
-                i, j = undecided(x, y, batch.column(1)[r].as_py(), own)
+            bands = np.asarray(batch.column(1))
+            for r, own, x, y in pairs_of_blocks(batch.column(5), batch.column(6)):
+                i, j = undecided(x, y, bands[r], own)
                 if len(i):
                     at.append(r)
                     left.append(np.unique(x[0][np.append(i, j) if own else i]))
@@ -179,19 +195,15 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
     def exact(batches):
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], []]
-            for r in range(batch.num_rows):
-                own = not batch.column(2)[r].is_valid
-                x_block = batch.column(1)[r].values
-                y_block = x_block if own else batch.column(2)[r].values
-                a = read(x_block)
-                b = a if own else read(y_block)
-                i, j = undecided(a, b, batch.column(0)[r].as_py(), own)
-                x, y = _vectors(x_block.field("v"))[i], _vectors(y_block.field("v"))[j]
+            bands = np.asarray(batch.column(0))
+            for r, own, a, b in pairs_of_blocks(batch.column(1), batch.column(2)):
+                i, j = undecided(a, b, bands[r], own)
+                x, y = a[-1][i], b[-1][j]
                 cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 i, j = i[cosine >= threshold], j[cosine >= threshold]
-                nodes, weights = a[0], np.asarray(x_block.field("copies"))
+                nodes, weights = a[0], a[5]
                 if not own:
-                    nodes, weights, j = np.append(nodes, b[0]), np.append(weights, np.asarray(y_block.field("copies"))), j + len(nodes)
+                    nodes, weights, j = np.append(nodes, b[0]), np.append(weights, b[5]), j + len(nodes)
                 links = np.zeros(len(nodes), np.int64)
                 np.add.at(links, i, weights[j])
                 np.add.at(links, j, weights[i])

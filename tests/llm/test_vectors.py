@@ -112,3 +112,15 @@ def test_groups_of_odd_vectors(spark):
     out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicate_vectors(df).collect()}
     assert out == {0: (3, 0, True), 1: (3, 0, False), 2: (3, 0, False), None: (3, 0, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True)}
     assert embdedup.near_duplicate_vectors(df.limit(0)).collect() == []
+
+
+def test_blocks_are_unpacked_in_slices(spark, monkeypatch):
+    """Groups of several labels over many small blocks, few of them unpacked at once; unrelated vectors fetch nothing."""
+    monkeypatch.setattr(embdedup, "BLOCK", 16)
+    monkeypatch.setattr(embdedup, "MEMBERS", 40)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.standard_normal(24) + 0.05 * rng.standard_normal((70, 24)) for _ in range(5)] + [rng.standard_normal((150, 24))]).astype(np.float32)
+    label = np.arange(len(x)) % 3
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(k), "a") for i, (v, k) in enumerate(zip(x, label, strict=True))], SCHEMA)
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicate_vectors(df).collect()}
+    assert out == brute_links(np.arange(len(x)), x.astype(float), label)
