@@ -17,7 +17,7 @@ def seen(batches):
         yield pa.RecordBatch.from_arrays([pa.array([importlib.util.find_spec("quantfeed") is not None] * b.num_rows)], ["s"])
 assert not any(r.s for r in spark.range(2).mapInArrow(seen, "s boolean").collect())
 from quantfeed.llm import langid, queries
-for name in ("op1_nearest", "op3_main_text", "op5_languages", "op10_packed"):
+for name in ("op1_nearest", "op3_main_text", "op5_languages", "op6_vector_groups", "op10_packed"):
     assert queries.QUERIES[name](spark, {sf!r}).count() > 0, name
 assert langid.accepted_documents(spark.read.parquet({sf!r} + "/documents.parquet")).count() > 0
 print("all ran")
