@@ -92,17 +92,25 @@ def revision(estimates: DataFrame, value: str, key: str = "code", at: str = "day
     return x.withColumn("revision", divide(F.col(value) - F.col("_past"), F.col("_past"))).drop("_at_past", "_past")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, values: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, known: str, values: tuple[str, ...], order: tuple[str, ...] = (), block: str = "week") -> DataFrame:
     """Adds the newest values of ``right`` that were known at each row of ``left``.
 
     Both sides are laid on one time line per key and the last value is carried on, so nothing is
     joined by range. What becomes known at the same time counts; of several, the last in ``order``.
+    Time lines are cut into blocks (a unit of date_trunc) and each block takes over what was known at
+    the end of those before it, so a key's rows meet in one task for one block only. Facts without a
+    key or a time are known to nobody; rows without a key or a time get nulls.
     """
-    facts = right.select(F.col(key), F.col(known).alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_fact"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    facts = right.filter(F.col(key).isNotNull() & F.col(known).isNotNull())
+    facts = facts.select(F.col(key), F.col(known).alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_fact"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
     rows = left.withColumns({"_at": F.col(at), "_side": F.lit(1), "_row": F.struct(*left.columns)}).select(key, "_at", "_side", "_row")
-    both = facts.unionByName(rows, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_at", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_known", F.last("_fact", ignorenulls=True).over(w)).filter("_side = 1")
+    both = facts.unionByName(rows, allowMissingColumns=True).withColumn("_block", F.date_trunc(block, "_at"))
+    line = ["_at", "_side", *[f"_o{i}" for i in range(len(order))]]
+    ends = both.filter(F.col(key).isNotNull() & F.col("_block").isNotNull()).groupBy(key, "_block").agg(F.max_by("_fact", F.when(F.col("_side") == 0, F.struct(*line))).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(key, "_block", before.alias("_before"))
+    inside = Window.partitionBy(key, "_block").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.join(carried, [key, "_block"], "left").withColumn("_known", F.coalesce(F.last("_fact", ignorenulls=True).over(inside), "_before")).filter("_side = 1")
     return out.select("_row.*", *[F.col(f"_known.{v}").alias(v) for v in values])
 
 

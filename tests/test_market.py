@@ -191,3 +191,22 @@ def test_newest_factors_equal_the_panels_last_day(spark):
     assert len(newest) == 1  # the other code has fewer bars than factors need
     for n in names:
         assert newest[0][n] == pytest.approx(whole[n], rel=1e-9, abs=1e-12), n
+
+
+def test_as_of_equals_plain_search(spark):
+    start = dt.datetime(2026, 1, 1)
+    hours = lambda n: start + dt.timedelta(hours=n)
+    facts = [(i % 3 if i % 11 else None, hours(i * 37 % 1500) if i % 13 else None, i, float(i)) for i in range(200)] + [(0, hours(0), 900, 9.0), (0, hours(0), 901, None)]
+    asked = [(j, j % 4 if j % 17 else None, hours(j * 29 % 1700 - 20) if j % 19 else None) for j in range(300)] + [(1000, 0, hours(0)), (1000, 0, hours(0))]
+    right = spark.createDataFrame(facts, "key int, known timestamp, ord int, value double")
+    left = spark.createDataFrame(asked, "j int, key int, at timestamp")
+    expected = []
+    for j, key, at in asked:
+        past = [(known, o, v) for k, known, o, v in facts if None not in (key, at, known) and k == key and known <= at]
+        expected.append((j, max(past)[2] if past else None))
+    order = lambda rows: sorted(rows, key=str)
+    for block in ("day", "week", "year"):
+        out = research.as_of(left, right, "key", "at", "known", ("value",), ("ord",), block=block)
+        assert out.columns == ["j", "key", "at", "value"]
+        assert order((r.j, r.value) for r in out.collect()) == order(expected), block
+    assert research.as_of(left, right.limit(0), "key", "at", "known", ("value",), ("ord",)).filter("value is not null").isEmpty()
