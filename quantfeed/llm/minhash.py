@@ -149,7 +149,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = classes.withColumn("rep", F.col("first.id"))
 
     postings = classes.select("rep", "n", F.explode(F.slice("sketch", 1, posted)).alias("v"))
-    shared = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # Written down, here and below: a join of two plain tables can split a value that many hold, one with an
+    # aggregate that is dealt by the same value can't.
+    shared = durable(postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
     t = F.least(F.lit(_least_shared(posted, percent)), F.ceil(F.col("n") * percent / 100)).cast("int")
     ranked = postings.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     keys = ranked.withColumn("t", t).filter(F.size("vs") >= F.col("t")).select("rep", "n", F.explode(F.slice("vs", F.lit(1), F.size("vs") - F.col("t") + 1)).alias("e"))
@@ -166,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = None
     for last in [False] * STAR_ROUNDS + [True]:
         at = lists.withColumn("comp", F.col("rep")) if comps is None else lists.join(comps, F.col("rep") == F.col("node"), "left").select("rep", "n", "v", F.coalesce("comp", "rep").alias("comp"))
-        open_lists = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
+        open_lists = durable(at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v"))
         at = durable(at.join(open_lists, "v", "left_semi"))
         if at.isEmpty():
             break
@@ -202,7 +204,7 @@ def _with_leaders(at: DataFrame, links: DataFrame | None, percent: int) -> DataF
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("d"))
         rank = F.struct(F.coalesce("d", F.lit(0)).alias("d"), (-F.col("rep")).alias("r"))
         leader = at.join(degree, "rep", "left").groupBy("v").agg(F.max_by(F.struct("rep", "n", "comp"), rank).alias("l"))
-    leader = leader.select("v", F.col("l.rep").alias("other"), F.col("l.n").alias("m"), F.col("l.comp").alias("other_comp"))
+    leader = durable(leader.select("v", F.col("l.rep").alias("other"), F.col("l.n").alias("m"), F.col("l.comp").alias("other_comp")))
     return _ordered(at.join(leader, "v").filter((F.col("comp") != F.col("other_comp")) & _fits(percent)))
 
 
@@ -217,14 +219,14 @@ def _across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     members = durable(at.select("rep", "n", "comp").distinct())
     posts = members.select("rep").join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", F.explode("shingles").alias("v"))
-    counts = posts.groupBy("v").agg(F.count("*").alias("df"))
-    ranked = posts.join(counts, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    counts = durable(posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
+    ranked = posts.join(counts, "v", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "v"))).alias("vs"))
     longest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     keys = ranked.join(members, "rep").select("rep", "n", "comp", F.posexplode(F.slice("vs", F.lit(1), longest)).alias("pos", "e"))
     keys = durable(keys.filter("e.df > 1").select("rep", "n", "comp", "pos", F.col("e.v").alias("v")))
     sizes = keys.groupBy("v", "comp").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / PART).cast("int").alias("parts"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    keys = keys.join(largest, "v")
+    keys = keys.join(durable(largest), "v")
     strays = keys.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")
     others = keys.select("v", own, F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
