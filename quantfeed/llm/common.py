@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -54,6 +55,37 @@ def slices(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(lengths)
 
 
+#: Slots of a bitmap of keys, 8 MB whatever the input; Spark builds it in parts of 32,768 slots.
+SLOTS, SLOTS_A_PART = 1 << 26, 1 << 15
+
+
+def slots_taken(keys: DataFrame, *cols: str) -> bytes | None:
+    """Bitmap of the slots that the keys fall into, of SLOTS bits; None for no keys at all.
+
+    It is put together where the keys are, so the driver gets at most SLOTS / 8 bytes.
+    """
+    slot = F.crc32(F.concat(*[x for c in cols for x in (F.col(c).cast("binary"), F.lit(b"\0"))][:-1])) % SLOTS
+    parts = keys.select(slot.alias("s")).groupBy(F.expr(f"s div {SLOTS_A_PART}").alias("part")).agg(F.expr(f"bitmap_construct_agg(s % {SLOTS_A_PART})").alias("bits")).collect()
+    if not parts:
+        return None
+    size = SLOTS_A_PART // 8
+    taken = bytearray(SLOTS // 8)
+    for r in parts:
+        taken[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
+    return bytes(taken)
+
+
+def slots_of(first: str, keys: list[bytes]) -> np.ndarray:
+    """The slots of keys (first, key) in such a bitmap."""
+    begin = zlib.crc32(first.encode() + b"\0")
+    return np.fromiter((zlib.crc32(k, begin) for k in keys), np.int64, len(keys)) % SLOTS
+
+
+def slots_hold(taken: bytes, slots: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(taken, np.uint8)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser, so that close inputs give unrelated outputs."""
     x = x.astype(np.uint64, copy=True)
