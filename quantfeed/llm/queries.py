@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantfeed.llm import ann, chat, divergence, embdedup, htmltext, langid, minhash, mixing, packing, shards, urlrules
+from quantfeed.llm import ann, chat, divergence, embdedup, htmltext, langid, minhash, mixing, packing, phrases, shards, urlrules
 from quantfeed.llm.common import table
 
 
@@ -57,13 +57,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_main_text, op4_url_verdicts, op5_languages, op6_vector_groups, op7_chats, op8_shards, op9_near_duplicates, op10_packed, op11_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_main_text, op4_url_verdicts, op5_languages, op6_vector_groups, op7_chats, op8_shards, op9_near_duplicates, op10_packed, op11_source_divergence, op13_collocations)}
 
 _PATTERNS = ("\\", "<|", "</s>", "<s>", "|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPES = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{p}', ''))) // {len(p)}" for p in _PATTERNS)
@@ -76,6 +80,7 @@ def _written(col: str) -> str:
 ORACLES = {
     "op2_mix": mixing.MIX_SQL,
     "op11_source_divergence": divergence.AUDIT_SQL,
+    "op13_collocations": phrases.COLLOCATIONS_SQL,
     "op7_chats": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
