@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared_path(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/checkpoints")
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, *by: str) -> DataFrame:
     """Cut the lineage: rows are written to the shared checkpoint folder and read from there.
 
@@ -23,17 +33,20 @@ def durable(df: DataFrame, *by: str) -> DataFrame:
     which multiplies with every join of a loop. The files stay until the folder is cleared, so they are
     packed by zstd, which takes less room than the default. ``by``: columns with a folder for each of their values.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or f"{tempfile.gettempdir()}/checkpoints")
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = _shared_path(spark)
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Written down like durable, dealt and sorted by a key that is unique, so that tables of equal buckets join without a shuffle."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", _shared_path(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def with_row_key(df: DataFrame, key: str) -> DataFrame:
     """Adds a long that no two rows share, equal rows included; written down, so that it stays the same."""
     return durable(df.withColumn(key, F.monotonically_increasing_id()))
@@ -59,12 +72,11 @@ def slices(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
 SLOTS, SLOTS_A_PART = 1 << 26, 1 << 15
 
 
-def slots_taken(keys: DataFrame, *cols: str) -> bytes | None:
-    """Bitmap of the slots that the keys fall into, of SLOTS bits; None for no keys at all.
+def slots_taken(keys: DataFrame, slot: Column) -> bytes | None:
+    """Bitmap of the slots (below SLOTS) that the keys fall into; None for no keys at all.
 
     It is put together where the keys are, so the driver gets at most SLOTS / 8 bytes.
     """
-    slot = F.crc32(F.concat(*[x for c in cols for x in (F.col(c).cast("binary"), F.lit(b"\0"))][:-1])) % SLOTS
     parts = keys.select(slot.alias("s")).groupBy(F.expr(f"s div {SLOTS_A_PART}").alias("part")).agg(F.expr(f"bitmap_construct_agg(s % {SLOTS_A_PART})").alias("bits")).collect()
     if not parts:
         return None
@@ -75,8 +87,13 @@ def slots_taken(keys: DataFrame, *cols: str) -> bytes | None:
     return bytes(taken)
 
 
+def key_slot(first: str, key: str) -> Column:
+    """Slot of a key made of two columns."""
+    return F.crc32(F.concat(F.col(first).cast("binary"), F.lit(b"\0"), F.col(key).cast("binary"))) % SLOTS
+
+
 def slots_of(first: str, keys: list[bytes]) -> np.ndarray:
-    """The slots of keys (first, key) in such a bitmap."""
+    """What key_slot gives for keys (first, key)."""
     begin = zlib.crc32(first.encode() + b"\0")
     return np.fromiter((zlib.crc32(k, begin) for k in keys), np.int64, len(keys)) % SLOTS
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable, slices, slots_hold, slots_of, slots_taken
+from quantfeed.llm.common import durable, key_slot, slices, slots_hold, slots_of, slots_taken
 
 #: Bytes of the first level's prefixes; every level doubles them.
 FIRST = 4
@@ -151,7 +151,7 @@ def kept_terms(docs: DataFrame, least_docs: int = 3) -> DataFrame:
         level = durable(level.filter(F.col("docs") >= least_docs).drop("docs"))
         whole = level.filter("whole").select("lang", F.col("term").cast("string").alias("term"), "at")
         found = whole if found is None else found.union(whole)
-        taken = slots_taken(level.filter("not whole"), "lang", "term")
+        taken = slots_taken(level.filter("not whole"), key_slot("lang", "term"))
         if taken is None:
             return found
         bits = spark.sparkContext.broadcast(taken)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable, slices, slots_hold, slots_of, slots_taken
+from quantfeed.llm.common import durable, key_slot, slices, slots_hold, slots_of, slots_taken
 
 #: Shards of the cycle, and words of the longest phrase.
 SHARDS, LONGEST = 4, 5
@@ -159,7 +159,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
             totals = durable(counts.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
         if step >= SHARDS - 1:  # single words are through, the rare ones are done with
             counts = counts.filter("words > 1 or since is not null")
-        taken = slots_taken(counts.filter((F.col("since") == step) & (F.col("words") < LONGEST)), "lang", "phrase")
+        taken = slots_taken(counts.filter((F.col("since") == step) & (F.col("words") < LONGEST)), key_slot("lang", "phrase"))
         news.append(None if taken is None else np.frombuffer(taken, np.uint8))
         if taken is not None:
             reached = news[-1] if reached is None else reached | news[-1]

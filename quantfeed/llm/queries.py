@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantfeed.llm import ann, chat, divergence, embdedup, htmltext, langid, minhash, mixing, packing, phrases, shards, urlrules
+from quantfeed.llm import ann, chat, divergence, embdedup, htmltext, langid, minhash, mixing, packing, phrases, repeats, shards, urlrules
 from quantfeed.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_main_text, op4_url_verdicts, op5_languages, op6_vector_groups, op7_chats, op8_shards, op9_near_duplicates, op10_packed, op11_source_divergence, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_main_text, op4_url_verdicts, op5_languages, op6_vector_groups, op7_chats, op8_shards, op9_near_duplicates, op10_packed, op11_source_divergence, op12_long_repeats, op13_collocations)}
 
 _PATTERNS = ("\\", "<|", "</s>", "<s>", "|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _ESCAPES = " + ".join(f"(length({{0}}) - length(replace({{0}}, '{p}', ''))) // {len(p)}" for p in _PATTERNS)
