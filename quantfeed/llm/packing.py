@@ -69,17 +69,17 @@ class WordEncoder:
 
     A tokenizer with the NORMALIZERS and WORDS above splits lower-cased text into words and merges
     inside words only, so the ids of a text are those of its words in order. Texts of plain Latin-1
-    are cut and looked up by arrays; any other text, and every text of another kind of tokenizer,
-    is encoded by the tokenizer as it is.
+    are cut and looked up by arrays; any other text, texts that hold an added token such as an end of text,
+    and every text of another kind of tokenizer, are encoded by the tokenizer as they are.
     """
 
     def __init__(self, written: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(written)
-        self.tokenizer.encode_special_tokens = True
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         said = json.loads(written)
+        self.special = [t["content"] for t in said.get("added_tokens") or []]
         steps = (said.get("pre_tokenizer") or {}).get("pretokenizers") or []
         self.by_words = (
             (said.get("normalizer") or {}).get("normalizers") == NORMALIZERS
@@ -121,7 +121,7 @@ class WordEncoder:
         plain = []
         for i, text in enumerate(texts):
             raw = None
-            if self.by_words:
+            if self.by_words and not any(t in text for t in self.special):
                 try:
                     raw = text.encode("latin-1")
                 except UnicodeEncodeError:
