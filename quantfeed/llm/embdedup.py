@@ -60,6 +60,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
 def _rows_of(a: np.ndarray) -> pa.Array:
     """A list column whose rows are the rows of ``a``."""
     flat = pa.array(a.ravel())
@@ -198,7 +203,7 @@ def near_links(vectors: DataFrame, threshold: float) -> DataFrame:
             bands = np.asarray(batch.column(0))
             for r, own, a, b in pairs_of_blocks(batch.column(1), batch.column(2)):
                 i, j = undecided(a, b, bands[r], own)
-                x, y = a[-1][i], b[-1][j]
+                x, y = _scaled(a[-1])[i], _scaled(b[-1])[j]
                 cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
                 i, j = i[cosine >= threshold], j[cosine >= threshold]
                 nodes, weights = a[0], a[5]

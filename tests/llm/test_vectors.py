@@ -124,3 +124,10 @@ def test_blocks_are_unpacked_in_slices(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(a) for a in v], int(k), "a") for i, (v, k) in enumerate(zip(x, label, strict=True))], SCHEMA)
     out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embdedup.near_duplicate_vectors(df).collect()}
     assert out == brute_links(np.arange(len(x)), x.astype(float), label)
+
+
+def test_links_of_very_large_and_small_doubles(spark):
+    rows = [(0, [1e200, 1e198], 1), (1, [1e200, 1.01e198], 1), (2, [1e-200, 0.0], 2), (3, [2e-200, 1e-203], 2), (4, [5e-324, 0.0], 2), (5, [0.0, 1e308], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embdedup.near_duplicate_vectors(df).collect()}
+    assert out == {0: (1, 0), 1: (1, 0), 2: (2, 2), 3: (2, 2), 4: (2, 2), 5: (0, 5)}
