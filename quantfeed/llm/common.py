@@ -52,6 +52,19 @@ def with_row_key(df: DataFrame, key: str) -> DataFrame:
     return durable(df.withColumn(key, F.monotonically_increasing_id()))
 
 
+def unique_ids(df: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether no id is null and none comes twice."""
+    return df.groupBy(id_col).agg(F.count("*").alias("c")).filter(F.col("c") > 1).isEmpty() and df.filter(F.col(id_col).isNull()).isEmpty()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable, with_row_key
+from quantfeed.llm.common import durable, free_name, unique_ids, with_row_key
 
 #: Default tree: web crawls are the sources src0 to src9, curated ones the rest.
 DOMAIN_WEIGHTS = {"web": 3.0, "curated": 2.0}
@@ -138,9 +138,16 @@ def mixed_documents(docs: DataFrame, percent: int = 90, seed: int = 7) -> DataFr
     ties are broken by row. Null and empty texts have no tokens and aren't taken, nor is the one document
     of each leaf that the budget would cut. An empty table gives no rows.
     """
-    keyed = with_row_key(docs, "_row")
-    taken = mix(keyed, percent=percent, max_epochs=1, seed=seed, carried=("_row",)).filter("take_tokens = tokens").select("_row")
-    return keyed.join(taken, "_row", "left_semi").select(*docs.columns)
+    if unique_ids(docs):
+        key, keyed = "doc_id", docs
+    else:
+        key = free_name(docs, "_row")
+        keyed = with_row_key(docs, key)
+    input_columns = ["doc_id", "lang", "source", "text"]
+    rows = keyed.select(*(F.col(c) for c in dict.fromkeys([*input_columns, key])))
+    carried = () if key == "doc_id" else (key,)
+    taken = mix(rows, percent=percent, max_epochs=1, seed=seed, carried=carried).filter("take_tokens = tokens").select(key)
+    return keyed.join(taken, key, "left_semi").select(*docs.columns)
 
 
 #: The same mix in SQL, for the default parameters.

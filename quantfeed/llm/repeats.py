@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import SLOTS, bucketed, durable, mix64, slices, slots_hold, slots_taken, with_row_key
+from quantfeed.llm.common import SLOTS, bucketed, durable, mix64, slices, slots_hold, slots_taken, unique_ids, with_row_key
 
 #: Bytes of a string that counts as a repeat, of a suffix's head, and windows of a part.
 LENGTH, HEAD, PART = 100, 32, 18
@@ -252,7 +252,7 @@ def _settled(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, ord, text): ord is the id, or the place in the order of ids where these are null or not unique."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 or doc_id is null").isEmpty():
+    if unique_ids(docs):
         return docs.select("doc_id", F.col("doc_id").alias("ord"), "text")
     return with_row_key(docs.orderBy(F.asc_nulls_last("doc_id"), F.sha2("text", 256)), "ord").select("doc_id", "ord", "text")
 
