@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantfeed.llm import langid, minhash, mixing, packing
-from quantfeed.llm.common import with_row_key
+from quantfeed.llm.common import free_name, unique_ids, with_row_key
 from quantfeed.llm.queries import default_tokenizer
 
 
@@ -25,13 +25,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Rows are compared under keys of their own, in the order of ids, so a null or repeated id takes nothing away: null ids
+    Where ids are null or come twice, rows get keys of their own in the order of ids, so such an id takes nothing away: null ids
     come after the others, and of equal ids the smallest hash of the text is kept. Texts without words
     are in no group and stay.
     """
-    keyed = with_row_key(docs.orderBy(F.asc_nulls_last("doc_id"), F.sha2("text", 256)), "_row")
-    kept = minhash.near_duplicates(keyed, id_col="_row", percent=80).filter("kept").select("_row")
-    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
+    if unique_ids(docs):
+        key, keyed = "doc_id", docs
+    else:
+        key = free_name(docs, "_row")
+        keyed = with_row_key(docs.orderBy(F.asc_nulls_last("doc_id"), F.sha2("text", 256)), key)
+    kept = minhash.near_duplicates(keyed, id_col=key, percent=80).filter("kept").select(key)
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
