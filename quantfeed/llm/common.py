@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,18 @@ def _shared_path(spark: SparkSession) -> str:
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, a job's shuffle files go when the job has ended: what it wrote is read again, they are not."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame, *by: str) -> DataFrame:
     """Cut the lineage: rows are written to the shared checkpoint folder and read from there.
 
@@ -35,7 +48,8 @@ def durable(df: DataFrame, *by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = _shared_path(spark)
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,7 +57,8 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Written down like durable, dealt and sorted by a key that is unique, so that tables of equal buckets join without a shuffle."""
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", _shared_path(spark)).saveAsTable(name)
+    with shuffles_dropped(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", _shared_path(spark)).saveAsTable(name)
     return spark.table(name)
 
 
