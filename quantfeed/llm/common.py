@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,14 +121,23 @@ def key_slot(first: str, key: str) -> Column:
     return F.crc32(F.concat(F.col(first).cast("binary"), F.lit(b"\0"), F.col(key).cast("binary"))) % SLOTS
 
 
+def sent_slots(spark: SparkSession, taken: bytes) -> Broadcast:
+    """The bitmap for a job's tasks, packed: an almost empty one is small on disk."""
+    return spark.sparkContext.broadcast(zlib.compress(taken, 1))
+
+
+def slots_here(sent: Broadcast) -> np.ndarray:
+    """A sent bitmap, unpacked once a task."""
+    return np.frombuffer(zlib.decompress(sent.value), np.uint8)
+
+
 def slots_of(first: str, keys: list[bytes]) -> np.ndarray:
     """What key_slot gives for keys (first, key)."""
     begin = zlib.crc32(first.encode() + b"\0")
     return np.fromiter((zlib.crc32(k, begin) for k in keys), np.int64, len(keys)) % SLOTS
 
 
-def slots_hold(taken: bytes, slots: np.ndarray) -> np.ndarray:
-    bits = np.frombuffer(taken, np.uint8)
+def slots_hold(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable, key_slot, slices, slots_hold, slots_of, slots_taken
+from quantfeed.llm.common import durable, key_slot, sent_slots, slices, slots_here, slots_hold, slots_of, slots_taken
 
 #: Bytes of the first level's prefixes; every level doubles them.
 FIRST = 4
@@ -84,18 +84,19 @@ def _terms(buf: np.ndarray, begins: np.ndarray, longer: int) -> tuple[pa.Array,
     return terms, np.zeros(len(occ), np.int64), np.arange(len(occ)), occ
 
 
-def _level(before: int, length: int, bits):
+def _level(before: int, length: int, sent):
     """Counts of the terms of ``before`` + 1 to ``length`` bytes, and of the prefixes of longer ones."""
 
     def run(batches):
+        bits = None if sent is None else slots_here(sent)
         for batch in batches:
             offsets = np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset :][: len(batch) + 1].astype(np.int64)
             data = batch.column(2).buffers()[2]
             every = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
             for i, j in slices(np.diff(offsets).tolist(), SLICE_BYTES):
-                yield from counted(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), every[offsets[i] : offsets[j]], offsets[i:j] - offsets[i])
+                yield from counted(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), every[offsets[i] : offsets[j]], offsets[i:j] - offsets[i], bits)
 
-    def counted(lang, source, buf, begins):
+    def counted(lang, source, buf, begins, bits):
         lang, source = lang.dictionary_encode(), source.dictionary_encode()
         of_lang, of_source = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
         sources = len(source.dictionary)
@@ -111,7 +112,7 @@ def _level(before: int, length: int, bits):
             live = np.zeros(len(pairs), bool)
             for k in np.unique(pairs // many):
                 own = pairs // many == k
-                live[own] = slots_hold(bits.value, slots_of(names[k], [keys[p] for p in pairs[own] % many]))
+                live[own] = slots_hold(bits, slots_of(names[k], [keys[p] for p in pairs[own] % many]))
             left = live[back]
             row, code, occ = row[left], code[left], occ[left]
         size = pc.binary_length(terms).to_numpy()
@@ -142,9 +143,9 @@ def kept_terms(docs: DataFrame, least_docs: int = 3) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    found, before, length, bits = None, 0, FIRST, None
+    found, before, length, sent = None, 0, FIRST, None
     while True:
-        counts = texts.mapInArrow(_level(before, length, bits), _COUNTS)
+        counts = texts.mapInArrow(_level(before, length, sent), _COUNTS)
         # Sums a source first, so that a row a source is all that meets in one place.
         counts = counts.groupBy("whole", "lang", "term", "source").agg(F.sum("occ").alias("occ"), F.sum("docs").alias("docs"))
         level = counts.groupBy("whole", "lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("source"), "occ")).alias("at"))
@@ -152,9 +153,11 @@ def kept_terms(docs: DataFrame, least_docs: int = 3) -> DataFrame:
         whole = level.filter("whole").select("lang", F.col("term").cast("string").alias("term"), "at")
         found = whole if found is None else found.union(whole)
         taken = slots_taken(level.filter("not whole"), key_slot("lang", "term"))
+        if sent is not None:
+            sent.destroy()  # the level is written down
         if taken is None:
             return found
-        bits = spark.sparkContext.broadcast(taken)
+        sent = sent_slots(spark, taken)
         before, length = length, 2 * length
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable, key_slot, slices, slots_hold, slots_of, slots_taken
+from quantfeed.llm.common import durable, key_slot, sent_slots, slices, slots_here, slots_hold, slots_of, slots_taken
 
 #: Shards of the cycle, and words of the longest phrase.
 SHARDS, LONGEST = 4, 5
@@ -70,6 +70,7 @@ def _scan(single: bool, reached, recent):
     """Counts of active phrases in a task's texts. Single words are counted if ``single``."""
 
     def run(batches):
+        bits = None if reached is None else (slots_here(reached), slots_here(recent))
         for batch in batches:
             text = batch.column(1)
             offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset :][: len(text) + 1].astype(np.int64)
@@ -81,9 +82,9 @@ def _scan(single: bool, reached, recent):
                 cuts = _piece_ends(buf, SLICE_BYTES) if j == i + 1 else [0, len(buf)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     begins = offsets[i:j] - offsets[i] if j > i + 1 else np.zeros(1, np.int64)
-                    yield from counted(lang.dictionary, lang.indices.to_numpy().astype(np.int64), buf[a:b], begins)
+                    yield from counted(lang.dictionary, lang.indices.to_numpy().astype(np.int64), buf[a:b], begins, bits)
 
-    def counted(langs, of_lang, buf, begins):
+    def counted(langs, of_lang, buf, begins, bits):
         words, rows, linked = words_and_links(buf, begins)
         if not len(words):
             return
@@ -94,7 +95,7 @@ def _scan(single: bool, reached, recent):
         lang, phrases = keys // len(lexicon), lexicon.take(pa.array(keys % len(lexicon)))
         if single:
             yield told(langs, lang, 1, phrases, occ)
-        if reached is None:
+        if bits is None:
             return
         at = np.arange(len(code))  # places where a phrase of the length just looked at begins
         for size in range(2, LONGEST + 1):
@@ -103,8 +104,8 @@ def _scan(single: bool, reached, recent):
             for k in np.unique(lang):
                 own = np.flatnonzero(lang == k)
                 slots[own] = slots_of(names[k], [listed[p] for p in own])
-            old = slots_hold(reached.value, slots)
-            new = old & slots_hold(recent.value, slots)
+            old = slots_hold(bits[0], slots)
+            new = old & slots_hold(bits[1], slots)
             # A phrase goes on from place i if the shorter ones at i and i + 1 are both frequent.
             keep = old[ids]
             at, ids = at[keep], ids[keep]
@@ -145,7 +146,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
         sent = [None, None]
         if reached is not None:
             last = [x for x in news[-SHARDS:] if x is not None]
-            sent = [spark.sparkContext.broadcast(x.tobytes()) for x in (reached, np.bitwise_or.reduce(last))]
+            sent = [sent_slots(spark, x.tobytes()) for x in (reached, np.bitwise_or.reduce(last))]
         seen = texts.filter(F.col("shard") == now).select("lang", "text").mapInArrow(_scan(step < SHARDS, *sent), _COUNTS)
         rows = seen.select(*key, "occ", *(F.lit(None).cast("long").alias(c) for c in held), F.lit(None).cast("int").alias("since"))
         if counts is not None:
@@ -155,6 +156,9 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
         f = sum((F.coalesce(c, F.lit(0)) for c in held), F.lit(0))
         rows = rows.withColumn("f", f).withColumn("since", F.coalesce("since", F.when(F.col("f") >= least, F.lit(step))))
         counts = durable(rows)
+        for x in sent:
+            if x is not None:
+                x.destroy()  # the counts are written down
         if step == SHARDS - 1:
             totals = durable(counts.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
         if step >= SHARDS - 1:  # single words are through, the rare ones are done with

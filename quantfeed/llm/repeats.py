@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import SLOTS, bucketed, durable, mix64, slices, slots_hold, slots_taken, unique_ids, with_row_key
+from quantfeed.llm.common import SLOTS, bucketed, durable, mix64, sent_slots, slices, slots_here, slots_hold, slots_taken, unique_ids, with_row_key
 
 #: Bytes of a string that counts as a repeat, of a suffix's head, and windows of a part.
 LENGTH, HEAD, PART = 100, 32, 18
@@ -65,12 +66,12 @@ class Powers:
 class Hashed:
     """Fingerprints of any span of a buffer, by sums over all prefixes."""
 
-    def __init__(self, buf: np.ndarray, powers: Powers):
+    def __init__(self, buf: np.ndarray, powers: Powers, bases: int = 2):
         powers.reach(len(buf) + 1)
         code = _CODE[buf]
         self.sums = []
         self.down = powers.down
-        for up in powers.up:
+        for up in powers.up[:bases]:
             s = np.zeros(len(buf) + 1, np.uint64)
             np.cumsum(code * up[: len(buf)], out=s[1:])
             self.sums.append(s)
@@ -132,23 +133,23 @@ def _heads(batches):
     powers = Powers()
     for batch in batches:
         for buf, _, begins, _ in _buffers(batch.column(1)):
-            heads, *_ = chosen(buf, _ends(buf, begins)[1], Hashed(buf, powers))
+            heads, *_ = chosen(buf, _ends(buf, begins)[1], Hashed(buf, powers, bases=1))
             k, n = np.unique(heads, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n > 1)], ["k", "many"])
 
 
-def _spans(taken):
+def _spans(sent):
     """Entries of the places whose heads may occur more than once."""
 
     def run(batches):
-        powers = Powers()
+        powers, bits = Powers(), slots_here(sent)
         for batch in batches:
             ords = batch.column(0).to_numpy()
             for buf, row, begins, shift in _buffers(batch.column(1)):
                 hashed = Hashed(buf, powers)
                 of, ends = _ends(buf, begins)
                 heads, place, lo, n = chosen(buf, ends, hashed)
-                hit = slots_hold(taken.value, (heads & np.uint64(SLOTS - 1)).astype(np.int64))
+                hit = slots_hold(bits, (heads & np.uint64(SLOTS - 1)).astype(np.int64))
                 heads, place, lo, n = heads[hit], place[hit], lo[hit], n[hit]
                 s = hashed.span(1, lo, lo + n + LENGTH - 1, (place - lo) * LENGTH + n)
                 t = of[lo]
@@ -162,23 +163,27 @@ def _parts(batches):
     """Open spans of texts, cut at fixed offsets from their place into parts, with the bytes of each."""
     powers = Powers()
     for batch in batches:
-        ords, texts, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
-        for i, told in enumerate(lists):
-            data = np.frombuffer(texts[i].as_buffer(), np.uint8)
-            every = np.array([(x["lo"], x["n"], x["ahead"]) for x in told], np.int64)
-            every = every[np.argsort(every[:, 0])]
-            begin = 0
-            while begin < len(every):  # spans of a long text are looked at piece by piece
-                end = max(begin + 1, int(np.searchsorted(every[:, 0], every[begin, 0] + SLICE_BYTES)))
-                base = max(0, int(every[begin, 0]) - LENGTH)
-                spans = every[begin:end] - [base, 0, 0]
-                buf = data[base : base + int(spans[-1, 0] + spans[-1, 1]) + 2 * LENGTH]
-                yield _cut(ords[i], buf, base, spans, Hashed(buf, powers))
-                begin = end
-
-
-def _cut(ord_, buf, base, spans, hashed):
-    cols = [[] for _ in range(5)]
+        ords, text, lists = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset :][: len(text) + 1].astype(np.int64)
+        every = np.frombuffer(text.buffers()[2], np.uint8)
+        many = pc.list_value_length(lists).to_numpy()
+        told = lists.flatten()
+        spans = np.stack([told.field(c).to_numpy().astype(np.int64) for c in ("lo", "n", "ahead")], axis=1)
+        row = np.repeat(np.arange(len(batch)), many)
+        spans[:, 0] += offsets[row]
+        order = np.argsort(spans[:, 0], kind="stable")
+        spans, row = spans[order], row[order]
+        begin = 0
+        while begin < len(spans):  # about as much text at a time, of one row or of several
+            end = int(np.searchsorted(spans[:, 0], spans[begin, 0] + SLICE_BYTES))
+            base = max(0, int(spans[begin, 0]) - LENGTH)
+            buf = every[base : int(spans[end - 1, 0] + spans[end - 1, 1]) + 2 * LENGTH]
+            yield _cut(buf, base, spans[begin:end] - [base, 0, 0], ords[row[begin:end]], offsets[row[begin:end]], Hashed(buf, powers))
+            begin = end
+
+
+def _cut(buf, base, spans, ords, begins, hashed):
+    cols = [[] for _ in range(7)]
     for j in range(-(-(LENGTH - HEAD + 1) // PART)):
         lo, n, ahead = spans.T
         # Windows of part j have the place at offset PART * j to PART * j + PART - 1.
@@ -188,13 +193,13 @@ def _cut(ord_, buf, base, spans, hashed):
         some = last >= lo
         lo, n, place = lo[some], (last - lo + 1)[some], place[some]
         core = place - PART * j
-        for col, v in zip(cols, (hashed.span(0, core, core + CORE, j + 1), hashed.span(1, lo, lo + n + LENGTH - 1, (place - lo) * LENGTH + n), lo, n, lo + n + LENGTH - 1), strict=True):
+        for col, v in zip(cols, (hashed.span(0, core, core + CORE, j + 1), hashed.span(1, lo, lo + n + LENGTH - 1, (place - lo) * LENGTH + n), lo, n, lo + n + LENGTH - 1, ords[some], begins[some]), strict=True):
             col.append(v)
-    k, s, lo, n, hi = (np.concatenate(c) for c in cols)
+    k, s, lo, n, hi, ords, begins = (np.concatenate(c) for c in cols)
     ends = np.append(0, np.cumsum(hi - lo))
     spread = np.arange(ends[-1]) + np.repeat(lo - ends[:-1], hi - lo)
     held = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(buf[spread])])
-    out = [pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(lo), ord_, np.int64)), pa.array(lo + base), pa.array(n.astype(np.int32)), held]
+    out = [pa.array(k.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ords), pa.array(lo + base - begins), pa.array(n.astype(np.int32)), held]
     return pa.RecordBatch.from_arrays(out, ["k", "s", "ord", "lo", "n", "bytes"])
 
 
@@ -275,9 +280,10 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     for x in found[1:]:
         keys = keys.union(x)
     taken = slots_taken(keys, F.col("k").bitwiseAND(F.lit(SLOTS - 1))) or bytes(SLOTS // 8)
-    sent = texts.sparkSession.sparkContext.broadcast(taken)
+    sent = sent_slots(texts.sparkSession, taken)
 
     entries = durable(texts.mapInArrow(_spans(sent), _ENTRY + ", ahead int"))
+    sent.destroy()
     whole, left = _settled(entries)
     wanted = entries.join(left, ["k", "s", "ord", "lo"], "left_semi").groupBy("ord").agg(F.collect_list(F.struct("lo", "n", "ahead")).alias("spans"))
     parts = durable(texts.join(wanted, "ord").mapInArrow(_parts, _ENTRY + ", bytes binary"))

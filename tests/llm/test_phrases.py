@@ -65,6 +65,7 @@ def test_odd_rows(spark):
 def test_bitmap_of_keys(spark):
     keys = [("en", "a b"), ("en", "ç"), ("", "x"), ("de", "")]
     taken = common.slots_taken(spark.createDataFrame(keys, "lang string, key string"), common.key_slot("lang", "key"))
-    assert all(common.slots_hold(taken, common.slots_of(lang, [key.encode()]))[0] for lang, key in keys)
-    assert np.unpackbits(np.frombuffer(taken, np.uint8)).sum() == len(keys)
+    bits = np.frombuffer(taken, np.uint8)
+    assert all(common.slots_hold(bits, common.slots_of(lang, [key.encode()]))[0] for lang, key in keys)
+    assert np.unpackbits(bits).sum() == len(keys)
     assert common.slots_taken(spark.createDataFrame([], "lang string, key string"), common.key_slot("lang", "key")) is None
