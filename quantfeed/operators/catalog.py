@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import divide
+from quantfeed.operators.frames import Frames, computed
 from quantfeed.operators.rolling import Latest, Rolling, greater, less, log
+from quantfeed.operators.series import blocks
 
 WINDOWS = (5, 10, 20, 30, 60)
 EPS = 1e-12
@@ -17,11 +20,13 @@ CANDLE = tuple("KMID KLEN KMID2 KUP KUP2 KLOW KLOW2 KSFT KSFT2".split())
 PRICE = tuple("OPEN0 HIGH0 LOW0 VWAP0".split())
 #: Rows that a factor may look back: the longest window and the row before it.
 LOOKBACK = max(WINDOWS) + 2
+#: Columns that the windows of rolled() read.
+NEEDED = ("close", "high", "low", "volume", "_i", "_lv", "_ret", "_lr", "_up", "_down", "_gain", "_loss", "_move", "_vgain", "_vloss", "_vmove", "_wv")
 #: Fixed value: with fewer bars there are no factors and no scores.
 MIN_BARS = 70
 
 
-def prepared(bars: DataFrame, by: str = "code", order: str = "day") -> DataFrame:
+def prepared(bars: DataFrame, by: str | list[str] = "code", order: str = "day") -> DataFrame:
     """The columns that windows run over: they need the row before, and windows can't nest."""
     r = Rolling(by, order)
     c, v = F.col("close"), F.col("volume")
@@ -67,43 +72,43 @@ def candle() -> dict[str, Column]:
     return out | {f"{x.upper()}0": divide(F.col(x), c) for x in ("open", "high", "low", "vwap")}
 
 
-def rolled(d: int, r: Rolling | Latest) -> dict[str, Callable[[], Column]]:
-    """The 29 families for one window over prepared columns, sliding or of the newest rows alone; each is built when called."""
-    c, h, low, v, i = (F.col(x) for x in ("close", "high", "low", "volume", "_i"))
+def rolled(d: int, r: Rolling | Latest | Frames) -> dict[str, Callable[[], Column | np.ndarray]]:
+    """The 29 families for one window over prepared columns, as sliding columns, aggregates of the newest rows or arrays; each is built when called."""
+    c, h, low, v, i = (r.col(x) for x in ("close", "high", "low", "volume", "_i"))
     now = lambda x: r.now(x)
-    mean, total, std = (lambda x: r.mean(F.col(x), d)), (lambda x: r.sum(F.col(x), d)), (lambda x: r.std(F.col(x), d))
+    mean, total, std = (lambda x: r.mean(r.col(x), d)), (lambda x: r.sum(r.col(x), d)), (lambda x: r.std(r.col(x), d))
     move, vmove = (lambda: total("_move") + EPS), (lambda: total("_vmove") + EPS)
     volume = lambda: now(v) + EPS
     out = {
-        "ROC": lambda: divide(r.ref(c, d), now(c)),
-        "MA": lambda: divide(r.mean(c, d), now(c)),
-        "STD": lambda: divide(r.std(c, d), now(c)),
-        "BETA": lambda: divide(r.slope(c, d, i), now(c)),
+        "ROC": lambda: r.divide(r.ref(c, d), now(c)),
+        "MA": lambda: r.divide(r.mean(c, d), now(c)),
+        "STD": lambda: r.divide(r.std(c, d), now(c)),
+        "BETA": lambda: r.divide(r.slope(c, d, i), now(c)),
         "RSQR": lambda: r.rsquare(c, d, i),
-        "RESI": lambda: divide(r.resi(c, d, i), now(c)),
-        "MAX": lambda: divide(r.max(h, d), now(c)),
-        "MIN": lambda: divide(r.min(low, d), now(c)),
-        "QTLU": lambda: divide(r.quantile(c, d, 0.8), now(c)),
-        "QTLD": lambda: divide(r.quantile(c, d, 0.2), now(c)),
+        "RESI": lambda: r.divide(r.resi(c, d, i), now(c)),
+        "MAX": lambda: r.divide(r.max(h, d), now(c)),
+        "MIN": lambda: r.divide(r.min(low, d), now(c)),
+        "QTLU": lambda: r.divide(r.quantile(c, d, 0.8), now(c)),
+        "QTLD": lambda: r.divide(r.quantile(c, d, 0.2), now(c)),
         "RANK": lambda: r.rank(c, d),
-        "RSV": lambda: divide(now(c) - r.min(low, d), r.max(h, d) - r.min(low, d) + EPS),
+        "RSV": lambda: r.divide(now(c) - r.min(low, d), r.max(h, d) - r.min(low, d) + EPS),
         "IMAX": lambda: r.idx_max(h, d) / d,
         "IMIN": lambda: r.idx_min(low, d) / d,
         "IMXD": lambda: (r.idx_max(h, d) - r.idx_min(low, d)) / d,
-        "CORR": lambda: r.corr(c, F.col("_lv"), d),
-        "CORD": lambda: r.corr(F.col("_ret"), F.col("_lr"), d),
+        "CORR": lambda: r.corr(c, r.col("_lv"), d),
+        "CORD": lambda: r.corr(r.col("_ret"), r.col("_lr"), d),
         "CNTP": lambda: mean("_up"),
         "CNTN": lambda: mean("_down"),
         "CNTD": lambda: mean("_up") - mean("_down"),
-        "SUMP": lambda: divide(total("_gain"), move()),
-        "SUMN": lambda: divide(total("_loss"), move()),
-        "SUMD": lambda: divide(total("_gain") - total("_loss"), move()),
-        "VMA": lambda: divide(mean("volume"), volume()),
-        "VSTD": lambda: divide(std("volume"), volume()),
-        "WVMA": lambda: divide(std("_wv"), mean("_wv") + EPS),
-        "VSUMP": lambda: divide(total("_vgain"), vmove()),
-        "VSUMN": lambda: divide(total("_vloss"), vmove()),
-        "VSUMD": lambda: divide(total("_vgain") - total("_vloss"), vmove()),
+        "SUMP": lambda: r.divide(total("_gain"), move()),
+        "SUMN": lambda: r.divide(total("_loss"), move()),
+        "SUMD": lambda: r.divide(total("_gain") - total("_loss"), move()),
+        "VMA": lambda: r.divide(mean("volume"), volume()),
+        "VSTD": lambda: r.divide(std("volume"), volume()),
+        "WVMA": lambda: r.divide(std("_wv"), mean("_wv") + EPS),
+        "VSUMP": lambda: r.divide(total("_vgain"), vmove()),
+        "VSUMN": lambda: r.divide(total("_vloss"), vmove()),
+        "VSUMD": lambda: r.divide(total("_vgain") - total("_vloss"), vmove()),
     }
     return {f"{k}{d}": x for k, x in out.items()}
 
@@ -120,6 +125,31 @@ def factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequen
     return prepared(bars, by, order).select(by, order, *[(candles[n] if n in candles else made[n]()).alias(n) for n in wanted])
 
 
+def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, by: str = "code", order: str = "day", long: bool | None = False) -> DataFrame:
+    """What factors() gives, for every row, with the windows worked out on arrays.
+
+    One shuffle by code; the columns that look one row back are window functions on the same sort. Each task
+    works on some ten thousand rows of many codes at a time. ``long``: whether a code may have more rows than a block
+    (series.blocks), which are then dealt to several tasks; None looks.
+    """
+    candles = candle()
+    wanted = [*candles, *(f"{k}{d}" for d in windows for k in FAMILIES)] if names is None else list(names)
+    rolling = [n for n in wanted if n not in candles]
+    keys = [by, "_block"]
+    x = prepared(blocks(bars, by, [order], max(windows) + 2, long), keys, order).sortWithinPartitions(*keys, order)
+    shown = {n: candles[n].alias(n) for n in wanted if n in candles}
+    x = x.select(*keys, order, "_own", *shown.values(), *(F.col(c).cast("double").alias(c) for c in NEEDED))
+
+    def made(f: Frames) -> dict[str, np.ndarray]:
+        every: dict[str, Callable] = {}
+        for d in windows:
+            every |= rolled(d, f)
+        return {n: every[n]() for n in rolling}
+
+    out = computed(x, keys, [by, order, *shown], made, rolling, "_own")
+    return out.select(by, order, *wanted)
+
+
 def latest_factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, least: int = MIN_BARS, by: str = "code", order: str = "day") -> DataFrame:
     """The factors of each code's newest day, by one aggregation over the rows that they look back to.
 

@@ -14,9 +14,11 @@ from quantfeed.functions.columns import divide, finite
 
 
 class Rolling:
-    def __init__(self, by: str = "code", order: str = "day"):
+    def __init__(self, by: str | list[str] = "code", order: str = "day"):
         self.rows: WindowSpec = Window.partitionBy(by).orderBy(order)
 
+    col, divide = staticmethod(F.col), staticmethod(divide)
+
     def frame(self, n: int) -> WindowSpec:
         if n < 1:
             raise ValueError("a window has at least one row")
@@ -133,6 +135,8 @@ class Latest:
     def __init__(self, age: str = "_age", newest: str = "_newest"):
         self.age, self.newest = F.col(age), F.col(newest)
 
+    col, divide = staticmethod(F.col), staticmethod(divide)
+
     def within(self, x: Column, n: int) -> Column:
         if n < 1:
             raise ValueError("a window has at least one row")

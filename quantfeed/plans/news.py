@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +14,10 @@ from quantfeed.plans import queries as base
 from quantfeed.plans.queries import _ITEMS, _PROFILE, _panel_sql, bars, profiles, query, rounded, table
 from quantfeed.sources import bars as br
 from quantfeed.sources import payloads, tables
+from quantfeed.sources.tables import work_folder
 from quantfeed.streaming import digest
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share, for what a query writes and reads again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.gettempdir() + '/checkpoints'}/feeds-{uuid.uuid4().hex}"
-
-
 def _quoted(*values: str) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, for what a job writes and reads again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.gettempdir() + '/checkpoints'}/feeds-{uuid.uuid4().hex}"
+
+
+def written_down(df: DataFrame) -> DataFrame:
+    """The rows, written to a shared folder and read from there: what made them isn't run again."""
+    path = work_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_days(df: DataFrame, path: str, day: str = "day") -> None:
     """Replace the days that ``df`` holds, and only those; other days stay."""
     df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
