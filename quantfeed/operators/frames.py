@@ -9,21 +9,16 @@ rows.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantfeed.operators.series import blocks
 
-# Functions that run on executors travel with the job, so executors need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 #: Rows worked on together, and values of windows laid out side by side at once.
 ROWS, CELLS = 32_768, 4_000_000
 
@@ -131,10 +126,20 @@ class Frames:
         return self._once(("total", n, id(x)), lambda: self._placed(self._center(x, n) * n + self._sum(n, x), n))
 
     def var(self, x: np.ndarray, n: int) -> np.ndarray:
+        """By Welford's updates, oldest row first, as the built-in aggregates do it: equal to the last digits."""
         if n == 1:
             return np.full(len(x), np.nan)
-        flat = self._most(x, n, np.maximum) == self._most(x, n, np.minimum)
-        return self._placed(np.where(flat, 0.0, np.maximum(self._spread(n, x, x), 0) / (n - 1)), n)
+
+        def squares(w: np.ndarray, _: slice) -> np.ndarray:
+            mean, total = np.zeros(len(w)), np.zeros(len(w))
+            for k in range(n):
+                off = w[:, k] - mean
+                part = off / (k + 1)
+                mean = mean + part
+                total = total + off * (off - part)
+            return total
+
+        return self._once(("var", n, id(x)), lambda: self._placed(self._windows(x, n, squares) / (n - 1), n))
 
     def std(self, x: np.ndarray, n: int) -> np.ndarray:
         return np.sqrt(self.var(x, n))

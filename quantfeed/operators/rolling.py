@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import divide, finite
+from quantfeed.operators.series import blocks
+from quantfeed.sources.tables import written_down
 
 
 class Rolling:
@@ -243,19 +245,57 @@ def truth(c: Column) -> Column:
     return c.cast("double")
 
 
-def ema(df: DataFrame, column: str, n: int, out: str, by: str = "code", order: str = "day") -> DataFrame:
+def ema(df: DataFrame, column: str, n: int, out: str, by: str = "code", order: str | list[str] = "day", long: bool | None = False) -> DataFrame:
     """Adds the exponential mean with 2 / (n + 1), seeded by the first value.
 
-    Null rows stay null and keep the state. It is recursive, so each series runs through pandas.
+    Null rows stay null and keep the state. What a block of rows makes of the mean y before it is a * y + b, so
+    blocks are worked out side by side, a row for each is carried along the series, and the blocks start from what
+    they are given. ``long``: whether a series may have more rows than a block (series.blocks); None looks. Short
+    series are a block each and nothing is carried.
     """
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` double"])
-
-    def series(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[column].astype(float)
-        return pdf.assign(**{out: x.ewm(alpha=2 / (n + 1), adjust=False, ignore_na=True).mean().where(x.notna())})
-
-    return df.groupBy(by).applyInPandas(series, schema)
+    orders = [order] if isinstance(order, str) else list(order)
+    x = blocks(df, by, orders, 0, long).drop("_own")
+    keys, alpha, names = [by, "_block"], 2 / (n + 1), list(df.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def means(values: pd.Series, before: float | None) -> pd.Series:
+        y = values.astype(float)
+        seeded = y if before is None or pd.isna(before) else pd.concat([pd.Series([before]), y])
+        return seeded.ewm(alpha=alpha, adjust=False, ignore_na=True).mean().iloc[-len(y) :].where(y.notna().to_numpy())
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(orders)
+        return pdf[names].assign(**{out: means(pdf[column], None).to_numpy()})
+
+    if long is False:
+        return x.groupBy(*keys).applyInPandas(alone, f"{schema}, `{out}` double")
+    x = written_down(x)
+
+    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(orders)[column].astype(float).dropna()
+        last = y.ewm(alpha=alpha, adjust=False).mean().iloc[-1] if len(y) else None
+        return pd.DataFrame({"by": pdf[by].iloc[:1].to_numpy(), "block": pdf["_block"].iloc[:1].to_numpy(), "n": [len(y)], "first": [y.iloc[0] if len(y) else None], "last": [last]})
+
+    kind = df.schema[by].dataType.simpleString()
+    effects = x.select(*keys, *orders, column).groupBy(*keys).applyInPandas(effect, f"by {kind}, block long, n long, first double, last double")
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        """``last`` counts the block's first value whole, as if it began the series; a mean before it takes its place by the decay."""
+        pdf, state, before = pdf.sort_values("block"), None, []
+        for m, first, last in zip(pdf["n"], pdf["first"], pdf["last"], strict=True):
+            before.append(state)
+            if m:
+                state = last if state is None else last + (1 - alpha) ** m * (state - first)
+        return pdf[["by", "block"]].assign(before=pd.Series(before, index=pdf.index, dtype=float))
+
+    given = written_down(effects.groupBy("by").applyInPandas(carry, f"by {kind}, block long, before double"))
+    joined = x.join(given, x[by].eqNullSafe(given["by"]) & (x["_block"] == given["block"])).drop("by", "block")
+
+    def begun(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(orders)
+        return pdf[names].assign(**{out: means(pdf[column], pdf["before"].iloc[0]).to_numpy()})
+
+    return joined.groupBy(*keys).applyInPandas(begun, f"{schema}, `{out}` double")
 
 
 def last_rows(df: DataFrame, n: int, by: str = "code", order: str = "day") -> DataFrame:

@@ -12,7 +12,7 @@ from quantfeed.functions import text as tx
 from quantfeed.functions import timestamps as ts
 from quantfeed.functions.columns import number
 from quantfeed.operators import boards as bd
-from quantfeed.operators import catalog, feeds, reports, research, scoring, snapshots, themes
+from quantfeed.operators import catalog, feeds, frames, reports, research, scoring, snapshots, themes
 from quantfeed.operators import rolling as rl
 from quantfeed.sources import bars as br
 from quantfeed.sources import payloads
@@ -80,8 +80,14 @@ def _op_sql(make: Callable[[int], dict[str, str]]) -> str:
 
 
 def _op(spark, sf_dir, make) -> DataFrame:
-    x = rl.with_row_number(bars(spark, sf_dir))
-    return rounded(x.select("code", "day", *[e.alias(f"{k}{n}") for n in _NS for k, e in make(rl.Rolling(), n).items()]))
+    """Operators over all five windows, on arrays."""
+
+    def made(f):
+        return {f"{k}{n}": v for n in _NS for k, v in make(f, n).items()}
+
+    names = [f"{k}{n}" for n in _NS for k in make(rl.Rolling(), 2)]
+    x = bars(spark, sf_dir).select("code", "day", *(F.col(c).cast("double").alias(c) for c in ("close", "high", "low", "volume")))
+    return rounded(frames.sliding(x, made, names, max(_NS), long=False))
 
 
 def _c():
@@ -90,18 +96,19 @@ def _c():
 
 @query(_op_sql(lambda n: {"ref": f"lag(close, {n}) OVER w", "delta": f"close - lag(close, {n}) OVER w", "ret": f"(close / lag(close, {n}) OVER w - 1) * 100"}))
 def factor_ref_delta_return(spark, sf_dir):
-    return _op(spark, sf_dir, lambda r, n: {"ref": r.ref(_c(), n), "delta": r.delta(_c(), n), "ret": r.change(_c(), n)})
+    r = rl.Rolling()
+    made = {f"{k}{n}": e for n in _NS for k, e in (("ref", r.ref(_c(), n)), ("delta", r.delta(_c(), n)), ("ret", r.change(_c(), n)))}
+    return rounded(bars(spark, sf_dir).select("code", "day", *[e.alias(k) for k, e in made.items()]))
 
 
 @query(_op_sql(lambda n: {k: _gate("close", f"w{n}", n, f"{f}(close) OVER w{n}") for k, f in (("mean", "avg"), ("sum", "sum"), ("std", "stddev_samp"), ("max", "max"), ("min", "min"))}))
 def factor_mean_sum_std_max_min(spark, sf_dir):
-    return _op(spark, sf_dir, lambda r, n: {"mean": r.mean(_c(), n), "sum": r.sum(_c(), n), "std": r.std(_c(), n), "max": r.max(_c(), n), "min": r.min(_c(), n)})
+    return _op(spark, sf_dir, lambda r, n: {"mean": r.mean(r.col("close"), n), "sum": r.sum(r.col("close"), n), "std": r.std(r.col("close"), n), "max": r.max(r.col("close"), n), "min": r.min(r.col("close"), n)})
 
 
 @query(_op_sql(lambda n: {"var": _gate("volume", f"w{n}", n, f"var_samp(volume) OVER w{n}"), "med": _gate("volume", f"w{n}", n, f"quantile_cont(volume, 0.5) OVER w{n}"), "q80": _gate("volume", f"w{n}", n, f"quantile_cont(volume, 0.8) OVER w{n}")}))
 def factor_var_median_quantile(spark, sf_dir):
-    v = F.col("volume")
-    return _op(spark, sf_dir, lambda r, n: {"var": r.var(v, n), "med": r.median(v, n), "q80": r.quantile(v, n, 0.8)})
+    return _op(spark, sf_dir, lambda r, n: {"var": r.var(r.col("volume"), n), "med": r.median(r.col("volume"), n), "q80": r.quantile(r.col("volume"), n, 0.8)})
 
 
 _LISTS = ", ".join(f"list(close) OVER w{n} AS lc{n}, list(high) OVER w{n} AS lh{n}, list(low) OVER w{n} AS ll{n}" for n in _NS)
@@ -119,8 +126,7 @@ _LISTED = ", ".join(
 
 @query(f"WITH {BARS}, b AS (SELECT *, {_LISTS} FROM bars {_frames(*_NS)}) SELECT code, day, {_LISTED} FROM b")
 def factor_mad_rank_positions(spark, sf_dir):
-    h, low = F.col("high"), F.col("low")
-    return _op(spark, sf_dir, lambda r, n: {"mad": r.mad(_c(), n), "rank": r.rank(_c(), n), "imax": r.idx_max(h, n), "imin": r.idx_min(low, n)})
+    return _op(spark, sf_dir, lambda r, n: {"mad": r.mad(r.col("close"), n), "rank": r.rank(r.col("close"), n), "imax": r.idx_max(r.col("high"), n), "imin": r.idx_min(r.col("low"), n)})
 
 
 def _varies(x: str, w: str) -> str:
@@ -129,8 +135,7 @@ def _varies(x: str, w: str) -> str:
 
 @query(_op_sql(lambda n: {"corr": f"CASE WHEN {_varies('close', f'w{n}')} AND {_varies('volume', f'w{n}')} THEN {_gate('close', f'w{n}', n, f'corr(close, volume) OVER w{n}')} END", "cov": _gate("close", f"w{n}", n, f"covar_samp(close, volume) OVER w{n}")}))
 def factor_corr_cov(spark, sf_dir):
-    v = F.col("volume")
-    return _op(spark, sf_dir, lambda r, n: {"corr": r.corr(_c(), v, n), "cov": r.cov(_c(), v, n)})
+    return _op(spark, sf_dir, lambda r, n: {"corr": r.corr(r.col("close"), r.col("volume"), n), "cov": r.cov(r.col("close"), r.col("volume"), n)})
 
 
 @query(
@@ -144,8 +149,7 @@ def factor_corr_cov(spark, sf_dir):
     )
 )
 def factor_slope_rsquare_resi_wma(spark, sf_dir):
-    i = F.col("i")
-    return _op(spark, sf_dir, lambda r, n: {"slope": r.slope(_c(), n, i), "rsq": r.rsquare(_c(), n, i), "resi": r.resi(_c(), n, i), "wma": r.wma(_c(), n, i)})
+    return _op(spark, sf_dir, lambda r, n: {"slope": r.slope(r.col("close"), n, r.col("_i")), "rsq": r.rsquare(r.col("close"), n, r.col("_i")), "resi": r.resi(r.col("close"), n, r.col("_i")), "wma": r.wma(r.col("close"), n, r.col("_i"))})
 
 
 @query(
@@ -172,8 +176,8 @@ def factor_elementwise(spark, sf_dir):
     return rounded(x)
 
 
-def _panel_sql(names: tuple[str, ...] | None, bars_sql: str = BARS) -> str:
-    """All factors as SQL over the newest rows of each code with enough of them."""
+def _panel_sql(names: tuple[str, ...] | None, bars_sql: str = BARS, every_day: bool = False) -> str:
+    """All factors as SQL over the newest rows of each code with enough of them, or over all rows."""
     e = "1e-12"
     span, top, bottom = f"(high - low + {e})", "greatest(open, close)", "least(open, close)"
     cols = {"KMID": "(close-open)/open", "KLEN": "(high-low)/open", "KMID2": f"(close-open)/{span}", "KUP": f"(high-{top})/open", "KUP2": f"(high-{top})/{span}", "KLOW": f"({bottom}-low)/open", "KLOW2": f"({bottom}-low)/{span}", "KSFT": "(2*close-high-low)/open", "KSFT2": f"(2*close-high-low)/{span}"}
@@ -219,7 +223,7 @@ def _panel_sql(names: tuple[str, ...] | None, bars_sql: str = BARS) -> str:
     lists = ", ".join(f"list(close) OVER w{d} AS lc{d}, list(high) OVER w{d} AS lh{d}, list(low) OVER w{d} AS ll{d}" for d in catalog.WINDOWS)
     wanted = names or tuple(cols)
     return f"""{bars_sql}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS age, count(*) OVER (PARTITION BY code) AS bars_held FROM bars),
-p AS (SELECT *, CAST(row_number() OVER w AS DOUBLE) AS i, lag(close) OVER w AS c1, lag(volume) OVER w AS v1 FROM n WHERE age <= {catalog.LOOKBACK} AND bars_held >= {catalog.MIN_BARS} WINDOW w AS (PARTITION BY code ORDER BY day)),
+p AS (SELECT *, CAST(row_number() OVER w AS DOUBLE) AS i, lag(close) OVER w AS c1, lag(volume) OVER w AS v1 FROM n{"" if every_day else f" WHERE age <= {catalog.LOOKBACK} AND bars_held >= {catalog.MIN_BARS}"} WINDOW w AS (PARTITION BY code ORDER BY day)),
 q AS (SELECT *, ln(volume + 1) AS lv, close / c1 AS ret, ln(volume / v1 + 1) AS lr, CAST(close > c1 AS DOUBLE) AS up, CAST(close < c1 AS DOUBLE) AS down,
   CASE WHEN c1 IS NOT NULL THEN greatest(close - c1, 0) END AS gain, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - close, 0) END AS loss, abs(close - c1) AS move,
   CASE WHEN v1 IS NOT NULL THEN greatest(volume - v1, 0) END AS vgain, CASE WHEN v1 IS NOT NULL THEN greatest(v1 - volume, 0) END AS vloss, abs(volume - v1) AS vmove, abs(close / c1 - 1) * volume AS wv FROM p),
@@ -238,6 +242,54 @@ def factors_158_latest(spark, sf_dir):
     return rounded(latest_panel(spark, sf_dir))
 
 
+_FACTORS = (*catalog.CANDLE, *catalog.PRICE, *(f"{k}{d}" for d in catalog.WINDOWS for k in catalog.FAMILIES))
+
+
+@query(f"WITH {_panel_sql(None, every_day=True)} SELECT code, day, {', '.join(_r(k, k) for k in _FACTORS)} FROM f")
+def factors_158_panel(spark, sf_dir):
+    """All factors of every code and day; a code has a bar a day, so its series fits in a block."""
+    return rounded(catalog.panel(bars(spark, sf_dir)))
+
+
+# Events as ticks: one series of one type that holds every event, and one series a type.
+_TICK_N = (20, 60)
+_TICK_SQL = ", ".join(
+    _r(_gate("value", f"w{n}", n, e), f"{k}{n}")
+    for n in _TICK_N
+    for k, e in (("mean", f"avg(value) OVER w{n}"), ("std", f"stddev_samp(value) OVER w{n}"), ("max", f"max(value) OVER w{n}"), ("slope", f"regr_slope(value, i) OVER w{n}"), ("q80", f"quantile_cont(value, 0.8) OVER w{n}"))
+)
+_TICK_WINDOWS = "WINDOW " + ", ".join(f"w{n} AS (PARTITION BY code ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in _TICK_N)
+
+
+def ticks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.lit("all").alias("code"), "ts", "event_id", F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"))
+
+
+_TICKS = "t AS (SELECT 'all' AS code, ts, event_id, CASE WHEN event_id % 97 <> 0 THEN value END AS value, CAST(row_number() OVER (ORDER BY ts, event_id) AS DOUBLE) AS i FROM events)"
+
+
+@query(f"WITH {_TICKS} SELECT code, ts, event_id, {_TICK_SQL} FROM t {_TICK_WINDOWS}")
+def tick_windows(spark, sf_dir):
+    """Sliding operators over one series that is the whole table, in blocks."""
+
+    def made(f):
+        x, i = f.col("value"), f.col("_i")
+        return {k: v for n in _TICK_N for k, v in {f"mean{n}": f.mean(x, n), f"std{n}": f.std(x, n), f"max{n}": f.max(x, n), f"slope{n}": f.slope(x, n, i), f"q80{n}": f.quantile(x, n, 0.8)}.items()}
+
+    names = [f"{k}{n}" for n in _TICK_N for k in ("mean", "std", "max", "slope", "q80")]
+    return rounded(frames.sliding(ticks(spark, sf_dir), made, names, max(_TICK_N), order=["ts", "event_id"], long=True))
+
+
+@query(
+    f"""WITH {_TICKS}, v AS (SELECT *, row_number() OVER (ORDER BY i) AS k FROM t WHERE value IS NOT NULL),
+e AS (SELECT v.i, sum(p.value * CASE WHEN p.k = 1 THEN 1 ELSE 2.0::DOUBLE / 13 END * (1 - 2.0::DOUBLE / 13) ** (v.k - p.k)) AS ema FROM v JOIN v p ON p.k BETWEEN v.k - 300 AND v.k GROUP BY v.i)
+SELECT code, ts, event_id, round(ema, 6) AS ema12 FROM t LEFT JOIN e USING (i)"""
+)
+def tick_ema(spark, sf_dir):
+    """Exponential mean of the same series: older rows than 300 weigh under 1e-21 in the SQL."""
+    return rounded(rl.ema(ticks(spark, sf_dir), "value", 12, "ema12", order=["ts", "event_id"], long=True).select("code", "ts", "event_id", "ema12"))
+
+
 def _mean_sql(parts: list[str]) -> str:
     total = " + ".join(f"coalesce({p}, 0)" for p in parts)
     n = " + ".join(f"CAST(({p}) IS NOT NULL AS INT)" for p in parts)
