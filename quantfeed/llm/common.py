@@ -101,16 +101,16 @@ def slices(lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
 SLOTS, SLOTS_A_PART = 1 << 26, 1 << 15
 
 
-def slots_taken(keys: DataFrame, slot: Column) -> bytes | None:
-    """Bitmap of the slots (below SLOTS) that the keys fall into; None for no keys at all.
+def slots_taken(keys: DataFrame, slot: Column, slots: int = SLOTS) -> bytes | None:
+    """Bitmap of the slots (below ``slots``) that the keys fall into; None for no keys at all.
 
-    It is put together where the keys are, so the driver gets at most SLOTS / 8 bytes.
+    It is put together where the keys are, so the driver gets at most slots / 8 bytes.
     """
     parts = keys.select(slot.alias("s")).groupBy(F.expr(f"s div {SLOTS_A_PART}").alias("part")).agg(F.expr(f"bitmap_construct_agg(s % {SLOTS_A_PART})").alias("bits")).collect()
     if not parts:
         return None
     size = SLOTS_A_PART // 8
-    taken = bytearray(SLOTS // 8)
+    taken = bytearray(slots // 8)
     for r in parts:
         taken[r["part"] * size : (r["part"] + 1) * size] = r["bits"]
     return bytes(taken)

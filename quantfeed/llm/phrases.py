@@ -6,27 +6,31 @@ reached the threshold in what was counted so far, and is counted in every shard
 longer phrases start while shorter ones are still being counted: most of the work is done after one cycle
 and a few shards more, where counting one length after the other reads all documents five times.
 
-What is active goes to the tasks as two bitmaps of fixed size: phrases that have reached the threshold, and
-those that did so within the last cycle. A phrase is counted if both subphrases are in the first and one of
-them is in the second. A slot that two phrases share makes a task count more than it has to; counts are kept
-for each shard, so counting a shard twice changes nothing, and a phrase that really has the
-threshold is counted in all shards, as its subphrases have it too.
+What is active goes to the tasks as a table of fixed size: for each slot the last stop at which a phrase there reached
+the threshold. A phrase is counted if both subphrases' slots are filled, for one cycle after the later stop. A slot
+that two phrases share makes tasks count more and longer than they have to; shards that a count holds
+are remembered, so counting one twice changes nothing, and a phrase that really has the threshold is counted
+in all shards, as its subphrases have it too. Rare phrases are forgotten when their cycle is over.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantfeed.llm.common import durable, key_slot, sent_slots, slices, slots_here, slots_hold, slots_of, slots_taken
+from quantfeed.llm.common import durable, slices, slots_taken
 
 #: Shards of the cycle, and words of the longest phrase.
 SHARDS, LONGEST = 4, 5
 #: Bytes of text that one task looks at together; a longer text comes alone, in parts that end where a piece ends.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 12_000_000
+#: Slots of the table of stops, a byte each, and the factor by which a word turns a phrase's slot on.
+SLOTS, TURN = 1 << 24, 1_000_003
 
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -34,7 +38,7 @@ _GAP[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-_COUNTS = "lang string, words int, phrase string, occ long"
+_COUNTS = "lang string, phrase string, n long, state long"
 
 
 def _piece_ends(buf: np.ndarray, most: int) -> list[int]:
@@ -66,11 +70,21 @@ def words_and_links(buf: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.n
     return words, rows, linked
 
 
-def _scan(single: bool, reached, recent):
-    """Counts of active phrases in a task's texts. Single words are counted if ``single``."""
+def _key_slot() -> Column:
+    """Slot of a phrase: its language's and words' checksums, one after the other."""
+    begin = F.crc32("lang") % SLOTS
+    return F.aggregate(F.split("phrase", " ", -1), begin, lambda slot, word: (slot * TURN + F.crc32(word)) % SLOTS)
+
+
+def _scan(step: int, sent):
+    """Counts of active phrases in a task's texts, and the step with which each has been counted everywhere.
+
+    Single words are counted in the first SHARDS steps. ``sent``: for each slot 1 + the last step at which a phrase there
+    reached the threshold, 0 for none.
+    """
 
     def run(batches):
-        bits = None if reached is None else (slots_here(reached), slots_here(recent))
+        latest = None if sent is None else np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for batch in batches:
             text = batch.column(1)
             offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset :][: len(text) + 1].astype(np.int64)
@@ -82,49 +96,47 @@ def _scan(single: bool, reached, recent):
                 cuts = _piece_ends(buf, SLICE_BYTES) if j == i + 1 else [0, len(buf)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     begins = offsets[i:j] - offsets[i] if j > i + 1 else np.zeros(1, np.int64)
-                    yield from counted(lang.dictionary, lang.indices.to_numpy().astype(np.int64), buf[a:b], begins, bits)
+                    yield from counted(lang.dictionary, lang.indices.to_numpy().astype(np.int64), buf[a:b], begins, latest)
 
-    def counted(langs, of_lang, buf, begins, bits):
+    def counted(langs, of_lang, buf, begins, latest):
         words, rows, linked = words_and_links(buf, begins)
         if not len(words):
             return
-        names = langs.to_pylist()
         coded = words.dictionary_encode()
         lexicon, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        keys, ids, occ = np.unique(of_lang[rows] * len(lexicon) + code, return_inverse=True, return_counts=True)
-        lang, phrases = keys // len(lexicon), lexicon.take(pa.array(keys % len(lexicon)))
-        if single:
-            yield told(langs, lang, 1, phrases, occ)
-        if bits is None:
+        lang = of_lang[rows]
+        if step < SHARDS:
+            keys, occ = np.unique(lang * len(lexicon) + code, return_counts=True)
+            yield told(langs, keys // len(lexicon), lexicon.take(pa.array(keys % len(lexicon))), occ, np.full(len(occ), SHARDS - 1))
+        if latest is None:
             return
-        at = np.arange(len(code))  # places where a phrase of the length just looked at begins
+        sums = np.fromiter(map(zlib.crc32, lexicon.to_pylist()), np.int64, len(lexicon))
+        begin = np.fromiter((zlib.crc32(x.encode()) % SLOTS for x in langs.to_pylist()), np.int64, len(langs))
+        at, slot = np.arange(len(code)), (begin[lang] * TURN + sums[code]) % SLOTS
         for size in range(2, LONGEST + 1):
-            slots = np.empty(len(lang), np.int64)
-            listed = phrases.to_pylist()
-            for k in np.unique(lang):
-                own = np.flatnonzero(lang == k)
-                slots[own] = slots_of(names[k], [listed[p] for p in own])
-            old = slots_hold(bits[0], slots)
-            new = old & slots_hold(bits[1], slots)
+            since = latest[slot].astype(np.int64)
             # A phrase goes on from place i if the shorter ones at i and i + 1 are both frequent.
-            keep = old[ids]
-            at, ids = at[keep], ids[keep]
-            if len(at) < 2:
-                return
-            joins = (np.diff(at) == 1) & linked[at[:-1]]
-            left, right, at = ids[:-1][joins], ids[1:][joins], at[:-1][joins]
+            keep = since > 0
+            at, slot, since = at[keep], slot[keep], since[keep]
+            joins = np.flatnonzero((np.diff(at) == 1) & linked[at[:-1]])
+            until = np.maximum(since[joins], since[joins + 1]) - 1 + SHARDS
+            at = at[joins]
+            slot = (slot[joins] * TURN + sums[code[at + size - 1]]) % SLOTS
+            active = until >= step
+            if active.any():
+                begins_at, until = at[active], until[active]
+                ids = lang[begins_at]
+                for k in range(size):
+                    _, shown, ids, occ = np.unique(ids * len(lexicon) + code[begins_at + k], return_index=True, return_inverse=True, return_counts=True)
+                first = begins_at[shown]
+                phrases = pc.binary_join_element_wise(*(words.take(pa.array(first + k)) for k in range(size)), b" ")
+                yield told(langs, lang[first], phrases, occ, until[shown])
             if not len(at):
                 return
-            keys, shown, ids, occ = np.unique(left * len(lang) + right, return_index=True, return_inverse=True, return_counts=True)
-            active = new[left[shown]] | new[right[shown]]
-            lang = lang[left[shown]]
-            phrases = pc.binary_join_element_wise(*(words.take(pa.array(at[shown] + k)) for k in range(size)), b" ")
-            if active.any():
-                yield told(langs, lang[active], size, phrases.filter(pa.array(active)), occ[active])
 
-    def told(langs, lang, size, phrases, occ):
-        cols = [langs.take(pa.array(lang)), pa.array(np.full(len(occ), size, np.int32)), phrases.cast(pa.string()), pa.array(occ, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "words", "phrase", "occ"])
+    def told(langs, lang, phrases, occ, until):
+        cols = [langs.take(pa.array(lang)), phrases.cast(pa.string()), pa.array(occ, pa.int64()), pa.array(until, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "n", "state"])
 
     return run
 
@@ -137,38 +149,38 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SHARDS)).cast("int")
     texts = durable(docs.select("lang", F.col("text").cast("binary").alias("text"), shard.alias("shard")), "shard")
-    key, held = ["lang", "words", "phrase"], [f"c{k}" for k in range(SHARDS)]
-    counts = totals = reached = None
-    news: list[np.ndarray | None] = []
-    step = 0
-    while step < SHARDS or any(x is not None for x in news[-SHARDS:]):
-        now = step % SHARDS
-        sent = [None, None]
-        if reached is not None:
-            last = [x for x in news[-SHARDS:] if x is not None]
-            sent = [sent_slots(spark, x.tobytes()) for x in (reached, np.bitwise_or.reduce(last))]
-        seen = texts.filter(F.col("shard") == now).select("lang", "text").mapInArrow(_scan(step < SHARDS, *sent), _COUNTS)
-        rows = seen.select(*key, "occ", *(F.lit(None).cast("long").alias(c) for c in held), F.lit(None).cast("int").alias("since"))
+    words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).alias("words")
+    # state: the shards that f counts (32 bits), 1 + the step at which f reached the threshold, the last step that counts.
+    counts = totals = None
+    latest = np.zeros(SLOTS, np.uint8)
+    step = last = 0
+    while step <= last or step < SHARDS:
+        sent = spark.sparkContext.broadcast(zlib.compress(latest, 1)) if latest.any() else None
+        rows = texts.filter(F.col("shard") == step % SHARDS).select("lang", "text").mapInArrow(_scan(step, sent), _COUNTS)
         if counts is not None:
-            rows = rows.union(counts.select(*key, F.lit(None).cast("long"), *held, "since"))
-        rows = rows.groupBy(*key).agg(F.sum("occ").alias("occ"), *(F.max(c).alias(c) for c in held), F.min("since").alias("since"))
-        rows = rows.withColumn(held[now], F.greatest(held[now], "occ")).drop("occ")
-        f = sum((F.coalesce(c, F.lit(0)) for c in held), F.lit(0))
-        rows = rows.withColumn("f", f).withColumn("since", F.coalesce("since", F.when(F.col("f") >= least, F.lit(step))))
-        counts = durable(rows)
-        for x in sent:
-            if x is not None:
-                x.destroy()  # the counts are written down
+            rows = rows.union(counts)
+        old = F.col("state") >= 1 << 32
+        rows = rows.groupBy("lang", "phrase").agg(F.sum(F.when(~old, F.col("n"))).alias("new"), F.max(F.when(old, F.col("n"))).alias("f"), F.max("state").alias("state"), F.max(F.col("state") % (1 << 16)).alias("until"))
+        bit = F.lit(1 << (32 + step % SHARDS))
+        held = F.when(F.col("state") >= 1 << 32, F.col("state") - F.col("state") % (1 << 16)).otherwise(F.lit(0))
+        fresh = F.col("new").isNotNull() & (held.bitwiseAND(bit) == 0)
+        n = F.coalesce("f", F.lit(0)) + F.when(fresh, F.col("new")).otherwise(0)
+        rows = rows.select("lang", "phrase", n.alias("n"), "until", F.when(fresh, held + bit).otherwise(held).alias("held"))
+        since = F.when((F.col("held") % (1 << 32) == 0) & (F.col("n") >= least), F.lit((1 + step) << 16)).otherwise(0)
+        counts = durable(rows.select("lang", "phrase", "n", (F.col("held") + since + F.col("until")).alias("state")))
+        if sent is not None:
+            sent.destroy()  # the counts are written down
         if step == SHARDS - 1:
-            totals = durable(counts.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
-        if step >= SHARDS - 1:  # single words are through, the rare ones are done with
-            counts = counts.filter("words > 1 or since is not null")
-        taken = slots_taken(counts.filter((F.col("since") == step) & (F.col("words") < LONGEST)), key_slot("lang", "phrase"))
-        news.append(None if taken is None else np.frombuffer(taken, np.uint8))
+            totals = durable(counts.filter(words == 1).groupBy("lang").agg(F.sum("n").alias("n")))
+        reached = F.floor(F.col("state") % (1 << 32) / (1 << 16)).cast("long")
+        taken = slots_taken(counts.filter((reached == 1 + step) & (words < LONGEST)), _key_slot(), SLOTS)
         if taken is not None:
-            reached = news[-1] if reached is None else reached | news[-1]
+            latest[np.flatnonzero(np.unpackbits(np.frombuffer(taken, np.uint8), bitorder="little"))] = 1 + step
+            last = step + SHARDS
+        # Rare phrases that have been counted everywhere are done with.
+        counts = counts.filter((reached > 0) | (F.col("state") % (1 << 16) > step))
         step += 1
-    return counts.filter(F.col("f") >= least).select(*key, "f"), totals
+    return counts.filter(F.col("n") >= least).select("lang", words, "phrase", F.col("n").alias("f")), totals
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000) -> DataFrame:

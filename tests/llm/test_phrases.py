@@ -40,12 +40,12 @@ def got(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize(("shards", "slots"), [(2, 1 << 26), (3, 1 << 16)])
+@pytest.mark.parametrize(("shards", "slots"), [(2, 1 << 24), (3, 1 << 15)])
 def test_equals_plain_counting(spark, sf, shards, slots, monkeypatch):
-    """Also with a bitmap so small that most slots are shared."""
+    """Also with a table so small that most slots are shared."""
     monkeypatch.setattr(phrases, "SHARDS", shards)
     monkeypatch.setattr(phrases, "SLICE_BYTES", 20_000)
-    monkeypatch.setattr(common, "SLOTS", slots)
+    monkeypatch.setattr(phrases, "SLOTS", slots)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.text, r.lang) for r in docs.collect()]
     assert got(phrases.collocations(docs, least=8, top=300)) == brute(rows, 8, 300)
