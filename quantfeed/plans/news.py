@@ -525,6 +525,92 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return raw.select(F.col("event_type").alias("source"), F.concat("event_type", F.lit(":"), (F.col("user_id") % 50).cast("string")).alias("key"), t.alias("published_at"), read.alias("read_at"), i.alias("ord"))
 
 
+#: The events' time is cut into so many rounds; what the ledger remembers is 1.2 rounds long, as 72 hours are to rounds of 60.
+_ROUNDS = 6
+_ROUND_SQL = f"""span AS (SELECT epoch_us(min(ts)) AS lo, (epoch_us(max(ts)) - epoch_us(min(ts))) // {_ROUNDS} + 1 AS step FROM events),
+it AS (SELECT event_id AS ord, event_type || ':' || user_id % 500 AS key, epoch_us(ts) AS us, lo, step, least((epoch_us(ts) - lo) // step + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END, {_ROUNDS - 1}) AS round FROM events, span)"""
+
+
+def event_rounds(spark, sf_dir) -> tuple[list[DataFrame], int]:
+    """The events as items (source, key, published_at, read_at, ord) by the round in which they are read, and microseconds a round.
+
+    Every seventh item is read two rounds after its time.
+    """
+    events = table(spark, sf_dir, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(us), F.max(us)).first()
+    step = (hi - lo) // _ROUNDS + 1
+    at = F.least(F.floor((us - lo) / step) + F.when(F.col("event_id") % 7 == 0, 2).otherwise(0), F.lit(_ROUNDS - 1))
+    key = F.concat("event_type", F.lit(":"), (F.col("user_id") % 500).cast("string"))
+    read = F.timestamp_micros(lo + (at + 1) * step)
+    x = events.select(F.col("event_type").alias("source"), key.alias("key"), F.col("ts").cast("timestamp").alias("published_at"), read.alias("read_at"), F.col("event_id").alias("ord"), at.alias("round"))
+    return [x.filter(F.col("round") == k).drop("round") for k in range(_ROUNDS)], step
+
+
+def _rows_of_rounds(spark, sf_dir, made) -> DataFrame:
+    """What a stream over the rounds, one run each, writes down in all its batches."""
+    rounds, step = event_rounds(spark, sf_dir)
+    folder = work_folder(spark)
+
+    def start(stream):
+        return made(stream, step).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+
+    digest.in_rounds(rounds, folder, start)
+    return spark.read.parquet(f"{folder}/rows")
+
+
+@query(
+    f"""WITH RECURSIVE {_ROUND_SQL}, p AS (SELECT DISTINCT key, round FROM it),
+sent AS (SELECT key, min(round) AS round FROM p GROUP BY key UNION ALL SELECT s.key, n.round FROM sent s, LATERAL (SELECT min(p.round) AS round FROM p WHERE p.key = s.key AND p.round > s.round + 1) n WHERE n.round IS NOT NULL)
+SELECT it.ord, it.key, it.round FROM it JOIN sent s ON s.key = it.key AND s.round = it.round"""
+)
+def stream_unsent(spark, sf_dir):
+    """What each round sends: keys come back once their time in the ledger is over, one round having passed them by."""
+    x = _rows_of_rounds(spark, sf_dir, lambda items, step: digest.unsent(items, 1.2 * step / 3.6e9))
+    rounds, step = event_rounds(spark, sf_dir)
+    lo = table(spark, sf_dir, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
+    return x.select("ord", "key", (F.floor((F.unix_micros("read_at") - lo) / step) - 1).alias("round"))
+
+
+@query(
+    f"""WITH {_ROUND_SQL}, e AS (SELECT event_type AS source, it.* FROM it JOIN events ON event_id = ord), wm AS (SELECT round, max(max(us)) OVER (ORDER BY round) - max(step) // 2 AS after FROM e GROUP BY round),
+s AS (SELECT source, e.round, us - us % 1800000000 - 1800000000 * k AS start FROM e, (SELECT unnest(range(0, 6)) AS k)),
+kept AS (SELECT s.source, s.start FROM s LEFT JOIN wm ON wm.round = s.round - 1 WHERE wm.after IS NULL OR s.start + 10800000000 > wm.after // 1000 * 1000)
+SELECT source, start AS window_start, count(*) AS items FROM kept WHERE start + 10800000000 <= (SELECT max(after) FROM wm) GROUP BY ALL"""
+)
+def stream_closed_windows(spark, sf_dir):
+    """Sliding counts in append mode: a window is written once, when the watermark has passed it; items read two rounds late find it closed."""
+    x = _rows_of_rounds(spark, sf_dir, lambda items, step: digest.sliding(items, late=f"{step // 2} microseconds"))
+    return x.select("source", F.unix_micros("window_start").alias("window_start"), "items")
+
+
+@query(
+    """WITH t AS (SELECT 'orders' AS source, count(*) AS n FROM orders UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier)
+SELECT source, source <> 'customer' AS ok, CASE WHEN source <> 'customer' THEN n ELSE (SELECT count(*) FROM customer WHERE c_custkey % 3 < 2) END AS items FROM t UNION ALL SELECT 'missing', false, 0"""
+)
+def streams_that_fail_alone(spark, sf_dir):
+    """Feeds as concurrent streams of three batches; one dies in its third, one can't start."""
+    folder = work_folder(spark)
+
+    def feed(name: str, key: str, fails: bool = False):
+        def made() -> DataFrame:
+            x = table(spark, sf_dir, name).select(F.col(key).cast("long").alias("id"))
+            for k in range(3):  # one file, so one batch, for each third
+                x.filter(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in-{name}")
+            stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in-{name}")
+            return stream.withColumn("id", F.when(F.col("id") % 3 == 2, F.raise_error(F.lit("broken feed")).cast("long")).otherwise(F.col("id"))) if fails else stream
+
+        return made
+
+    feeds_ = {"orders": feed("orders", "o_orderkey"), "customer": feed("customer", "c_custkey", True), "supplier": feed("supplier", "s_suppkey"), "missing": feed("nothing", "x")}
+    status = digest.land_streams(feeds_, f"{folder}/landed")
+    landed = None
+    for name in ("orders", "customer", "supplier"):
+        own = spark.read.parquet(f"{folder}/landed/source={name}").agg(F.count("*").alias("items")).select(F.lit(name).alias("source"), "items")
+        landed = own if landed is None else landed.union(own)
+    return status.join(landed, "source", "left").select("source", "ok", F.coalesce("items", F.lit(0).cast("long")).alias("items"))
+
+
 def _run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """What the stream gives until its input ends, written batch by batch; a batch that comes again replaces itself."""
     path = f"{folder}/rows"

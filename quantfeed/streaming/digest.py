@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.errors import PySparkException
+import pandas as pd
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quantfeed.functions.timestamps import in_quiet_hours, is_fresh
 
@@ -25,6 +28,69 @@ def once(items: DataFrame, hours: int = 72) -> DataFrame:
     return items.withWatermark("published_at", f"{hours} hours").dropDuplicatesWithinWatermark(["key"])
 
 
+def unsent(items: DataFrame, hours: float = LEDGER_HOURS, late: str = "0 seconds") -> DataFrame:
+    """Items of a stream whose key wasn't sent in an earlier round within the last ``hours``.
+
+    A round is what was read at one time (``read_at``) and doesn't dedupe itself: its items of a new key all pass. A key
+    is remembered from the round that sent it, not refreshed by later ones, and forgotten when the watermark on
+    ``read_at`` is so far ahead, by a timer of its state. Null keys are a key; items without ``read_at`` go.
+    """
+    memory = dt.timedelta(hours=hours)
+
+    def pick(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sent = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        for read_at, rows in pd.concat(list(parts)).groupby("read_at", sort=True):
+            if sent is None or read_at - sent > memory:
+                sent = read_at
+                yield rows
+        state.update((int(sent.value // 1000),))
+        # A timer can't lie behind the watermark.
+        state.setTimeoutTimestamp(max(int((sent + memory).value // 1_000_000) + 1, state.getCurrentWatermarkMs() + 1))
+
+    held = items.filter("read_at is not null").withWatermark("read_at", late)
+    return held.groupBy("key").applyInPandasWithState(pick, items.schema, "sent long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def in_rounds(rounds: Iterable[DataFrame], folder: str, start: Callable[[DataFrame], StreamingQuery]) -> int:
+    """Run a stream once a round: rows of a round are added to its source, then it runs until it has read them.
+
+    Each run starts anew from its checkpoint, so what it remembers comes from there. Gives the number of rounds.
+    """
+    n = 0
+    for rows in rounds:
+        rows.write.mode("append").parquet(f"{folder}/source")
+        stream = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/source")
+        start(stream).awaitTermination()
+        n += 1
+    return n
+
+
+def land_streams(streams: dict[str, Callable[[], DataFrame]], path: str) -> DataFrame:
+    """Run one streaming query a feed at the same time, each with a checkpoint and a folder of its own below ``path``.
+
+    Rows (source, ok, batches, error): a feed that fails, at its start or in a later batch, keeps the batches that it has
+    written and stops alone. The others run on until they have read their input.
+    """
+    running, went = {}, []
+    for name, stream in streams.items():
+        try:
+            begun = stream().writeStream.format("parquet").option("path", f"{path}/source={name}").option("checkpointLocation", f"{path}/_log/{name}")
+            running[name] = begun.trigger(availableNow=True).start()
+        except PySparkException as e:
+            went.append((name, False, 0, type(e).__name__))
+    for name, query in running.items():
+        error = None
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as e:
+            error = type(e).__name__
+        went.append((name, error is None, sum(p.numInputRows > 0 for p in query.recentProgress), error))
+    return SparkSession.active().createDataFrame(went, "source string, ok boolean, batches long, error string")
+
+
 def sliding(items: DataFrame, window_minutes: int = 180, every: int = 30, late: str = "72 hours") -> DataFrame:
     """Counts per source over sliding windows; batch or stream."""
     w = F.window("published_at", f"{window_minutes} minutes", f"{every} minutes")
