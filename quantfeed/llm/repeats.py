@@ -244,14 +244,20 @@ class Family:
         self.levels.append((size, new))
 
 
-def _settled(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans (ord, lo, hi) of all entries but the first of equal ones; and firsts (k, s, ord, lo) that share k with others."""
-    firsts = durable(entries.groupBy("k", "s").agg(F.min(F.struct("ord", "lo")).alias("f"), F.count("*").alias("c")).select("k", "s", F.col("f.ord").alias("ord"), F.col("f.lo").alias("lo"), "c"))
+def _settled(entries: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """Spans (ord, lo, hi) of all entries but the first of equal ones; and firsts (k, s, ord, lo) that share k with others.
+
+    ``small``: ord is below 2^31, so that a place is one number and the aggregation stays in hash tables. The tables joined
+    to entries and texts have a row for each key, so no partition's hash table is larger than its share.
+    """
+    place = F.shiftleft("ord", 32) + F.col("lo") if small else F.struct("ord", "lo")
+    at = (F.shiftright("f", 32), F.col("f") % (1 << 32)) if small else (F.col("f.ord"), F.col("f.lo"))
+    firsts = durable(entries.groupBy("k", "s").agg(F.min(place).alias("f"), F.count("*").alias("c")).select("k", "s", at[0].alias("ord"), at[1].alias("lo"), "c"))
     several = firsts.filter("c > 1").select("k", "s", F.col("ord").alias("first_ord"), F.col("lo").alias("first_lo"))
     later = (F.col("ord") != F.col("first_ord")) | (F.col("lo") != F.col("first_lo"))
-    spans = entries.join(several, ["k", "s"]).filter(later).select("ord", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
+    spans = entries.join(several.hint("shuffle_hash"), ["k", "s"]).filter(later).select("ord", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
     shared = durable(firsts.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"))
-    return durable(spans), firsts.join(shared, "k").select("k", "s", "ord", "lo")
+    return durable(spans), firsts.join(shared.hint("shuffle_hash"), "k").select("k", "s", "ord", "lo")
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -266,7 +272,8 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Spans (ord, lo, hi) that cover each repeated byte of (ord, text); they may overlap."""
     texts = texts.select("ord", "text")
     marks = [k / batches for k in range(1, batches)]
-    about = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("ord", F.array(*map(F.lit, marks or [1.0])), 1000).alias("marks")).first()
+    about = texts.agg(F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("ord", F.array(*map(F.lit, marks or [1.0])), 1000).alias("marks"), F.min("ord").alias("least"), F.max("ord").alias("most")).first()
+    small = about["least"] is None or (about["least"] >= 0 and about["most"] < 1 << 31)
     family = Family(min(MOST_BUCKETS, max(8, (about["bytes"] or 0) // BUCKET_BYTES)))
     bounds = [None, *(sorted(set(about["marks"] or [])) if marks else []), None]
     found = []
@@ -284,13 +291,13 @@ def repeated_spans(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     entries = durable(texts.mapInArrow(_spans(sent), _ENTRY + ", ahead int"))
     sent.destroy()
-    whole, left = _settled(entries)
-    wanted = entries.join(left, ["k", "s", "ord", "lo"], "left_semi").groupBy("ord").agg(F.collect_list(F.struct("lo", "n", "ahead")).alias("spans"))
-    parts = durable(texts.join(wanted, "ord").mapInArrow(_parts, _ENTRY + ", bytes binary"))
-    some, left = _settled(parts.drop("bytes"))
-    opened = parts.join(left.select("ord", "lo"), ["ord", "lo"], "left_semi").select("ord", "lo", "bytes")
+    whole, left = _settled(entries, small)
+    wanted = entries.join(left.hint("shuffle_hash"), ["k", "s", "ord", "lo"], "left_semi").groupBy("ord").agg(F.collect_list(F.struct("lo", "n", "ahead")).alias("spans"))
+    parts = durable(texts.join(wanted.hint("shuffle_hash"), "ord").mapInArrow(_parts, _ENTRY + ", bytes binary"))
+    some, left = _settled(parts.drop("bytes"), small)
+    opened = parts.join(left.select("ord", "lo").hint("shuffle_hash"), ["ord", "lo"], "left_semi").select("ord", "lo", "bytes")
     windows = durable(opened.mapInArrow(_windows, _ENTRY))
-    single, _ = _settled(windows)
+    single, _ = _settled(windows, small)
     return whole.union(some).union(single)
 
 
@@ -323,7 +330,7 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     texts = _in_order(docs)
     spans = repeated_spans(texts, batches).groupBy("ord").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = texts.join(spans, "ord", "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans.hint("shuffle_hash"), "ord", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_kept, "doc_id long, text binary, kept binary, removed array<struct<lo: long, hi: long>>")
 
 
