@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantfeed.functions.text import normalised_title, without_alert_prefix
 from quantfeed.functions.timestamps import is_fresh, is_future
+from quantfeed.sources.tables import written_down
 
 #: Hours that a sent key is remembered, and the most keys kept.
 LEDGER_HOURS, LEDGER_KEYS = 72, 20_000
@@ -55,6 +56,7 @@ def judged(items: DataFrame, ledger: DataFrame, ref: Column, window_minutes: int
     x = x.withColumn("kept", F.col("reason").isNull())
     if not limit:
         return x
+    x = written_down(x)
     block = F.floor(F.col("ord") / 4096)
     x = x.withColumn("_block", block)
     counts = x.groupBy("source", "_block").agg(F.count_if("kept").alias("_c"))

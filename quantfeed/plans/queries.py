@@ -16,6 +16,7 @@ from quantfeed.operators import catalog, feeds, frames, reports, research, scori
 from quantfeed.operators import rolling as rl
 from quantfeed.sources import bars as br
 from quantfeed.sources import payloads
+from quantfeed.sources.tables import written_down
 from quantfeed.streaming import digest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -402,9 +403,10 @@ def items(spark, sf_dir) -> DataFrame:
 
 
 def reference(spark, sf_dir):
-    """The time at which the feeds count as read, the middle of the events' span, as a scalar subquery."""
+    """The time at which the feeds count as read, the middle of the events' span."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").agg(F.timestamp_micros(F.floor((F.min(t) + F.max(t)) / 2)).alias("ref")).scalar()
+    middle = table(spark, sf_dir, "events").agg(F.floor((F.min(t) + F.max(t)) / 2)).first()[0]
+    return F.timestamp_micros(F.lit(middle).cast("long"))
 
 
 _ITEMS = f"""r AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS ref FROM events),
@@ -425,10 +427,16 @@ nth AS (SELECT *, reason IS NULL AS kept, count(*) FILTER (WHERE reason IS NULL)
 lim AS (SELECT * EXCLUDE (kept, reason), kept AND n <= 40 AS kept, CASE WHEN n < 40 OR (n = 40 AND kept) THEN reason END AS reason FROM nth)"""
 
 
-def judged(spark, sf_dir) -> DataFrame:
-    x = items(spark, sf_dir)
+def judged(spark, sf_dir, limit: int = 40) -> DataFrame:
+    """Judged once and written down: counters, places and caps each read the result, not the events."""
+    x = written_down(items(spark, sf_dir))
     ledger = x.filter("ord % 97 = 0").select("key")
-    return feeds.judged(x, ledger, reference(spark, sf_dir), 14_400, limit=40, date_allowed=F.col("source") == "view")
+    return written_down(feeds.judged(x, ledger, reference(spark, sf_dir), 14_400, limit=limit, date_allowed=F.col("source") == "view"))
+
+
+#: The registry's order of sources; others follow by name.
+_RANKS = {"view": 0, "error": 1, "click": 2}
+_RANK_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _RANKS.items()) + f" ELSE {len(_RANKS)} END"
 
 
 @query(f"WITH {_JUDGED} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE kept) AS kept, {', '.join(f'count(*) FILTER (WHERE reason = {chr(39)}{r}{chr(39)}) AS dropped_{r}' for r in ('no_time', 'future', 'stale', 'seen'))} FROM lim GROUP BY source")
@@ -438,11 +446,12 @@ def feed_counters(spark, sf_dir):
 
 @query(
     f"""WITH {_JUDGED}, p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, ord) AS place FROM lim WHERE kept),
-o AS (SELECT *, row_number() OVER (ORDER BY source, place) AS g FROM p) SELECT source, ord, key, place FROM o WHERE g <= 100"""
+o AS (SELECT *, row_number() OVER (ORDER BY {_RANK_SQL}, source, place) AS g FROM p) SELECT source, ord, key, place FROM o WHERE g <= 100"""
 )
 def feed_digest(spark, sf_dir):
-    kept = feeds.newest_first(judged(spark, sf_dir).filter("kept"))
-    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("source")).distinct().withColumn("rank", F.lit(0))
+    x = judged(spark, sf_dir)
+    kept = feeds.newest_first(x.filter("kept"))
+    names = x.select("source").distinct().withColumn("rank", F.expr(_RANK_SQL))
     return feeds.capped(kept, names, 100).select("source", "ord", "key", "place")
 
 
@@ -462,8 +471,7 @@ _JUDGED_ALL = f"""{_JUDGED[: _JUDGED.index("nth AS")]}lim AS (SELECT *, reason I
 
 
 def judged_all(spark, sf_dir) -> DataFrame:
-    x = items(spark, sf_dir)
-    return feeds.judged(x, x.filter("ord % 97 = 0").select("key"), reference(spark, sf_dir), 14_400, date_allowed=F.col("source") == "view")
+    return judged(spark, sf_dir, limit=0)
 
 
 @query(f"WITH {_JUDGED_ALL} SELECT source, count(*) AS fetched, count(*) FILTER (WHERE kept) AS kept, {', '.join(f'count(*) FILTER (WHERE reason = {chr(39)}{r}{chr(39)}) AS dropped_{r}' for r in ('no_time', 'future', 'stale', 'seen'))} FROM lim GROUP BY source")
@@ -557,7 +565,8 @@ h AS (SELECT code, day, CASE WHEN factor IS NOT NULL THEN greatest(least(factor,
 z AS (SELECT day, avg(factor) AS a, stddev_samp(factor) AS d FROM h GROUP BY day) SELECT code, day, round(factor, 6) AS held, round((factor - a) / nullif(d, 0), 6) AS z FROM h JOIN z USING (day)"""
 )
 def research_winsor_z(spark, sf_dir):
-    held = research.winsorised(research_panel(spark, sf_dir).select("code", "day", "factor"), "factor").withColumn("held", F.col("factor"))
+    panel = written_down(research_panel(spark, sf_dir).select("code", "day", "factor"))
+    held = written_down(research.winsorised(panel, "factor").withColumn("held", F.col("factor")))
     return rounded(research.z_scored(held, "factor").select("code", "day", "held", F.col("factor").alias("z")))
 
 
