@@ -53,6 +53,24 @@ def top_of_market(members: DataFrame, n: int) -> DataFrame:
     return members.filter(~risky_name(F.col("name"))).orderBy(F.desc("amount"), "code").limit(n).withColumn("universe", F.lit("market"))
 
 
+def of_topics(topics: DataFrame, matched: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """Each topic's n instruments with the largest amount: over its matched boards or, where none matches, of the market.
+
+    topics (topic), matched (topic, board), members (board, code, name, amount). An instrument of several boards counts
+    once. Adds place and universe (boards or market); the market's leaders are n rows, so each topic takes them as a list.
+    """
+    safe = members.filter(~risky_name(F.col("name")))
+    own = matched.select("topic", "board").distinct().join(safe, "board").groupBy("topic", "code").agg(F.min("name").alias("name"), F.max("amount").alias("amount"))
+    w = Window.partitionBy("topic").orderBy(F.desc("amount"), "code")
+    own = own.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).withColumn("universe", F.lit("boards"))
+    market = top_of_market(safe.groupBy("code").agg(F.min("name").alias("name"), F.max("amount").alias("amount")), n)
+    listed = market.agg(F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("a"), "code", "name", "amount"))).alias("ms")).scalar()
+    others = topics.select("topic").distinct().join(own.select("topic").distinct(), "topic", "left_anti")
+    others = others.select("topic", F.posexplode(listed).alias("at", "m"))
+    others = others.select("topic", "m.code", "m.name", "m.amount", (F.col("at") + 1).alias("place"), F.lit("market").alias("universe"))
+    return own.select("topic", "code", "name", "amount", "place", "universe").union(others)
+
+
 def board_summary(members: DataFrame) -> DataFrame:
     """Mean change of a board and its leader; a change of null or 0 never leads."""
     weight = F.struct(F.coalesce(F.nullif("change", F.lit(0.0)), F.lit(-999.0)).alias("c"), (-F.col("code")).alias("t"))

@@ -62,6 +62,11 @@ def profile(panel: DataFrame, keys: tuple[str, ...] = ("code", "day")) -> DataFr
     return x.withColumn("composite", tenth(mean_of(*map(F.col, DIMENSIONS)))).withColumn("covered", covered).withColumn("stance", level(F.col("composite")))
 
 
+def levels(profiles: DataFrame) -> DataFrame:
+    """Adds the level of each dimension beside its score, as <dimension>_level."""
+    return profiles.withColumns({f"{d}_level": level(F.col(d)) for d in DIMENSIONS})
+
+
 def extremes(profiles: DataFrame) -> DataFrame:
     """Adds the best and the worst dimension, the first of equals."""
     entries = F.filter(F.array(*[F.struct(F.col(d).alias("s"), F.lit(-i).alias("p"), F.lit(d).alias("d")) for i, d in enumerate(DIMENSIONS)]), lambda e: e["s"].isNotNull())
@@ -122,7 +127,7 @@ def classes() -> dict[str, Column]:
 
 
 #: Readings in the order of the dimensions; ratios to a past price or volume count only if positive.
-READINGS = tuple("ROC5 ROC10 ROC20 ROC60 MA5 MA10 MA20 MA60 BETA20 RSQR20 STD20 RANK20 RSV20 VMA5 VMA20 VSUMD20 CORR10 CORR20 CORR60 CORD20 SUMD20 SUMP20 CNTD20".split())
+READINGS = NEEDS
 
 
 def evidence(most: int = 8) -> Column:

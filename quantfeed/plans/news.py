@@ -266,7 +266,7 @@ def ledger_written_whole(spark, sf_dir):
     x = x.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "first_seen")
     tables.write_whole(x.limit(0), f"{path}-table")
     tables.write_whole(x, f"{path}-table")
-    tables.write_ledger(spark.read.parquet(f"{path}-table"), path)
+    tables.write_ledger(tables.read_whole(spark, f"{path}-table"), path)
     back = tables.read_ledger(spark, path, F.lit("1970-01-05 00:00:00").cast("timestamp"))
     return back.select("key", F.unix_micros("first_seen").alias("first_seen"))
 

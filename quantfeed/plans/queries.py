@@ -330,6 +330,23 @@ def composite_ranking(spark, sf_dir):
     return scoring.ranked_overall(profiles(spark, sf_dir)).select("code", "day", *scoring.DIMENSIONS, "composite", "place")
 
 
+_LEVELS = ", ".join(f"CASE WHEN {d} IS NULL THEN 'none' WHEN {d} >= 70 THEN 'high' WHEN {d} >= 55 THEN 'raised' WHEN {d} > 45 THEN 'middle' WHEN {d} > 30 THEN 'lowered' ELSE 'low' END AS {d}_level" for d in _SCORES)
+
+
+@query(f"WITH {_PROFILE} SELECT code, {_LEVELS} FROM profile")
+def dimension_levels(spark, sf_dir):
+    return scoring.levels(profiles(spark, sf_dir)).select("code", *(f"{d}_level" for d in scoring.DIMENSIONS))
+
+
+@query(f"SELECT position, factor FROM (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)})' for k, n in enumerate(catalog.CORE))}) AS t(position, factor) WHERE (SELECT count(*) FROM lineitem) > 0")
+def core_factor_list(spark, sf_dir):
+    """The core factors among those that the newest panel has, in their order."""
+    names = [c for c in latest_panel(spark, sf_dir).columns if c not in ("code", "day")]
+    kept = catalog.core_factors(names)
+    first = table(spark, sf_dir, "lineitem").select(F.lit(1)).limit(1)
+    return first.select(F.posexplode(F.array(*map(F.lit, kept))).alias("position", "factor"))
+
+
 _SUPPLIERS = "SELECT s_suppkey AS code, s_name AS name, n_name AS board, r_name AS kind, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
 
@@ -351,6 +368,20 @@ def board_comparison(spark, sf_dir):
     return rounded(scoring.compared(mine, p).drop("day"))
 
 
+_EVERY_PROFILE = _PROFILE.replace(_panel_sql(scoring.NEEDS), _panel_sql(scoring.NEEDS, every_day=True)).replace("FROM latest)", "FROM f)")
+
+
+@query(
+    f"""WITH {_EVERY_PROFILE}, m AS ({_SUPPLIERS}), j AS (SELECT m.board, p.day, p.code, p.composite FROM profile p JOIN m USING (code) WHERE composite IS NOT NULL)
+SELECT board, day, code, composite, CAST(row_number() OVER (PARTITION BY board, day ORDER BY composite DESC, code) AS INTEGER) AS place FROM j"""
+)
+def board_rankings(spark, sf_dir):
+    """Places within board and day, over all days."""
+    every = scoring.profile(catalog.panel(bars(spark, sf_dir), scoring.NEEDS))
+    mine = every.select("code", "day", "composite").join(suppliers(spark, sf_dir).select("code", "board"), "code")
+    return scoring.ranked(mine, ("board", "day")).select("board", "day", "code", "composite", "place")
+
+
 _LATEST = f"""{BARS}, c AS (SELECT *, (close / lag(close) OVER (PARTITION BY code ORDER BY day) - 1) * 100 AS change, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS age FROM bars),
 m AS (SELECT s.*, c.amount, coalesce(c.change, 0) AS change FROM c JOIN ({_SUPPLIERS}) s USING (code) WHERE age = 1)"""
 
@@ -384,6 +415,22 @@ def topic_boards(spark, sf_dir):
     return rounded(bd.matched_boards(words, boards))
 
 
+@query(
+    f"""WITH {_LATEST}, t AS (SELECT c_custkey % 40 AS topic, min(c_nationkey) AS k FROM customer GROUP BY 1), w AS (SELECT topic, CASE WHEN topic % 3 = 0 THEN 'NOWHERE' ELSE 'NATION_' || k END AS board FROM t),
+o AS (SELECT topic, code, min(name) AS name, max(amount) AS amount FROM w JOIN m USING (board) GROUP BY topic, code), op AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY amount DESC, code) AS place, 'boards' AS universe FROM o),
+k AS (SELECT code, name, amount, row_number() OVER (ORDER BY amount DESC, code) AS place FROM m), mk AS (SELECT topic, code, name, amount, place, 'market' AS universe FROM w, k WHERE place <= 5 AND topic NOT IN (SELECT topic FROM o))
+SELECT topic, code, name, round(amount, 6) AS amount, CAST(place AS INTEGER) AS place, universe FROM (SELECT * FROM op WHERE place <= 5 UNION ALL SELECT * FROM mk)"""
+)
+def topic_members(spark, sf_dir):
+    """Members for topics: of their boards or, where no board matches, the market's leaders."""
+    k = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 40).alias("topic")).agg(F.min("c_nationkey").alias("k"))
+    words = k.select("topic", F.when(F.col("topic") % 3 == 0, F.lit("NOWHERE")).otherwise(F.concat(F.lit("NATION_"), "k")).alias("word"))
+    x = members(spark, sf_dir).select("board", "code", "name", "amount")
+    boards = x.select("board").distinct().withColumn("change", F.lit(0.0))
+    exact = bd.matched_boards(words, boards).filter(F.col("board") == F.col("matched_by"))
+    return rounded(bd.of_topics(words, exact, x, 5))
+
+
 #: Feed items made of events: five notations of the time, a date only for some, a title for most.
 _RAW = "CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y/%m/%d %H:%M') WHEN 2 THEN strftime(ts, '%Y%m%d') WHEN 3 THEN CAST((epoch_us(ts) // 1000000) AS VARCHAR) WHEN 4 THEN strftime(ts, '%Y年%m月%d日 %H:%M') ELSE '' END"
 _TS = "CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN to_timestamp((epoch_us(ts) // 1000000))::TIMESTAMPTZ AT TIME ZONE 'UTC' WHEN 4 THEN date_trunc('minute', ts) END"

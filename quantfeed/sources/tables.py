@@ -24,13 +24,25 @@ def written_down(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_days(df: DataFrame, path: str, day: str = "day") -> None:
-    """Replace the days that ``df`` holds, and only those; other days stay."""
-    df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+def write_days(df: DataFrame, path: str, day: str = "day", parts: int = 1) -> None:
+    """Replace the days that ``df`` holds, and only those; other days stay. A day is dealt to ``parts`` tasks, a file each."""
+    df.repartition(day, F.pmod(F.xxhash64(*df.columns), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def write_whole(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table all or not at all: rows go to a folder of their own, then one small file names it.
+
+    A write that fails leaves the table as it was; readers see the old rows or the new ones. Earlier versions stay.
+    """
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{path}/rows-{version}")
+    df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written_at")).write.mode("append").parquet(f"{path}/versions")
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that write_whole finished."""
+    newest = spark.read.parquet(f"{path}/versions").agg(F.max_by("version", "written_at")).first()[0]
+    return spark.read.parquet(f"{path}/rows-{newest}")
 
 
 def read_ledger(spark: SparkSession, path: str, ref: Column, hours: int = 72) -> DataFrame:
