@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
@@ -60,17 +61,49 @@ class Tree:
     linked: list[int]  # characters of a block that are inside links
 
 
+class Open:
+    """Names of open elements, outermost first, and the depths at which each name stands: looking one up walks over no others."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.nodes: list[int] = []
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int = -1) -> None:
+        self.depths.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes what stands at the depth and inside."""
+        while len(self.names) > depth:
+            self.depths[self.names.pop()].pop()
+            self.nodes.pop()
+
+    def last(self, name: str) -> int:
+        """Depth of the innermost element of the name; -1 for none."""
+        found = self.depths.get(name)
+        return found[-1] if found else -1
+
+    def outermost(self, names: Iterable[str], below: int) -> int:
+        """Depth of the outermost element of the names deeper than ``below``; -1 for none."""
+        firsts = [d[k] for d in (self.depths.get(n, []) for n in names) if (k := bisect_right(d, below)) < len(d)]
+        return min(firsts, default=-1)
+
+
 def parse(page: str | None) -> Tree:
-    """The page's tree. Unclosed, crossed and truncated tags are taken as far as they go.
+    """The page's tree. Unclosed, crossed and truncated tags are taken as far as they go, in time that grows with the page.
 
     A hidden element that isn't closed ends with the element that it stands in, so it takes no text of others.
     """
     tree = Tree([-1], ["html"], [()], [None], [0])
-    stack, runs, links, in_link, pos = [0], [], 0, 0, 0
+    stack, hidden = Open(), Open()  # hidden: open elements from a hidden one on
+    stack.push("html", 0)
+    runs, links, in_link, pos = [], 0, 0, 0
     page = page or ""
 
     def add(tag: str, names: tuple[str, ...], text: str | None = None, linked: int = 0) -> None:
-        tree.parent.append(stack[-1])
+        tree.parent.append(stack.nodes[-1])
         tree.tag.append(tag)
         tree.names.append(names)
         tree.text.append(text)
@@ -84,15 +117,10 @@ def parse(page: str | None) -> Tree:
                 add("#", (), text, links)
         runs, links = [], 0
 
-    def pop_to(depth: int) -> None:
-        flush()
-        del stack[depth:]
-
-    hidden: list[str] = []  # open elements from a hidden one on
     while True:
         m = _TAG.search(page, pos)
         said = page[pos : m.start() if m else len(page)]
-        if said and not hidden:
+        if said and not hidden.names:
             runs.append(said)
             if in_link:
                 links += len(said)
@@ -108,19 +136,19 @@ def parse(page: str | None) -> Tree:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, pos)
                 pos = end.end() if end else len(page)
             continue
-        if hidden:
+        if hidden.names:
             if m[1]:
-                if tag in hidden:
-                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                if hidden.last(tag) >= 0:
+                    hidden.cut(hidden.last(tag))
                     continue
-                if tag in INLINE or all(tree.tag[i] != tag for i in stack):
+                if tag in INLINE or stack.last(tag) < 0:
                     continue
-                hidden.clear()  # its parent ends, and so does what was left open
-            elif tag in BREAKOUT and (hidden[-1] == "option" or hidden[0] == "svg" and "foreignobject" not in hidden):
-                hidden.clear()
+                hidden.cut(0)  # its parent ends, and so does what was left open
+            elif tag in BREAKOUT and (hidden.names[-1] == "option" or hidden.names[0] == "svg" and hidden.last("foreignobject") < 0):
+                hidden.cut(0)
             else:
-                if not (closed or tag in VOID or tag in INLINE or tag == hidden[-1] == "option"):
-                    hidden.append(tag)
+                if not (closed or tag in VOID or tag in INLINE or tag == hidden.names[-1] == "option"):
+                    hidden.push(tag)
                 continue
         if tag == "a":
             in_link = 0 if m[1] else 1
@@ -129,33 +157,30 @@ def parse(page: str | None) -> Tree:
         if tag in INLINE:
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[depth]] == tag:
-                    pop_to(depth)
-                    break
+            if stack.last(tag) > 0:
+                flush()
+                stack.cut(stack.last(tag))
             continue
         if tag in HIDDEN:
             if not closed:
-                hidden.append(tag)
+                hidden.push(tag)
             continue
         if tag == "head":
             continue
         flush()
         if tag in VOID or tag == "html":
             continue
-        if tree.tag[stack[-1]] == "p" or tree.tag[stack[-1]] in HEADINGS and tag in HEADINGS:
-            del stack[-1]
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = tree.tag[stack[depth]]
-            if open_tag in CLOSES.get(tag, ()):
-                del stack[depth:]
-            elif open_tag in SCOPES:
-                break
-        if tag == "body" and "body" in (tree.tag[i] for i in stack):
+        if stack.names[-1] == "p" or stack.names[-1] in HEADINGS and tag in HEADINGS:
+            stack.cut(len(stack.names) - 1)
+        if tag in CLOSES:
+            depth = stack.outermost(CLOSES[tag], max(0, *map(stack.last, SCOPES)))
+            if depth > 0:
+                stack.cut(depth)
+        if tag == "body" and stack.last("body") >= 0:
             continue
         names = tuple(dict.fromkeys(w for a in _ATTR.findall(m[3]) for w in _NAME.findall(" ".join(a[1:]).lower()))) if "=" in m[3] else ()
         add(tag, names)
-        stack.append(len(tree.parent) - 1)
+        stack.push(tag, len(tree.parent) - 1)
         in_link = 0
     flush()
     return tree

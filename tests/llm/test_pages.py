@@ -90,6 +90,21 @@ def test_odd_pages(spark, model):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).collect() == []
 
 
+@pytest.mark.parametrize("page", ["<section>{0}" + "</zzz>{0}", "<svg><g>{0}" + "</zzz>{0}", "<x>{0}<li>a{0}", "<ul><li>{0}</ol>{0}", "<p>a{0}</b></i>{0}", "<dd><zz>{0}<dt>{0}"])
+def test_parsing_takes_time_in_proportion_to_the_page(page):
+    """Ends that match nothing, and starts that close nothing, inside many open elements."""
+    import time
+
+    parts = re.split(r"(?<=0})", page)[:-1]
+    took = []
+    for n in (4_000, 32_000):
+        text = "".join(x[:-3] * n for x in parts)
+        begin = time.process_time()
+        htmltext.parse(text)
+        took.append(time.process_time() - begin)
+    assert took[1] < 24 * max(took[0], 0.02), took
+
+
 def test_hosts_paths_and_rules(spark):
     urls = {
         "https://A.Example.org/en/12?x#y": ("a.example.org", "/en/12", "example.org/en/1", "block"),
