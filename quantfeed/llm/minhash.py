@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantfeed.llm.common import durable, mix64, slices
@@ -213,7 +213,9 @@ def _across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     With all sets in one order, rarest values first, a pair that must share ``o`` values has one in
     common among the first n - o + 1 of either set. Copies with many edits of their own have these all
-    in rare values, so they don't meet in a large group's lists. Within a list, only members outside
+    in rare values, so they don't meet in a large group's lists. The later a value stands in a prefix, the smaller
+    a set must be to still share enough, so a member looks only into the lists of the size classes that its place
+    allows: pages of one template whose own words come first meet in none. Within a list, only members outside
     its largest component are joined with the others, and a long list is cut into parts that meet them
     in tasks of their own.
     """
@@ -225,15 +227,25 @@ def _across(at: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     keys = ranked.join(members, "rep").select("rep", "n", "comp", F.posexplode(F.slice("vs", F.lit(1), longest)).alias("pos", "e"))
     keys = durable(keys.filter("e.df > 1").select("rep", "n", "comp", "pos", F.col("e.v").alias("v")))
     sizes = keys.groupBy("v", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / PART).cast("int").alias("parts"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    keys = keys.join(durable(largest), "v")
-    strays = keys.filter("comp <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    largest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    keys = keys.join(durable(largest), "v").withColumn("kind", _size_class(F.col("n")))
+    parts = durable(keys.groupBy("v", "kind").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    # At place pos a set of n shares enough with no set of more than this many values.
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n"))
+    fewest = F.ceil(F.col("n") * percent / 100)
+    strays = keys.filter("comp <> main").filter(most >= fewest).withColumn("kind", F.explode(F.sequence(_size_class(fewest), _size_class(most))))
+    strays = strays.join(parts, ["v", "kind"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")
-    others = keys.select("v", own, F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
+    others = keys.join(parts, ["v", "kind"]).select("v", "kind", own, F.col("rep").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp"), F.col("pos").alias("other_pos"))
     different = (F.col("comp") != F.col("other_comp")) & ((F.col("other_comp") == F.col("main")) | (F.col("rep") < F.col("other")))
     least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     near = (F.col("pos") <= F.col("n") - least) & (F.col("other_pos") <= F.col("m") - least)
-    return _ordered(strays.join(others, ["v", "part"]).filter(different & _fits(percent) & near))
+    return _ordered(strays.join(others, ["v", "kind", "part"]).filter(different & _fits(percent) & near))
+
+
+def _size_class(n: Column) -> Column:
+    """Sizes of one class differ by five percent at most."""
+    return F.floor(F.ln(F.greatest(n, F.lit(1))) / math.log(1.05)).cast("int")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

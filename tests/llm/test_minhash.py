@@ -103,3 +103,18 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(99, 97), (97, 98), (60, 60), (99, 97)], "a long, b long")
     found = {r["node"]: r["comp"] for r in graph.components(edges).collect()}
     assert found == {i: 0 for i in range(51)} | {97: 97, 98: 97, 99: 97, 60: 60}
+
+
+def test_pages_of_one_template_meet_in_no_list(spark, monkeypatch):
+    """179 of 204 words are shared (Jaccard 0.77): no link, and no pair is even looked at; larger and smaller pages still find theirs."""
+    template = [f"t{i}" for i in range(179)]
+    rows = [(k, " ".join([*(f"own{k}x{i}" for i in range(25)), *template])) for k in range(400)]
+    near = [(1000, " ".join(template[:170])), (1001, " ".join(template[:150])), (1002, " ".join(template)), (1003, " ".join([*template, *(f"more{i}" for i in range(28))]))]
+    seen = []
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: seen.append(across(*a)) or seen[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(minhash.near_duplicates(docs)) == brute(rows)
+    assert all(x.count() == 0 for x in seen)
+    both = rows[:60] + near
+    assert got(minhash.near_duplicates(spark.createDataFrame(both, "doc_id long, text string"))) == brute(both)
