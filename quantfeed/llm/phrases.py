@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from quantfeed.llm.common import durable, slices, slots_taken
 
 #: Shards of the cycle, and words of the longest phrase.
-SHARDS, LONGEST = 4, 5
+SHARDS, LONGEST = 2, 5
 #: Bytes of text that one task looks at together; a longer text comes alone, in parts that end where a piece ends.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 10_000_000
 #: Slots of the table of stops, a byte each, and the factor by which a word turns a phrase's slot on.
 SLOTS, TURN = 1 << 24, 1_000_003
 
@@ -62,8 +62,9 @@ def words_and_links(buf: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, np.n
     at = np.searchsorted(ink, begins)
     new[at[at < len(ink)]] = True
     first = np.append(np.flatnonzero(new), len(ink))
-    rows = np.searchsorted(begins, ink[first[:-1]], side="right") - 1
-    piece = np.cumsum(ends_piece)[ink[first[:-1]]]
+    starts = ink[first[:-1]]
+    rows = np.repeat(np.arange(len(begins)), np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
+    piece = np.searchsorted(np.flatnonzero(ends_piece), starts)
     linked = np.zeros(len(rows), bool)
     linked[:-1] = (piece[1:] == piece[:-1]) & (rows[1:] == rows[:-1])
     words = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(_LOWER[buf[ink]])])
