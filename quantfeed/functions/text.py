@@ -98,9 +98,10 @@ def rewrite(text: Column, rules: Sequence[tuple[str, str, str]] = PHRASE_RULES)
     return text
 
 
-#: Words of market signals, of each tag with its words, of hot announcements, of statistics.
+#: Words of market signals, of each tag with its words, of an alert's tags, of hot announcements, of statistics.
 SIGNAL_WORDS = ("拉升", "涨停", "跳水", "异动", "走强", "领涨", "大涨", "翻红", "封板", "涨超", "跌超", "创新高", "新高", "冲高")
 FLASH_TAGS = (("题材", ("概念", "板块")), ("涨停", ("涨停", "封板")), ("回撤", ("跳水", "跌停", "跌超")), ("资金", ("北向", "外资")))
+ALERT_TAGS = (("涨停", ("涨停",)), ("跌停", ("跌停",)), ("龙虎榜", ("龙虎榜",)))
 HOT_WORDS = ("业绩预增", "业绩预告", "业绩快报", "回购", "增持", "减持", "中标", "重大合同", "重组", "收购", "停牌", "复牌", "问询函", "关注函", "立案", "分红", "解禁", "定增", "可转债")
 INDICATOR_WORDS = ("采购经理指数", "PMI", "居民消费价格", "CPI", "工业生产者出厂价格", "PPI", "国内生产总值", "GDP", "工业增加值", "固定资产投资", "社会消费品零售", "房地产", "工业企业利润", "就业", "能源生产")
 

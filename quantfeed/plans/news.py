@@ -326,12 +326,13 @@ def _flash(i: Column) -> Column:
 SELECT i, regexp_replace(title, '^【(.*?)】\\s*', '\\1｜') AS bracket, regexp_replace(regexp_replace(title, '</?em>', '', 'g'), '^异动快报[:：]\\s*', '') AS plain,
   {' OR '.join(f"contains(title, '{w}')" for w in tx.SIGNAL_WORDS)} AS signal,
   array_to_string(list_filter([{', '.join(f"CASE WHEN {' OR '.join(f'contains(title, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{t}' END" for t, ws in tx.FLASH_TAGS)}], lambda x: x IS NOT NULL)[1:3], '|') AS tags,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {' OR '.join(f'contains(title, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{t}' END" for t, ws in tx.ALERT_TAGS)}], lambda x: x IS NOT NULL), '|') AS alerts,
   array_to_string(list_filter([{_quoted(*tx.HOT_WORDS)}], lambda w: contains(title, w))[1:3], '|') AS hot, array_to_string(list_filter([{_quoted(*tx.INDICATOR_WORDS)}], lambda w: contains(title, w))[1:2], '|') AS indicators FROM t"""
 )
 def flash_titles(spark, sf_dir):
     t = F.col("title")
     x = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), _flash(F.col("event_id")).alias("title"))
-    return x.select("i", tx.open_bracket(t).alias("bracket"), tx.without_alert_prefix(tx.without_emphasis(t)).alias("plain"), tx.is_signal(t).alias("signal"), F.array_join(tx.grouped_tags(t), "|").alias("tags"), F.array_join(tx.keyword_tags(t, tx.HOT_WORDS, 3), "|").alias("hot"), F.array_join(tx.keyword_tags(t, tx.INDICATOR_WORDS, 2), "|").alias("indicators"))
+    return x.select("i", tx.open_bracket(t).alias("bracket"), tx.without_alert_prefix(tx.without_emphasis(t)).alias("plain"), tx.is_signal(t).alias("signal"), F.array_join(tx.grouped_tags(t), "|").alias("tags"), F.array_join(tx.grouped_tags(t, tx.ALERT_TAGS), "|").alias("alerts"), F.array_join(tx.keyword_tags(t, tx.HOT_WORDS, 3), "|").alias("hot"), F.array_join(tx.keyword_tags(t, tx.INDICATOR_WORDS, 2), "|").alias("indicators"))
 
 
 @query(f"""WITH t AS (SELECT event_type AS source, event_id AS ord, trim(regexp_replace({_FLASH_SQL}, '^异动快报[:：]\\s*', '')) || user_id % 40 AS title FROM events) SELECT source, title, min(ord) AS ord FROM t GROUP BY ALL""")

@@ -12,7 +12,7 @@ from quantfeed.functions import text as tx
 from quantfeed.functions import timestamps as ts
 from quantfeed.functions.columns import number
 from quantfeed.operators import boards as bd
-from quantfeed.operators import catalog, feeds, frames, reports, research, scoring, snapshots, themes
+from quantfeed.operators import catalog, feeds, frames, reports, research, scoring, snapshots, themes, words
 from quantfeed.operators import rolling as rl
 from quantfeed.sources import bars as br
 from quantfeed.sources import payloads
@@ -541,6 +541,34 @@ def ledger_update_all(spark, sf_dir):
     return feeds.updated_ledger(old, judged_all(spark, sf_dir).filter("kept"), reference(spark, sf_dir)).select("key", F.unix_micros("first_seen").alias("first_seen"))
 
 
+_WORD_TABLE = "ws AS (SELECT DISTINCT substr(text, CAST(1 + doc_id * 7 % greatest(length(text) - 8, 1) AS INT), CAST(2 + doc_id % 7 AS INT)) AS word FROM documents WHERE length(text) > 0)"
+
+
+def word_table(spark, sf_dir) -> DataFrame:
+    """A word of two to eight characters out of each document, so the table grows with the documents."""
+    n = F.length("text")
+    at, size = (1 + F.col("doc_id") * 7 % F.greatest(n - 8, F.lit(1))).cast("int"), (2 + F.col("doc_id") % 7).cast("int")
+    return table(spark, sf_dir, "documents").filter(n > 0).select(F.substr("text", at, size).alias("word")).distinct()
+
+
+@query(f"WITH {_WORD_TABLE} SELECT word, count(DISTINCT text) AS texts FROM ws JOIN documents ON contains(text, word) GROUP BY word")
+def word_hits(spark, sf_dir):
+    """How many different texts hold each word of a large table."""
+    return words.contained(table(spark, sf_dir, "documents"), word_table(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("texts"))
+
+
+@query(
+    f"""WITH {_WORD_TABLE}, r AS (SELECT word, CAST(length(word) * 10 AS INTEGER) AS severity, left(word, 1) AS category FROM ws WHERE length(word) >= 5), t AS (SELECT DISTINCT text FROM documents),
+h AS (SELECT text, arg_min({{'severity': severity, 'category': category}}, (-severity, word)) AS b, count(*) AS words FROM t JOIN r ON contains(text, word) GROUP BY text)
+SELECT doc_id, b.severity AS severity, b.category AS category, words FROM h JOIN documents USING (text)"""
+)
+def word_severity(spark, sf_dir):
+    """The severest of many rules for each document that any of them finds."""
+    rules = word_table(spark, sf_dir).filter(F.length("word") >= 5).select("word", (F.length("word") * 10).alias("severity"), F.left("word", F.lit(1)).alias("category"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(words.rated(docs, rules), "text").select("doc_id", "severity", "category", "words")
+
+
 #: Rules with words that occur in the given texts; the defaults are for Chinese titles.
 WORD_RULES = (("worthless", 90, "scam"), ("the", 40, "plain"), ("und", 60, "german"), ("que", 60, "romance"), ("thion", 70, "odd"), ("@", 85, "contact"))
 #: The fourth finds what the first two wrote; the fifth finds less than it would in the original.
