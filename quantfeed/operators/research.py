@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import divide
 from quantfeed.operators.rolling import Rolling
+from quantfeed.sources.tables import written_down
 
 
 def winsorised(panel: DataFrame, factor: str, by: str = "day", k: float = 3.0) -> DataFrame:
@@ -68,6 +71,40 @@ def quantile_spread(groups: DataFrame) -> DataFrame:
     return x.select(F.element_at("m", -1).alias("top"), F.element_at("m", 1).alias("bottom"), (F.element_at("m", -1) - F.element_at("m", 1)).alias("spread"), rising.alias("rising"), (rising == F.size("m") - 1).alias("monotone"))
 
 
+def ranked_factors(panel: DataFrame, names: Sequence[str], forward: str, groups: int = 5, by: str = "day", tie: str = "code", digits: int = 9) -> DataFrame:
+    """Long form of many factors at once, with ranks inside each (factor, day): rows (factor, day, code, value, forward, r_value, r_forward, bucket).
+
+    Rows without a value or a forward return go; ranks of equal values are averaged, values are compared to so many digits.
+    One shuffle serves all factors, and no task holds more than a day of a factor. The rows are written down,
+    as information and groups both read them.
+    """
+    wide = panel.select(tie, by, F.col(forward).alias("forward"), *[F.round(n, digits).alias(n) for n in names]).filter("forward is not null")
+    rows = wide.unpivot([tie, by, "forward"], list(names), "factor", "value").filter("value is not null")
+    within = Window.partitionBy("factor", by)
+    for c in ("value", "forward"):
+        w = within.orderBy(c)
+        rows = rows.withColumn(f"r_{c}", F.rank().over(w) + (F.count("*").over(w.rangeBetween(0, 0)) - 1) / 2)
+    return written_down(rows.withColumn("bucket", F.ntile(groups).over(within.orderBy("value", tie))))
+
+
+def factor_information(ranked: DataFrame, by: str = "day") -> DataFrame:
+    """Rows (factor, days, mean, std, ir, positive): what information and information_summary say, for each factor.
+
+    A correlation counts as positive from 1e-9 on, so that a zero is none whatever its last digits.
+    """
+    corr = F.try_divide(F.covar_pop("r_value", "r_forward"), F.stddev_pop("r_value") * F.stddev_pop("r_forward"))
+    days = ranked.groupBy("factor", by).agg(corr.alias("ic"))
+    out = days.groupBy("factor").agg(F.count("ic").alias("days"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("positive"))
+    return out.withColumn("ir", F.try_divide("mean", "std"))
+
+
+def factor_groups(ranked: DataFrame) -> DataFrame:
+    """Rows (factor, top, bottom, spread): mean forward returns of each factor's highest and lowest group."""
+    means = ranked.groupBy("factor", "bucket").agg(F.avg("forward").alias("m"))
+    x = means.groupBy("factor").agg(F.max_by("m", "bucket").alias("top"), F.min_by("m", "bucket").alias("bottom"))
+    return x.withColumn("spread", F.col("top") - F.col("bottom"))
+
+
 def tradable(bars: DataFrame, limit: float = 10.0, by: str = "code", order: str = "day") -> DataFrame:
     """Rows whose close is neither at the day's upper nor lower limit: ``limit`` percent from the close before, to the cent.
 

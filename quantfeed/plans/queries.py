@@ -382,6 +382,25 @@ def board_rankings(spark, sf_dir):
     return scoring.ranked(mine, ("board", "day")).select("board", "day", "code", "composite", "place")
 
 
+@query(
+    f"""WITH {_panel_sql(scoring.NEEDS, every_day=True)}, fw AS (SELECT code, day, lead(close, 5) OVER (PARTITION BY code ORDER BY day) / close - 1 AS forward FROM bars),
+t AS (SELECT * FROM (SELECT code, day, {', '.join(f'round(CAST({k} AS DOUBLE), 9) AS {k}' for k in scoring.NEEDS)} FROM f) UNPIVOT (value FOR factor IN ({', '.join(scoring.NEEDS)}))),
+r AS (SELECT t.*, forward, rank() OVER (PARTITION BY factor, day ORDER BY value) + (count(*) OVER (PARTITION BY factor, day, value) - 1) / 2.0::DOUBLE AS rv,
+  rank() OVER (PARTITION BY factor, day ORDER BY forward) + (count(*) OVER (PARTITION BY factor, day, forward) - 1) / 2.0::DOUBLE AS rw, ntile(5) OVER (PARTITION BY factor, day ORDER BY value, code) AS b FROM t JOIN fw USING (code, day) WHERE forward IS NOT NULL),
+d AS (SELECT factor, day, CASE WHEN stddev_pop(rv) > 0 AND stddev_pop(rw) > 0 THEN corr(rv, rw) END AS ic FROM r GROUP BY ALL),
+i AS (SELECT factor, count(ic) AS days, avg(ic) AS mean, stddev_samp(ic) AS std, avg(CAST(ic > 1e-9 AS DOUBLE)) AS positive FROM d GROUP BY factor),
+bk AS (SELECT factor, b, avg(forward) AS m FROM r GROUP BY ALL), sp AS (SELECT factor, arg_max(m, b) - arg_min(m, b) AS spread FROM bk GROUP BY factor)
+SELECT factor, days, round(mean, 6) AS mean, round(mean / nullif(std, 0), 6) AS ir, round(positive, 6) AS positive, round(spread, 6) AS spread FROM i JOIN sp USING (factor)"""
+)
+def research_all_factors(spark, sf_dir):
+    """Rank information and group returns of all the scores' factors over all days, in one run."""
+    x = written_down(bars(spark, sf_dir))
+    forward = x.select("code", "day", (F.lead("close", 5).over(rl.Rolling().rows) / F.col("close") - 1).alias("forward"))
+    ranked = research.ranked_factors(catalog.panel(x, scoring.NEEDS).join(forward, ["code", "day"]), scoring.NEEDS, "forward")
+    out = research.factor_information(ranked).join(research.factor_groups(ranked), "factor")
+    return rounded(out.select("factor", "days", "mean", "ir", "positive", "spread"))
+
+
 _LATEST = f"""{BARS}, c AS (SELECT *, (close / lag(close) OVER (PARTITION BY code ORDER BY day) - 1) * 100 AS change, row_number() OVER (PARTITION BY code ORDER BY day DESC) AS age FROM bars),
 m AS (SELECT s.*, c.amount, coalesce(c.change, 0) AS change FROM c JOIN ({_SUPPLIERS}) s USING (code) WHERE age = 1)"""
 
