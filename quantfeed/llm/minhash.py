@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quantfeed.llm.common import durable, mix64, slices
 from quantfeed.llm.graph import components
 
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 STAR_ROUNDS = 2
 #: Members of a list that meet its strays in one task.
 PART = 256

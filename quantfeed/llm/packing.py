@@ -18,7 +18,7 @@ from quantfeed.llm.shards import PART_ROWS, PARTS, numbered
 #: Words kept per worker, some 60 bytes each; then the cache starts anew.
 CACHE_WORDS = 300_000
 #: Characters that are cut into words at once; a longer text comes alone.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 #: The normalizer and word pattern of the tokenizers that are encoded word by word.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
