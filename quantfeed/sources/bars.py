@@ -56,10 +56,9 @@ def with_change(bars: DataFrame, by: str = "code", order: str = "day") -> DataFr
 def from_trades(trades: DataFrame) -> DataFrame:
     """Bars (code, day, open, close, high, low, volume, amount, vwap) from lineitem rows as trades.
 
-    Trades follow each other by order and line, as one number (lines below 65,536), so that the
-    aggregation stays in hash tables.
+    Trades follow each other by order and line; of several with the same order and line the cheapest comes first.
     """
-    at = F.shiftleft("l_orderkey", 16) + F.col("l_linenumber")
+    at = F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
     x = trades.select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_quantity", "l_extendedprice", at.alias("at"))
     bars = x.groupBy("code", "day").agg(
         F.min_by("l_extendedprice", "at").alias("open"),
