@@ -1,48 +1,133 @@
-"""Large tables of words against texts: an index of grams in place of one test a word and text."""
+"""Large tables of words against texts: words are looked up among a text's parts in place of one test a word and text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Words up to this length are looked up whole, longer ones by so many first characters.
+GRAM = 8
+#: Characters of texts and number of words that a task works on together.
+CHARS, WORDS = 32_000_000, 1_000_000
+
 
-from quantfeed.sources.tables import written_down
+class _Index:
+    """Words by their first ``gram`` characters, one table for each length of these."""
 
-#: Longest gram of the index; shorter words are looked up whole.
-GRAM = 4
+    def __init__(self, words: Sequence[str], gram: int):
+        whole, self.longer = {}, {}
+        for w in words:
+            if len(w) <= gram:
+                whole.setdefault(len(w), set()).add(w)
+            else:
+                self.longer.setdefault(w[:gram], set()).add(w)
+        self.whole, self.gram = list(whole.items()), gram
 
+    def found(self, text: str) -> list[str]:
+        """The words that stand in a text, each once."""
+        out: list[str] = []
+        for n, known in self.whole:
+            out.extend(known.intersection([text[i : i + n] for i in range(len(text) - n + 1)]))
+        if self.longer:
+            for head in self.longer.keys() & {text[i : i + self.gram] for i in range(len(text) - self.gram + 1)}:
+                out.extend(w for w in self.longer[head] if w in text)
+        return out
 
-def _grams(text: Column, longest: int) -> list[Column]:
-    """Arrays of the parts of 1, 2, ... characters; each lines up the one before with the characters, in one pass."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    out = [chars]
-    for n in range(2, longest + 1):
-        size = F.greatest(F.size(chars) - n + 1, F.lit(0))
-        out.append(F.zip_with(F.slice(out[-1], F.lit(1), size), F.slice(chars, F.lit(n), size), lambda a, b: F.concat(a, b)))
-    return out
+
+def _met(texts: DataFrame, words: DataFrame, gram: int, made: Callable[[Iterator[tuple], Callable[[str], list[str]], pa.Table], Iterable[tuple]], schema: T.StructType, most: int | None = None) -> DataFrame:
+    """Rows that ``made`` makes of blocks of texts against slices of words: it gets rows (..., text), what finds a
+    text's words, and the slice.
+
+    Texts are dealt to blocks by hash, so equal ones meet; words are cut into slices. Each text is sent once a slice, each
+    word once a block, and nothing that is found is shuffled here. Null and empty texts and words find nothing.
+    """
+    rows, looked = texts.filter(F.length("text") > 0), words.filter(F.length("word") > 0)
+    most = most or CHARS
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    slices = max(1, -(-looked.count() // WORDS))
+    blocks = max(-(-chars // most), min(64, -(-chars * 16 // most)), 1)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_block", deal("text", blocks)).withColumn("_slice", every(slices))
+    right = looked.withColumn("_slice", deal("word", slices)).withColumn("_block", every(blocks))
+    keys, shown = ["_block", "_slice"], [c for c in texts.columns if c != "text"]
+
+    made_of = to_arrow_schema(schema)
+
+    def run(mine: pa.Table, known: pa.Table) -> pa.Table:
+        index = _Index(known["word"].to_pylist(), gram)
+        rows = zip(*(mine[c].to_pylist() for c in [*shown, "text"]), strict=True)
+        columns = list(zip(*made(rows, index.found, known), strict=True)) or [()] * len(made_of)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, made_of, strict=True)], schema=made_of)
+
+    dealt = [x.repartition(blocks * slices, *keys).groupBy(*keys) for x in (left, right)]  # small tasks, as texts differ in work
+    return dealt[0].cogroup(dealt[1]).applyInArrow(run, schema)
 
 
 def contained(texts: DataFrame, words: DataFrame, gram: int = GRAM) -> DataFrame:
     """Distinct rows (text, word): the words that stand anywhere in a text.
 
-    A word is posted under the one of its grams that the fewest texts hold; texts bring their distinct grams of the
-    sizes that occur, and only pairs that meet there are tested. A word with a gram that no text holds is in
-    none. Nothing is broadcast by hand; neither side is tested against all of the other. Null and empty texts and
-    words find nothing; upper and lower case differ; repeated rows count once; other columns are left out.
+    A text's parts of the words' lengths are looked up among the words; of words longer than ``gram`` the heads are, and
+    those whose head occurs are tested. Null and empty texts and words find nothing; upper and lower case differ; repeated
+    rows count once; other columns are left out.
     """
-    looked = words.select("word").filter(F.length("word") > 0).distinct().withColumn("_n", F.least(F.length("word"), F.lit(gram)))
-    looked = written_down(looked)
-    sizes = sorted(r["_n"] for r in looked.select("_n").distinct().collect())  # at most ``gram`` numbers
-    distinct = written_down(texts.select("text").filter(F.length("text") > 0).distinct().withColumn("_id", F.monotonically_increasing_id()))
-    made = _grams(F.col("text"), max(sizes, default=1))
-    held = F.array_distinct(F.flatten(F.array(*[made[n - 1] for n in sizes]))) if sizes else F.array().cast("array<string>")
-    posted = written_down(distinct.select("_id", F.explode(held).alias("gram")))
-    counts = written_down(posted.groupBy("gram").agg(F.count("*").alias("c")))
-    own = _grams(F.col("word"), gram)
-    parts = looked.select("word", F.array_distinct(F.element_at(F.array(*own), F.col("_n"))).alias("gs")).select("word", F.size("gs").alias("all"), F.explode("gs").alias("gram"))
-    rarest = parts.join(counts, "gram").groupBy("word", "all").agg(F.count("*").alias("found"), F.min_by("gram", F.struct("c", "gram")).alias("gram"))
-    index = written_down(rarest.filter(F.col("found") == F.col("all")).select("word", "gram"))
-    met = posted.join(index, "gram").select("_id", "word")
-    return met.join(distinct, "_id").filter(F.contains("text", "word")).select("text", "word")
+
+    def made(rows: Iterator[tuple], find: Callable[[str], list[str]], _: pa.Table) -> Iterable[tuple]:
+        return ((text, ws) for (text,) in set(rows) if (ws := find(text)))
+
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    met = _met(texts.select("text"), words.select("word"), gram, made, schema, CHARS // 16)
+    return met.select("text", F.explode("words").alias("word"))
+
+
+def counted(texts: DataFrame, words: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Rows (word, texts): how many distinct texts hold each word that any holds.
+
+    Counts are added up in the tasks that find the words, so the pairs never travel.
+    """
+
+    def made(rows: Iterator[tuple], find: Callable[[str], list[str]], _: pa.Table) -> Iterable[tuple]:
+        counts = Counter()
+        for (text,) in set(rows):
+            counts.update(find(text))
+        return counts.items()
+
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("texts", T.LongType())])
+    met = _met(texts.select("text"), words.select("word"), gram, made, schema)
+    return met.groupBy("word").agg(F.sum("texts").alias("texts"))
+
+
+def rated_rows(rows: DataFrame, rules: DataFrame, gram: int = GRAM) -> DataFrame:
+    """The columns of ``rows`` but text, with (severity, category, words) as rated() has them; rows without any rule's word aren't there."""
+    shown = [c for c in rows.columns if c != "text"]
+    kinds = {f.name: f.dataType for f in rules.schema}
+    schema = T.StructType([T.StructField("_row", T.LongType()), *(rows.schema[c] for c in shown), T.StructField("word", T.StringType()), T.StructField("severity", kinds["severity"]), T.StructField("category", kinds["category"]), T.StructField("words", T.LongType())])
+
+    def made(rows: Iterator[tuple], find: Callable[[str], list[str]], known: pa.Table) -> Iterable[tuple]:
+        best, seen = {}, {}
+        for w, severity, category in zip(*(known[c].to_pylist() for c in ("word", "severity", "category")), strict=True):
+            # As the aggregate below orders them: a null severity or category first, words by their bytes.
+            rule = (severity is not None, -(severity or 0), w.encode(), category is not None, "" if category is None else category)
+            if w not in best or rule < best[w][0]:
+                best[w] = (rule, w, severity, category)
+        for *row, text in rows:
+            if text not in seen:
+                ws = find(text)
+                seen[text] = ws and (*min((best[w] for w in ws), key=lambda b: b[0])[1:], len(ws))
+            if seen[text]:
+                yield (*row, *seen[text])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *rows.columns)
+    met = _met(numbered, rules.select("word", "severity", "category"), gram, made, schema)
+    rule = F.min(F.struct((-F.col("severity")).alias("s"), "word", "category")).alias("b")
+    best = met.groupBy("_row", *shown).agg(rule, F.sum("words").alias("words"))
+    return best.select(*shown, (-F.col("b.s")).alias("severity"), F.col("b.category").alias("category"), "words")
 
 
 def rated(texts: DataFrame, rules: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -51,6 +136,5 @@ def rated(texts: DataFrame, rules: DataFrame, gram: int = GRAM) -> DataFrame:
     ``rules``: rows (word, severity, category); of equal severities the first word counts. Texts without any rule's word
     aren't there.
     """
-    hits = contained(texts, rules, gram).join(rules.filter("word is not null"), "word")
-    best = hits.groupBy("text").agg(F.min(F.struct((-F.col("severity")).alias("s"), "word", "category")).alias("b"), F.count_distinct("word").alias("words"))
-    return best.select("text", (-F.col("b.s")).alias("severity"), F.col("b.category").alias("category"), "words")
+    once = texts.select("text").distinct().withColumn("_text", F.col("text"))
+    return rated_rows(once, rules, gram).withColumnRenamed("_text", "text")
