@@ -125,19 +125,22 @@ def factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequen
     return prepared(bars, by, order).select(by, order, *[(candles[n] if n in candles else made[n]()).alias(n) for n in wanted])
 
 
-def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, by: str = "code", order: str = "day", long: bool | None = False) -> DataFrame:
+def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, by: str = "code", order: str = "day", long: bool | None = False, also: dict[str, Column] | None = None) -> DataFrame:
     """What factors() gives, for every row, with the windows worked out on arrays.
 
     One shuffle by code; the columns that look one row back are window functions on the same sort. Each task
     works on some ten thousand rows of many codes at a time. ``long``: whether a code may have more rows than a block
-    (series.blocks), which are then dealt to several tasks; None looks.
+    (series.blocks), which are then dealt to several tasks; None looks. ``also``: further columns of a code's rows in
+    order, as window functions over them; only for short series, as a block knows nothing of the next.
     """
-    candles = candle()
+    if also and long is not False:
+        raise ValueError("further columns need whole series")
+    candles, also = candle(), also or {}
     wanted = [*candles, *(f"{k}{d}" for d in windows for k in FAMILIES)] if names is None else list(names)
     rolling = [n for n in wanted if n not in candles]
     keys = [by, "_block"]
-    x = prepared(blocks(bars, by, [order], max(windows) + 2, long), keys, order).sortWithinPartitions(*keys, order)
-    shown = {n: candles[n].alias(n) for n in wanted if n in candles}
+    x = prepared(blocks(bars, by, [order], max(windows) + 2, long), keys, order).withColumns(also).sortWithinPartitions(*keys, order)
+    shown = {n: candles[n].alias(n) for n in wanted if n in candles} | {k: F.col(k) for k in also}
     x = x.select(*keys, order, "_own", *shown.values(), *(F.col(c).cast("double").alias(c) for c in NEEDED))
 
     def made(f: Frames) -> dict[str, np.ndarray]:
@@ -147,7 +150,7 @@ def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence
         return {n: every[n]() for n in rolling}
 
     out = computed(x, keys, [by, order, *shown], made, rolling, "_own")
-    return out.select(by, order, *wanted)
+    return out.select(by, order, *wanted, *also)
 
 
 def latest_factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, least: int = MIN_BARS, by: str = "code", order: str = "day") -> DataFrame:

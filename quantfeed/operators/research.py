@@ -75,34 +75,38 @@ def ranked_factors(panel: DataFrame, names: Sequence[str], forward: str, groups:
     """Long form of many factors at once, with ranks inside each (factor, day): rows (factor, day, code, value, forward, r_value, r_forward, bucket).
 
     Rows without a value or a forward return go; ranks of equal values are averaged, values are compared to so many digits.
-    One shuffle serves all factors, and no task holds more than a day of a factor. The rows are written down,
-    as information and groups both read them.
+    Rows are shuffled by day while they are wide and become long inside the tasks, so that a row travels once for all factors.
     """
-    wide = panel.select(tie, by, F.col(forward).alias("forward"), *[F.round(n, digits).alias(n) for n in names]).filter("forward is not null")
-    rows = wide.unpivot([tie, by, "forward"], list(names), "factor", "value").filter("value is not null")
-    within = Window.partitionBy("factor", by)
-    for c in ("value", "forward"):
+    wide = panel.select(tie, by, F.col(forward).alias("forward"), *[F.round(n, digits).alias(n) for n in names]).filter("forward is not null").repartition(by)
+    values = F.filter(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("value")) for n in names]), lambda x: x["value"].isNotNull())
+    rows = wide.select(tie, by, "forward", F.explode(values).alias("x")).select(tie, by, "forward", "x.factor", "x.value")
+    within = Window.partitionBy(by, "factor")
+    for c in ("forward", "value"):
         w = within.orderBy(c)
         rows = rows.withColumn(f"r_{c}", F.rank().over(w) + (F.count("*").over(w.rangeBetween(0, 0)) - 1) / 2)
-    return written_down(rows.withColumn("bucket", F.ntile(groups).over(within.orderBy("value", tie))))
+    return rows.withColumn("bucket", F.ntile(groups).over(within.orderBy("value", tie)))
 
 
-def factor_information(ranked: DataFrame, by: str = "day") -> DataFrame:
-    """Rows (factor, days, mean, std, ir, positive): what information and information_summary say, for each factor.
+def factor_days(ranked: DataFrame, groups: int = 5, by: str = "day") -> DataFrame:
+    """Rows (factor, day, ic, sums, counts): rank correlation, and forward returns by group; one pass over the ranks, on the shuffle that made them.
 
-    A correlation counts as positive from 1e-9 on, so that a zero is none whatever its last digits.
+    A day whose values or forward returns are all equal has no correlation.
     """
     corr = F.try_divide(F.covar_pop("r_value", "r_forward"), F.stddev_pop("r_value") * F.stddev_pop("r_forward"))
-    days = ranked.groupBy("factor", by).agg(corr.alias("ic"))
-    out = days.groupBy("factor").agg(F.count("ic").alias("days"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("positive"))
-    return out.withColumn("ir", F.try_divide("mean", "std"))
+    held = [F.when(F.col("bucket") == k + 1, F.col("forward")) for k in range(groups)]
+    return ranked.groupBy(by, "factor").agg(corr.alias("ic"), F.array(*map(F.sum, held)).alias("sums"), F.array(*map(F.count, held)).alias("counts"))
 
 
-def factor_groups(ranked: DataFrame) -> DataFrame:
-    """Rows (factor, top, bottom, spread): mean forward returns of each factor's highest and lowest group."""
-    means = ranked.groupBy("factor", "bucket").agg(F.avg("forward").alias("m"))
-    x = means.groupBy("factor").agg(F.max_by("m", "bucket").alias("top"), F.min_by("m", "bucket").alias("bottom"))
-    return x.withColumn("spread", F.col("top") - F.col("bottom"))
+def factor_summary(days: DataFrame, groups: int = 5) -> DataFrame:
+    """Rows (factor, days, mean, std, positive, top, bottom, ir, spread): what information, information_summary and quantile_returns say, for each factor.
+
+    A correlation counts as positive from 1e-9 on, so that a zero is none whatever its last digits. top and bottom
+    are mean forward returns of the highest and the lowest group that has rows.
+    """
+    means = [F.try_divide(F.sum(F.col("sums")[k]), F.sum(F.col("counts")[k])) for k in range(groups)]
+    ic = [F.count("ic").alias("days"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("positive")]
+    out = days.groupBy("factor").agg(*ic, F.coalesce(*means[::-1]).alias("top"), F.coalesce(*means).alias("bottom"))
+    return out.withColumns({"ir": F.try_divide("mean", "std"), "spread": F.col("top") - F.col("bottom")})
 
 
 def tradable(bars: DataFrame, limit: float = 10.0, by: str = "code", order: str = "day") -> DataFrame:
