@@ -276,6 +276,13 @@ def sliding(df: DataFrame, made: Callable[[Frames], Mapping[str, np.ndarray]], n
     return computed(x, keys, [by, *orders], lambda f: made(_numbered(f)), names, "_own")
 
 
+def added(df: DataFrame, made: Callable[[Frames], Mapping[str, np.ndarray]], names: Sequence[str], lookback: int, by: str = "code", order: str = "day", long: bool | None = False) -> DataFrame:
+    """The columns of ``df`` and those that ``made`` works out on its double columns; see sliding()."""
+    keys = [by, "_block"]
+    x = blocks(df, by, [order], lookback, long).repartition(*keys).sortWithinPartitions(*keys, order)
+    return computed(x, keys, df.columns, made, names, "_own")
+
+
 def _numbered(f: Frames) -> Frames:
     f.cols = {**f.cols, "_i": f.place.astype(np.float64)}
     return f

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantfeed.functions.columns import divide
-from quantfeed.operators.rolling import Rolling
+from quantfeed.operators.frames import Frames, added
 from quantfeed.sources.tables import written_down
 
 
@@ -161,28 +162,40 @@ def price_factors(bars: DataFrame, turnover: str = "turnover", n: int = 20, by:
     amihud is the mean of |return| per 100 million of amount; downside_vol is the root of the mean over
     n rows of squared losses. Windows that aren't full give null.
     """
-    r, c = Rolling(by, order), F.col("close")
-    x = bars.withColumn("ret", divide(c, r.ref(c, 1)) - 1)
-    x = x.withColumn("_impact", divide(F.abs("ret"), F.col("amount") / 1e8)).withColumn("_loss", F.when(F.col("ret") < 0, F.col("ret") * F.col("ret")).when(F.col("ret").isNotNull(), 0.0))
-    made = {
-        "ret_20": divide(c, r.ref(c, n)) - 1,
-        "momentum_12m_1m": divide(r.ref(c, 21), r.ref(c, 252)) - 1,
-        "corr_20": r.corr(c, F.col("volume"), n),
-        "amihud": r.mean(F.col("_impact"), n),
-        "turnover_std": r.std(F.col(turnover), n),
-        "downside_vol": F.sqrt(r.mean(F.col("_loss"), n)),
-    }
-    return x.select("*", *[v.alias(k) for k, v in made.items()]).drop("_impact", "_loss")
+    given = dict.fromkeys(("close", "amount", "volume", turnover))
+    x = bars.withColumns({f"_{c}": F.col(c).cast("double") for c in given})
+
+    def made(f: Frames) -> dict[str, np.ndarray]:
+        c, amount, volume, turned = (f.col(f"_{k}") for k in ("close", "amount", "volume", turnover))
+        ret = f.divide(c, f.ref(c, 1)) - 1
+        loss = np.where(ret < 0, ret * ret, np.where(np.isnan(ret), np.nan, 0.0))
+        return {
+            "ret": ret,
+            "ret_20": f.divide(c, f.ref(c, n)) - 1,
+            "momentum_12m_1m": f.divide(f.ref(c, 21), f.ref(c, 252)) - 1,
+            "corr_20": f.corr(c, volume, n),
+            "amihud": f.mean(f.divide(np.abs(ret), amount / 1e8), n),
+            "turnover_std": f.std(turned, n),
+            "downside_vol": np.sqrt(f.mean(loss, n)),
+        }
+
+    names = ("ret", "ret_20", "momentum_12m_1m", "corr_20", "amihud", "turnover_std", "downside_vol")
+    return added(x, made, names, max(252, n + 1), by, order).drop(*(f"_{c}" for c in given))
 
 
 def idiosyncratic(returns: DataFrame, n: int = 20, by: str = "code", order: str = "day") -> DataFrame:
     """Adds idio_vol: spread of what the day's mean return over all codes leaves of ``ret`` unexplained.
 
-    Days are few (a row each), so the market's returns join by broadcast or sort, as their size says.
+    Days are few (a row each), so the market's returns join by broadcast or sort, as their size says. The returns are
+    written down, as the market's and the codes' own both read them.
     """
+    returns = written_down(returns)
     market = returns.groupBy(order).agg(F.avg("ret").alias("_market"))
-    r = Rolling(by, order)
-    ret, m = F.col("ret"), F.col("_market")
-    rho = r.corr(ret, m, n)
-    left = r.var(ret, n) * (1 - rho * rho)
-    return returns.join(market, order).withColumn("idio_vol", F.sqrt(F.greatest(left, F.lit(0.0)))).withColumn("idio_vol", F.when(rho.isNotNull(), F.col("idio_vol"))).drop("_market")
+    x = returns.join(market, order).withColumn("_ret", F.col("ret").cast("double"))
+
+    def made(f: Frames) -> dict[str, np.ndarray]:
+        ret = f.col("_ret")
+        rho = f.corr(ret, f.col("_market"), n)
+        return {"idio_vol": np.sqrt(np.maximum(f.var(ret, n) * (1 - rho * rho), 0.0))}
+
+    return added(x, made, ("idio_vol",), n, by, order).drop("_ret", "_market")
