@@ -104,9 +104,9 @@ def matched_boards(words: DataFrame, boards: DataFrame, n: int = 5) -> DataFrame
     inside = named.select("board", F.explode(_parts(F.col("board"))).alias("word")).join(looked, "word")
     around = looked.select("word", F.explode(_parts(F.col("word"))).alias("board")).join(named.select("board"), "board")
     fitting = inside.select("word", "board").union(around.select("word", "board")).distinct()
-    pairs = words.join(fitting, "word").join(boards, "board")
-    scored = pairs.withColumn("score", match_score(F.col("word"), F.col("board"))).filter("score is not null")
-    best = scored.groupBy("topic", "board", "change").agg(F.max("score").alias("score"), F.max_by("word", F.struct(F.col("score"), F.length("word"), F.col("word"))).alias("matched_by"))
+    scored = fitting.join(named, "board").withColumn("score", match_score(F.col("word"), F.col("board"))).filter("score is not null")
+    pairs = words.join(scored, "word").select("topic", "word", "board", "change", "score").repartition("topic")
+    best = pairs.groupBy("topic", "board", "change").agg(F.max("score").alias("score"), F.max_by("word", F.struct(F.col("score"), F.length("word"), F.col("word"))).alias("matched_by"))
     w = Window.partitionBy("topic").orderBy(F.desc("score"), F.desc(F.abs("change")), "board")
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
