@@ -125,13 +125,14 @@ def factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequen
     return prepared(bars, by, order).select(by, order, *[(candles[n] if n in candles else made[n]()).alias(n) for n in wanted])
 
 
-def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, by: str = "code", order: str = "day", long: bool | None = False, also: dict[str, Column] | None = None) -> DataFrame:
+def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, by: str = "code", order: str = "day", long: bool | None = False, also: dict[str, Column] | None = None, into: tuple[Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], Sequence[str]] | None = None) -> DataFrame:
     """What factors() gives, for every row, with the windows worked out on arrays.
 
     One shuffle by code; the columns that look one row back are window functions on the same sort. Each task
     works on some ten thousand rows of many codes at a time. ``long``: whether a code may have more rows than a block
     (series.blocks), which are then dealt to several tasks; None looks. ``also``: further columns of a code's rows in
-    order, as window functions over them; only for short series, as a block knows nothing of the next.
+    order, as window functions over them; only for short series, as a block knows nothing of the next. ``into``: what is made of
+    the rolling factors in the same tasks, and its names; these columns then leave the tasks in place of the factors.
     """
     if also and long is not False:
         raise ValueError("further columns need whole series")
@@ -147,10 +148,12 @@ def panel(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence
         every: dict[str, Callable] = {}
         for d in windows:
             every |= rolled(d, f)
-        return {n: every[n]() for n in rolling}
+        found = {n: every[n]() for n in rolling}
+        return into[0](found) if into else found
 
-    out = computed(x, keys, [by, order, *shown], made, rolling, "_own")
-    return out.select(by, order, *wanted, *also)
+    names = list(into[1]) if into else rolling
+    out = computed(x, keys, [by, order, *shown], made, names, "_own")
+    return out.select(by, order, *([n for n in wanted if n in candles] + names if into else wanted), *also)
 
 
 def latest_factors(bars: DataFrame, names: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, least: int = MIN_BARS, by: str = "code", order: str = "day") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +27,72 @@ def tenth(x: Column) -> Column:
     return F.round(x + 1e-9, 1)
 
 
-def scores() -> dict[str, Column]:
+class Columns:
+    """What scores are made of, as columns."""
+
+    col, scale, clip, mean_of, inverse, tenth = (staticmethod(f) for f in (F.col, scale, clip, mean_of, _inverse, tenth))
+
+
+class Arrays:
+    """The same on arrays of a factor each, null is NaN."""
+
+    def __init__(self, cols: Mapping[str, np.ndarray]):
+        self.cols = cols
+
+    def col(self, name: str) -> np.ndarray:
+        return self.cols[name]
+
+    def inverse(self, name: str) -> np.ndarray:
+        x = self.cols[name]
+        with np.errstate(all="ignore"):
+            return np.where(x > 0, 1.0 / x, np.nan)
+
+    @staticmethod
+    def clip(x: np.ndarray) -> np.ndarray:
+        return np.clip(x, 0.0, 100.0)
+
+    def scale(self, v: np.ndarray, center: float, span: float, invert: bool = False) -> np.ndarray:
+        return self.clip(50.0 + (-50.0 if invert else 50.0) * (v - center) / span)
+
+    @staticmethod
+    def mean_of(*parts: np.ndarray) -> np.ndarray:
+        total, n = 0.0, 0
+        for x in parts:
+            there = ~np.isnan(x)
+            total, n = total + np.where(there, x, 0.0), n + there
+        with np.errstate(all="ignore"):
+            return np.where(n > 0, total / n, np.nan)
+
+    @staticmethod
+    def tenth(x: np.ndarray) -> np.ndarray:
+        """Ten times a score is off by under 1e-12, so only what is closer to a tie is left to decimal numbers."""
+        v = x + 1e-9
+        k = np.rint(v * 10)
+        out = k / 10
+        for at in np.flatnonzero(np.abs(np.abs(v * 10 - k) - 0.5) < 1e-11):
+            out[at] = float(Decimal(repr(float(v[at]))).quantize(Decimal("0.1"), ROUND_HALF_UP))
+        return out
+
+
+def scores(r: Columns | Arrays | None = None) -> dict[str, Column | np.ndarray]:
     """Each dimension's score, rounded to one decimal; null if none of its readings is there."""
+    r = r or Columns()
     raw = {
-        "momentum": [scale(_inverse(f"ROC{d}") - 1, 0.0, s) for d, s in ((5, 0.06), (10, 0.09), (20, 0.14), (60, 0.25))],
-        "trend": [*(scale(_inverse(f"MA{d}") - 1, 0.0, s) for d, s in ((5, 0.04), (10, 0.06), (20, 0.09), (60, 0.16))), scale(F.col("BETA20"), 0.0, 0.004)],
-        "volatility": [scale(F.col("STD20"), 0.03, 0.03, invert=True), clip(F.col("RANK20") * 100), clip(F.col("RSV20") * 100)],
-        "volume": [*(scale(_inverse(f"VMA{d}"), 1.0, 1.0) for d in (5, 20)), scale(F.col("VSUMD20"), 0.0, 0.5)],
-        "price_volume": [*(scale(F.col(f"CORR{d}"), 0.0, 0.6) for d in (10, 20, 60)), scale(F.col("CORD20"), 0.0, 0.6)],
-        "strength": [scale(F.col("SUMD20"), 0.0, 0.6), clip(F.col("SUMP20") * 100), scale(F.col("CNTD20"), 0.0, 0.4)],
+        "momentum": [r.scale(r.inverse(f"ROC{d}") - 1, 0.0, s) for d, s in ((5, 0.06), (10, 0.09), (20, 0.14), (60, 0.25))],
+        "trend": [*(r.scale(r.inverse(f"MA{d}") - 1, 0.0, s) for d, s in ((5, 0.04), (10, 0.06), (20, 0.09), (60, 0.16))), r.scale(r.col("BETA20"), 0.0, 0.004)],
+        "volatility": [r.scale(r.col("STD20"), 0.03, 0.03, invert=True), r.clip(r.col("RANK20") * 100), r.clip(r.col("RSV20") * 100)],
+        "volume": [*(r.scale(r.inverse(f"VMA{d}"), 1.0, 1.0) for d in (5, 20)), r.scale(r.col("VSUMD20"), 0.0, 0.5)],
+        "price_volume": [*(r.scale(r.col(f"CORR{d}"), 0.0, 0.6) for d in (10, 20, 60)), r.scale(r.col("CORD20"), 0.0, 0.6)],
+        "strength": [r.scale(r.col("SUMD20"), 0.0, 0.6), r.clip(r.col("SUMP20") * 100), r.scale(r.col("CNTD20"), 0.0, 0.4)],
     }
-    return {k: tenth(mean_of(*v)) for k, v in raw.items()}
+    return {k: r.tenth(r.mean_of(*v)) for k, v in raw.items()}
+
+
+def composites(factors: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The six scores and their composite as profile() has them, from arrays of the factors that it needs."""
+    r = Arrays(factors)
+    found = scores(r)
+    return found | {"composite": r.tenth(r.mean_of(*found.values()))}
 
 
 def level(score: Column) -> Column:
