@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quantfeed.functions.columns import divide
+from quantfeed.functions.columns import divide, rounded_half_up
 from quantfeed.operators.frames import Frames, added
 from quantfeed.sources.tables import written_down
 
@@ -98,6 +102,52 @@ def factor_days(ranked: DataFrame, groups: int = 5, by: str = "day") -> DataFram
     return ranked.groupBy(by, "factor").agg(corr.alias("ic"), F.array(*map(F.sum, held)).alias("sums"), F.array(*map(F.count, held)).alias("counts"))
 
 
+def _ranks(ordered: np.ndarray) -> np.ndarray:
+    """Places from 1 of values in order, equal ones sharing their mean."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = (ordered[1:] != ordered[:-1]) & ~(np.isnan(ordered[1:]) & np.isnan(ordered[:-1]))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(ordered)))
+    return np.repeat(first + (size + 1) / 2, size)
+
+
+def ranked_days(panel: DataFrame, names: Sequence[str], forward: str, groups: int = 5, by: str = "day", tie: str = "code", digits: int = 9) -> DataFrame:
+    """What factor_days says of ranked_factors, with a day's ranks worked out on arrays.
+
+    Rows travel once, by day and while they are wide; a task holds the codes of one day at a time and sorts each factor once.
+    """
+    wide = panel.select(F.col(tie).alias("_tie"), F.col(by), F.col(forward).cast("double").alias("_forward"), *[rounded_half_up(F.col(n).cast("double"), digits).alias(f"_v{k}") for k, n in enumerate(names)]).filter("_forward is not null")
+    schema = T.StructType([panel.schema[by], T.StructField("factor", T.StringType()), T.StructField("ic", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+    made_of = to_arrow_schema(schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t["_tie"], null_placement="at_start"))
+        w = t["_forward"].to_numpy()
+        by_forward = np.argsort(w, kind="stable")
+        out: list[tuple] = []
+        for k, name in enumerate(names):
+            c = t[f"_v{k}"]
+            given = c.is_valid().to_numpy()
+            n = int(given.sum())
+            if not n:
+                continue
+            v = c.to_numpy()
+            rows = np.flatnonzero(given)
+            order = rows[np.argsort(v[rows], kind="stable")]  # of equal values the smaller tie first, as rows lie so
+            ranks = np.empty(len(w))
+            there = by_forward[given[by_forward]]
+            ranks[there] = _ranks(w[there])
+            x, y = _ranks(v[order]) - (n + 1) / 2, ranks[order] - (n + 1) / 2
+            spread = np.sqrt(np.dot(x, x)) * np.sqrt(np.dot(y, y))
+            parts = np.array_split(w[order], groups)  # the first n % groups hold one more, as in ntile
+            out.append((name, float(np.dot(x, y) / spread) if spread else None, [float(p.sum()) if len(p) else None for p in parts], [len(p) for p in parts]))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        days = t[by].slice(0, 1).combine_chunks().take(pa.array([0] * len(out), pa.int64()))
+        return pa.table([days, *(pa.array(c, f.type) for c, f in zip(columns, list(made_of)[1:], strict=True))], schema=made_of)
+
+    return wide.groupBy(by).applyInArrow(run, schema)
+
+
 def factor_summary(days: DataFrame, groups: int = 5) -> DataFrame:
     """Rows (factor, days, mean, std, positive, top, bottom, ir, spread): what information, information_summary and quantile_returns say, for each factor.
 
