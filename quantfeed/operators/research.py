@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quantfeed.functions.columns import divide, rounded_half_up
+from quantfeed.functions.columns import divide
 from quantfeed.operators.frames import Frames, added
 from quantfeed.sources.tables import written_down
 
@@ -102,6 +103,19 @@ def factor_days(ranked: DataFrame, groups: int = 5, by: str = "day") -> DataFram
     return ranked.groupBy(by, "factor").agg(corr.alias("ic"), F.array(*map(F.sum, held)).alias("sums"), F.array(*map(F.count, held)).alias("counts"))
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """What F.round says of a column: further from a tie than the product is off, its integer is the right one."""
+    unit = 10.0**digits
+    with np.errstate(all="ignore"):
+        y = x * unit
+        k = np.rint(y)
+        odd = ~(np.abs(y - k) + np.abs(y) * 1e-15 < 0.5)
+    out = np.where(odd, x, k / unit + 0.0)
+    for i in np.flatnonzero(odd & (np.abs(x) < 2.0**53)):  # larger ones are whole
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
 def _ranks(ordered: np.ndarray) -> np.ndarray:
     """Places from 1 of values in order, equal ones sharing their mean."""
     new = np.ones(len(ordered), bool)
@@ -115,8 +129,9 @@ def ranked_days(panel: DataFrame, names: Sequence[str], forward: str, groups: in
     """What factor_days says of ranked_factors, with a day's ranks worked out on arrays.
 
     Rows travel once, by day and while they are wide; a task holds the codes of one day at a time and sorts each factor once.
+    Values are rounded there too: as columns, so many roundings make a method too large for the JVM to compile.
     """
-    wide = panel.select(F.col(tie).alias("_tie"), F.col(by), F.col(forward).cast("double").alias("_forward"), *[rounded_half_up(F.col(n).cast("double"), digits).alias(f"_v{k}") for k, n in enumerate(names)]).filter("_forward is not null")
+    wide = panel.select(F.col(tie).alias("_tie"), F.col(by), F.col(forward).cast("double").alias("_forward"), *[F.col(n).cast("double").alias(f"_v{k}") for k, n in enumerate(names)]).filter("_forward is not null")
     schema = T.StructType([panel.schema[by], T.StructField("factor", T.StringType()), T.StructField("ic", T.DoubleType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.LongType()))])
     made_of = to_arrow_schema(schema)
 
@@ -131,16 +146,17 @@ def ranked_days(panel: DataFrame, names: Sequence[str], forward: str, groups: in
             n = int(given.sum())
             if not n:
                 continue
-            v = c.to_numpy()
             rows = np.flatnonzero(given)
-            order = rows[np.argsort(v[rows], kind="stable")]  # of equal values the smaller tie first, as rows lie so
+            v = _rounded(c.to_numpy()[rows], digits)
+            at = np.argsort(v, kind="stable")  # of equal values the smaller tie first, as rows lie so
+            order = rows[at]
             ranks = np.empty(len(w))
             there = by_forward[given[by_forward]]
             ranks[there] = _ranks(w[there])
-            x, y = _ranks(v[order]) - (n + 1) / 2, ranks[order] - (n + 1) / 2
-            spread = np.sqrt(np.dot(x, x)) * np.sqrt(np.dot(y, y))
+            x, y = _ranks(v[at]) - (n + 1) / 2, ranks[order] - (n + 1) / 2
+            spread = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
             parts = np.array_split(w[order], groups)  # the first n % groups hold one more, as in ntile
-            out.append((name, float(np.dot(x, y) / spread) if spread else None, [float(p.sum()) if len(p) else None for p in parts], [len(p) for p in parts]))
+            out.append((name, float((x * y).sum() / spread) if spread else None, [float(p.sum()) if len(p) else None for p in parts], [len(p) for p in parts]))
         columns = list(zip(*out, strict=True)) or [()] * 4
         days = t[by].slice(0, 1).combine_chunks().take(pa.array([0] * len(out), pa.int64()))
         return pa.table([days, *(pa.array(c, f.type) for c, f in zip(columns, list(made_of)[1:], strict=True))], schema=made_of)
